@@ -1,0 +1,104 @@
+"""Tree-mode text extraction (P-6 exact mode, P-8 visible text).
+
+Hidden-element removal needs the element nesting: a ``style="display:none"``
+``<div>`` hides everything inside it. That is a tree walk, so it runs in
+``mapInPandas`` with the standard library's ``html.parser``; Spark still
+partitions the pages, and only the page id and html cross to Python.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sitelens.functions.html import DROPPED_ELEMENTS, INVISIBLE_ELEMENTS
+
+# Elements that never have content (closed at their start tag).
+VOID_ELEMENTS = frozenset({
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem",
+    "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame",
+    "image", "isindex", "nextid", "spacer"})
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+_HIDDEN_CLASS = re.compile(r"hidden", re.I)
+_WS = re.compile(r"\s+")
+
+
+class _TextWalk(HTMLParser):
+    """Collects text outside removed subtrees. An end tag closes the most
+    recent open element of that name (and everything opened after it); an
+    end tag with no open element is ignored; unclosed elements stay open."""
+
+    def __init__(self, dropped: frozenset, visible_only: bool):
+        super().__init__(convert_charrefs=True)
+        self.dropped, self.visible_only = dropped, visible_only
+        self.stack: list[tuple[str, bool]] = []
+        self.parts: list[str] = []
+
+    def _removed(self, tag, attrs) -> bool:
+        if tag in self.dropped:
+            return True
+        if self.visible_only:
+            for k, v in attrs:
+                if k == "style" and v and _HIDDEN_STYLE.search(v):
+                    return True
+                if k == "class" and v and _HIDDEN_CLASS.search(v):
+                    return True
+        return False
+
+    def handle_starttag(self, tag, attrs):
+        parent_removed = self.stack[-1][1] if self.stack else False
+        if tag in VOID_ELEMENTS:
+            return
+        self.stack.append((tag, parent_removed or self._removed(tag, attrs)))
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                return
+
+    def handle_data(self, data):
+        if not (self.stack and self.stack[-1][1]):
+            self.parts.append(data)
+
+
+def extract_text(html: str | None, visible_only: bool = False) -> str:
+    """Tree-mode text of one page; blank/None -> ''."""
+    if not html or not html.strip():
+        return ""
+    dropped = frozenset(DROPPED_ELEMENTS + (INVISIBLE_ELEMENTS if visible_only else []))
+    walk = _TextWalk(dropped, visible_only)
+    try:
+        walk.feed(html)
+        walk.close()
+    except Exception:  # parser failure: the tag-stripping fallback
+        return _WS.sub(" ", re.sub(r"<[^>]+>", "", html)).strip()
+    return _WS.sub(" ", "".join(walk.parts)).strip()
+
+
+def with_tree_text(df: DataFrame, html_col: str, out: str, visible_only: bool = True) -> DataFrame:
+    """Adds ``out`` = tree-mode text of ``html_col``; other columns pass
+    through unchanged. Filters and projections should be applied before
+    this call: Catalyst cannot push them through a Python operator."""
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b[out] = [extract_text(h, visible_only) for h in b[html_col]]
+            yield b
+
+    return df.mapInPandas(run, schema)
+
+
+def html_visible_text(pages: DataFrame) -> DataFrame:
+    """(page_id, visible_text) for every page (P-8)."""
+    return with_tree_text(pages.select("page_id", "html"), "html", "visible_text").drop("html")
