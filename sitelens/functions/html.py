@@ -88,3 +88,13 @@ def pricing_ok(text) -> Column:
     """Pricing text is kept only when longer than ``PRICING_MIN_CHARS`` (P-15)."""
     t = _col(text)
     return F.coalesce(F.length(strip_ws(t)) > PRICING_MIN_CHARS, F.lit(False))
+
+
+def excerpt_html(c) -> Column:
+    """Page payload cap for the model's page tool: first 10,000 characters (P-16)."""
+    return F.substring(_col(c), 1, HTML_EXCERPT_CHARS)
+
+
+def excerpt_text(c) -> Column:
+    """Text payload cap: first 8,000 characters of the extracted text (P-16)."""
+    return F.substring(_col(c), 1, TEXT_EXCERPT_CHARS)

@@ -49,9 +49,11 @@ def linked_pages(pages: DataFrame, features: DataFrame) -> DataFrame:
     ``pages`` only, so it grows with the table.
     """
     base = with_normalized_url(pages.select("page_id", "url", "html"), "url", "norm_url")
-    links = link_targets(base).filter(~F.col("err"))
-    links = with_normalized_url(links.select("page_id", "abs_url"), "abs_url", "target")
-    firsts = links.groupBy("target").agg(F.min("page_id").alias("src"))
+    # Unresolvable links get a null source id (never joins) instead of a
+    # filter: a filter on a URL-derived flag would be pushed back through
+    # every derivation step and inlined there.
+    links = with_normalized_url(link_targets(base).select("page_id", "abs_url", "err"), "abs_url", "target")
+    firsts = links.groupBy("target").agg(F.min(F.when(~F.col("err"), F.col("page_id"))).alias("src"))
     content = features.select(F.col("page_id").alias("cid"), "text", "pricing_link")
     return (firsts.join(content, F.col("cid") == F.col("src") + 1)
             .select(F.col("target").alias("norm_url"), F.col("cid").alias("page_id"), "text", "pricing_link"))

@@ -19,6 +19,16 @@ BASE_CONF = {
     # A model answer with a repeated key keeps the last value, like a
     # Python dict built from JSON does.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # The URL and link functions build long chains of derived columns. With
+    # constraint propagation on, inferred not-null filters on derived join
+    # keys are pushed through every projection and the aliases are inlined
+    # repeatedly; turning it off keeps planning linear in plan size.
+    "spark.sql.constraintPropagation.enabled": "false",
+    # Joins here are on derived keys (normalised URLs, user ids), never on a
+    # partition column; lineage tracing for partition pruning and runtime
+    # bloom filters walks the same long derivation chains for nothing.
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "false",
 }
 
 
