@@ -62,6 +62,12 @@ def _stages(df: DataFrame, steps) -> DataFrame:
     return df
 
 
+# One pass over a URL in the standard library's order: scheme (only when every
+# character before the first ':' is a scheme character), "//" authority,
+# path, "?query", "#fragment" (the fragment starts at the first '#').
+URL_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
+
+
 def with_url_parts(df: DataFrame, src, p: str, default_scheme: str = "") -> DataFrame:
     """Split a URL like ``urllib.parse.urlparse`` does.
 
@@ -71,51 +77,48 @@ def with_url_parts(df: DataFrame, src, p: str, default_scheme: str = "") -> Data
     """
     c = lambda n: F.col(f"{p}_{n}")
     src_col = _col(src)
-    df = _stages(df, [
-        (f"{p}_u", lambda: F.regexp_replace(F.regexp_replace(F.coalesce(src_col, F.lit("")),
-                                                             r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")),
-        (f"{p}_sch", lambda: F.regexp_extract(c("u"), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)),
-        (f"{p}_scheme", lambda: F.when(c("sch") != "", F.lower(c("sch"))).otherwise(F.lit(default_scheme))),
-        (f"{p}_rest", lambda: F.when(c("sch") != "", c("u").substr(F.length(c("sch")) + 2, F.lit(1 << 30)))
-         .otherwise(c("u"))),
-        (f"{p}_netloc", lambda: F.when(c("rest").startswith("//"),
-                                       F.regexp_extract(c("rest"), r"^//([^/?#]*)", 1)).otherwise(F.lit(""))),
-        (f"{p}_tail", lambda: F.when(c("rest").startswith("//"),
-                                     c("rest").substr(F.length(c("netloc")) + 3, F.lit(1 << 30)))
-         .otherwise(c("rest"))),
-        (f"{p}_fragment", lambda: _after(c("tail"), "#")),
-        (f"{p}_nofrag", lambda: _before(c("tail"), "#")),
-        (f"{p}_query", lambda: _after(c("nofrag"), "?")),
-        (f"{p}_pathall", lambda: _before(c("nofrag"), "?")),
-        # ;params live in the last path segment (after the last '/').
-        (f"{p}_lastseg", lambda: F.substring_index(c("pathall"), "/", -1)),
-        (f"{p}_semi", lambda: F.when(c("scheme").isin(USES_PARAMS), F.instr(c("lastseg"), ";"))
-         .otherwise(F.lit(0))),
-        (f"{p}_path", lambda: F.when(c("semi") > 0, c("pathall").substr(
-            F.lit(1), F.length(c("pathall")) - F.length(c("lastseg")) + c("semi") - 1)).otherwise(c("pathall"))),
-        (f"{p}_params", lambda: F.when(c("semi") > 0, c("lastseg").substr(c("semi") + 1, F.lit(1 << 30)))
-         .otherwise(F.lit(""))),
-        (f"{p}_br", lambda: _before(_after(c("netloc"), "["), "]")),
-        (f"{p}_err", lambda: F.when((F.instr(c("netloc"), "[") > 0) != (F.instr(c("netloc"), "]") > 0), F.lit(True))
-         .when(F.instr(c("netloc"), "[") > 0,
-               F.when(c("br").startswith("v"), ~c("br").rlike(_IPVFUTURE)).otherwise(~c("br").rlike(_IPV6)))
-         .otherwise(F.lit(False))),
-    ])
-    return df.drop(*[f"{p}_{n}" for n in ("u", "sch", "rest", "tail", "nofrag", "pathall", "lastseg", "semi", "br")])
-
-
-def url_unparse(scheme, netloc, path, params, query, fragment) -> Column:
-    """``urllib.parse.urlunparse``. Arguments are plain column references."""
+    df = df.withColumn(f"{p}_u", F.regexp_replace(F.regexp_replace(
+        F.coalesce(src_col, F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""))
+    x = lambda k: F.regexp_extract(c("u"), URL_SPLIT, k)
+    df = df.withColumns({
+        f"{p}_scheme": F.when(x(1) != "", F.lower(x(1))).otherwise(F.lit(default_scheme)),
+        f"{p}_netloc": x(2), f"{p}_pathall": x(3), f"{p}_query": x(4), f"{p}_fragment": x(5)})
+    # ;params live in the last path segment (after the last '/').
+    df = df.withColumn(f"{p}_lastseg", F.substring_index(c("pathall"), "/", -1))
+    df = df.withColumn(f"{p}_semi", F.when(c("scheme").isin(USES_PARAMS), F.instr(c("lastseg"), ";"))
+                       .otherwise(F.lit(0)))
+    br = _before(_after(c("netloc"), "["), "]")
+    df = df.withColumns({
+        f"{p}_path": F.when(c("semi") > 0, c("pathall").substr(
+            F.lit(1), F.length(c("pathall")) - F.length(c("lastseg")) + c("semi") - 1)).otherwise(c("pathall")),
+        f"{p}_params": F.when(c("semi") > 0, c("lastseg").substr(c("semi") + 1, F.lit(1 << 30)))
+        .otherwise(F.lit("")),
+        f"{p}_err": F.when((F.instr(c("netloc"), "[") > 0) != (F.instr(c("netloc"), "]") > 0), F.lit(True))
+        .when(F.instr(c("netloc"), "[") > 0, ~br.rlike(_IPV6) & ~br.rlike(_IPVFUTURE))
+        .otherwise(F.lit(False))})
+    return df.drop(f"{p}_u", f"{p}_pathall", f"{p}_lastseg", f"{p}_semi")
+
+
+def with_url_unparse(df: DataFrame, out: str, scheme, netloc, path, params, query, fragment) -> DataFrame:
+    """Adds ``out`` = ``urllib.parse.urlunparse`` of the six components
+    (column names or literal columns)."""
     scheme, netloc, path, params, query, fragment = map(_col, (scheme, netloc, path, params, query, fragment))
-    p = F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
-    p = F.when((netloc != "") & (p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
+    t = f"__{out}"
+    df = df.withColumn(f"{t}_p1", F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path))
+    p1 = F.col(f"{t}_p1")
+    df = df.withColumn(f"{t}_p2", F.when((netloc != "") & (p1 != "") & ~p1.startswith("/"),
+                                         F.concat(F.lit("/"), p1)).otherwise(p1))
+    p = F.col(f"{t}_p2")
     body = F.when(netloc != "", F.concat(F.lit("//"), netloc, p)) \
         .when(p.startswith("//"), F.concat(F.lit("//"), p)) \
         .when(scheme.isin(_USES_NETLOC) & ((p == "") | p.startswith("/")), F.concat(F.lit("//"), p)) \
         .otherwise(p)
-    out = F.when(scheme != "", F.concat(scheme, F.lit(":"), body)).otherwise(body)
-    out = F.when(query != "", F.concat(out, F.lit("?"), query)).otherwise(out)
-    return F.when(fragment != "", F.concat(out, F.lit("#"), fragment)).otherwise(out)
+    df = df.withColumn(f"{t}_body", body)
+    b = F.col(f"{t}_body")
+    res = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"), b)).otherwise(b),
+                   F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+                   F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
+    return df.withColumn(out, res).drop(f"{t}_p1", f"{t}_p2", f"{t}_body")
 
 
 # Schemes whose URLs are written with "//" even without a host.
@@ -147,9 +150,10 @@ def with_normalized_url(df: DataFrame, src, out: str) -> DataFrame:
     host = F.regexp_replace(F.lower(c("netloc")), r"^www\.", "")
     path = F.when(c("path") == "/", F.lit("")).otherwise(c("path"))
     df = df.withColumn(f"{t}_host", host).withColumn(f"{t}_p2", path)
-    res = url_unparse(F.lit("https"), c("host"), c("p2"), c("params"), c("query"), c("fragment"))
-    df = df.withColumn(out, F.when((s == "") | c("err"), F.lit("")).otherwise(res))
-    return _drop_parts(df, t).drop(f"{t}_s", f"{t}_pre", f"{t}_host", f"{t}_p2")
+    df = with_url_unparse(df, f"{t}_res", F.lit("https"), c("host"), c("p2"), c("params"), c("query"),
+                          c("fragment"))
+    df = df.withColumn(out, F.when((s == "") | c("err"), F.lit("")).otherwise(c("res")))
+    return _drop_parts(df, t).drop(f"{t}_s", f"{t}_pre", f"{t}_host", f"{t}_p2", f"{t}_res")
 
 
 def with_valid_url(df: DataFrame, src, out: str) -> DataFrame:
@@ -223,14 +227,15 @@ def with_url_join(df: DataFrame, base, href, out: str) -> DataFrame:
         (f"{t}_q", lambda: F.when(H("query") == "", B("query")).otherwise(H("query"))),
     ])
     base_c, href_c = tc("base"), tc("href")
+    df = with_url_unparse(df, f"{t}_u1", tc("hs"), H("netloc"), H("path"), H("params"), H("query"), H("fragment"))
+    df = with_url_unparse(df, f"{t}_u2", tc("hs"), tc("net"), B("path"), B("params"), tc("q"), H("fragment"))
+    df = with_url_unparse(df, f"{t}_u3", tc("hs"), tc("net"), tc("rpath2"), H("params"), H("query"), H("fragment"))
     url = (F.when(base_c == "", href_c)
            .when(href_c == "", base_c)
            .when(tc("foreign"), href_c)
-           .when(tc("nets") & (H("netloc") != ""),
-                 url_unparse(tc("hs"), H("netloc"), H("path"), H("params"), H("query"), H("fragment")))
-           .when((H("path") == "") & (H("params") == ""),
-                 url_unparse(tc("hs"), tc("net"), B("path"), B("params"), tc("q"), H("fragment")))
-           .otherwise(url_unparse(tc("hs"), tc("net"), tc("rpath2"), H("params"), H("query"), H("fragment"))))
+           .when(tc("nets") & (H("netloc") != ""), tc("u1"))
+           .when((H("path") == "") & (H("params") == ""), tc("u2"))
+           .otherwise(tc("u3")))
     out_net = (F.when(base_c == "", H("netloc"))
                .when(href_c == "", B("netloc"))
                .when(tc("foreign"), H("netloc"))
@@ -239,7 +244,7 @@ def with_url_join(df: DataFrame, base, href, out: str) -> DataFrame:
            .withColumn(f"{out}_err", (B("err") | H("err")) & (base_c != "") & (href_c != ""))
     df = _drop_parts(_drop_parts(df, b), h)
     return df.drop(*[f"{t}_{n}" for n in ("base", "href", "hs", "foreign", "nets", "net", "merged", "merged2",
-                                          "res", "rpath", "rpath2", "q")])
+                                          "res", "rpath", "rpath2", "q", "u1", "u2", "u3")])
 
 
 # Patterns of a spreadsheet id inside a destination link, tried

@@ -76,18 +76,11 @@ def with_pricing_link(df: DataFrame, html_col: str, base_col: str, out: str,
         (f"{t}_c1", lambda: F.transform(F.col(f"{t}_c0"), lambda l: F.struct(
             l["href"].alias("href"),
             F.regexp_replace(F.regexp_replace(l["href"], r"^[\x00-\x20]+", ""), r"[\t\r\n]", "").alias("u")))),
-        (f"{t}_c2", lambda: F.transform(F.col(f"{t}_c1"), lambda l: F.struct(
-            l["href"].alias("href"), l["u"].alias("u"),
-            F.regexp_extract(l["u"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1).alias("sch")))),
-        (f"{t}_c3", lambda: F.transform(F.col(f"{t}_c2"), lambda l: F.struct(
+        (f"{t}_c4", lambda: F.transform(F.col(f"{t}_c1"), lambda l: F.struct(
             l["href"].alias("href"),
-            F.when(l["sch"] == "", B("scheme")).otherwise(F.lower(l["sch"])).alias("scheme"),
-            F.when(l["sch"] != "", l["u"].substr(F.length(l["sch"]) + 2, F.lit(1 << 30)))
-            .otherwise(l["u"]).alias("rest")))),
-        (f"{t}_c4", lambda: F.transform(F.col(f"{t}_c3"), lambda l: F.struct(
-            l["href"].alias("href"), l["scheme"].alias("scheme"),
-            F.when(l["rest"].startswith("//"), F.regexp_extract(l["rest"], r"^//([^/?#]*)", 1))
-            .otherwise(F.lit("")).alias("net")))),
+            F.when(F.regexp_extract(l["u"], U.URL_SPLIT, 1) == "", B("scheme"))
+            .otherwise(F.lower(F.regexp_extract(l["u"], U.URL_SPLIT, 1))).alias("scheme"),
+            F.regexp_extract(l["u"], U.URL_SPLIT, 2).alias("net")))),
         (f"{t}_c5", lambda: F.transform(F.col(f"{t}_c4"), lambda l: F.struct(
             l["href"].alias("href"),
             F.when(F.col(base_col) == "", l["net"])
@@ -105,7 +98,7 @@ def with_pricing_link(df: DataFrame, html_col: str, base_col: str, out: str,
     df = U.with_url_join(df, base_col, f"{t}_href", f"{t}_abs")
     df = df.withColumn(out, F.when(F.col(f"{t}_href").isNull(), F.lit(None).cast("string"))
                        .otherwise(F.col(f"{t}_abs")))
-    drop = [f"{t}_{n}" for n in ("c0", "c1", "c2", "c3", "c4", "c5", "hit", "href", "abs", "abs_netloc", "abs_err")]
+    drop = [f"{t}_{n}" for n in ("c0", "c1", "c4", "c5", "hit", "href", "abs", "abs_netloc", "abs_err")]
     drop += [f"{t}b_{n}" for n in ("scheme", "netloc", "path", "params", "query", "fragment", "err")]
     return df.drop(*drop)
 

@@ -74,17 +74,9 @@ def before(x: str, ch: str) -> str:
 def url_parts(st: Stages, src: str, p: str, default_scheme: str = "") -> Stages:
     c = lambda n: f"{p}_{n}"
     st.add(c("u"), rx(rx(f"coalesce({src}, '')", r"^[\x00-\x20]+"), r"[\t\r\n]"))
-    st.add(c("sch"), f"regexp_extract({c('u')}, {q(r'^([A-Za-z][A-Za-z0-9+.\-]*):')}, 1)")
-    st.add(c("scheme"), f"(CASE WHEN {c('sch')} <> '' THEN lower({c('sch')}) ELSE {q(default_scheme)} END)")
-    st.add(c("rest"), f"(CASE WHEN {c('sch')} <> '' THEN substr({c('u')}, length({c('sch')}) + 2) ELSE {c('u')} END)")
-    st.add(c("netloc"), f"(CASE WHEN starts_with({c('rest')}, '//') THEN regexp_extract({c('rest')}, "
-                        f"{q('^//([^/?#]*)')}, 1) ELSE '' END)")
-    st.add(c("tail"), f"(CASE WHEN starts_with({c('rest')}, '//') THEN substr({c('rest')}, length({c('netloc')}) + 3) "
-                      f"ELSE {c('rest')} END)")
-    st.add(c("fragment"), after(c("tail"), "#"))
-    st.add(c("nofrag"), before(c("tail"), "#"))
-    st.add(c("query"), after(c("nofrag"), "?"))
-    st.add(c("pathall"), before(c("nofrag"), "?"))
+    x = lambda k: f"regexp_extract({c('u')}, {q(U.URL_SPLIT)}, {k})"
+    st.add(c("scheme"), f"(CASE WHEN {x(1)} <> '' THEN lower({x(1)}) ELSE {q(default_scheme)} END)")
+    st.add(c("netloc"), x(2)).add(c("pathall"), x(3)).add(c("query"), x(4)).add(c("fragment"), x(5))
     st.add(c("lastseg"), f"regexp_extract({c('pathall')}, '[^/]*$', 0)")
     st.add(c("semi"), f"(CASE WHEN {c('scheme')} IN {inlist(U.USES_PARAMS)} THEN strpos({c('lastseg')}, ';') ELSE 0 END)")
     st.add(c("path"), f"(CASE WHEN {c('semi')} > 0 THEN substr({c('pathall')}, 1, length({c('pathall')}) - "
@@ -92,10 +84,9 @@ def url_parts(st: Stages, src: str, p: str, default_scheme: str = "") -> Stages:
     st.add(c("params"), f"(CASE WHEN {c('semi')} > 0 THEN substr({c('lastseg')}, {c('semi')} + 1) ELSE '' END)")
     st.add(c("br"), before(after(c("netloc"), "["), "]"))
     st.add(c("err"), f"(CASE WHEN (strpos({c('netloc')}, '[') > 0) <> (strpos({c('netloc')}, ']') > 0) THEN true "
-                     f"WHEN strpos({c('netloc')}, '[') > 0 THEN (CASE WHEN starts_with({c('br')}, 'v') "
-                     f"THEN NOT regexp_matches({c('br')}, {q(U._IPVFUTURE)}) "
-                     f"ELSE NOT regexp_matches({c('br')}, {q(U._IPV6)}) END) ELSE false END)")
-    return st.drop(*[c(n) for n in ("u", "sch", "rest", "tail", "nofrag", "pathall", "lastseg", "semi", "br")])
+                     f"WHEN strpos({c('netloc')}, '[') > 0 THEN (NOT regexp_matches({c('br')}, {q(U._IPV6)}) "
+                     f"AND NOT regexp_matches({c('br')}, {q(U._IPVFUTURE)})) ELSE false END)")
+    return st.drop(*[c(n) for n in ("u", "pathall", "lastseg", "semi", "br")])
 
 
 def drop_parts(st: Stages, p: str) -> Stages:
@@ -219,14 +210,10 @@ def pricing_link(st: Stages, html: str, base: str, out: str, keywords: list[str]
                      f"lambda l: regexp_matches(lower(l.href || ' ' || l.text), {q(kw)}))")
     st.add(t + "c1", f"list_transform({t}c0, lambda l: {{'href': l.href, "
                      f"'u': {rx(rx('l.href', r'^[\x00-\x20]+'), r'[\t\r\n]')}}})")
-    st.add(t + "c2", f"list_transform({t}c1, lambda l: {{'href': l.href, 'u': l.u, "
-                     f"'sch': regexp_extract(l.u, {q(r'^([A-Za-z][A-Za-z0-9+.\-]*):')}, 1)}})")
-    st.add(t + "c3", f"list_transform({t}c2, lambda l: {{'href': l.href, "
-                     f"'scheme': CASE WHEN l.sch = '' THEN {bs} ELSE lower(l.sch) END, "
-                     f"'rest': CASE WHEN l.sch <> '' THEN substr(l.u, length(l.sch) + 2) ELSE l.u END}})")
-    st.add(t + "c4", f"list_transform({t}c3, lambda l: {{'href': l.href, 'scheme': l.scheme, "
-                     f"'net': CASE WHEN starts_with(l.rest, '//') THEN regexp_extract(l.rest, {q('^//([^/?#]*)')}, 1) "
-                     f"ELSE '' END}})")
+    st.add(t + "c4", f"list_transform({t}c1, lambda l: {{'href': l.href, "
+                     f"'scheme': CASE WHEN regexp_extract(l.u, {q(U.URL_SPLIT)}, 1) = '' THEN {bs} "
+                     f"ELSE lower(regexp_extract(l.u, {q(U.URL_SPLIT)}, 1)) END, "
+                     f"'net': regexp_extract(l.u, {q(U.URL_SPLIT)}, 2)}})")
     br = before(after("l.net", "["), "]")
     st.add(t + "c5", f"list_transform({t}c4, lambda l: {{'href': l.href, "
                      f"'res_net': CASE WHEN {base} = '' THEN l.net "
@@ -241,7 +228,7 @@ def pricing_link(st: Stages, html: str, base: str, out: str, keywords: list[str]
     url_join(st, base, t + "href", t + "abs")
     st.add(out, f"(CASE WHEN {t}href IS NULL THEN NULL ELSE {t}abs END)")
     drop_parts(st, t + "b")
-    return st.drop(*[t + n for n in ("hr", "tx", "c0", "c1", "c2", "c3", "c4", "c5", "hit", "href",
+    return st.drop(*[t + n for n in ("hr", "tx", "c0", "c1", "c4", "c5", "hit", "href",
                                      "abs", "abs_netloc", "abs_err")])
 
 
