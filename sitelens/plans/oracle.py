@@ -46,7 +46,21 @@ def _pages_sql() -> dict[str, str]:
     return o
 
 
+def _texts_sql() -> dict[str, str]:
+    from sitelens.plans.texts import NOISE_LINES
+    o: dict[str, str] = {}
+    o["text_clean"] = f"SELECT doc_id, {S.clean_text('text')} AS text_out FROM documents"
+    lines = "[" + ", ".join(S.q(x) for x in NOISE_LINES) + "]"
+    noisy = f"SELECT doc_id, text || {lines}[(doc_id % {len(NOISE_LINES)}) + 1] AS text FROM documents"
+    step1 = f"SELECT doc_id, {S.nav_patterns('text')} AS t1 FROM ({noisy})"
+    o["nav_noise"] = S.drop_frequent_words(step1, "t1")
+    o["frequent_words"] = S.frequent_words("SELECT doc_id, text FROM documents")
+    o["drop_frequent_words"] = S.drop_frequent_words("SELECT doc_id, text FROM documents")
+    return o
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(_pages_sql())
+    out.update(_texts_sql())
     return out

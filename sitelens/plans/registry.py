@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sitelens.plans import pages
+from sitelens.plans import pages, texts
 
 
 def queries() -> dict:
     out = {}
     out.update(pages.QUERIES)
+    out.update(texts.QUERIES)
     return out

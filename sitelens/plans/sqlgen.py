@@ -292,3 +292,45 @@ def content_bundle(requests_sql: str, snap_sql: str) -> Stages:
     st.add("pricing_url", f"(CASE WHEN {ok} THEN _plink END)")
     st.add("pricing_text", f"(CASE WHEN {ok} THEN _ptext END)")
     return st.drop("_home_raw", "_plink", "_pkey", "_ptext")
+
+
+# ---------------------------------------------------------------------------
+# Text
+
+def clean_text(x: str) -> str:
+    from sitelens.functions.text import CLEAN_TEXT_EXTRA, WS_CHARS
+    e = collapse_ws(strip_ws(f"coalesce({x}, '')"))
+    return rx(e, rf"[^\p{{L}}\p{{N}}_{WS_CHARS}{CLEAN_TEXT_EXTRA}]")
+
+
+def nav_patterns(x: str) -> str:
+    from sitelens.functions.text import NAV_NOISE_JAVA
+    e = x
+    for p in NAV_NOISE_JAVA:
+        e = rx(e, "(?i)" + p)
+    return e
+
+
+def split_ws(x: str) -> str:
+    s = strip_ws(x)
+    return f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({s}, {q(WS + '+')}) END)"
+
+
+def words(docs_sql: str, text: str = "text") -> str:
+    ex = (f"SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: {{'pos': i - 1, 'word': ws[i]}})) AS l "
+          f"FROM (SELECT doc_id, {split_ws(text)} AS ws FROM ({docs_sql}) WHERE len({split_ws(text)}) > 10)")
+    return (f"SELECT doc_id, l.pos AS pos, l.word AS word, "
+            f"CASE WHEN length(l.word) > 3 THEN lower(l.word) END AS lw FROM ({ex})")
+
+
+def frequent_words(docs_sql: str, text: str = "text") -> str:
+    return (f"SELECT doc_id, lw AS word, count(*) AS n FROM ({words(docs_sql, text)}) "
+            f"WHERE lw IS NOT NULL GROUP BY doc_id, lw HAVING count(*) > 3")
+
+
+def drop_frequent_words(docs_sql: str, text: str = "text", out: str = "text_out") -> str:
+    short = f"SELECT doc_id, {strip_ws(text)} AS {out} FROM ({docs_sql}) WHERE len({split_ws(text)}) <= 10"
+    w = f"SELECT *, count(lw) OVER (PARTITION BY doc_id, lw) AS cnt FROM ({words(docs_sql, text)})"
+    joined = (f"SELECT doc_id, coalesce(string_agg(CASE WHEN cnt <= 3 THEN word END, ' ' ORDER BY pos), '') AS {out} "
+              f"FROM ({w}) GROUP BY doc_id")
+    return f"{short} UNION ALL {joined}"
