@@ -59,8 +59,36 @@ def _texts_sql() -> dict[str, str]:
     return o
 
 
+def _answers_sql() -> dict[str, str]:
+    from sitelens.operators.scoring import SYSTEM_PROMPT, template_pieces
+    from sitelens.schemas import ANSWER_FIELDS, FIELDS
+    o: dict[str, str] = {}
+    raw = S.synthetic_answers("SELECT doc_id, text, n_chars FROM documents")
+    o["json_unwrap"] = f"SELECT doc_id, {S.json_unwrap('raw')} AS json_text FROM ({raw})"
+    st = S.Stages(f"SELECT doc_id, n_chars, {S.json_unwrap('raw')} AS json_text FROM ({raw})")
+    parsed = str(S.answer_fields(st, "json_text", ANSWER_FIELDS))
+    o["answer_fields"] = f"SELECT doc_id, parse_ok, {', '.join(FIELDS)} FROM ({parsed})"
+    summ = f"(CASE WHEN parse_ok THEN {S.short_summary()} END)"
+    o["summary_points"] = (f"SELECT doc_id, len(pts)::BIGINT AS n_points, to_json(pts)::VARCHAR AS points "
+                           f"FROM (SELECT doc_id, {summ} AS pts FROM ({parsed}))")
+    q = S.Stages(parsed).add("short_summary", S.short_summary()).add("requires_js", "n_chars < 500") \
+        .add("pricing_url", "NULL::VARCHAR")
+    flags = S.quality_flags()
+    aggs = ["count(*) AS n_answers", "count_if(parse_ok) AS n_parsed"]
+    aggs += [f"count_if(parse_ok AND NOT {f}) AS n_fail_{k[:-3]}" for k, f in flags.items()]
+    o["answer_quality"] = f"SELECT {', '.join(aggs)} FROM ({q})"
+    snap = S.crawl_snapshot(TEST_KEYWORDS)
+    b = S.content_bundle("SELECT page_id AS request_id, url FROM pages", snap).where("fetched")
+    user = " || ".join(S.q(lit) + (f" || coalesce({ph[1:-1].lower()}, '')" if ph else "")
+                       for lit, ph in template_pieces())
+    o["prompt_requests"] = (f"SELECT request_id, (length({S.q(SYSTEM_PROMPT)}) + length(u))::BIGINT AS n_chars, "
+                            f"sha256(u) AS user_sha FROM (SELECT request_id, {user} AS u FROM ({b}))")
+    return o
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(_pages_sql())
     out.update(_texts_sql())
+    out.update(_answers_sql())
     return out

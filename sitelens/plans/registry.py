@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sitelens.plans import pages, texts
+from sitelens.plans import answers, pages, texts
 
 
 def queries() -> dict:
     out = {}
     out.update(pages.QUERIES)
     out.update(texts.QUERIES)
+    out.update(answers.QUERIES)
     return out

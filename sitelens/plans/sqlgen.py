@@ -334,3 +334,104 @@ def drop_frequent_words(docs_sql: str, text: str = "text", out: str = "text_out"
     joined = (f"SELECT doc_id, coalesce(string_agg(CASE WHEN cnt <= 3 THEN word END, ' ' ORDER BY pos), '') AS {out} "
               f"FROM ({w}) GROUP BY doc_id")
     return f"{short} UNION ALL {joined}"
+
+
+# ---------------------------------------------------------------------------
+# Answers
+
+def synthetic_answers(docs_sql: str) -> str:
+    from sitelens.functions.answers import JS_NOTE
+    from sitelens.plans import answers as AP
+    from sitelens.schemas import FIELD_KEYS, FIELDS
+    sl = lambda i, n=AP.SLICE: f"substr(s, {1 + n * i}, {n})"
+    lines = lambda cnt, w: (f"array_to_string(list_transform(range(0, {cnt}), "
+                            f"lambda j: substr(s, j * {w} + 1, {w})), {q(chr(92) + 'n')})")
+    shape = f"(doc_id % {AP.N_SHAPES})"
+    pairs = []
+    for i, c in enumerate(FIELDS):
+        v = sl(i)
+        if i == AP.PAINS:
+            v = lines("(doc_id % 7) + 3", 7)
+        elif i == AP.FAQ:
+            v = lines("(doc_id % 8) + 10", 5)
+        elif i == AP.PRICES:
+            v = f"{v} || (CASE WHEN doc_id % 3 = 0 THEN ' (главная)' ELSE '' END)"
+        elif i == AP.NOTES:
+            v = f"(CASE WHEN n_chars < 500 THEN {q(JS_NOTE)} ELSE {v} END)"
+        elif i == AP.SUMMARY:
+            p = [sl(k, 12) for k in (30, 31, 32)]
+            nl = q(chr(92) + "n")
+            v = (f"(CASE WHEN doc_id % 4 = 0 THEN '- ' || {p[0]} || {nl} || '- ' || {p[1]} || {nl} || '- ' || {p[2]} "
+                 f"WHEN doc_id % 4 = 1 THEN '• ' || {p[0]} || {nl} || '• ' || {p[1]} "
+                 f"WHEN doc_id % 4 = 2 THEN {p[0]} || '. ' || {p[1]} || '. ' || {p[2]} || '.' ELSE '' END)")
+        r = f"('\"' || {v} || '\"')"
+        if i == AP.GUARANTEES:
+            r = f"(CASE WHEN {shape} = 4 THEN '12' ELSE {r} END)"
+        if i == AP.BENEFITS:
+            r = f"(CASE WHEN {shape} = 6 THEN '[\"' || {v} || '\", \"x\"]' ELSE {r} END)"
+        if i == AP.NOTES:
+            r = f"(CASE WHEN {shape} = 9 THEN 'null' ELSE {r} END)"
+        pair = f"{q(chr(34) + FIELD_KEYS[i] + chr(34) + ': ')} || {r}"
+        if i >= 12:
+            pair = f"(CASE WHEN {shape} <> 7 THEN {pair} END)"
+        pairs.append(pair)
+    extra = f"(CASE WHEN {shape} = 8 THEN {q(chr(34) + 'Лишнее поле' + chr(34) + ': ' + chr(34) + 'x' + chr(34))} END)"
+    obj = f"('{{' || concat_ws(', ', {', '.join(pairs)}, {extra}) || '}}')"
+    raw = (f"(CASE WHEN {shape} = 1 THEN '```json' || chr(10) || {obj} || chr(10) || '```' "
+           f"WHEN {shape} = 2 THEN 'Вот ответ:' || chr(10) || {obj} || chr(10) || 'Готово.' "
+           f"WHEN {shape} = 3 THEN substr({obj}, 1, 60) "
+           f"WHEN {shape} = 5 THEN '```' || chr(10) || {obj} || chr(10) || '```' ELSE {obj} END)")
+    clean = rx(rx(rx("text", r"[^\p{L}\p{N} ]", " "), " +", " "), "^ | $", "")
+    inner = f"SELECT doc_id, n_chars, {clean} AS s FROM ({docs_sql})"
+    return f"SELECT doc_id, n_chars, {raw} AS raw FROM ({inner})"
+
+
+def json_unwrap(x: str) -> str:
+    e = strip_ws(rx(rx(f"coalesce({x}, '')", f"```json{WS}*"), f"```{WS}*$"))
+    return f"coalesce(nullif(regexp_extract({e}, {q(r'(?s)\{.*\}')}, 0), ''), {e})"
+
+
+def answer_fields(st: Stages, json_col: str, keys: list[tuple[str, str]], ok_col: str = "parse_ok") -> Stages:
+    jp = lambda k: q('$."' + k + '"')
+    st.add("_valid", f"coalesce(json_valid({json_col}), false)")
+    st.add("_obj", f"(CASE WHEN _valid THEN json_type({json_col}) = 'OBJECT' ELSE false END)")
+    for c, k in keys:
+        st.add(f"_t_{c}", f"(CASE WHEN _obj THEN json_type({json_col}, {jp(k)}) END)")
+    ok = " AND ".join(["_obj"] + [f"(_t_{c} IS NULL OR _t_{c} = 'VARCHAR')" for c, _ in keys])
+    st.add(ok_col, f"({ok})")
+    for c, k in keys:
+        st.add(c, f"(CASE WHEN {ok_col} THEN coalesce(json_extract_string({json_col}, {jp(k)}), '') END)")
+    return st.drop("_valid", "_obj", *[f"_t_{c}" for c, _ in keys])
+
+
+def summary_points(x: str) -> str:
+    from sitelens.functions.answers import SUMMARY_MARKERS
+    marker = "^[" + "".join("\\" + m if m in "-*" else m for m in SUMMARY_MARKERS) + "]"
+    t = f"coalesce({x}, '')"
+    lines = f"list_transform(string_split({t}, chr(10)), lambda l: {strip_ws('l')})"
+    marked = f"list_filter({lines}, lambda l: regexp_matches(l, {q(marker)}))"
+    pts = (f"list_filter(list_transform({marked}, lambda l: {strip_ws(rx('l', marker + WS + '*'))}), "
+           f"lambda p: p <> '')")
+    sent = f"list_filter(list_transform(string_split({t}, '.'), lambda z: {strip_ws('z')}), lambda z: z <> '')"
+    return (f"(CASE WHEN {t} = '' THEN []::VARCHAR[] WHEN len({pts}) > 0 THEN {pts} ELSE {sent} END)[1:4]")
+
+
+def short_summary(brief: str = "brief_summary") -> str:
+    fb = ("list_filter([substr(offer_first_screen, 1, 100), substr(product_services, 1, 100), "
+          "substr(marketing_insights, 1, 100)], lambda z: z <> '')[1:4]")
+    sp = summary_points(brief)
+    return f"(CASE WHEN len({sp}) > 0 THEN {sp} ELSE {fb} END)"
+
+
+def quality_flags() -> dict[str, str]:
+    from sitelens.functions import answers as A
+    nl = "chr(10)"
+    return {
+        "pains_ok": f"(target_audience_pains = '' OR len(string_split(target_audience_pains, {nl})) >= {A.MIN_PAIN_LINES})",
+        "faq_ok": f"(len(list_filter(string_split(faq, {nl}), lambda z: {strip_ws('z')} <> '')) <= {A.MAX_FAQ_ITEMS})",
+        "summary_ok": f"(len(short_summary) BETWEEN {A.MIN_SUMMARY_POINTS} AND {A.MAX_SUMMARY_POINTS})",
+        "price_source_ok": (f"(prices_tariffs = '' OR (CASE WHEN pricing_url IS NOT NULL THEN "
+                            f"strpos(prices_tariffs, {q(A.PRICE_SOURCE_PAGE)} || pricing_url) > 0 "
+                            f"ELSE strpos(prices_tariffs, {q(A.PRICE_SOURCE_HOME)}) > 0 END))"),
+        "js_note_ok": f"(NOT coalesce(requires_js, false) OR strpos(notes, {q(A.JS_NOTE)}) > 0)",
+    }
