@@ -86,9 +86,54 @@ def _answers_sql() -> dict[str, str]:
     return o
 
 
+def _events_sql() -> dict[str, str]:
+    from sitelens.schemas import DEFAULT_USER_LIMIT as D
+    o: dict[str, str] = {}
+    links = S.sheet_links()
+    o["sheet_id_extract"] = f"SELECT event_id, link, sheet_id FROM ({links})"
+    o["settings_latest"] = (f"SELECT user_id, arg_max(sheet_id, (ts, event_id)) AS sheet_id FROM ({links}) "
+                            f"WHERE sheet_id <> '' GROUP BY user_id")
+    o["admin_changes"] = f"SELECT event_id, actor, {S.is_admin('actor')} AS is_admin FROM ({S.limit_commands()})"
+    o["limit_changes_valid"] = S.limit_changes()
+    req = S.audit_requests()
+    o["limits_initial"] = (f"SELECT user_id, 0::BIGINT AS current, arg_min(max_limit, (ts, event_id)) AS max_limit FROM ("
+                           f"SELECT user_id, ts, request_id AS event_id, {D}::BIGINT AS max_limit FROM ({req}) "
+                           f"UNION ALL SELECT user_id, ts, event_id, max_limit FROM ({S.limit_changes()})) GROUP BY user_id")
+    adm = (f"SELECT request_id, user_id, would_succeed, coalesce(sum(CAST(would_succeed AS BIGINT)) OVER "
+           f"(PARTITION BY user_id ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT "
+           f"AS prior_ok FROM ({req})")
+    adm = f"SELECT *, prior_ok < {D} AS admitted FROM ({adm})"
+    o["quota_admission"] = f"SELECT request_id, user_id, prior_ok, admitted FROM ({adm})"
+    o["usage_counts"] = f"SELECT user_id, count_if(admitted AND would_succeed)::BIGINT AS current FROM ({adm}) GROUP BY user_id"
+    tl = S.timeline()
+    o["limit_asof"] = (f"SELECT request_id, user_id, coalesce(lim, {D})::BIGINT AS max_limit FROM ("
+                       f"SELECT *, last(new_limit IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, request_id "
+                       f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lim FROM ({tl})) WHERE new_limit IS NULL")
+    seg = (f"SELECT *, sum(CASE WHEN new_limit IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id "
+           f"ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM ({tl})")
+    summ = (f"SELECT user_id, seg, coalesce(max(new_limit), {D})::BIGINT AS lim, sum(ws)::BIGINT AS ws_total "
+            f"FROM ({seg}) GROUP BY user_id, seg")
+    fold = (f"WITH RECURSIVE summ AS ({summ}), firsts AS (SELECT user_id, min(seg) AS seg FROM summ GROUP BY user_id), "
+            f"fold(user_id, seg, c0) AS (SELECT user_id, seg, 0::BIGINT FROM firsts UNION ALL "
+            f"SELECT f.user_id, f.seg + 1, f.c0 + least(s.ws_total, greatest(0, s.lim - f.c0)) FROM fold f "
+            f"JOIN summ s ON s.user_id = f.user_id AND s.seg = f.seg "
+            f"WHERE EXISTS (SELECT 1 FROM summ n WHERE n.user_id = f.user_id AND n.seg = f.seg + 1)) ")
+    per = (f"SELECT r.request_id, r.user_id, f.c0 + r.prior < s.lim AS admitted, s.lim AS max_limit FROM ("
+           f"SELECT *, coalesce(sum(ws) OVER (PARTITION BY user_id, seg ORDER BY ts, request_id ROWS BETWEEN "
+           f"UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM ({seg}) WHERE new_limit IS NULL) r "
+           f"JOIN fold f ON f.user_id = r.user_id AND f.seg = r.seg JOIN summ s ON s.user_id = r.user_id AND s.seg = r.seg")
+    o["quota_replay"] = fold + per
+    last = (f"SELECT f.user_id, (f.c0 + least(s.ws_total, greatest(0, s.lim - f.c0)))::BIGINT AS current, "
+            f"s.lim AS max_limit FROM fold f JOIN summ s ON s.user_id = f.user_id AND s.seg = f.seg "
+            f"WHERE f.seg = (SELECT max(seg) FROM summ m WHERE m.user_id = f.user_id)")
+    o["limits_final"] = fold + last
+    return o
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(_pages_sql())
     out.update(_texts_sql())
     out.update(_answers_sql())
+    out.update(_events_sql())
     return out

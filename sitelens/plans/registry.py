@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelens.plans import answers, pages, texts
+from sitelens.plans import answers, events, pages, texts
 
 
 def queries() -> dict:
@@ -10,4 +10,5 @@ def queries() -> dict:
     out.update(pages.QUERIES)
     out.update(texts.QUERIES)
     out.update(answers.QUERIES)
+    out.update(events.QUERIES)
     return out

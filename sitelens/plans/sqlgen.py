@@ -435,3 +435,63 @@ def quality_flags() -> dict[str, str]:
                             f"ELSE strpos(prices_tariffs, {q(A.PRICE_SOURCE_HOME)}) > 0 END))"),
         "js_note_ok": f"(NOT coalesce(requires_js, false) OR strpos(notes, {q(A.JS_NOTE)}) > 0)",
     }
+
+
+# ---------------------------------------------------------------------------
+# Event logs
+
+def k_of() -> str:
+    return "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def audit_requests() -> str:
+    from sitelens.sources.eventlog import FAILED_KIND, REQUEST_KINDS
+    return (f"SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS user_id, ts, event_type AS kind, "
+            f"event_type <> {q(FAILED_KIND)} AS would_succeed FROM events WHERE event_type IN {inlist(REQUEST_KINDS)}")
+
+
+def sheet_id(x: str) -> str:
+    from sitelens.functions.urls import SHEET_ID_PATTERNS
+    hits = [f"nullif(regexp_extract({x}, {q(p)}, 1), '')" for p in SHEET_ID_PATTERNS]
+    return f"coalesce({', '.join(hits)}, '')"
+
+
+def sheet_links() -> str:
+    from sitelens.schemas import SHEET_URL_PREFIX
+    from sitelens.sources.eventlog import COMMAND_MIN_K, SETTING_KIND
+    k = k_of()
+    link = (f"(CASE WHEN {k} % 10 = 0 THEN 'https://docs.google.com/spreadsheets/u/0/' "
+            f"ELSE {q(SHEET_URL_PREFIX)} || 'sh' || CAST({k} AS VARCHAR) || '/edit#gid=0' END)")
+    inner = (f"SELECT event_id, ts, CAST(user_id AS VARCHAR) AS user_id, {link} AS link FROM events "
+             f"WHERE event_type = {q(SETTING_KIND)} AND {k} < {COMMAND_MIN_K}")
+    return f"SELECT *, {sheet_id('link')} AS sheet_id FROM ({inner})"
+
+
+def limit_commands() -> str:
+    from sitelens.sources.eventlog import COMMAND_MIN_K, SETTING_KIND
+    k = k_of()
+    t = f"CAST({k} AS VARCHAR)"
+    n = "CAST(CAST(floor(value) AS BIGINT) % 30 AS VARCHAR)"
+    args = (f"(CASE WHEN {k} % 5 = 0 THEN [{t}] WHEN {k} % 5 = 1 THEN [{t}, 'ten'] "
+            f"WHEN {k} % 5 = 2 THEN [{t}, CAST(-({k} % 3) - 1 AS VARCHAR)] ELSE [{t}, {n}] END)")
+    return (f"SELECT event_id, ts, user_id AS actor, {args} AS args FROM events "
+            f"WHERE event_type = {q(SETTING_KIND)} AND {k} >= {COMMAND_MIN_K}")
+
+
+def is_admin(actor: str) -> str:
+    from sitelens.sources.eventlog import ADMIN_IDS
+    ids = (f"list_transform(list_filter(list_transform(string_split({q(ADMIN_IDS)}, ','), lambda x: {strip_ws('x')}), "
+           f"lambda x: x <> ''), lambda x: TRY_CAST(x AS BIGINT))")
+    return f"(NOT list_bool_or(list_transform({ids}, lambda x: x IS NULL)) AND list_contains({ids}, {actor}))"
+
+
+def limit_changes() -> str:
+    ok = f"{is_admin('actor')} AND len(args) = 2 AND coalesce(TRY_CAST(args[2] AS BIGINT) >= 0, false)"
+    return (f"SELECT event_id, ts, args[1] AS user_id, CAST(args[2] AS BIGINT) AS max_limit "
+            f"FROM ({limit_commands()}) WHERE {ok}")
+
+
+def timeline() -> str:
+    return (f"SELECT user_id, ts, request_id, CAST(would_succeed AS BIGINT) AS ws, NULL::BIGINT AS new_limit "
+            f"FROM ({audit_requests()}) UNION ALL "
+            f"SELECT user_id, ts, event_id AS request_id, 0 AS ws, max_limit AS new_limit FROM ({limit_changes()})")
