@@ -105,10 +105,9 @@ def short_summary(brief_col="brief_summary", fallback_fields=None) -> Column:
 def iso_timestamp(ts) -> Column:
     """``datetime.isoformat()``: microseconds only when non-zero."""
     ts = _col(ts)
-    micros = F.unix_micros(ts) % 1_000_000
+    frac = F.date_format(ts, "SSSSSS")
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-                    F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
-                    .otherwise(F.lit("")))
+                    F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
 
 
 def sheet_timestamp(ts) -> Column:
@@ -136,36 +135,36 @@ def with_report_row(df: DataFrame, json_col: str = "result_json", user_col: str
     ``pricing_url`` not a string) gives the error row: time of the stored
     row, user, url, '', the error text, then 23 empty cells.
     """
-    df = df.withColumn("__e", F.try_parse_json(F.col(json_col)))
-    e = F.col("__e")
+    df = df.withColumn("__r_e", F.try_parse_json(F.col(json_col)))
+    e = F.col("__r_e")
     fr_t = F.schema_of_variant(F.try_variant_get(e, "$.full_result", "variant"))
     pu_t = F.schema_of_variant(F.try_variant_get(e, "$.pricing_url", "variant"))
     df = df.withColumns({
-        "__obj": F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)),
-        "__fr_ok": fr_t.isNull() | fr_t.startswith("OBJECT"),
-        "__pu_ok": pu_t.isNull() | pu_t.isin("STRING", "VOID"),
-        "__fr": F.to_json(F.try_variant_get(e, "$.full_result", "variant")),
-        "__pu": F.coalesce(F.try_variant_get(e, "$.pricing_url", "string"), F.lit(""))})
-    df = with_answer_fields(df.withColumn("__frj", F.coalesce(F.col("__fr"), F.lit("{}"))), "__frj",
-                            [(f"__f_{c}", c) for c in FIELDS], "__fields_ok")
-    ok = F.col("__obj") & F.col("__fr_ok") & F.col("__pu_ok") & F.col("__fields_ok")
-    reason = (F.when(F.col("__e").isNull(), F.lit("invalid JSON"))
-              .when(~F.col("__obj"), F.lit("not an object"))
-              .when(~F.col("__fr_ok"), F.lit("full_result is not an object"))
-              .when(~F.col("__pu_ok"), F.lit("pricing_url is not a string"))
+        "__r_obj": F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)),
+        "__r_fr_ok": fr_t.isNull() | fr_t.startswith("OBJECT"),
+        "__r_pu_ok": pu_t.isNull() | pu_t.isin("STRING", "VOID"),
+        "__r_fr": F.to_json(F.try_variant_get(e, "$.full_result", "variant")),
+        "__r_pu": F.coalesce(F.try_variant_get(e, "$.pricing_url", "string"), F.lit(""))})
+    df = with_answer_fields(df.withColumn("__r_frj", F.coalesce(F.col("__r_fr"), F.lit("{}"))), "__r_frj",
+                            [(f"__f_{c}", c) for c in FIELDS], "__r_fields_ok")
+    ok = F.col("__r_obj") & F.col("__r_fr_ok") & F.col("__r_pu_ok") & F.col("__r_fields_ok")
+    reason = (F.when(F.col("__r_e").isNull(), F.lit("invalid JSON"))
+              .when(~F.col("__r_obj"), F.lit("not an object"))
+              .when(~F.col("__r_fr_ok"), F.lit("full_result is not an object"))
+              .when(~F.col("__r_pu_ok"), F.lit("pricing_url is not a string"))
               .otherwise(F.lit("field is not a string")))
     df = df.withColumn("row_ok", ok)
     cells = {
         "timestamp": F.when(ok, F.lit("")).otherwise(sheet_timestamp(time_col)),
         "user_id": F.col(user_col).cast("string"),
         "analyzed_url": F.col(url_col),
-        "pricing_url": F.when(ok, F.col("__pu")).otherwise(F.lit("")),
+        "pricing_url": F.when(ok, F.col("__r_pu")).otherwise(F.lit("")),
     }
     for i, c in enumerate(FIELDS):
         err_cell = F.concat(F.lit(ERROR_CELL_PREFIX), reason) if i == 0 else F.lit("")
         cells[c] = F.when(ok, F.col(f"__f_{c}")).otherwise(err_cell)
     df = df.withColumns(cells)
-    return df.drop("__e", "__obj", "__fr_ok", "__pu_ok", "__fr", "__pu", "__frj", "__fields_ok",
+    return df.drop("__r_e", "__r_obj", "__r_fr_ok", "__r_pu_ok", "__r_fr", "__r_pu", "__r_frj", "__r_fields_ok",
                    *[f"__f_{c}" for c in FIELDS])
 
 

@@ -62,7 +62,14 @@ def limits_final(spark: SparkSession, sf: str) -> DataFrame:
     return final
 
 
+def message_routing(spark: SparkSession, sf: str) -> DataFrame:
+    from sitelens.operators.dialog import message_routing as route
+    log = events(spark, sf, "event_id", "ts", "user_id", "event_type").withColumnRenamed("event_type", "kind")
+    return route(log)
+
+
 QUERIES = {
+    "message_routing": message_routing,
     "settings_latest": settings_latest,
     "sheet_id_extract": sheet_id_extract,
     "admin_changes": admin_changes,

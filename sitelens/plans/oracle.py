@@ -127,6 +127,44 @@ def _events_sql() -> dict[str, str]:
             f"s.lim AS max_limit FROM fold f JOIN summ s ON s.user_id = f.user_id AND s.seg = f.seg "
             f"WHERE f.seg = (SELECT max(seg) FROM summ m WHERE m.user_id = f.user_id)")
     o["limits_final"] = fold + last
+    from sitelens.operators import dialog as Dg
+    w = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ws = "OVER (PARTITION BY user_id, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    base = (f"SELECT event_id, ts, CAST(user_id AS VARCHAR) AS user_id, event_type AS kind, "
+            f"CASE WHEN event_type IN ('{Dg.START_BUTTON}', '{Dg.CONNECT_BUTTON}') THEN event_type END AS button FROM events")
+    sess = (f"SELECT *, sum(CASE WHEN button IS NOT NULL THEN 1 ELSE 0 END) {w} AS session, "
+            f"last(button IGNORE NULLS) {w} AS state FROM ({base})")
+    texts = (f"SELECT *, coalesce(count(*) {ws}, 0) AS prior_texts, "
+             f"coalesce(sum(CASE WHEN kind = '{Dg.TEXT_WITH_ID}' THEN 1 ELSE 0 END) {ws}, 0) AS prior_valid "
+             f"FROM ({sess}) WHERE kind IN ('{Dg.TEXT_PLAIN}', '{Dg.TEXT_WITH_ID}')")
+    action = (f"CASE WHEN session = 0 THEN 'ignored' WHEN state = '{Dg.START_BUTTON}' THEN "
+              f"(CASE WHEN prior_texts = 0 THEN 'audit' ELSE 'ignored' END) WHEN state = '{Dg.CONNECT_BUTTON}' THEN "
+              f"(CASE WHEN prior_valid > 0 THEN 'ignored' WHEN kind = '{Dg.TEXT_WITH_ID}' THEN 'sheet_connected' "
+              f"ELSE 'sheet_invalid' END) ELSE 'ignored' END")
+    o["message_routing"] = f"SELECT event_id, user_id, session::BIGINT AS session, {action} AS action FROM ({texts})"
+    return o
+
+
+def _audit_sql() -> dict[str, str]:
+    o: dict[str, str] = {}
+    runs = S.audit_runs(TEST_KEYWORDS)
+    o["audit_outcome"] = (f"SELECT request_id, user_id, reason = 'ok' AS ok, reason, "
+                          f"len(short_summary)::BIGINT AS n_points FROM ({runs})")
+    o["result_envelope"] = f"SELECT request_id, result_json FROM ({runs}) WHERE reason = 'ok'"
+    routed = S.routed(TEST_KEYWORDS)
+    o["outbox_route"] = f"SELECT request_id, user_id, route, sheet_id FROM ({routed})"
+    pend = S.pending_rows(TEST_KEYWORDS)
+    o["pending_results"] = f"SELECT id, user_id, url, created_at, written FROM ({pend})"
+    o["outbox_flush"] = f"SELECT id, user_id, flush_event_id, flushed_to FROM ({pend}) WHERE written"
+    o["outbox_unwritten"] = f"SELECT id, user_id, url, created_at FROM ({pend}) WHERE NOT written"
+    o["flush_counts"] = (f"SELECT l.event_id, l.user_id, coalesce(n.n, 0)::BIGINT AS n_flushed FROM "
+                         f"({S.sheet_links()}) l LEFT JOIN (SELECT flush_event_id, count(*) AS n FROM ({pend}) "
+                         f"WHERE written GROUP BY flush_event_id) n ON n.flush_event_id = l.event_id "
+                         f"WHERE l.sheet_id <> ''")
+    delivered = (f"SELECT request_id, user_id, url, result_json, ts AS created_at, sheet_id FROM ({routed}) "
+                 f"WHERE route = 'write' UNION ALL SELECT id AS request_id, user_id, url, result_json, created_at, "
+                 f"flushed_to AS sheet_id FROM ({pend}) WHERE written")
+    o["report_rows"] = S.report_row(delivered)
     return o
 
 
@@ -136,4 +174,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(_texts_sql())
     out.update(_answers_sql())
     out.update(_events_sql())
+    out.update(_audit_sql())
     return out

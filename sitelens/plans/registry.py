@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelens.plans import answers, events, pages, texts
+from sitelens.plans import answers, audit, events, pages, texts
 
 
 def queries() -> dict:
@@ -11,4 +11,5 @@ def queries() -> dict:
     out.update(texts.QUERIES)
     out.update(answers.QUERIES)
     out.update(events.QUERIES)
+    out.update(audit.QUERIES)
     return out

@@ -495,3 +495,87 @@ def timeline() -> str:
     return (f"SELECT user_id, ts, request_id, CAST(would_succeed AS BIGINT) AS ws, NULL::BIGINT AS new_limit "
             f"FROM ({audit_requests()}) UNION ALL "
             f"SELECT user_id, ts, event_id AS request_id, 0 AS ws, max_limit AS new_limit FROM ({limit_changes()})")
+
+
+# ---------------------------------------------------------------------------
+# Audit pipeline and outbox
+
+def iso_ts(ts: str) -> str:
+    return (f"(strftime({ts}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({ts}) % 1000000 <> 0 "
+            f"THEN '.' || lpad(CAST(epoch_us({ts}) % 1000000 AS VARCHAR), 6, '0') ELSE '' END)")
+
+
+def audit_runs(keywords: list[str]) -> str:
+    from sitelens.schemas import ANSWER_FIELDS, DEFAULT_USER_LIMIT, FIELDS
+    req = (f"SELECT r.*, p.url FROM (SELECT *, request_id % (SELECT count(*) FROM pages) AS page_id "
+           f"FROM ({audit_requests()})) r JOIN pages p ON p.page_id = r.page_id")
+    bundle = str(content_bundle(req, crawl_snapshot(keywords)))
+    raw = synthetic_answers("SELECT doc_id, text, n_chars FROM documents")
+    st = Stages(f"SELECT doc_id, {json_unwrap('raw')} AS json_text FROM ({raw})")
+    ans = f"SELECT doc_id, parse_ok, {', '.join(FIELDS)} FROM ({answer_fields(st, 'json_text', ANSWER_FIELDS)})"
+    runs = (f"SELECT b.*, a.* EXCLUDE (doc_id) FROM ({bundle}) b LEFT JOIN ({ans}) a "
+            f"ON a.doc_id = b.request_id % (SELECT count(*) FROM documents)")
+    pre = ("(CASE WHEN norm_url = '' THEN 'invalid_url' WHEN NOT fetched THEN 'internal_error' "
+           "WHEN home_text = '' THEN 'fetch_failed' WHEN NOT would_succeed OR NOT coalesce(parse_ok, false) "
+           "THEN 'internal_error' ELSE 'ok' END)")
+    st = Stages(runs).add("pre", pre)
+    st.add("prior_ok", "coalesce(sum(CASE WHEN pre = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id "
+                       "ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    st.add("reason", f"(CASE WHEN prior_ok >= {DEFAULT_USER_LIMIT} THEN 'limit' ELSE pre END)")
+    st.add("short_summary", f"(CASE WHEN reason = 'ok' THEN {short_summary()} END)")
+    fr = "{" + ", ".join(f"'{c}': {c}" for c in FIELDS) + "}"
+    env = (f"to_json({{'full_result': {fr}, 'pricing_url': pricing_url, 'timestamp': {iso_ts('ts')}, "
+           f"'short_summary': short_summary}})::VARCHAR")
+    st.add("result_json", f"(CASE WHEN reason = 'ok' THEN {env} END)")
+    return str(st)
+
+
+def routed(keywords: list[str]) -> str:
+    ok = f"SELECT request_id, user_id, ts, norm_url AS url, result_json FROM ({audit_runs(keywords)}) WHERE reason = 'ok'"
+    links = sheet_links()
+    tl = (f"SELECT user_id, ts, request_id, NULL::VARCHAR AS new_sheet, false AS is_conn FROM ({ok}) UNION ALL "
+          f"SELECT user_id, ts, event_id AS request_id, sheet_id AS new_sheet, true AS is_conn FROM ({links}) "
+          f"WHERE sheet_id <> ''")
+    dest = (f"SELECT request_id, sheet_id FROM (SELECT *, last(new_sheet IGNORE NULLS) OVER (PARTITION BY user_id "
+            f"ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sheet_id FROM ({tl})) "
+            f"WHERE NOT is_conn")
+    return (f"SELECT o.*, d.sheet_id, CASE WHEN d.sheet_id IS NOT NULL THEN 'write' ELSE 'pending' END AS route "
+            f"FROM ({ok}) o LEFT JOIN ({dest}) d ON o.request_id = d.request_id")
+
+
+def first_connections() -> str:
+    return (f"SELECT user_id, arg_min(event_id, (ts, event_id)) AS conn_event_id, "
+            f"arg_min(sheet_id, (ts, event_id)) AS conn_sheet_id FROM ({sheet_links()}) WHERE sheet_id <> '' "
+            f"GROUP BY user_id")
+
+
+def pending_rows(keywords: list[str]) -> str:
+    return (f"SELECT r.request_id AS id, r.user_id, r.url, r.result_json, r.ts AS created_at, "
+            f"c.conn_event_id IS NOT NULL AS written, c.conn_event_id AS flush_event_id, c.conn_sheet_id AS flushed_to "
+            f"FROM ({routed(keywords)}) r LEFT JOIN ({first_connections()}) c ON r.user_id = c.user_id "
+            f"WHERE r.route = 'pending'")
+
+
+def report_row(src_sql: str) -> str:
+    from sitelens.schemas import ERROR_CELL_PREFIX, FIELDS
+    st = Stages(src_sql)
+    st.add("_ev", "coalesce(json_valid(result_json), false)")
+    st.add("_eobj", "(CASE WHEN _ev THEN json_type(result_json) = 'OBJECT' ELSE false END)")
+    st.add("_frt", "(CASE WHEN _eobj THEN json_type(result_json, '$.full_result') END)")
+    st.add("_put", "(CASE WHEN _eobj THEN json_type(result_json, '$.pricing_url') END)")
+    st.add("_fr_ok", "(_frt IS NULL OR _frt = 'OBJECT')")
+    st.add("_pu_ok", "(_put IS NULL OR _put IN ('VARCHAR', 'NULL'))")
+    st.add("_frj", "coalesce(CASE WHEN _eobj THEN json_extract(result_json, '$.full_result')::VARCHAR END, '{}')")
+    st.add("_pu", "coalesce(CASE WHEN _eobj THEN json_extract_string(result_json, '$.pricing_url') END, '')")
+    answer_fields(st, "_frj", [(f"_f_{c}", c) for c in FIELDS], "_fields_ok")
+    st.add("row_ok", "(_eobj AND _fr_ok AND _pu_ok AND _fields_ok)")
+    reason = ("(CASE WHEN NOT _ev THEN 'invalid JSON' WHEN NOT _eobj THEN 'not an object' "
+              "WHEN NOT _fr_ok THEN 'full_result is not an object' WHEN NOT _pu_ok THEN 'pricing_url is not a string' "
+              "ELSE 'field is not a string' END)")
+    cells = ["(CASE WHEN row_ok THEN '' ELSE strftime(created_at, '%Y-%m-%d %H:%M:%S') END) AS timestamp",
+             "CAST(user_id AS VARCHAR) AS user_id", "url AS analyzed_url",
+             "(CASE WHEN row_ok THEN _pu ELSE '' END) AS pricing_url"]
+    for i, c in enumerate(FIELDS):
+        err = f"{q(ERROR_CELL_PREFIX)} || {reason}" if i == 0 else "''"
+        cells.append(f"(CASE WHEN row_ok THEN _f_{c} ELSE {err} END) AS {c}")
+    return f"SELECT request_id, sheet_id, row_ok, {', '.join(cells)} FROM ({st})"
