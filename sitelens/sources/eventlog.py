@@ -92,3 +92,21 @@ def limit_changes(events: DataFrame, admin_ids: str = ADMIN_IDS) -> DataFrame:
     ok = is_admin("actor", admin_ids) & limit_arg_ok()
     return c.filter(ok).select("event_id", "ts", F.get(F.col("args"), 0).alias("user_id"),
                                F.get(F.col("args"), 1).cast("long").alias("max_limit"))
+
+
+def quota_timeline(events: DataFrame, admin_ids: str = ADMIN_IDS) -> DataFrame:
+    """(user_id, ts, request_id, ws, new_limit): audit requests and accepted
+    limit changes in one projection (works on a stream as well as a table)."""
+    k = k_of()
+    is_req = F.col("event_type").isin(REQUEST_KINDS)
+    m = F.pmod(k, F.lit(5))
+    target = k.cast("string")
+    n = F.floor(F.col("value")).cast("long") % 30
+    is_cmd = (F.col("event_type") == SETTING_KIND) & (k >= COMMAND_MIN_K)
+    # Accepted commands: admin actor, two args, a non-negative number (m >= 3).
+    ok_cmd = is_cmd & is_admin("user_id", admin_ids) & (m >= 3)
+    return (events.filter(is_req | ok_cmd)
+            .select(F.when(is_req, F.col("user_id").cast("string")).otherwise(target).alias("user_id"), "ts",
+                    F.col("event_id").alias("request_id"),
+                    F.when(is_req, (F.col("event_type") != FAILED_KIND).cast("long")).otherwise(F.lit(0)).alias("ws"),
+                    F.when(is_req, F.lit(None).cast("long")).otherwise(n).alias("new_limit")))

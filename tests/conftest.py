@@ -11,9 +11,11 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from sitelens.session import build_session
     s = build_session(master="local[4]", shuffle_partitions=8,
-                      extra={"spark.driver.memory": "4g"})
+                      extra={"spark.driver.memory": "4g",
+                             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="sitelens-ckpt-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
