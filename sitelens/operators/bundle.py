@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from sitelens.functions.html import home_gate, html_to_text, pricing_ok
 from sitelens.functions.urls import with_normalized_url
 from sitelens.operators.links import link_targets, with_pricing_link
+from sitelens.session import materialize
 
 
 def page_features(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
@@ -60,16 +61,19 @@ def linked_pages(pages: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def crawl_snapshot(pages: DataFrame, keywords: list[str] | None = None,
-                   with_linked: bool = True) -> DataFrame:
+                   with_linked: bool = True, materialized: bool = True) -> DataFrame:
     """Snapshot of crawled pages (plus, optionally, the linked-page stand-in;
-    crawled pages win on a URL collision)."""
+    crawled pages win on a URL collision).
+
+    The snapshot is read twice per bundle (home and pricing lookups), so by
+    default it is checkpointed once into the shared checkpoint folder."""
     feats = page_features(pages, keywords)
     snap = snapshot(feats).withColumn("crawled", F.lit(True))
-    if not with_linked:
-        return snap
-    extra = linked_pages(pages, feats).join(snap.select("norm_url"), "norm_url", "left_anti")
-    extra = snapshot(extra).withColumn("crawled", F.lit(False))
-    return snap.unionByName(extra)
+    if with_linked:
+        extra = linked_pages(pages, feats).join(snap.select("norm_url"), "norm_url", "left_anti")
+        extra = snapshot(extra).withColumn("crawled", F.lit(False))
+        snap = snap.unionByName(extra)
+    return materialize(snap) if materialized else snap
 
 
 def content_bundle(requests: DataFrame, snap: DataFrame, url_col: str = "url") -> DataFrame:

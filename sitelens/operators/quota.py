@@ -95,7 +95,7 @@ def quota_replay(requests: DataFrame, changes: DataFrame, default: int = DEFAULT
         F.concat(acc["out"], F.array(F.struct(x["seg"].alias("seg"), acc["c"].alias("c0")))).alias("out"))
     init = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast(SEG).alias("out"))
     folded = summ.groupBy("user_id").agg(
-        F.aggregate(F.array_sort(F.collect_list(F.struct("seg", "lim", "ws_total"))), init, step).alias("f"),
+        F.aggregate(F.sort_array(F.collect_list(F.struct("seg", "lim", "ws_total"))), init, step).alias("f"),
         F.max_by("lim", "seg").alias("final_limit"))
     starts = folded.select("user_id", F.inline("f.out"))
     final = folded.select("user_id", F.col("f.c").alias("current"), F.col("final_limit").alias("max_limit"))

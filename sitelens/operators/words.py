@@ -5,16 +5,15 @@ A document with more than 10 words loses every occurrence of each word
 than 3 times; the kept words are re-joined with single spaces. Shorter
 documents are only stripped.
 
-Distributed plan: the word lists are exploded with positions, the rows are
-hash-partitioned by ``doc_id`` once, and both the per-word window count and
-the re-assembly (``collect_list`` sorted by position) reuse that
-partitioning, so there is exactly one shuffle. A document's words never
-leave its partition group, and a group is bounded by the document's length.
+Removal runs inside each document row (sort + neighbour test, see
+``drop_frequent_words``), so it needs no shuffle at all. The word-count
+report (A-2) is an explode + ``groupBy(doc_id, word)`` with partial
+aggregation before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import remove_nav_patterns, split_ws, strip_ws
@@ -39,22 +38,40 @@ def frequent_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .filter(F.col("n") > MAX_REPEATS))
 
 
-def drop_frequent_words(docs: DataFrame, text_col: str = "text", out: str = "text_out",
-                        num_partitions: int | None = None) -> DataFrame:
-    """(doc_id, out) for every document."""
-    n_words = F.size(split_ws(text_col))
-    short = docs.filter(n_words <= MIN_WORDS).select("doc_id", strip_ws(text_col).alias(out))
-    words = _words(docs.filter(n_words > MIN_WORDS), text_col)
-    words = words.repartition(num_partitions, "doc_id") if num_partitions else words.repartition("doc_id")
-    words = words.withColumn("cnt", F.count("lw").over(Window.partitionBy("doc_id", "lw")))
-    cnt = F.col("cnt")
-    # collect_list skips the nulls of dropped words, so a document whose
-    # every word is dropped still yields one row (with '').
-    keep = F.when(cnt <= MAX_REPEATS, F.struct("pos", "word"))
-    joined = (words.groupBy("doc_id")
-              .agg(F.array_sort(F.collect_list(keep)).alias("ws"))
-              .select("doc_id", F.array_join(F.transform("ws", lambda x: x["word"]), " ").alias(out)))
-    return short.unionByName(joined)
+def drop_frequent_words(docs: DataFrame, text_col: str = "text", out: str = "text_out") -> DataFrame:
+    """(doc_id, out) for every document, computed inside each row.
+
+    The (lower-cased long word, position, word) triples are sorted by word,
+    so equal words are adjacent; a word occurs more than 3 times iff one of
+    the four 4-long windows around it holds a single word (4 index lookups).
+    Kept words are re-sorted by position and joined. O(n log n) per
+    document, whole documents, no shuffle and no Python.
+    """
+    words = split_ws(text_col)
+    df = docs.select("doc_id", strip_ws(text_col).alias("_stripped"), words.alias("_w"))
+    df = df.withColumn("_srt", F.sort_array(F.transform(
+        "_w", lambda w, i: F.struct(F.when(F.length(w) > MIN_WORD_CHARS, F.lower(w)).alias("k"),
+                                    i.alias("pos"), w.alias("word")))))
+    s = F.col("_srt")
+    span = MAX_REPEATS + 1
+
+    def frequent(x, j):
+        hit = F.lit(False)
+        for start in range(-(span - 1), 1):   # windows [j+start, j+start+span-1]
+            cond = F.lit(True)
+            for off in range(start, start + span):
+                if off != 0:
+                    cond = cond & (F.get(s, j + off)["k"] == x["k"])
+            hit = hit | F.coalesce(cond, F.lit(False))
+        return x["k"].isNotNull() & hit
+
+    kept = F.filter(F.transform(s, lambda x, j: F.struct(x["pos"].alias("pos"), x["word"].alias("word"),
+                                                         frequent(x, j).alias("drop"))),
+                    lambda x: ~x["drop"])
+    joined = F.array_join(F.transform(F.sort_array(F.transform(kept, lambda x: F.struct(x["pos"], x["word"]))),
+                                      lambda x: x["word"]), " ")
+    res = F.when(F.size("_w") <= MIN_WORDS, F.col("_stripped")).otherwise(joined)
+    return df.select("doc_id", res.alias(out))
 
 
 def remove_navigation_noise(docs: DataFrame, text_col: str = "text", out: str = "text_out") -> DataFrame:

@@ -22,6 +22,7 @@ from sitelens.operators import quota as Q
 from sitelens.plans.answers import synthetic_answers
 from sitelens.plans.pages import TEST_KEYWORDS
 from sitelens.schemas import DEFAULT_USER_LIMIT, FIELDS, REPORT_COLUMNS
+from sitelens.session import materialize
 from sitelens.sources import eventlog as L
 from sitelens.sources.tables import documents, events, pages
 
@@ -45,6 +46,8 @@ def audit_runs(spark: SparkSession, sf: str) -> DataFrame:
            .when(~F.col("would_succeed") | ~F.coalesce(F.col("parse_ok"), F.lit(False)), F.lit("internal_error"))
            .otherwise(F.lit("ok")))
     runs = runs.withColumn("pre", pre).withColumn("would_succeed", F.col("pre") == "ok")
+    # Admission, envelope and routing all read this table; compute it once.
+    runs = materialize(runs)
     runs = Q.quota_admission(runs, DEFAULT_USER_LIMIT)
     runs = runs.withColumn("reason", F.when(~F.col("admitted"), F.lit("limit")).otherwise(F.col("pre")))
     ok = F.col("reason") == "ok"
@@ -103,12 +106,14 @@ def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     """R-8/R-9: every delivered result (written at once or flushed) as its
     28 report cells, with its destination."""
     routed, links = _routed(spark, sf)
-    direct = routed.filter(F.col("route") == "write").select(
-        "request_id", "user_id", "url", "result_json", F.col("ts").alias("created_at"), "sheet_id")
-    flushed = O.pending_rows(routed, links).filter(F.col("written")).select(
-        F.col("id").alias("request_id"), "user_id", "url", "result_json", "created_at",
-        F.col("flushed_to").alias("sheet_id"))
-    rows = A.with_report_row(direct.unionByName(flushed))
+    # One pass: a result goes to its destination at request time, else to
+    # the user's first connection (the flush), else nowhere yet.
+    conn = O.first_connections(links).select("user_id", "conn_sheet_id")
+    d = routed.join(conn, "user_id", "left").withColumn(
+        "dest", F.when(F.col("route") == "write", F.col("sheet_id")).otherwise(F.col("conn_sheet_id")))
+    d = d.filter(F.col("dest").isNotNull()).select(
+        "request_id", "user_id", "url", "result_json", F.col("ts").alias("created_at"), F.col("dest").alias("sheet_id"))
+    rows = A.with_report_row(d)
     return rows.select("request_id", "sheet_id", "row_ok", *REPORT_COLUMNS)
 
 

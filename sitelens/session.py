@@ -72,3 +72,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage at an intermediate read by several consumers: a reliable
+    checkpoint in the shared ``spark.checkpoint.dir`` (survives executor
+    loss, unlike a local checkpoint), read back as a plain scan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
