@@ -34,9 +34,9 @@ def collapse_ws(c) -> Column:
 
 
 def split_ws(c) -> Column:
-    """Python ``str.split()``: words between whitespace runs; '' -> []."""
-    s = strip_ws(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS}+"))
+    """Python ``str.split()``: the non-empty pieces between whitespace runs
+    (leading/trailing whitespace yields no empty word; '' -> [])."""
+    return F.array_remove(F.split(_col(c), f"{WS}+"), "")
 
 
 # Characters kept by the text cleaner besides letters, digits,

@@ -30,12 +30,26 @@ def _words(docs: DataFrame, text_col: str) -> DataFrame:
 
 def frequent_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, word, n): lower-cased long words occurring more than 3 times
-    in a document of more than 10 words. Partial aggregation before the
-    shuffle keeps a very frequent word cheap."""
-    long_docs = docs.filter(F.size(split_ws(text_col)) > MIN_WORDS)
-    return (_words(long_docs, text_col).filter(F.col("lw").isNotNull())
-            .groupBy("doc_id", F.col("lw").alias("word")).agg(F.count("*").alias("n"))
-            .filter(F.col("n") > MAX_REPEATS))
+    in a document of more than 10 words (A-2).
+
+    Counted inside each row: the sorted long words form runs of equal
+    words; run starts are the positions where the word changes, and a run's
+    length is the distance to the next start. Only the (few) frequent words
+    are exploded; no shuffle.
+    """
+    words = split_ws(text_col)
+    df = docs.select("doc_id", words.alias("_w")).filter(F.size("_w") > MIN_WORDS)
+    df = df.withColumn("_s", F.sort_array(F.filter(F.transform("_w", lambda w: F.lower(w)),
+                                                   lambda w: F.length(w) > MIN_WORD_CHARS)))
+    s = F.col("_s")
+    df = df.withColumn("_st", F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                                       lambda j: (j == 0) | (F.get(s, j) != F.get(s, j - 1))))
+    st = F.col("_st")
+    runs = F.transform(st, lambda b, i: F.struct(
+        F.get(s, b).alias("word"),
+        (F.coalesce(F.get(st, i + 1), F.size(s)) - b).cast("long").alias("n")))
+    df = df.filter(F.size(s) > 0).select("doc_id", F.explode(F.filter(runs, lambda r: r["n"] > MAX_REPEATS)).alias("r"))
+    return df.select("doc_id", "r.word", "r.n")
 
 
 def drop_frequent_words(docs: DataFrame, text_col: str = "text", out: str = "text_out") -> DataFrame:
@@ -56,14 +70,15 @@ def drop_frequent_words(docs: DataFrame, text_col: str = "text", out: str = "tex
     span = MAX_REPEATS + 1
 
     def frequent(x, j):
-        hit = F.lit(False)
-        for start in range(-(span - 1), 1):   # windows [j+start, j+start+span-1]
-            cond = F.lit(True)
-            for off in range(start, start + span):
-                if off != 0:
-                    cond = cond & (F.get(s, j + off)["k"] == x["k"])
-            hit = hit | F.coalesce(cond, F.lit(False))
-        return x["k"].isNotNull() & hit
+        # In a sorted array a run of >= 4 equal keys covers j iff one of the
+        # four windows of length 4 around j is constant; equality of the two
+        # window ends implies the rest.
+        k = x["k"]
+        eq = lambda off: F.coalesce(F.get(s, j + off)["k"] == k, F.lit(False))
+        hit = eq(-(span - 1)) | eq(span - 1)
+        for left in range(1, span - 1):
+            hit = hit | (eq(-left) & eq(span - 1 - left))
+        return k.isNotNull() & hit
 
     kept = F.filter(F.transform(s, lambda x, j: F.struct(x["pos"].alias("pos"), x["word"].alias("word"),
                                                          frequent(x, j).alias("drop"))),
