@@ -9,6 +9,11 @@ from sitelens.operators import quota as Q
 from sitelens.sources import eventlog as L
 from sitelens.sources.tables import events
 
+# Fallback destination id when a user has none (a deployment setting).
+DEFAULT_SHEET_ID = "default-sheet"
+# User whose pending rows the parameterised scan returns.
+PROBE_USER = "8"
+
 
 def _ev(spark, sf):
     return events(spark, sf)
@@ -68,8 +73,30 @@ def message_routing(spark: SparkSession, sf: str) -> DataFrame:
     return route(log)
 
 
+def sheet_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """S-8: the destination link per user (fallback id when unset or '')."""
+    from sitelens.functions.urls import sheet_url
+    users = events(spark, sf, "user_id").select(F.col("user_id").cast("string").alias("user_id")).distinct()
+    latest = Q.settings_latest(L.sheet_links(_ev(spark, sf)))
+    return users.join(latest, "user_id", "left").select("user_id", sheet_url("sheet_id", DEFAULT_SHEET_ID).alias("url"))
+
+
+def pending_for_user(spark: SparkSession, sf: str) -> DataFrame:
+    """S-2/S-4: the scan a flush performs (one user's parked rows, oldest
+    first) as Spark SQL with a named parameter (``:user`` is bound, never
+    spliced into the text)."""
+    from sitelens.plans.audit import _routed
+    from sitelens.operators.outbox import pending_rows
+    routed, links = _routed(spark, sf)
+    pending = pending_rows(routed, links)
+    return spark.sql("SELECT id, user_id, url, created_at FROM {pending} WHERE user_id = :user "
+                     "ORDER BY created_at, id", args={"user": PROBE_USER}, pending=pending)
+
+
 QUERIES = {
     "message_routing": message_routing,
+    "sheet_urls": sheet_urls,
+    "pending_for_user": pending_for_user,
     "settings_latest": settings_latest,
     "sheet_id_extract": sheet_id_extract,
     "admin_changes": admin_changes,

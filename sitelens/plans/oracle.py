@@ -21,6 +21,11 @@ def _pages_sql() -> dict[str, str]:
     o["url_domain"] = dom
     o["domain_page_counts"] = f"SELECT domain, count(*) AS n_pages FROM ({dom}) GROUP BY domain"
     o["html_to_text"] = f"SELECT page_id, {S.html_to_text('html')} AS text FROM pages"
+    st = S.Stages("SELECT page_id, url, html FROM pages")
+    dom2 = str(S.domain(st, "url", "domain"))
+    n = f"length({S.html_to_text('html')})"
+    o["page_length_stats"] = (f"SELECT domain, count(*) AS n_pages, min({n})::BIGINT AS min_chars, "
+                              f"max({n})::BIGINT AS max_chars, sum({n})::BIGINT AS sum_chars FROM ({dom2}) GROUP BY domain")
     o["html_strip_tags"] = f"SELECT page_id, {S.strip_tags('html')} AS text FROM pages"
     n = f"length({S.strip_ws('text')})"
     o["page_js_flag"] = (f"SELECT page_id, length(text) AS n_chars, NOT ({n} < 50) AS home_ok, "
@@ -141,6 +146,11 @@ def _events_sql() -> dict[str, str]:
               f"(CASE WHEN prior_texts = 0 THEN 'audit' ELSE 'ignored' END) WHEN state = '{Dg.CONNECT_BUTTON}' THEN "
               f"(CASE WHEN prior_valid > 0 THEN 'ignored' WHEN kind = '{Dg.TEXT_WITH_ID}' THEN 'sheet_connected' "
               f"ELSE 'sheet_invalid' END) ELSE 'ignored' END")
+    from sitelens.plans.events import DEFAULT_SHEET_ID
+    from sitelens.schemas import SHEET_URL_PREFIX
+    o["sheet_urls"] = (f"SELECT u.user_id, {S.q(SHEET_URL_PREFIX)} || coalesce(nullif(l.sheet_id, ''), "
+                       f"{S.q(DEFAULT_SHEET_ID)}) AS url FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id "
+                       f"FROM events) u LEFT JOIN ({o['settings_latest']}) l ON u.user_id = l.user_id")
     o["message_routing"] = f"SELECT event_id, user_id, session::BIGINT AS session, {action} AS action FROM ({texts})"
     return o
 
@@ -165,6 +175,9 @@ def _audit_sql() -> dict[str, str]:
                  f"WHERE route = 'write' UNION ALL SELECT id AS request_id, user_id, url, result_json, created_at, "
                  f"flushed_to AS sheet_id FROM ({pend}) WHERE written")
     o["report_rows"] = S.report_row(delivered)
+    from sitelens.plans.events import PROBE_USER
+    o["pending_for_user"] = (f"SELECT id, user_id, url, created_at FROM ({pend}) WHERE user_id = {S.q(PROBE_USER)} "
+                             f"ORDER BY created_at, id")
     return o
 
 

@@ -92,7 +92,16 @@ def content_bundle(spark: SparkSession, sf: str) -> DataFrame:
         "request_id", "norm_url", "fetched", "home_text", "requires_js", "pricing_url", "pricing_text")
 
 
+def page_length_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """A-4: home-text length per site (the lengths the original only logs)."""
+    df = U.with_domain(pages(spark, sf, "page_id", "url", "html"), "url", "domain")
+    n = F.length(H.html_to_text("html"))
+    return df.groupBy("domain").agg(F.count("*").alias("n_pages"), F.min(n).cast("long").alias("min_chars"),
+                                    F.max(n).cast("long").alias("max_chars"), F.sum(n).cast("long").alias("sum_chars"))
+
+
 QUERIES = {
+    "page_length_stats": page_length_stats,
     "url_normalize": url_normalize,
     "url_valid": url_valid,
     "url_domain": url_domain,
