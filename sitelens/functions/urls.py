@@ -73,52 +73,60 @@ def with_url_parts(df: DataFrame, src, p: str, default_scheme: str = "") -> Data
 
     Adds ``{p}_scheme, {p}_netloc, {p}_path, {p}_params, {p}_query,
     {p}_fragment`` and ``{p}_err`` (true where the standard library raises:
-    unbalanced or invalid bracketed host). Null input is treated as ''.
+    unbalanced or invalid bracketed host), plus ``{p}_``-prefixed helper
+    columns the caller drops. Null input is treated as ''.
     """
     c = lambda n: F.col(f"{p}_{n}")
-    src_col = _col(src)
     df = df.withColumn(f"{p}_u", F.regexp_replace(F.regexp_replace(
-        F.coalesce(src_col, F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""))
+        F.coalesce(_col(src), F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""))
     x = lambda k: F.regexp_extract(c("u"), URL_SPLIT, k)
     df = df.withColumns({
         f"{p}_scheme": F.when(x(1) != "", F.lower(x(1))).otherwise(F.lit(default_scheme)),
-        f"{p}_netloc": x(2), f"{p}_pathall": x(3), f"{p}_query": x(4), f"{p}_fragment": x(5)})
-    # ;params live in the last path segment (after the last '/').
-    df = df.withColumn(f"{p}_lastseg", F.substring_index(c("pathall"), "/", -1))
-    df = df.withColumn(f"{p}_semi", F.when(c("scheme").isin(USES_PARAMS), F.instr(c("lastseg"), ";"))
-                       .otherwise(F.lit(0)))
+        f"{p}_netloc": x(2), f"{p}_pathall": x(3), f"{p}_query": x(4), f"{p}_fragment": x(5),
+        # ;params live in the last path segment (after the last '/').
+        f"{p}_lastseg": F.substring_index(x(3), "/", -1)})
+    semi = F.when(c("scheme").isin(USES_PARAMS), F.instr(c("lastseg"), ";")).otherwise(F.lit(0))
     br = _before(_after(c("netloc"), "["), "]")
-    df = df.withColumns({
-        f"{p}_path": F.when(c("semi") > 0, c("pathall").substr(
-            F.lit(1), F.length(c("pathall")) - F.length(c("lastseg")) + c("semi") - 1)).otherwise(c("pathall")),
-        f"{p}_params": F.when(c("semi") > 0, c("lastseg").substr(c("semi") + 1, F.lit(1 << 30)))
-        .otherwise(F.lit("")),
+    return df.withColumns({
+        f"{p}_path": F.when(semi > 0, c("pathall").substr(
+            F.lit(1), F.length(c("pathall")) - F.length(c("lastseg")) + semi - 1)).otherwise(c("pathall")),
+        f"{p}_params": F.when(semi > 0, c("lastseg").substr(semi + 1, F.lit(1 << 30))).otherwise(F.lit("")),
         f"{p}_err": F.when((F.instr(c("netloc"), "[") > 0) != (F.instr(c("netloc"), "]") > 0), F.lit(True))
         .when(F.instr(c("netloc"), "[") > 0, ~br.rlike(_IPV6) & ~br.rlike(_IPVFUTURE))
         .otherwise(F.lit(False))})
-    return df.drop(f"{p}_u", f"{p}_pathall", f"{p}_lastseg", f"{p}_semi")
 
 
-def with_url_unparse(df: DataFrame, out: str, scheme, netloc, path, params, query, fragment) -> DataFrame:
-    """Adds ``out`` = ``urllib.parse.urlunparse`` of the six components
-    (column names or literal columns)."""
-    scheme, netloc, path, params, query, fragment = map(_col, (scheme, netloc, path, params, query, fragment))
-    t = f"__{out}"
-    df = df.withColumn(f"{t}_p1", F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path))
-    p1 = F.col(f"{t}_p1")
-    df = df.withColumn(f"{t}_p2", F.when((netloc != "") & (p1 != "") & ~p1.startswith("/"),
-                                         F.concat(F.lit("/"), p1)).otherwise(p1))
-    p = F.col(f"{t}_p2")
-    body = F.when(netloc != "", F.concat(F.lit("//"), netloc, p)) \
-        .when(p.startswith("//"), F.concat(F.lit("//"), p)) \
-        .when(scheme.isin(_USES_NETLOC) & ((p == "") | p.startswith("/")), F.concat(F.lit("//"), p)) \
-        .otherwise(p)
-    df = df.withColumn(f"{t}_body", body)
-    b = F.col(f"{t}_body")
-    res = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"), b)).otherwise(b),
-                   F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-                   F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
-    return df.withColumn(out, res).drop(f"{t}_p1", f"{t}_p2", f"{t}_body")
+def _part_names(p: str) -> list[str]:
+    return [f"{p}_{n}" for n in ("u", "pathall", "lastseg", "scheme", "netloc", "path", "params", "query",
+                                 "fragment", "err")]
+
+
+def _unparse_expr(scheme, netloc, path, params, query, fragment) -> Column:
+    p1 = F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
+    p2 = F.when((netloc != "") & (p1 != "") & ~p1.startswith("/"), F.concat(F.lit("/"), p1)).otherwise(p1)
+    return (F.when(netloc != "", F.concat(F.lit("//"), netloc, p2))
+            .when(p2.startswith("//"), F.concat(F.lit("//"), p2))
+            .when(scheme.isin(_USES_NETLOC) & ((p2 == "") | p2.startswith("/")), F.concat(F.lit("//"), p2))
+            .otherwise(p2))
+
+
+def with_url_unparse(df: DataFrame, specs: list[tuple]) -> DataFrame:
+    """Adds one column per ``(out, scheme, netloc, path, params, query,
+    fragment)`` spec: ``urllib.parse.urlunparse`` of the six components
+    (column names or columns). All specs share two projections."""
+    bodies = {}
+    for out, *parts in specs:
+        sch, net, path, params, query, frag = map(_col, parts)
+        bodies[f"__{out}_body"] = _unparse_expr(sch, net, path, params, query, frag)
+    df = df.withColumns(bodies)
+    outs = {}
+    for out, *parts in specs:
+        sch, _, _, _, query, frag = map(_col, parts)
+        b = F.col(f"__{out}_body")
+        outs[out] = F.concat(F.when(sch != "", F.concat(sch, F.lit(":"), b)).otherwise(b),
+                             F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+                             F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(F.lit("")))
+    return df.withColumns(outs).drop(*bodies)
 
 
 # Schemes whose URLs are written with "//" even without a host.
@@ -128,7 +136,7 @@ _USES_NETLOC = ["", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "
 
 
 def _drop_parts(df: DataFrame, p: str) -> DataFrame:
-    return df.drop(*[f"{p}_{n}" for n in ("scheme", "netloc", "path", "params", "query", "fragment", "err")])
+    return df.drop(*_part_names(p))
 
 
 def with_normalized_url(df: DataFrame, src, out: str) -> DataFrame:
@@ -141,19 +149,18 @@ def with_normalized_url(df: DataFrame, src, out: str) -> DataFrame:
     vanish). Parse errors -> ''.
     """
     t = f"__{out}"
-    df = df.withColumn(f"{t}_s", strip_ws(F.coalesce(_col(src), F.lit(""))))
+    s0 = strip_ws(F.coalesce(_col(src), F.lit("")))
+    df = df.withColumn(f"{t}_s", s0)
     s = F.col(f"{t}_s")
-    df = df.withColumn(f"{t}_pre", F.when(s.startswith("http://") | s.startswith("https://"), s)
-                       .otherwise(F.concat(F.lit("https://"), s)))
-    df = with_url_parts(df, f"{t}_pre", t)
+    pre = F.when(s.startswith("http://") | s.startswith("https://"), s).otherwise(F.concat(F.lit("https://"), s))
+    df = with_url_parts(df, pre, t)
     c = lambda n: F.col(f"{t}_{n}")
-    host = F.regexp_replace(F.lower(c("netloc")), r"^www\.", "")
-    path = F.when(c("path") == "/", F.lit("")).otherwise(c("path"))
-    df = df.withColumn(f"{t}_host", host).withColumn(f"{t}_p2", path)
-    df = with_url_unparse(df, f"{t}_res", F.lit("https"), c("host"), c("p2"), c("params"), c("query"),
-                          c("fragment"))
+    df = df.withColumns({f"{t}_host": F.regexp_replace(F.lower(c("netloc")), r"^www\.", ""),
+                         f"{t}_p2": F.when(c("path") == "/", F.lit("")).otherwise(c("path"))})
+    df = with_url_unparse(df, [(f"{t}_res", F.lit("https"), c("host"), c("p2"), c("params"), c("query"),
+                                c("fragment"))])
     df = df.withColumn(out, F.when((s == "") | c("err"), F.lit("")).otherwise(c("res")))
-    return _drop_parts(df, t).drop(f"{t}_s", f"{t}_pre", f"{t}_host", f"{t}_p2", f"{t}_res")
+    return df.drop(*_part_names(t), f"{t}_s", f"{t}_host", f"{t}_p2", f"{t}_res")
 
 
 def with_valid_url(df: DataFrame, src, out: str) -> DataFrame:
@@ -200,36 +207,37 @@ def with_url_join(df: DataFrame, base, href, out: str) -> DataFrame:
     standard library rejects)."""
     t = f"__{out}"
     b, h = f"{t}b", f"{t}h"
-    df = df.withColumn(f"{t}_base", F.coalesce(_col(base), F.lit(""))) \
-           .withColumn(f"{t}_href", F.coalesce(_col(href), F.lit("")))
+    df = df.withColumns({f"{t}_base": F.coalesce(_col(base), F.lit("")),
+                         f"{t}_href": F.coalesce(_col(href), F.lit(""))})
     df = with_url_parts(df, f"{t}_base", b)
     df = with_url_parts(df, f"{t}_href", h)
     B = lambda n: F.col(f"{b}_{n}")
     H = lambda n: F.col(f"{h}_{n}")
     tc = lambda n: F.col(f"{t}_{n}")
-    df = _stages(df, [
-        (f"{t}_hs", lambda: F.when(H("scheme") == "", B("scheme")).otherwise(H("scheme"))),
-        (f"{t}_foreign", lambda: (tc("hs") != B("scheme")) | ~tc("hs").isin(USES_RELATIVE)),
-        (f"{t}_nets", lambda: tc("hs").isin(_USES_NETLOC)),
-        (f"{t}_net", lambda: F.when(tc("nets") & (H("netloc") == ""), B("netloc")).otherwise(H("netloc"))),
-        (f"{t}_merged", lambda: _resolve_path(B("path"), H("path"))),
-        (f"{t}_merged2", lambda: _dot_segments(tc("merged"))),
-        (f"{t}_res", lambda: F.aggregate(
-            tc("merged2"), F.array().cast("array<string>"),
-            lambda acc, seg: F.when(seg == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))
-                                    .otherwise(acc))
-            .when(seg == ".", acc)
-            .otherwise(F.concat(acc, F.array(seg))))),
-        (f"{t}_rpath", lambda: F.array_join(
-            F.when(F.element_at(tc("merged2"), -1).isin(".", ".."), F.concat(tc("res"), F.array(F.lit(""))))
-            .otherwise(tc("res")), "/")),
-        (f"{t}_rpath2", lambda: F.when(tc("rpath") == "", F.lit("/")).otherwise(tc("rpath"))),
-        (f"{t}_q", lambda: F.when(H("query") == "", B("query")).otherwise(H("query"))),
-    ])
+    hs = F.when(H("scheme") == "", B("scheme")).otherwise(H("scheme"))
+    df = df.withColumns({f"{t}_hs": hs,
+                         f"{t}_q": F.when(H("query") == "", B("query")).otherwise(H("query")),
+                         f"{t}_merged": _resolve_path(B("path"), H("path"))})
+    nets = tc("hs").isin(_USES_NETLOC)
+    df = df.withColumns({
+        f"{t}_foreign": (tc("hs") != B("scheme")) | ~tc("hs").isin(USES_RELATIVE),
+        f"{t}_nets": nets,
+        f"{t}_net": F.when(nets & (H("netloc") == ""), B("netloc")).otherwise(H("netloc")),
+        f"{t}_merged2": _dot_segments(tc("merged"))})
+    df = df.withColumn(f"{t}_res", F.aggregate(
+        tc("merged2"), F.array().cast("array<string>"),
+        lambda acc, seg: F.when(seg == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))
+                                .otherwise(acc))
+        .when(seg == ".", acc)
+        .otherwise(F.concat(acc, F.array(seg)))))
+    rpath = F.array_join(F.when(F.element_at(tc("merged2"), -1).isin(".", ".."),
+                                F.concat(tc("res"), F.array(F.lit("")))).otherwise(tc("res")), "/")
+    df = df.withColumn(f"{t}_rpath2", F.when(rpath == "", F.lit("/")).otherwise(rpath))
+    df = with_url_unparse(df, [
+        (f"{t}_u1", tc("hs"), H("netloc"), H("path"), H("params"), H("query"), H("fragment")),
+        (f"{t}_u2", tc("hs"), tc("net"), B("path"), B("params"), tc("q"), H("fragment")),
+        (f"{t}_u3", tc("hs"), tc("net"), tc("rpath2"), H("params"), H("query"), H("fragment"))])
     base_c, href_c = tc("base"), tc("href")
-    df = with_url_unparse(df, f"{t}_u1", tc("hs"), H("netloc"), H("path"), H("params"), H("query"), H("fragment"))
-    df = with_url_unparse(df, f"{t}_u2", tc("hs"), tc("net"), B("path"), B("params"), tc("q"), H("fragment"))
-    df = with_url_unparse(df, f"{t}_u3", tc("hs"), tc("net"), tc("rpath2"), H("params"), H("query"), H("fragment"))
     url = (F.when(base_c == "", href_c)
            .when(href_c == "", base_c)
            .when(tc("foreign"), href_c)
@@ -240,11 +248,11 @@ def with_url_join(df: DataFrame, base, href, out: str) -> DataFrame:
                .when(href_c == "", B("netloc"))
                .when(tc("foreign"), H("netloc"))
                .otherwise(tc("net")))
-    df = df.withColumn(out, url).withColumn(f"{out}_netloc", out_net) \
-           .withColumn(f"{out}_err", (B("err") | H("err")) & (base_c != "") & (href_c != ""))
-    df = _drop_parts(_drop_parts(df, b), h)
-    return df.drop(*[f"{t}_{n}" for n in ("base", "href", "hs", "foreign", "nets", "net", "merged", "merged2",
-                                          "res", "rpath", "rpath2", "q", "u1", "u2", "u3")])
+    df = df.withColumns({out: url, f"{out}_netloc": out_net,
+                         f"{out}_err": (B("err") | H("err")) & (base_c != "") & (href_c != "")})
+    return df.drop(*_part_names(b), *_part_names(h),
+                   *[f"{t}_{n}" for n in ("base", "href", "hs", "foreign", "nets", "net", "merged", "merged2",
+                                          "res", "rpath2", "q", "u1", "u2", "u3")])
 
 
 # Patterns of a spreadsheet id inside a destination link, tried

@@ -27,18 +27,25 @@ from sitelens.session import materialize
 
 
 def page_features(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
-    """(page_id, norm_url, text, pricing_link) for every page row."""
+    """(page_id, norm_url, text, pricing_link, pricing_key) for every page
+    row; ``pricing_key`` is the pricing link normalised for the lookup, so
+    requests never re-parse it."""
     df = with_normalized_url(pages.select("page_id", "url", "html"), "url", "norm_url")
     df = df.withColumn("text", html_to_text("html"))
     df = with_pricing_link(df, "html", "norm_url", "pricing_link", keywords)
-    return df.select("page_id", "norm_url", "text", "pricing_link")
+    df = with_normalized_url(df, "pricing_link", "pricing_key")
+    return df.select("page_id", "norm_url", "text", "pricing_link",
+                     F.when(F.col("pricing_link").isNotNull(), F.col("pricing_key")).alias("pricing_key"))
+
+
+SNAP_COLS = ["page_id", "text", "pricing_link", "pricing_key"]
 
 
 def snapshot(features: DataFrame) -> DataFrame:
     """One row per normalised URL; the largest ``page_id`` wins."""
-    best = F.max_by(F.struct("page_id", "text", "pricing_link"), F.col("page_id"))
+    best = F.max_by(F.struct(*SNAP_COLS), F.col("page_id"))
     return (features.groupBy("norm_url").agg(best.alias("s"))
-            .select("norm_url", "s.page_id", "s.text", "s.pricing_link"))
+            .select("norm_url", *[f"s.{c}" for c in SNAP_COLS]))
 
 
 def linked_pages(pages: DataFrame, features: DataFrame) -> DataFrame:
@@ -55,9 +62,10 @@ def linked_pages(pages: DataFrame, features: DataFrame) -> DataFrame:
     # every derivation step and inlined there.
     links = with_normalized_url(link_targets(base).select("page_id", "abs_url", "err"), "abs_url", "target")
     firsts = links.groupBy("target").agg(F.min(F.when(~F.col("err"), F.col("page_id"))).alias("src"))
-    content = features.select(F.col("page_id").alias("cid"), "text", "pricing_link")
+    content = features.select(F.col("page_id").alias("cid"), "text", "pricing_link", "pricing_key")
     return (firsts.join(content, F.col("cid") == F.col("src") + 1)
-            .select(F.col("target").alias("norm_url"), F.col("cid").alias("page_id"), "text", "pricing_link"))
+            .select(F.col("target").alias("norm_url"), F.col("cid").alias("page_id"), "text", "pricing_link",
+                    "pricing_key"))
 
 
 def crawl_snapshot(pages: DataFrame, keywords: list[str] | None = None,
@@ -73,31 +81,52 @@ def crawl_snapshot(pages: DataFrame, keywords: list[str] | None = None,
         extra = linked_pages(pages, feats).join(snap.select("norm_url"), "norm_url", "left_anti")
         extra = snapshot(extra).withColumn("crawled", F.lit(False))
         snap = snap.unionByName(extra)
-    return materialize(snap) if materialized else snap
+    return materialize(snap, "crawl_snapshot") if materialized else snap
 
 
-def content_bundle(requests: DataFrame, snap: DataFrame, url_col: str = "url") -> DataFrame:
-    """Per request: ``fetched`` (a snapshot row exists), ``home_text``,
-    ``requires_js``, ``pricing_url``, ``pricing_text``.
+def bundle_by_url(snap: DataFrame) -> DataFrame:
+    """The bundle of every snapshot URL, computed once per URL (J-2 is a
+    self-join of the snapshot, not of the request table): ``norm_url,
+    home_text, home_ok, requires_js, pricing_url, pricing_text``.
 
-    Home text shorter than 50 characters is blanked with
-    ``requires_js=true`` and no pricing lookup; otherwise ``requires_js`` is
-    ``len < 500``. The pricing page is kept only when its text is longer than
-    50 characters; ``pricing_url`` is set only then.
+    Home text shorter than 50 characters is blanked with ``requires_js=true``
+    and no pricing lookup; otherwise ``requires_js`` is ``len < 500``. The
+    pricing page is kept only when its text is longer than 50 characters;
+    ``pricing_url`` is set only then.
     """
-    req = with_normalized_url(requests, url_col, "norm_url")
-    home = snap.select("norm_url", F.col("text").alias("_home_raw"), F.col("pricing_link").alias("_plink"))
-    df = req.join(home, "norm_url", "left")
     home_text, requires_js = home_gate(F.col("_home_raw"))
-    df = (df.withColumn("fetched", F.col("_home_raw").isNotNull())
-          .withColumn("home_text", F.when(F.col("fetched"), home_text))
-          .withColumn("requires_js", F.when(F.col("fetched"), requires_js))
-          .withColumn("_plink", F.when(F.col("home_text") != "", F.col("_plink"))))
-    df = with_normalized_url(df, "_plink", "_pkey")
-    df = df.withColumn("_pkey", F.when(F.col("_plink").isNotNull(), F.col("_pkey")))
+    df = (snap.select("norm_url", F.col("text").alias("_home_raw"), F.col("pricing_link").alias("_plink"),
+                      F.col("pricing_key").alias("_pkey"))
+          .withColumn("home_text", home_text).withColumn("requires_js", requires_js)
+          .withColumn("home_ok", F.col("home_text") != "")
+          .withColumn("_pkey", F.when(F.col("home_ok"), F.col("_pkey"))))
     pricing = snap.select(F.col("norm_url").alias("_pkey"), F.col("text").alias("_ptext"))
     df = df.join(pricing, "_pkey", "left")
     ok = pricing_ok(F.col("_ptext"))
-    return (df.withColumn("pricing_url", F.when(ok, F.col("_plink")))
-            .withColumn("pricing_text", F.when(ok, F.col("_ptext")))
-            .drop("_home_raw", "_plink", "_pkey", "_ptext"))
+    return df.select("norm_url", "home_text", "home_ok", "requires_js",
+                     F.when(ok, F.col("_plink")).alias("pricing_url"), F.when(ok, F.col("_ptext")).alias("pricing_text"))
+
+
+def content_bundle(requests: DataFrame, snap: DataFrame, url_col: str = "url",
+                   normalized_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Per request: ``fetched`` (a snapshot row exists), ``home_text``,
+    ``home_ok``, ``requires_js``, ``pricing_url``, ``pricing_text``.
+
+    ``normalized_col`` names a column of ``requests`` that already holds the
+    normalised URL (skips re-normalising per request); ``columns`` restricts
+    the bundle columns carried to each request (e.g. only the flags, so page
+    texts are not copied to every request of the same URL).
+    """
+    if normalized_col:
+        req = requests.withColumnRenamed(normalized_col, "norm_url") if normalized_col != "norm_url" else requests
+    else:
+        req = with_normalized_url(requests, url_col, "norm_url")
+    b = bundle_by_url(snap).withColumn("_hit", F.lit(True))
+    if columns:
+        b = b.select("norm_url", "_hit", *columns)
+    df = req.join(b, "norm_url", "left")
+    df = df.withColumn("fetched", F.col("_hit").isNotNull()).drop("_hit")
+    for c in ("home_ok", "requires_js"):
+        if c in df.columns:
+            df = df.withColumn(c, F.when(F.col("fetched"), F.col(c)))
+    return df

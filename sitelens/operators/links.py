@@ -66,41 +66,35 @@ def with_pricing_link(df: DataFrame, html_col: str, base_col: str, out: str,
             hit = hit | h.startswith(prefix)
         return hit
 
-    df = U._stages(df, [
-        (f"{t}_c0", lambda: F.filter(
-            F.zip_with(F.regexp_extract_all(F.col(html_col), pat, 1),
-                       F.regexp_extract_all(F.col(html_col), pat, 2),
-                       lambda h, x: F.struct(h.alias("href"), x.alias("text"))),
-            lambda l: F.lower(F.concat(l["href"], F.lit(" "), l["text"])).rlike(kw))),
-        # Split each candidate href far enough to know the result's authority.
-        (f"{t}_c1", lambda: F.transform(F.col(f"{t}_c0"), lambda l: F.struct(
-            l["href"].alias("href"),
-            F.regexp_replace(F.regexp_replace(l["href"], r"^[\x00-\x20]+", ""), r"[\t\r\n]", "").alias("u")))),
-        (f"{t}_c4", lambda: F.transform(F.col(f"{t}_c1"), lambda l: F.struct(
-            l["href"].alias("href"),
-            F.when(F.regexp_extract(l["u"], U.URL_SPLIT, 1) == "", B("scheme"))
-            .otherwise(F.lower(F.regexp_extract(l["u"], U.URL_SPLIT, 1))).alias("scheme"),
-            F.regexp_extract(l["u"], U.URL_SPLIT, 2).alias("net")))),
-        (f"{t}_c5", lambda: F.transform(F.col(f"{t}_c4"), lambda l: F.struct(
-            l["href"].alias("href"),
-            F.when(F.col(base_col) == "", l["net"])
-            .when((l["scheme"] != B("scheme")) | ~l["scheme"].isin(U.USES_RELATIVE), l["net"])
-            .when(l["scheme"].isin(U._USES_NETLOC) & (l["net"] == ""), B("netloc"))
-            .otherwise(l["net"]).alias("res_net"),
-            (B("err") | ((F.instr(l["net"], "[") > 0) != (F.instr(l["net"], "]") > 0))
-             | ((F.instr(l["net"], "[") > 0) & ~U._before(U._after(l["net"], "["), "]").rlike(U._IPV6)
-                & ~U._before(U._after(l["net"], "["), "]").rlike(U._IPVFUTURE))).alias("err")))),
-        (f"{t}_hit", lambda: F.get(F.filter(F.col(f"{t}_c5"), lambda l: l["err"] | (
-            (l["res_net"] == B("netloc")) & ~skip(l["href"]))), 0)),
-        (f"{t}_href", lambda: F.when(F.col(f"{t}_hit.err"), F.lit(None).cast("string"))
-         .otherwise(F.col(f"{t}_hit.href"))),
-    ])
+    cand = F.filter(
+        F.zip_with(F.regexp_extract_all(F.col(html_col), pat, 1), F.regexp_extract_all(F.col(html_col), pat, 2),
+                   lambda h, x: F.struct(h.alias("href"), x.alias("text"))),
+        lambda l: F.lower(F.concat(l["href"], F.lit(" "), l["text"])).rlike(kw))
+    # Split each candidate href far enough to know the result's authority.
+    df = df.withColumn(f"{t}_c1", F.transform(cand, lambda l: F.struct(
+        l["href"].alias("href"),
+        F.regexp_replace(F.regexp_replace(l["href"], r"^[\x00-\x20]+", ""), r"[\t\r\n]", "").alias("u"))))
+    df = df.withColumn(f"{t}_c4", F.transform(F.col(f"{t}_c1"), lambda l: F.struct(
+        l["href"].alias("href"),
+        F.when(F.regexp_extract(l["u"], U.URL_SPLIT, 1) == "", B("scheme"))
+        .otherwise(F.lower(F.regexp_extract(l["u"], U.URL_SPLIT, 1))).alias("scheme"),
+        F.regexp_extract(l["u"], U.URL_SPLIT, 2).alias("net"))))
+    df = df.withColumn(f"{t}_c5", F.transform(F.col(f"{t}_c4"), lambda l: F.struct(
+        l["href"].alias("href"),
+        F.when(F.col(base_col) == "", l["net"])
+        .when((l["scheme"] != B("scheme")) | ~l["scheme"].isin(U.USES_RELATIVE), l["net"])
+        .when(l["scheme"].isin(U._USES_NETLOC) & (l["net"] == ""), B("netloc"))
+        .otherwise(l["net"]).alias("res_net"),
+        (B("err") | ((F.instr(l["net"], "[") > 0) != (F.instr(l["net"], "]") > 0))
+         | ((F.instr(l["net"], "[") > 0) & ~U._before(U._after(l["net"], "["), "]").rlike(U._IPV6)
+            & ~U._before(U._after(l["net"], "["), "]").rlike(U._IPVFUTURE))).alias("err"))))
+    hit = F.get(F.filter(F.col(f"{t}_c5"), lambda l: l["err"] | ((l["res_net"] == B("netloc")) & ~skip(l["href"]))), 0)
+    df = df.withColumn(f"{t}_href", F.when(hit["err"], F.lit(None).cast("string")).otherwise(hit["href"]))
     df = U.with_url_join(df, base_col, f"{t}_href", f"{t}_abs")
     df = df.withColumn(out, F.when(F.col(f"{t}_href").isNull(), F.lit(None).cast("string"))
                        .otherwise(F.col(f"{t}_abs")))
-    drop = [f"{t}_{n}" for n in ("c0", "c1", "c4", "c5", "hit", "href", "abs", "abs_netloc", "abs_err")]
-    drop += [f"{t}b_{n}" for n in ("scheme", "netloc", "path", "params", "query", "fragment", "err")]
-    return df.drop(*drop)
+    drop = [f"{t}_{n}" for n in ("c1", "c4", "c5", "href", "abs", "abs_netloc", "abs_err")]
+    return df.drop(*drop, *U._part_names(f"{t}b"))
 
 
 def link_targets(pages: DataFrame, base_col: str = "norm_url") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import answers as A
+from sitelens.functions import urls as U
 from sitelens.operators import bundle as B
 from sitelens.operators import outbox as O
 from sitelens.operators import quota as Q
@@ -35,19 +36,22 @@ def audit_runs(spark: SparkSession, sf: str) -> DataFrame:
     n_pages = p.select(F.count("*")).scalar()
     n_docs = docs.select(F.count("*")).scalar()
     req = L.audit_requests(events(spark, sf)).withColumn("page_id", F.pmod("request_id", n_pages))
-    req = req.join(p.select("page_id", "url"), "page_id")
-    bundle = B.content_bundle(req, B.crawl_snapshot(p, TEST_KEYWORDS))
+    # URLs are normalised once per page, not once per request.
+    pnorm = U.with_normalized_url(p.select("page_id", "url"), "url", "norm_url").select("page_id", "url", "norm_url")
+    req = req.join(pnorm, "page_id")
+    bundle = B.content_bundle(req, B.crawl_snapshot(p, TEST_KEYWORDS), normalized_col="norm_url",
+                              columns=["home_ok", "requires_js", "pricing_url"])
     ans = A.with_answer_fields(synthetic_answers(docs).withColumn("json_text", A.json_unwrap("raw")), "json_text")
     ans = ans.select("doc_id", "parse_ok", *FIELDS)
     runs = bundle.withColumn("doc_id", F.pmod("request_id", n_docs)).join(ans, "doc_id", "left")
     pre = (F.when(F.col("norm_url") == "", F.lit("invalid_url"))
            .when(~F.col("fetched"), F.lit("internal_error"))
-           .when(F.col("home_text") == "", F.lit("fetch_failed"))
+           .when(~F.col("home_ok"), F.lit("fetch_failed"))
            .when(~F.col("would_succeed") | ~F.coalesce(F.col("parse_ok"), F.lit(False)), F.lit("internal_error"))
            .otherwise(F.lit("ok")))
     runs = runs.withColumn("pre", pre).withColumn("would_succeed", F.col("pre") == "ok")
     # Admission, envelope and routing all read this table; compute it once.
-    runs = materialize(runs)
+    runs = materialize(runs, "audit_runs")
     runs = Q.quota_admission(runs, DEFAULT_USER_LIMIT)
     runs = runs.withColumn("reason", F.when(~F.col("admitted"), F.lit("limit")).otherwise(F.col("pre")))
     ok = F.col("reason") == "ok"

@@ -248,11 +248,13 @@ def page_features(keywords: list[str] | None = None) -> str:
     normalize_url(st, "url", "norm_url")
     st.add("text", html_to_text("html"))
     pricing_link(st, "html", "norm_url", "pricing_link", keywords)
-    return str(st.select("page_id, norm_url, text, pricing_link"))
+    normalize_url(st, "pricing_link", "pricing_key")
+    st.replace("pricing_key", "(CASE WHEN pricing_link IS NOT NULL THEN pricing_key END)")
+    return str(st.select("page_id, norm_url, text, pricing_link, pricing_key"))
 
 
 def snapshot(features_sql: str) -> str:
-    return (f"SELECT norm_url, page_id, text, pricing_link FROM ({features_sql}) "
+    return (f"SELECT norm_url, page_id, text, pricing_link, pricing_key FROM ({features_sql}) "
             f"QUALIFY row_number() OVER (PARTITION BY norm_url ORDER BY page_id DESC) = 1")
 
 
@@ -268,7 +270,8 @@ def crawl_snapshot(keywords: list[str] | None = None, with_linked: bool = True)
     links.where("NOT abs_url_err")
     normalize_url(links, "abs_url", "target")
     firsts = f"SELECT target, min(page_id) AS src FROM ({links}) GROUP BY target"
-    extra = (f"SELECT f.target AS norm_url, c.page_id AS page_id, c.text AS text, c.pricing_link AS pricing_link "
+    extra = (f"SELECT f.target AS norm_url, c.page_id AS page_id, c.text AS text, c.pricing_link AS pricing_link, "
+             f"c.pricing_key AS pricing_key "
              f"FROM ({firsts}) f JOIN ({feats}) c ON c.page_id = f.src + 1 "
              f"WHERE f.target NOT IN (SELECT norm_url FROM ({snap}))")
     return (f"SELECT *, true AS crawled FROM ({snap}) UNION ALL "
@@ -278,15 +281,14 @@ def crawl_snapshot(keywords: list[str] | None = None, with_linked: bool = True)
 def content_bundle(requests_sql: str, snap_sql: str) -> Stages:
     st = Stages(requests_sql)
     normalize_url(st, "url", "norm_url")
-    st = Stages(f"SELECT r.*, s.text AS _home_raw, s.pricing_link AS _plink FROM ({st}) r "
+    st = Stages(f"SELECT r.*, s.text AS _home_raw, s.pricing_link AS _plink, s.pricing_key AS _pkey FROM ({st}) r "
                 f"LEFT JOIN ({snap_sql}) s ON r.norm_url = s.norm_url")
     n = f"length({strip_ws('_home_raw')})"
     st.add("fetched", "_home_raw IS NOT NULL")
     st.add("home_text", f"(CASE WHEN fetched THEN (CASE WHEN {n} < 50 THEN '' ELSE _home_raw END) END)")
     st.add("requires_js", f"(CASE WHEN fetched THEN (CASE WHEN {n} < 50 THEN true ELSE {n} < 500 END) END)")
     st.replace("_plink", "(CASE WHEN home_text <> '' THEN _plink END)")
-    normalize_url(st, "_plink", "_pkey")
-    st.replace("_pkey", "(CASE WHEN _plink IS NOT NULL THEN _pkey END)")
+    st.replace("_pkey", "(CASE WHEN home_text <> '' THEN _pkey END)")
     st = Stages(f"SELECT b.*, p.text AS _ptext FROM ({st}) b LEFT JOIN ({snap_sql}) p ON b._pkey = p.norm_url")
     ok = f"coalesce(length({strip_ws('_ptext')}) > 50, false)"
     st.add("pricing_url", f"(CASE WHEN {ok} THEN _plink END)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -74,9 +75,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df):
-    """Cut lineage at an intermediate read by several consumers: a reliable
-    checkpoint in the shared ``spark.checkpoint.dir`` (survives executor
-    loss, unlike a local checkpoint), read back as a plain scan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "table"):
+    """Cut lineage at an intermediate read by several consumers.
+
+    The rows are written once as a Parquet table under the shared
+    ``spark.checkpoint.dir`` (survives executor loss, unlike a local
+    checkpoint) and read back: consumers get a columnar scan with column
+    pruning and filter pushdown, and the producing plan runs exactly once
+    (``Dataset.checkpoint`` would run it for its eager count and again to
+    write the files).
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

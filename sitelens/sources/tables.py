@@ -18,12 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster.
+
+    A large table arrives in many splits and is left alone (no shuffle). A
+    scan that yields fewer splits than the default parallelism (one big row
+    group, one file) is hash-partitioned by ``key`` so the row-level work
+    (regexes over html or text) does not run on a single core.
+    """
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df._jdf.rdd().getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view available: leave as is
+        return df
+    return df.repartition(target, key)
+
+
 def pages(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return table(spark, sf_dir, "pages", *(cols or ("page_id", "url", "html")))
+    cols = cols or ("page_id", "url", "html")
+    df = table(spark, sf_dir, "pages", *cols)
+    return spread(df, "page_id") if "html" in cols and "page_id" in cols else df
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", *(cols or ("doc_id", "text")))
+    cols = cols or ("doc_id", "text")
+    df = table(spark, sf_dir, "documents", *cols)
+    return spread(df, "doc_id") if "text" in cols and "doc_id" in cols else df
 
 
 def events(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
