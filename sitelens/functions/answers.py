@@ -126,7 +126,7 @@ def envelope_json(fields_prefix: str = "", pricing_url="pricing_url", timestamp=
 
 
 def with_report_row(df: DataFrame, json_col: str = "result_json", user_col: str = "user_id",
-                    url_col: str = "url", time_col: str = "created_at") -> DataFrame:
+                    url_col: str = "url", time_col: str = "created_at", fill_timestamp: bool = False) -> DataFrame:
     """R-8 + R-9: the 28 report cells of a stored result.
 
     ``full_result`` fields default to ''; ``pricing_url`` null or absent ->
@@ -134,6 +134,9 @@ def with_report_row(df: DataFrame, json_col: str = "result_json", user_col: str
     (not JSON, not an object, ``full_result`` not an object, a field or
     ``pricing_url`` not a string) gives the error row: time of the stored
     row, user, url, '', the error text, then 23 empty cells.
+
+    ``fill_timestamp=True`` writes the stored row's time into the timestamp
+    cell of good rows too (the record-from-result form, R-10).
     """
     df = df.withColumn("__r_e", F.try_parse_json(F.col(json_col)))
     e = F.col("__r_e")
@@ -155,7 +158,8 @@ def with_report_row(df: DataFrame, json_col: str = "result_json", user_col: str
               .otherwise(F.lit("field is not a string")))
     df = df.withColumn("row_ok", ok)
     cells = {
-        "timestamp": F.when(ok, F.lit("")).otherwise(sheet_timestamp(time_col)),
+        "timestamp": sheet_timestamp(time_col) if fill_timestamp
+        else F.when(ok, F.lit("")).otherwise(sheet_timestamp(time_col)),
         "user_id": F.col(user_col).cast("string"),
         "analyzed_url": F.col(url_col),
         "pricing_url": F.when(ok, F.col("__r_pu")).otherwise(F.lit("")),

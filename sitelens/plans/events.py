@@ -93,7 +93,25 @@ def pending_for_user(spark: SparkSession, sf: str) -> DataFrame:
                      "ORDER BY created_at, id", args={"user": PROBE_USER}, pending=pending)
 
 
+def quota_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-1 + ST-4: the quota fold run as Structured Streaming over the
+    event files (availableNow), output identical to ``quota_replay``."""
+    from sitelens.streaming import streams as ST
+    stream = ST.event_stream(spark, sf, file_glob="events.parquet")
+    return ST.collect_stream(ST.quota_stream(L.quota_timeline(stream)), "quota_stream")
+
+
+def dialog_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-1 + ST-5: the dialog state machine as Structured Streaming,
+    output identical to ``message_routing``."""
+    from sitelens.streaming import streams as ST
+    stream = ST.event_stream(spark, sf, file_glob="events.parquet")
+    return ST.collect_stream(ST.dialog_stream(stream), "dialog_stream")
+
+
 QUERIES = {
+    "quota_stream": quota_stream,
+    "dialog_stream": dialog_stream,
     "message_routing": message_routing,
     "sheet_urls": sheet_urls,
     "pending_for_user": pending_for_user,

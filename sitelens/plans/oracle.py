@@ -152,6 +152,9 @@ def _events_sql() -> dict[str, str]:
                        f"{S.q(DEFAULT_SHEET_ID)}) AS url FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id "
                        f"FROM events) u LEFT JOIN ({o['settings_latest']}) l ON u.user_id = l.user_id")
     o["message_routing"] = f"SELECT event_id, user_id, session::BIGINT AS session, {action} AS action FROM ({texts})"
+    # The streaming versions must equal the batch closed forms.
+    o["quota_stream"] = o["quota_replay"]
+    o["dialog_stream"] = o["message_routing"]
     return o
 
 

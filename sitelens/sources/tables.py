@@ -49,3 +49,19 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return table(spark, sf_dir, "events", *(cols or ("event_id", "ts", "user_id", "event_type", "value", "props")))
+
+
+def ensure_state_tables(spark: SparkSession, root: str) -> dict[str, str]:
+    """S-9: create the settings, limits and outbox tables (Parquet, empty,
+    explicit schemas) under ``root`` when they do not exist yet; returns
+    their paths. Existing tables are left untouched."""
+    from sitelens.schemas import LIMITS, OUTBOX, SETTINGS
+    paths = {}
+    for name, schema in (("users_settings", SETTINGS), ("users_limits", LIMITS), ("pending_results", OUTBOX)):
+        path = f"{root.rstrip('/')}/{name}"
+        try:
+            spark.read.schema(schema).parquet(path).limit(0).collect()
+        except Exception:  # noqa: BLE001 - missing: create it
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        paths[name] = path
+    return paths

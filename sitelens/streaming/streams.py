@@ -38,12 +38,15 @@ EVENT_SCHEMA = T.StructType([
 
 
 def event_stream(spark: SparkSession, path: str, max_files: int | None = None,
-                 watermark: str = "1 hour") -> DataFrame:
+                 watermark: str = "1 hour", file_glob: str | None = None) -> DataFrame:
     """ST-1: events as a stream, de-duplicated on ``event_id`` within the
-    watermark (late duplicates from at-least-once producers are dropped)."""
+    watermark (late duplicates from at-least-once producers are dropped).
+    ``path`` is a directory; ``file_glob`` picks the event files in it."""
     r = spark.readStream.schema(EVENT_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
+    if file_glob:
+        r = r.option("pathGlobFilter", file_glob)
     # The log's ts has no zone (TIMESTAMP_NTZ); the watermark needs an
     # instant, read in the session zone (UTC).
     return (r.parquet(path).withColumn("event_time", F.col("ts").cast("timestamp"))
@@ -177,3 +180,15 @@ def run_available(df: DataFrame, name: str, sink: str | None = None, fmt: str =
         q = w.format(fmt).option("path", sink).start()
     q.awaitTermination()
     return q
+
+
+def collect_stream(df: DataFrame, prefix: str) -> DataFrame:
+    """Run a streaming query over everything available into a Parquet file
+    sink under the shared checkpoint folder (exactly-once file sink; nothing
+    is held on the driver) and return the sink as a batch DataFrame."""
+    import uuid
+    spark = df.sparkSession
+    name = f"{prefix}_{uuid.uuid4().hex[:10]}"
+    out = f"{checkpoint(spark, name)}/out"
+    run_available(df, name, sink=out, fmt="parquet")
+    return spark.read.schema(df.schema).parquet(out)

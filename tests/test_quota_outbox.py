@@ -92,3 +92,25 @@ def test_route_flush_and_unwritten(spark):
 def test_header_check(spark):
     df = spark.createDataFrame([(REPORT_HEADERS,), (["x"] * 28,), ([],), (None,)], "h array<string>")
     assert [r.s for r in df.select(O.header_check("h").alias("s")).collect()] == ["ok", "mismatch", "create", "create"]
+
+
+def test_sink_and_state_tables(spark):
+    import tempfile
+
+    from sitelens.functions import answers as A
+    from sitelens.sources.tables import ensure_state_tables
+    root = tempfile.mkdtemp(prefix="sitelens-sink-")
+    paths = ensure_state_tables(spark, root)
+    assert spark.read.parquet(paths["pending_results"]).columns == ["id", "user_id", "url", "result_json",
+                                                                   "created_at", "written"]
+    ensure_state_tables(spark, root)  # idempotent
+    df = spark.createDataFrame([(1, "u", "https://s.com", '{"full_result": {"offer_first_screen": "T"}}', "S1"),
+                                (2, "v", "https://t.com", '{"full_result": {}}', "S2")],
+                               "request_id long, user_id string, url string, result_json string, sheet_id string") \
+        .withColumn("created_at", F.lit("2025-01-01 12:00:00").cast("timestamp_ntz"))
+    rows = A.with_report_row(df, fill_timestamp=True)
+    assert rows.filter("request_id = 1").first().timestamp == "2025-01-01 12:00:00"
+    O.write_reports(rows, f"{root}/reports")
+    back = spark.read.option("header", True).csv(f"{root}/reports")
+    assert back.count() == 2 and "Оффер (первый экран)" in back.columns
+    assert {r.sheet_id for r in back.select("sheet_id").collect()} == {"S1", "S2"}
