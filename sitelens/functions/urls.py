@@ -54,20 +54,6 @@ def _before(s: Column, ch: str) -> Column:
     return F.substring_index(s, ch, 1)
 
 
-def _stages(df: DataFrame, steps) -> DataFrame:
-    """Add columns one projection at a time so later steps refer to earlier
-    results by name (the expression tree stays linear in size)."""
-    for name, fn in steps:
-        df = df.withColumn(name, fn())
-    return df
-
-
-# One pass over a URL in the standard library's order: scheme (only when every
-# character before the first ':' is a scheme character), "//" authority,
-# path, "?query", "#fragment" (the fragment starts at the first '#').
-URL_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
-
-
 def with_url_parts(df: DataFrame, src, p: str, default_scheme: str = "") -> DataFrame:
     """Split a URL like ``urllib.parse.urlparse`` does.
 
