@@ -51,8 +51,34 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sitelens`` importable in Python workers (``mapInPandas``,
+    ``applyInPandasWithState``): zip the package once per SparkContext and
+    add it with ``addPyFile``, as ``--py-files`` does on a cluster."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="sitelens-pyfiles-"), "sitelens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def apply_conf(spark: SparkSession) -> None:
-    """Runtime SQL settings the jobs rely on (safe on an existing session)."""
+    """Runtime SQL settings the jobs rely on (safe on an existing session),
+    and the package shipped to Python workers."""
+    ship_package(spark)
     for k, v in BASE_CONF.items():
         if k.startswith("spark.sql.") and k != "spark.sql.execution.arrow.pyspark.enabled":
             try:
