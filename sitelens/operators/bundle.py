@@ -26,11 +26,17 @@ from sitelens.operators.links import link_targets, with_pricing_link
 from sitelens.session import materialize
 
 
-def page_features(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+def normalized_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, norm_url)."""
+    return with_normalized_url(pages.select("page_id", "url", "html"), "url", "norm_url")
+
+
+def page_features(pages: DataFrame, keywords: list[str] | None = None, normalized: bool = False) -> DataFrame:
     """(page_id, norm_url, text, pricing_link, pricing_key) for every page
     row; ``pricing_key`` is the pricing link normalised for the lookup, so
-    requests never re-parse it."""
-    df = with_normalized_url(pages.select("page_id", "url", "html"), "url", "norm_url")
+    requests never re-parse it. ``normalized``: ``pages`` already has
+    ``norm_url``."""
+    df = pages if normalized else normalized_pages(pages)
     df = df.withColumn("text", html_to_text("html"))
     df = with_pricing_link(df, "html", "norm_url", "pricing_link", keywords)
     df = with_normalized_url(df, "pricing_link", "pricing_key")
@@ -48,7 +54,7 @@ def snapshot(features: DataFrame) -> DataFrame:
             .select("norm_url", *[f"s.{c}" for c in SNAP_COLS]))
 
 
-def linked_pages(pages: DataFrame, features: DataFrame) -> DataFrame:
+def linked_pages(pages: DataFrame, features: DataFrame, normalized: bool = False) -> DataFrame:
     """Snapshot rows for link targets that were not crawled themselves.
 
     Test stand-in for the second fetch: every distinct same-host link target
@@ -56,7 +62,7 @@ def linked_pages(pages: DataFrame, features: DataFrame) -> DataFrame:
     page does not exist, which is a failed pricing fetch). Derived from
     ``pages`` only, so it grows with the table.
     """
-    base = with_normalized_url(pages.select("page_id", "url", "html"), "url", "norm_url")
+    base = pages if normalized else normalized_pages(pages)
     # Unresolvable links get a null source id (never joins) instead of a
     # filter: a filter on a URL-derived flag would be pushed back through
     # every derivation step and inlined there.
@@ -75,12 +81,13 @@ def crawl_snapshot(pages: DataFrame, keywords: list[str] | None = None,
 
     The snapshot is read twice per bundle (home and pricing lookups), so by
     default it is checkpointed once into the shared checkpoint folder."""
-    feats = page_features(pages, keywords)
+    base = normalized_pages(pages)
+    feats = page_features(base, keywords, normalized=True)
     snap = snapshot(feats).withColumn("crawled", F.lit(True))
     if with_linked:
-        extra = linked_pages(pages, feats).join(snap.select("norm_url"), "norm_url", "left_anti")
-        extra = snapshot(extra).withColumn("crawled", F.lit(False))
-        snap = snap.unionByName(extra)
+        # One row per link target already (grouped by target in linked_pages).
+        extra = linked_pages(base, feats, normalized=True).join(snap.select("norm_url"), "norm_url", "left_anti")
+        snap = snap.unionByName(extra.select("norm_url", *SNAP_COLS).withColumn("crawled", F.lit(False)))
     return materialize(snap, "crawl_snapshot") if materialized else snap
 
 
