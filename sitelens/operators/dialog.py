@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.windows import hour_bucket, running_last, running_sum
+from sitelens.operators.windows import hour_bucket, running_multi
 
 # Event kinds of the chat log (the driver's stand-in mapping).
 START_BUTTON = "click"
@@ -38,11 +38,12 @@ def message_routing(log: DataFrame) -> DataFrame:
             "is_text": F.col("kind").isin(TEXT_PLAIN, TEXT_WITH_ID).cast("long"),
             "is_valid": (F.col("kind") == TEXT_WITH_ID).cast("long"),
             "button": F.when(F.col("kind").isin(START_BUTTON, CONNECT_BUTTON), F.col("kind"))})
-    df = running_sum(df, ["user_id"], ORDER, "is_button", "session", bucket=hour_bucket(), inclusive=True)
-    df = running_last(df, ["user_id"], ORDER, "button", "state", bucket=hour_bucket())
+    df = running_multi(df, ["user_id"], ORDER, sums={"session": ("is_button", True)},
+                       lasts={"state": "button"}, bucket=hour_bucket())
     texts = df.filter(F.col("is_text") == 1)
-    texts = running_sum(texts, ["user_id", "session"], ORDER, "is_text", "prior_texts", bucket=hour_bucket())
-    texts = running_sum(texts, ["user_id", "session"], ORDER, "is_valid", "prior_valid", bucket=hour_bucket())
+    texts = running_multi(texts, ["user_id", "session"], ORDER,
+                          sums={"prior_texts": ("is_text", False), "prior_valid": ("is_valid", False)},
+                          bucket=hour_bucket())
     action = (F.when(F.col("session") == 0, F.lit("ignored"))
               .when(F.col("state") == START_BUTTON,
                     F.when(F.col("prior_texts") == 0, F.lit("audit")).otherwise(F.lit("ignored")))

@@ -68,10 +68,12 @@ def _timeline(requests: DataFrame, changes: DataFrame) -> DataFrame:
     return req.unionByName(chg)
 
 
-def limit_asof(requests: DataFrame, changes: DataFrame, default: int = DEFAULT_USER_LIMIT) -> DataFrame:
+def limit_asof(requests: DataFrame, changes: DataFrame, default: int = DEFAULT_USER_LIMIT,
+               timeline: DataFrame | None = None) -> DataFrame:
     """J-8/J-5: per request, the limit in force (last accepted change before
     it, else the default): (request_id, user_id, max_limit)."""
-    tl = running_last(_timeline(requests, changes), ["user_id"], ORDER, "new_limit", "lim", bucket=hour_bucket())
+    tl = timeline if timeline is not None else _timeline(requests, changes)
+    tl = running_last(tl, ["user_id"], ORDER, "new_limit", "lim", bucket=hour_bucket())
     return tl.filter(F.col("new_limit").isNull()).select("request_id", "user_id", F.coalesce("lim", F.lit(default).cast("long")).alias("max_limit"))
 
 
@@ -85,7 +87,13 @@ def quota_replay(requests: DataFrame, changes: DataFrame, default: int = DEFAULT
     user_id, admitted, max_limit)``; per user the final ``(user_id, current,
     max_limit)`` row of the limits table.
     """
-    tl = _timeline(requests, changes).withColumn("is_chg", F.col("new_limit").isNotNull().cast("long"))
+    return replay_timeline(_timeline(requests, changes), default)
+
+
+def replay_timeline(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """``quota_replay`` over a prepared timeline ``(user_id, ts, request_id,
+    ws, new_limit)`` (e.g. ``eventlog.quota_timeline``: one scan)."""
+    tl = timeline.withColumn("is_chg", F.col("new_limit").isNotNull().cast("long"))
     tl = running_sum(tl, ["user_id"], ORDER, "is_chg", "seg", bucket=hour_bucket(), inclusive=True)
     summ = tl.groupBy("user_id", "seg").agg(
         F.coalesce(F.max("new_limit"), F.lit(default).cast("long")).alias("lim"),

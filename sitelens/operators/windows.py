@@ -17,24 +17,63 @@ from pyspark.sql import functions as F
 UNBOUNDED = Window.unboundedPreceding
 
 
+def running_multi(df: DataFrame, keys: list[str], order: list[str], sums: dict | None = None,
+                  lasts: dict | None = None, bucket: Column | None = None) -> DataFrame:
+    """Several running aggregates over the same (key, order) in one pass.
+
+    ``sums``: ``{out: (value, inclusive)}`` running sums over earlier rows of
+    the key (``inclusive`` also counts the current row; 0 when none).
+    ``lasts``: ``{out: column}`` last non-null value up to and including the
+    current row (as-of lookup).
+
+    With ``bucket`` (monotone in ``order``, e.g. the hour of ``ts``) the
+    key's timeline is split: one window over ``(key, bucket)`` for the
+    in-bucket part, one small per-bucket totals table (partial aggregation)
+    with prefix sums / carried lasts over buckets, and one join. Results equal
+    the plain window exactly; a hot key spreads over many tasks.
+    """
+    sums, lasts = dict(sums or {}), dict(lasts or {})
+    val = lambda v: F.col(v) if isinstance(v, str) else v
+    if bucket is None:
+        out = df
+        for o, (v, inc) in sums.items():
+            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNBOUNDED, Window.currentRow if inc else -1)
+            out = out.withColumn(o, F.coalesce(F.sum(val(v)).over(w), F.lit(0)).cast("long"))
+        for o, v in lasts.items():
+            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNBOUNDED, Window.currentRow)
+            out = out.withColumn(o, F.last(val(v), ignorenulls=True).over(w))
+        return out
+    b = df.withColumns({"__bkt": bucket, **{f"__v_{o}": val(v).cast("long") for o, (v, _) in sums.items()},
+                        **{f"__l_{o}": val(v) for o, v in lasts.items()}})
+    # In-bucket part first: one shuffle of the input by (key, bucket).
+    wi = lambda inc: Window.partitionBy(*keys, "__bkt").orderBy(*order).rowsBetween(
+        UNBOUNDED, Window.currentRow if inc else -1)
+    b = b.withColumns({**{f"__i_{o}": F.coalesce(F.sum(f"__v_{o}").over(wi(inc)), F.lit(0))
+                          for o, (_, inc) in sums.items()},
+                       **{f"__i_{o}": F.last(f"__l_{o}", ignorenulls=True).over(wi(True)) for o in lasts}})
+    # Per-bucket totals from the same, already (key, bucket)-partitioned rows:
+    # no further shuffle of the input; the exchange below is shared.
+    ordkey = F.struct(*[F.col(c) for c in order])
+    aggs = [F.sum(f"__v_{o}").alias(f"__t_{o}") for o in sums]
+    aggs += [F.max_by(F.col(f"__l_{o}"), F.when(F.col(f"__l_{o}").isNotNull(), ordkey)).alias(f"__t_{o}")
+             for o in lasts]
+    totals = b.groupBy(*keys, "__bkt").agg(*aggs)
+    wo = Window.partitionBy(*keys).orderBy("__bkt").rowsBetween(UNBOUNDED, -1)
+    offs = totals.select(*keys, "__bkt",
+                         *[F.coalesce(F.sum(f"__t_{o}").over(wo), F.lit(0)).alias(f"__o_{o}") for o in sums],
+                         *[F.last(f"__t_{o}", ignorenulls=True).over(wo).alias(f"__o_{o}") for o in lasts])
+    b = b.join(offs, [*keys, "__bkt"])
+    b = b.withColumns({**{o: (F.col(f"__o_{o}") + F.col(f"__i_{o}")).cast("long") for o in sums},
+                       **{o: F.coalesce(F.col(f"__i_{o}"), F.col(f"__o_{o}")) for o in lasts}})
+    temps = ["__bkt"] + [f"__{x}_{o}" for o in sums for x in "vio"] + [f"__{x}_{o}" for o in lasts for x in "lio"]
+    return b.drop(*temps)
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str,
                 bucket: Column | None = None, inclusive: bool = False) -> DataFrame:
     """Adds ``out`` = sum of ``value`` over earlier rows of the same key
     (``inclusive`` also counts the current row); 0 when there is none."""
-    value = F.col(value) if isinstance(value, str) else value
-    end = Window.currentRow if inclusive else -1
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNBOUNDED, end)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
-    b = df.withColumn("__val", value.cast("long")).withColumn("__bkt", bucket)
-    totals = b.groupBy(*keys, "__bkt").agg(F.sum("__val").alias("__tot"))
-    wo = Window.partitionBy(*keys).orderBy("__bkt").rowsBetween(UNBOUNDED, -1)
-    offs = totals.select(*keys, "__bkt", F.coalesce(F.sum("__tot").over(wo), F.lit(0)).alias("__off"))
-    wi = Window.partitionBy(*keys, "__bkt").orderBy(*order).rowsBetween(UNBOUNDED, end)
-    b = b.withColumn("__in", F.coalesce(F.sum("__val").over(wi), F.lit(0)))
-    return (b.join(offs, [*keys, "__bkt"])
-            .withColumn(out, (F.col("__off") + F.col("__in")).cast("long"))
-            .drop("__val", "__bkt", "__in", "__off"))
+    return running_multi(df, keys, order, sums={out: (value, inclusive)}, bucket=bucket)
 
 
 def hour_bucket(ts: str = "ts") -> Column:
@@ -46,21 +85,4 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], value: str, o
     """Adds ``out`` = last non-null ``value`` up to and including the current
     row within the key (as-of lookup), split by ``bucket`` like
     ``running_sum``."""
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNBOUNDED, Window.currentRow)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    b = df.withColumn("__bkt", bucket)
-    ordkey = F.struct(*[F.col(c) for c in order])
-    lasts = (b.filter(F.col(value).isNotNull()).groupBy(*keys, "__bkt")
-             .agg(F.max_by(F.col(value), ordkey).alias("__blast")))
-    wi = Window.partitionBy(*keys, "__bkt").orderBy(*order).rowsBetween(UNBOUNDED, Window.currentRow)
-    b = b.withColumn("__in", F.last(value, ignorenulls=True).over(wi))
-    # Buckets without a value of their own inherit from the nearest earlier
-    # bucket that has one.
-    firsts = b.select(*keys, "__bkt").distinct()
-    allb = firsts.join(lasts, [*keys, "__bkt"], "left")
-    wa = Window.partitionBy(*keys).orderBy("__bkt").rowsBetween(UNBOUNDED, -1)
-    carry = allb.select(*keys, "__bkt", F.last("__blast", ignorenulls=True).over(wa).alias("__carry"))
-    return (b.join(carry, [*keys, "__bkt"], "left")
-            .withColumn(out, F.coalesce(F.col("__in"), F.col("__carry")))
-            .drop("__bkt", "__in", "__carry"))
+    return running_multi(df, keys, order, lasts={out: value}, bucket=bucket)

@@ -51,19 +51,16 @@ def usage_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def limit_asof(spark: SparkSession, sf: str) -> DataFrame:
-    ev = _ev(spark, sf)
-    return Q.limit_asof(L.audit_requests(ev), L.limit_changes(ev))
+    return Q.limit_asof(None, None, timeline=L.quota_timeline(_ev(spark, sf)))
 
 
 def quota_replay(spark: SparkSession, sf: str) -> DataFrame:
-    ev = _ev(spark, sf)
-    per, _ = Q.quota_replay(L.audit_requests(ev), L.limit_changes(ev))
+    per, _ = Q.replay_timeline(L.quota_timeline(_ev(spark, sf)))
     return per
 
 
 def limits_final(spark: SparkSession, sf: str) -> DataFrame:
-    ev = _ev(spark, sf)
-    _, final = Q.quota_replay(L.audit_requests(ev), L.limit_changes(ev))
+    _, final = Q.replay_timeline(L.quota_timeline(_ev(spark, sf)))
     return final
 
 
