@@ -18,19 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+# Inputs larger than this are never reshuffled just to gain parallelism.
+SPREAD_MAX_BYTES = 8 << 30
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread CPU-heavy per-row work over the cluster.
 
     A large table arrives in many splits and is left alone (no shuffle). A
-    scan that yields fewer splits than the default parallelism (one big row
-    group, one file) is hash-partitioned by ``key`` so the row-level work
-    (regexes over html or text) does not run on a single core.
+    small scan that yields fewer than half as many splits as the default
+    parallelism (one big row group, one file) is hash-partitioned by ``key``
+    so the row-level work (regexes over html or text) does not run on a
+    single core. Catalyst's size estimate of the scan (file sizes) bounds
+    what may be reshuffled.
     """
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
-        if df._jdf.rdd().getNumPartitions() >= target:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size > SPREAD_MAX_BYTES or df._jdf.rdd().getNumPartitions() * 2 > target:
             return df
-    except Exception:  # noqa: BLE001 - no RDD view available: leave as is
+    except Exception:  # noqa: BLE001 - no estimate available: leave as is
         return df
     return df.repartition(target, key)
 
