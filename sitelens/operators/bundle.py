@@ -1,18 +1,22 @@
 """Content bundle: request URL -> home page -> pricing page (J-1, J-2).
 
-The reference fetches two pages per audit over HTTP. Here both fetches are
+The original fetches two pages per audit over HTTP. Here both fetches are
 lookups into a page-snapshot table keyed by normalised URL:
 
 * ``page_features`` runs the per-page work once, map-side: URL
-  normalisation, HTML -> text, and the in-row pricing-link search. The html
-  column never crosses a shuffle.
+  normalisation, HTML -> text, the in-row pricing-link search and the
+  normalised pricing key. Only text leaves this step; html does not cross a
+  shuffle (except the small-input spread in ``sources.tables``).
 * ``snapshot`` keeps one row per normalised URL (largest ``page_id`` wins)
   with a partial+final ``max_by`` aggregate: map-side combine keeps hot URLs
-  from piling up in one task.
-* ``content_bundle`` left-joins requests to the snapshot (home) and the
-  result to the snapshot again on the pricing URL (self-join). Both joins
-  are equi-joins on the normalised URL; AQE picks broadcast or sort-merge
-  from runtime sizes, and splits skewed partitions.
+  from piling up in one task. ``crawl_snapshot`` writes it once to the
+  shared checkpoint folder because both lookups read it.
+* ``bundle_by_url`` builds the bundle once per snapshot URL: the pricing
+  lookup is a self-join of the snapshot, not of the requests.
+* ``content_bundle`` left-joins requests to that per-URL bundle (one
+  equi-join on the normalised URL, optionally carrying only the flags);
+  AQE picks broadcast or sort-merge from runtime sizes and splits skewed
+  partitions.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Result routing and the outbox (J-3, J-4, J-7, S-4, S-5, S-7, A-3, W-4).
 
-The reference writes a finished audit to the user's spreadsheet when one is
+The original writes a finished audit to the user's spreadsheet when one is
 connected and otherwise parks it in ``pending_results``; connecting a
 spreadsheet flushes the parked rows in ``created_at`` order and marks them.
 

@@ -1,6 +1,6 @@
 """Settings, limits and quota over append-only logs (W-1..W-3b, F-1, A-1, J-5, J-8).
 
-The reference keeps ``users_settings`` and ``users_limits`` rows and updates
+The original keeps ``users_settings`` and ``users_limits`` rows and updates
 them statement by statement. Set-wise:
 
 * latest destination per user (``INSERT OR REPLACE``): ``max_by`` over
