@@ -64,7 +64,7 @@ def audit_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """F-2: (request_id, user_id, ok, reason, n_points)."""
     r = audit_runs(spark, sf)
     return r.select("request_id", "user_id", (F.col("reason") == "ok").alias("ok"), "reason",
-                    F.size("short_summary").cast("long").alias("n_points"))
+                    F.when(F.col("short_summary").isNotNull(), F.size("short_summary")).cast("long").alias("n_points"))
 
 
 def result_envelope(spark: SparkSession, sf: str) -> DataFrame:
