@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.html import home_gate, html_to_text, pricing_ok
 from sitelens.functions.urls import with_normalized_url
-from sitelens.operators.links import link_targets, with_pricing_link
+from sitelens.functions.urls import with_url_join
+from sitelens.operators.links import LINK_PATTERN, with_pricing_link
 from sitelens.session import materialize
 
 
@@ -35,17 +36,20 @@ def normalized_pages(pages: DataFrame) -> DataFrame:
     return with_normalized_url(pages.select("page_id", "url", "html"), "url", "norm_url")
 
 
-def page_features(pages: DataFrame, keywords: list[str] | None = None, normalized: bool = False) -> DataFrame:
-    """(page_id, norm_url, text, pricing_link, pricing_key) for every page
-    row; ``pricing_key`` is the pricing link normalised for the lookup, so
-    requests never re-parse it. ``normalized``: ``pages`` already has
-    ``norm_url``."""
+def page_features(pages: DataFrame, keywords: list[str] | None = None, normalized: bool = False,
+                  with_hrefs: bool = False) -> DataFrame:
+    """(page_id, norm_url, text, pricing_link, pricing_key[, hrefs]) for
+    every page row; ``pricing_key`` is the pricing link normalised for the
+    lookup, so requests never re-parse it. ``normalized``: ``pages`` already
+    has ``norm_url``; ``with_hrefs`` keeps every anchor's href (document
+    order) so later steps need not read the html again."""
     df = pages if normalized else normalized_pages(pages)
+    extra = [F.regexp_extract_all(F.col("html"), F.lit(LINK_PATTERN), 1).alias("hrefs")] if with_hrefs else []
     df = df.withColumn("text", html_to_text("html"))
     df = with_pricing_link(df, "html", "norm_url", "pricing_link", keywords)
     df = with_normalized_url(df, "pricing_link", "pricing_key")
     return df.select("page_id", "norm_url", "text", "pricing_link",
-                     F.when(F.col("pricing_link").isNotNull(), F.col("pricing_key")).alias("pricing_key"))
+                     F.when(F.col("pricing_link").isNotNull(), F.col("pricing_key")).alias("pricing_key"), *extra)
 
 
 SNAP_COLS = ["page_id", "text", "pricing_link", "pricing_key"]
@@ -58,19 +62,22 @@ def snapshot(features: DataFrame) -> DataFrame:
             .select("norm_url", *[f"s.{c}" for c in SNAP_COLS]))
 
 
-def linked_pages(pages: DataFrame, features: DataFrame, normalized: bool = False) -> DataFrame:
+def linked_pages(features: DataFrame) -> DataFrame:
     """Snapshot rows for link targets that were not crawled themselves.
 
-    Test stand-in for the second fetch: every distinct same-host link target
-    gets the content of page ``min(linking page_id) + 1`` (no row when that
-    page does not exist, which is a failed pricing fetch). Derived from
+    Test stand-in for the second fetch: every distinct link target gets the
+    content of page ``min(linking page_id) + 1`` (no row when that page does
+    not exist, which is a failed pricing fetch). ``features`` must carry
+    ``hrefs`` (``page_features(..., with_hrefs=True)``); derived from
     ``pages`` only, so it grows with the table.
     """
-    base = pages if normalized else normalized_pages(pages)
+    links = features.select("page_id", "norm_url", F.explode("hrefs").alias("href"))
+    links = with_url_join(links, "norm_url", "href", "abs_url")
     # Unresolvable links get a null source id (never joins) instead of a
     # filter: a filter on a URL-derived flag would be pushed back through
     # every derivation step and inlined there.
-    links = with_normalized_url(link_targets(base).select("page_id", "abs_url", "err"), "abs_url", "target")
+    links = with_normalized_url(links.select("page_id", "abs_url", F.col("abs_url_err").alias("err")),
+                                "abs_url", "target")
     firsts = links.groupBy("target").agg(F.min(F.when(~F.col("err"), F.col("page_id"))).alias("src"))
     content = features.select(F.col("page_id").alias("cid"), "text", "pricing_link", "pricing_key")
     return (firsts.join(content, F.col("cid") == F.col("src") + 1)
@@ -85,12 +92,14 @@ def crawl_snapshot(pages: DataFrame, keywords: list[str] | None = None,
 
     The snapshot is read twice per bundle (home and pricing lookups), so by
     default it is checkpointed once into the shared checkpoint folder."""
-    base = normalized_pages(pages)
-    feats = page_features(base, keywords, normalized=True)
-    snap = snapshot(feats).withColumn("crawled", F.lit(True))
+    feats = page_features(pages, keywords, with_hrefs=with_linked)
+    if with_linked and materialized:
+        # The html is read once; features (with hrefs) feed both branches.
+        feats = materialize(feats, "page_features")
+    snap = snapshot(feats.drop("hrefs") if with_linked else feats).withColumn("crawled", F.lit(True))
     if with_linked:
         # One row per link target already (grouped by target in linked_pages).
-        extra = linked_pages(base, feats, normalized=True).join(snap.select("norm_url"), "norm_url", "left_anti")
+        extra = linked_pages(feats).join(snap.select("norm_url"), "norm_url", "left_anti")
         snap = snap.unionByName(extra.select("norm_url", *SNAP_COLS).withColumn("crawled", F.lit(False)))
     return materialize(snap, "crawl_snapshot") if materialized else snap
 
