@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import pii, secrets, urlrules, warc
+from sitelens.llm import langid, minhash, pack, pii, secrets, urlrules, warc
 from sitelens.llm.common import inline_rows, table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 # The URL rules of the contract.
 URL_RULES = [{"host": "net", "path": "/", "verdict": "block"},
              {"host": "example.net", "path": "/en/", "verdict": "allow"},
@@ -16,6 +18,16 @@ URL_RULES = [{"host": "net", "path": "/", "verdict": "block"},
              {"host": "org", "path": "/fr/", "verdict": "allow"}]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 ids by multiway differencing."""
+    return pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text, by anchor expansion."""
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("found")
@@ -26,6 +38,17 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), inline_rows(spark, URL_RULES))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, by script, n-gram scores and Viterbi spans."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).drop("spans")
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every text, its edited text and their likeness."""
+    return minhash.neighbour_report(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page to a content-addressed archive and reads it back."""
     path = warc.archive_path(spark)
@@ -40,4 +63,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_url_rules, op9_warc, op10_secrets)}
+    return {f.__name__: f for f in (
+        op1_pack, op2_pii, op3_url_rules, op6_language, op8_order_minhash, op9_warc, op10_secrets)}
