@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import langid, minhash, pack, pii, secrets, urlrules, warc
+from sitelens.llm import decontam, langid, minhash, pack, pii, secrets, shards, urlrules, warc
 from sitelens.llm.common import inline_rows, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,12 +38,22 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), inline_rows(spark, URL_RULES))
 
 
+def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, by q-gram bands and alignment."""
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, by script, n-gram scores and Viterbi spans."""
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs)).drop("spans")
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of even counts, equal texts together where quotas allow."""
+    return shards.shard_documents(table(spark, sf_dir, "documents")).drop("link")
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of every text, its edited text and their likeness."""
     return minhash.neighbour_report(table(spark, sf_dir, "documents"))
@@ -64,4 +74,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_pack, op2_pii, op3_url_rules, op6_language, op8_order_minhash, op9_warc, op10_secrets)}
+        op1_pack, op2_pii, op3_url_rules, op4_contamination, op6_language, op7_shards,
+        op8_order_minhash, op9_warc, op10_secrets)}
