@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontam, langid, minhash, pack, pii, secrets, shards, urlrules, warc
+from sitelens.llm import decontam, jaccard, langid, minhash, pack, pii, secrets, shards, urlrules, warc
 from sitelens.llm.common import inline_rows, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,11 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are 85 % alike."""
+    return jaccard.components_of(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, by script, n-gram scores and Viterbi spans."""
     docs = table(spark, sf_dir, "documents")
@@ -74,5 +79,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_pack, op2_pii, op3_url_rules, op4_contamination, op6_language, op7_shards,
-        op8_order_minhash, op9_warc, op10_secrets)}
+        op1_pack, op2_pii, op3_url_rules, op4_contamination, op5_ngram_jaccard, op6_language, op7_shards, op8_order_minhash, op9_warc, op10_secrets)}
