@@ -139,7 +139,7 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     step = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(
         F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("size"),
         (F.length(m if rule.group == 0 else F.regexp_extract(m, rule.regex, rule.group)) >= rule.least).alias("kept")))
-    empty = F.array().cast("array<struct<s:bigint,ord:int,e:bigint,kind:string>>")
+    empty = F.array().cast(SPANS)
 
     def add(acc, x):
         start = acc["at"] + x["gap"]
@@ -151,23 +151,26 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(step, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), add, lambda a: a["out"])
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """Returns id, text and ``found``: the spans of all rules by start, then
-    rule order. Candidates are written to the shared folder first: verification
-    then joins two plain tables, where a text with a third of all rows is split."""
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    hits = materialize(candidates(source, rules), "secret-candidates")
-    joined = (source.withColumn("text_hash", F.xxhash64("text")).join(hits, "text_hash", "left")
-              .select("id", "text", F.coalesce("rules", F.lit(0)).alias("rules")))
-    empty = F.array().cast("array<struct<s:bigint,ord:int,e:bigint,kind:string>>")
+SPANS = "array<struct<s:bigint,ord:int,e:bigint,kind:string>>"
+
+
+def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
+               found: str = "__secrets") -> DataFrame:
+    """``docs`` with all its columns and ``found``: the spans of all rules by
+    start, then rule order. Candidates are written to the shared folder first:
+    verification then joins two plain tables, where a text with a third of all
+    rows is split."""
+    hits = materialize(candidates(docs.select(text_or_empty(text_col).alias("text")), rules), "secret-candidates") \
+        .select(F.col("text_hash").alias("__text_hash"), F.col("rules").alias("__rules"))
+    text = text_or_empty(text_col)
+    joined = docs.withColumn("__own_hash", F.xxhash64(text)).join(hits, F.col("__own_hash") == F.col("__text_hash"), "left")
     spans = []
     for i, r in enumerate(rules):
-        may = F.col("text").rlike(r.regex)
+        may = text.rlike(r.regex)
         if trigram_query(r.regex) is not None:
-            may = (F.expr(f"rules & {1 << i}L") != 0) & may
-        spans.append(F.when(may, rule_spans(F.col("text"), r, i)).otherwise(empty))
-    return joined.select("id", "text", F.array_sort(F.concat(*spans)).alias("found"))
+            may = (F.expr(f"coalesce(__rules, 0L) & {1 << i}L") != 0) & may
+        spans.append(F.when(may, rule_spans(text, r, i)).otherwise(F.array().cast(SPANS)))
+    return joined.withColumn(found, F.array_sort(F.concat(*spans))).drop("__own_hash", "__text_hash", "__rules")
 
 
 def span_text(spans: Column) -> Column:
@@ -178,7 +181,7 @@ def span_text(spans: Column) -> Column:
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     base = [r.kind for r in rules if r.base]
-    found = scan_secrets(docs, rules, id_col, text_col)
+    found = with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rules, found="found")
     ours = F.filter("found", lambda x: x["kind"].isin(base))
 
     def count(kind: str) -> Column:
@@ -191,19 +194,20 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]",
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) with every span replaced by ``mark``; overlapping spans of
-    different rules are replaced as one. Texts without spans come back as they are."""
-    found = scan_secrets(docs, rules, id_col, text_col)
+                   text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, every span of the text replaced by
+    ``mark``; overlapping spans of different rules are replaced as one. Texts
+    without spans, and null, come back as they are."""
+    found = with_spans(docs, rules, text_col)
+    text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def cut(acc, x):
-        gap = F.col("text").substr((acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
+        gap = text.substr((acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
         fresh = x["s"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"),
                         F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    cleaned = F.aggregate("found", start, cut, lambda a: F.concat(
-        a["out"], F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
-    return found.select(F.col("id").alias(id_col),
-                        F.when(F.size("found") == 0, F.col("text")).otherwise(cleaned).alias(text_col))
+    cleaned = F.aggregate("__secrets", start, cut, lambda a: F.concat(
+        a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
+    return found.withColumn(text_col, F.when(F.size("__secrets") == 0, text).otherwise(cleaned)).drop("__secrets")
