@@ -3,20 +3,14 @@
 The original fetches two pages per audit over HTTP. Here both fetches are
 lookups into a page-snapshot table keyed by normalised URL:
 
-* ``page_features`` runs the per-page work once, map-side: URL
-  normalisation, HTML -> text, the in-row pricing-link search and the
-  normalised pricing key. Only text leaves this step; html does not cross a
-  shuffle (except the small-input spread in ``sources.tables``).
-* ``snapshot`` keeps one row per normalised URL (largest ``page_id`` wins)
-  with a partial+final ``max_by`` aggregate: map-side combine keeps hot URLs
-  from piling up in one task. ``crawl_snapshot`` writes it once to the
-  shared checkpoint folder because both lookups read it.
-* ``bundle_by_url`` builds the bundle once per snapshot URL: the pricing
-  lookup is a self-join of the snapshot, not of the requests.
-* ``content_bundle`` left-joins requests to that per-URL bundle (one
-  equi-join on the normalised URL, optionally carrying only the flags);
-  AQE picks broadcast or sort-merge from runtime sizes and splits skewed
-  partitions.
+* ``page_features`` runs the per-page work once, map-side: URL normalisation,
+  HTML -> text, the in-row pricing-link search, the normalised pricing key and
+  the text's length. Html does not cross a shuffle.
+* ``snapshot`` keeps one row per normalised URL (largest ``page_id`` wins): the
+  winner is found on two narrow columns, texts are joined to it afterwards.
+* ``bundle_flags`` decides home and pricing page from keys and lengths alone; a
+  page without a pricing link has no key and takes no part in the lookup.
+* ``content_bundle`` joins requests to the flags and attaches each text once.
 """
 
 from __future__ import annotations
@@ -24,129 +18,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.html import home_gate, html_to_text, pricing_ok
+from sitelens.functions.html import HOME_MIN_CHARS, JS_SUSPECT_CHARS, PRICING_MIN_CHARS, html_to_text
+from sitelens.functions.text import strip_ws
 from sitelens.functions.urls import with_normalized_url
-from sitelens.functions.urls import with_url_join
-from sitelens.operators.links import LINK_PATTERN, with_pricing_link
-from sitelens.session import materialize
-
-
-def normalized_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, norm_url)."""
-    return with_normalized_url(pages.select("page_id", "url", "html"), "url", "norm_url")
-
-
-def page_features(pages: DataFrame, keywords: list[str] | None = None, normalized: bool = False,
-                  with_hrefs: bool = False) -> DataFrame:
-    """(page_id, norm_url, text, pricing_link, pricing_key[, hrefs]) for
-    every page row; ``pricing_key`` is the pricing link normalised for the
-    lookup, so requests never re-parse it. ``normalized``: ``pages`` already
-    has ``norm_url``; ``with_hrefs`` keeps every anchor's href (document
-    order) so later steps need not read the html again."""
-    df = pages if normalized else normalized_pages(pages)
-    extra = [F.regexp_extract_all(F.col("html"), F.lit(LINK_PATTERN), 1).alias("hrefs")] if with_hrefs else []
-    df = df.withColumn("text", html_to_text("html"))
-    df = with_pricing_link(df, "html", "norm_url", "pricing_link", keywords)
-    df = with_normalized_url(df, "pricing_link", "pricing_key")
-    return df.select("page_id", "norm_url", "text", "pricing_link",
-                     F.when(F.col("pricing_link").isNotNull(), F.col("pricing_key")).alias("pricing_key"), *extra)
+from sitelens.operators.links import with_pricing_link
 
+SNAP_COLS = ["page_id", "text", "n_text", "pricing_link", "pricing_key"]
 
-SNAP_COLS = ["page_id", "text", "pricing_link", "pricing_key"]
+
+def page_features(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+    """(page_id, norm_url, text, n_text, pricing_link, pricing_key) for every
+    page row; ``pricing_key`` is the pricing link normalised for the lookup, so
+    requests never re-parse it; ``n_text`` the stripped text's length."""
+    df = with_normalized_url(pages.select("page_id", "url", "html"), "url", "norm_url")
+    df = df.withColumn("text", html_to_text("html")).withColumn("n_text", F.length(strip_ws("text")))
+    df = with_pricing_link(df, "html", "norm_url", "pricing_link", keywords)
+    df = with_normalized_url(df, "pricing_link", "pricing_key")
+    return df.select("page_id", "norm_url", "text", "n_text", "pricing_link",
+                     F.when(F.col("pricing_link").isNotNull(), F.col("pricing_key")).alias("pricing_key"))
 
 
 def snapshot(features: DataFrame) -> DataFrame:
-    """One row per normalised URL; the largest ``page_id`` wins."""
-    best = F.max_by(F.struct(*SNAP_COLS), F.col("page_id"))
-    return (features.groupBy("norm_url").agg(best.alias("s"))
-            .select("norm_url", *[f"s.{c}" for c in SNAP_COLS]))
+    """One row per normalised URL; the largest ``page_id`` wins. ``features``
+    should be a table: it is read twice, once without its texts."""
+    winners = features.groupBy("norm_url").agg(F.max("page_id").alias("page_id"))
+    return features.join(winners, ["norm_url", "page_id"], "left_semi").select("norm_url", *SNAP_COLS)
 
 
-def linked_pages(features: DataFrame) -> DataFrame:
-    """Snapshot rows for link targets that were not crawled themselves.
+def bundle_flags(snap: DataFrame) -> DataFrame:
+    """Per snapshot URL, without texts: ``norm_url, home_ok, requires_js,
+    pricing_url, pricing_key`` (the last two set only when the pricing page is kept).
 
-    Test stand-in for the second fetch: every distinct link target gets the
-    content of page ``min(linking page_id) + 1`` (no row when that page does
-    not exist, which is a failed pricing fetch). ``features`` must carry
-    ``hrefs`` (``page_features(..., with_hrefs=True)``); derived from
-    ``pages`` only, so it grows with the table.
-    """
-    links = features.select("page_id", "norm_url", F.explode("hrefs").alias("href"))
-    links = with_url_join(links, "norm_url", "href", "abs_url")
-    # Unresolvable links get a null source id (never joins) instead of a
-    # filter: a filter on a URL-derived flag would be pushed back through
-    # every derivation step and inlined there.
-    links = with_normalized_url(links.select("page_id", "abs_url", F.col("abs_url_err").alias("err")),
-                                "abs_url", "target")
-    firsts = links.groupBy("target").agg(F.min(F.when(~F.col("err"), F.col("page_id"))).alias("src"))
-    content = features.select(F.col("page_id").alias("cid"), "text", "pricing_link", "pricing_key")
-    return (firsts.join(content, F.col("cid") == F.col("src") + 1)
-            .select(F.col("target").alias("norm_url"), F.col("cid").alias("page_id"), "text", "pricing_link",
-                    "pricing_key"))
-
-
-def crawl_snapshot(pages: DataFrame, keywords: list[str] | None = None,
-                   with_linked: bool = True, materialized: bool = True) -> DataFrame:
-    """Snapshot of crawled pages (plus, optionally, the linked-page stand-in;
-    crawled pages win on a URL collision).
-
-    The snapshot is read twice per bundle (home and pricing lookups), so by
-    default it is checkpointed once into the shared checkpoint folder."""
-    feats = page_features(pages, keywords, with_hrefs=with_linked)
-    if with_linked and materialized:
-        # The html is read once; features (with hrefs) feed both branches.
-        feats = materialize(feats, "page_features")
-    snap = snapshot(feats.drop("hrefs") if with_linked else feats).withColumn("crawled", F.lit(True))
-    if with_linked:
-        # One row per link target already (grouped by target in linked_pages).
-        extra = linked_pages(feats).join(snap.select("norm_url"), "norm_url", "left_anti")
-        snap = snap.unionByName(extra.select("norm_url", *SNAP_COLS).withColumn("crawled", F.lit(False)))
-    return materialize(snap, "crawl_snapshot") if materialized else snap
-
-
-def bundle_by_url(snap: DataFrame) -> DataFrame:
-    """The bundle of every snapshot URL, computed once per URL (J-2 is a
-    self-join of the snapshot, not of the request table): ``norm_url,
-    home_text, home_ok, requires_js, pricing_url, pricing_text``.
-
-    Home text shorter than 50 characters is blanked with ``requires_js=true``
-    and no pricing lookup; otherwise ``requires_js`` is ``len < 500``. The
-    pricing page is kept only when its text is longer than 50 characters;
-    ``pricing_url`` is set only then.
-    """
-    home_text, requires_js = home_gate(F.col("_home_raw"))
-    df = (snap.select("norm_url", F.col("text").alias("_home_raw"), F.col("pricing_link").alias("_plink"),
-                      F.col("pricing_key").alias("_pkey"))
-          .withColumn("home_text", home_text).withColumn("requires_js", requires_js)
-          .withColumn("home_ok", F.col("home_text") != "")
-          .withColumn("_pkey", F.when(F.col("home_ok"), F.col("_pkey"))))
-    pricing = snap.select(F.col("norm_url").alias("_pkey"), F.col("text").alias("_ptext"))
-    df = df.join(pricing, "_pkey", "left")
-    ok = pricing_ok(F.col("_ptext"))
-    return df.select("norm_url", "home_text", "home_ok", "requires_js",
-                     F.when(ok, F.col("_plink")).alias("pricing_url"), F.when(ok, F.col("_ptext")).alias("pricing_text"))
-
-
-def content_bundle(requests: DataFrame, snap: DataFrame, url_col: str = "url",
-                   normalized_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Per request: ``fetched`` (a snapshot row exists), ``home_text``,
-    ``home_ok``, ``requires_js``, ``pricing_url``, ``pricing_text``.
-
-    ``normalized_col`` names a column of ``requests`` that already holds the
-    normalised URL (skips re-normalising per request); ``columns`` restricts
-    the bundle columns carried to each request (e.g. only the flags, so page
-    texts are not copied to every request of the same URL).
+    Home text shorter than 50 characters counts as none (``requires_js`` true,
+    no pricing lookup); otherwise ``requires_js`` is ``length < 500``. The
+    pricing page is kept only when its text is longer than 50 characters.
     """
-    if normalized_col:
-        req = requests.withColumnRenamed(normalized_col, "norm_url") if normalized_col != "norm_url" else requests
-    else:
-        req = with_normalized_url(requests, url_col, "norm_url")
-    b = bundle_by_url(snap).withColumn("_hit", F.lit(True))
-    if columns:
-        b = b.select("norm_url", "_hit", *columns)
-    df = req.join(b, "norm_url", "left")
-    df = df.withColumn("fetched", F.col("_hit").isNotNull()).drop("_hit")
-    for c in ("home_ok", "requires_js"):
-        if c in df.columns:
-            df = df.withColumn(c, F.when(F.col("fetched"), F.col(c)))
-    return df
+    pages = snap.select("norm_url", "n_text", "pricing_link", "pricing_key")
+    asked = pages.where((F.col("n_text") >= HOME_MIN_CHARS) & F.col("pricing_key").isNotNull()) \
+        .select("norm_url", "pricing_link", "pricing_key")
+    found = pages.where(F.col("n_text") > PRICING_MIN_CHARS).select(F.col("norm_url").alias("pricing_key"))
+    kept = asked.join(found, "pricing_key", "left_semi").select(
+        F.col("norm_url").alias("_of"), F.col("pricing_link").alias("pricing_url"), "pricing_key")
+    homes = pages.select("norm_url", (F.col("n_text") >= HOME_MIN_CHARS).alias("home_ok"),
+                         (F.col("n_text") < JS_SUSPECT_CHARS).alias("requires_js"))
+    return homes.join(kept, F.col("norm_url") == F.col("_of"), "left").drop("_of")
+
+
+def with_flags(requests: DataFrame, snap: DataFrame) -> DataFrame:
+    """``requests`` (with ``norm_url``) and ``fetched`` (a snapshot row exists),
+    ``home_ok``, ``requires_js``, ``pricing_url``, ``pricing_key``."""
+    flags = bundle_flags(snap).withColumnRenamed("norm_url", "_url").withColumn("_hit", F.lit(True))
+    return requests.join(flags, F.col("norm_url") == F.col("_url"), "left") \
+        .withColumn("fetched", F.col("_hit").isNotNull()).drop("_hit", "_url")
+
+
+def content_bundle(requests: DataFrame, snap: DataFrame, url_col: str = "url") -> DataFrame:
+    """Per request: ``norm_url``, ``fetched``, ``home_text`` ('' when too
+    short), ``requires_js``, ``pricing_url``, ``pricing_text``."""
+    df = with_flags(with_normalized_url(requests, url_col, "norm_url"), snap)
+    homes = snap.where(F.col("n_text") >= HOME_MIN_CHARS).select(F.col("norm_url").alias("_home"), F.col("text").alias("_htext"))
+    prices = snap.select(F.col("norm_url").alias("_price"), F.col("text").alias("pricing_text"))
+    df = df.join(homes, F.col("norm_url") == F.col("_home"), "left")
+    df = df.join(prices, F.col("pricing_key") == F.col("_price"), "left")
+    return df.withColumn("home_text", F.when(F.col("fetched"), F.coalesce("_htext", F.lit("")))) \
+        .drop("_home", "_htext", "_price", "pricing_key")

@@ -8,7 +8,7 @@ holds an id, which ends it.
 
 Set-wise: the dialog session is the running count of buttons; a text is
 handled when no earlier text of its session was (URL state) or no earlier
-*valid* text was (sheet state). Three running counts, no per-user loop.
+*valid* text was (sheet state). All are running counts of one pass.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.windows import hour_bucket, running_multi
+from sitelens.operators.windows import running
 
 # Event kinds of the chat log (the driver's stand-in mapping).
 START_BUTTON = "click"
@@ -38,12 +38,9 @@ def message_routing(log: DataFrame) -> DataFrame:
             "is_text": F.col("kind").isin(TEXT_PLAIN, TEXT_WITH_ID).cast("long"),
             "is_valid": (F.col("kind") == TEXT_WITH_ID).cast("long"),
             "button": F.when(F.col("kind").isin(START_BUTTON, CONNECT_BUTTON), F.col("kind"))})
-    df = running_multi(df, ["user_id"], ORDER, sums={"session": ("is_button", True)},
-                       lasts={"state": "button"}, bucket=hour_bucket())
+    df = running(df, "user_id", ORDER, sums={"session": ("is_button", True)}, lasts={"state": "button"},
+                 since={"prior_texts": ("is_text", "is_button"), "prior_valid": ("is_valid", "is_button")})
     texts = df.filter(F.col("is_text") == 1)
-    texts = running_multi(texts, ["user_id", "session"], ORDER,
-                          sums={"prior_texts": ("is_text", False), "prior_valid": ("is_valid", False)},
-                          bucket=hour_bucket())
     action = (F.when(F.col("session") == 0, F.lit("ignored"))
               .when(F.col("state") == START_BUTTON,
                     F.when(F.col("prior_texts") == 0, F.lit("audit")).otherwise(F.lit("ignored")))

@@ -8,7 +8,7 @@ the chosen link is resolved to an absolute URL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import urls as U
@@ -17,14 +17,27 @@ from sitelens.functions import urls as U
 # link text with nested tags does not match; a greedy prefix means the LAST
 # href= inside the tag wins (data-href= too); the href is not entity-decoded.
 LINK_PATTERN = r"""(?is)<a[^>]*href=["']([^"']+)["'][^>]*>([^<]*)</a>"""
-# Keywords that mark a pricing link (substring match on lower-cased
+# Keywords that mark a pricing link (substring match on lower-cased
 # "href text").
 PRICING_KEYWORDS = ["цены", "цена", "тариф", "тарифы", "стоимость", "прайс",
                     "pricing", "price", "prices", "tariff", "cost", "payment", "план"]
-# Links that never count as a pricing page, by raw href prefix.
+# Links that never count as a pricing page, by raw href prefix.
 SKIPPED_HREF_PREFIXES = ["#", "mailto:", "tel:"]
 
 
+# The same pattern for one whole anchor: the search above it has found its ends.
+_ANCHOR = "^" + LINK_PATTERN.removeprefix("(?is)") + "$"
+
+
+def anchors(html) -> Column:
+    """array<struct<href, text>> in document order: one pass over the page, the
+    parts are taken from the short anchors."""
+    one = "(?is)" + _ANCHOR
+    found = F.regexp_extract_all(html if not isinstance(html, str) else F.col(html), F.lit(LINK_PATTERN), F.lit(0))
+    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, one, 1).alias("href"),
+                                                 F.regexp_extract(a, one, 2).alias("text")))
+
+
 def keyword_regex(keywords: list[str]) -> str:
     """Alternation of literal keywords (each quoted)."""
     return "(" + "|".join(r"\Q" + k + r"\E" for k in keywords) + ")"
@@ -34,12 +47,8 @@ def page_links(pages: DataFrame, html_col: str = "html", id_col: str = "page_id"
                keep: list[str] | None = None) -> DataFrame:
     """(page_id, pos, href, text, *keep): every anchor in document order
     (P-12). A narrow explode of each page row; no shuffle."""
-    pat = F.lit(LINK_PATTERN)
-    hrefs = F.regexp_extract_all(F.col(html_col), pat, 1)
-    texts = F.regexp_extract_all(F.col(html_col), pat, 2)
-    links = F.zip_with(hrefs, texts, lambda h, t: F.struct(h.alias("href"), t.alias("text")))
     keep = list(keep or [])
-    return (pages.select(id_col, *keep, F.posexplode(links).alias("pos", "link"))
+    return (pages.select(id_col, *keep, F.posexplode(anchors(html_col)).alias("pos", "link"))
             .select(id_col, "pos", F.col("link.href").alias("href"), F.col("link.text").alias("text"), *keep))
 
 
@@ -56,7 +65,6 @@ def with_pricing_link(df: DataFrame, html_col: str, base_col: str, out: str,
     """
     kw = keyword_regex(keywords or PRICING_KEYWORDS)
     t = f"__{out}"
-    pat = F.lit(LINK_PATTERN)
     df = U.with_url_parts(df, base_col, f"{t}b")
     B = lambda n: F.col(f"{t}b_{n}")
 
@@ -67,9 +75,7 @@ def with_pricing_link(df: DataFrame, html_col: str, base_col: str, out: str,
         return hit
 
     cand = F.filter(
-        F.zip_with(F.regexp_extract_all(F.col(html_col), pat, 1), F.regexp_extract_all(F.col(html_col), pat, 2),
-                   lambda h, x: F.struct(h.alias("href"), x.alias("text"))),
-        lambda l: F.lower(F.concat(l["href"], F.lit(" "), l["text"])).rlike(kw))
+        anchors(html_col), lambda l: F.lower(F.concat(l["href"], F.lit(" "), l["text"])).rlike(kw))
     # Split each candidate href far enough to know the result's authority.
     df = df.withColumn(f"{t}_c1", F.transform(cand, lambda l: F.struct(
         l["href"].alias("href"),

@@ -12,7 +12,7 @@ Set-wise over the logs:
   (``min_by`` over connections, partial + final) and a join, no sequential
   per-user loop;
 * the destination of a direct write is the latest connection before the
-  request (as-of, ``running_last``);
+  request (as-of, ``operators.windows``);
 * row ids are the request ids: deterministic, so a replayed batch writes
   the same keys and the sink can drop what it already has (effectively once).
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.windows import hour_bucket, running_last
+from sitelens.operators.windows import running
 from sitelens.schemas import REPORT_COLUMNS, REPORT_HEADERS
 
 
@@ -36,30 +36,37 @@ def first_connections(links: DataFrame) -> DataFrame:
         F.col("c.sheet_id").alias("conn_sheet_id"))
 
 
-def route(results: DataFrame, links: DataFrame) -> DataFrame:
-    """J-3: adds ``route`` (``write``/``pending``) and ``sheet_id`` (the
-    destination at request time, null when pending). ``results`` needs
-    (request_id, user_id, ts)."""
+def destinations(requests: DataFrame, links: DataFrame) -> DataFrame:
+    """(request_id, user_id, ts, sheet_id): the destination connected when the
+    request was made, null before the first connection. ``requests`` needs
+    (request_id, user_id, ts); wide columns are better joined afterwards."""
     conn = links.filter(F.col("sheet_id") != "").select(
-        "user_id", "ts", F.col("event_id").alias("request_id"), F.col("sheet_id").alias("new_sheet"),
-        F.lit(True).alias("is_conn"))
-    tl = results.select("user_id", "ts", "request_id", F.lit(None).cast("string").alias("new_sheet"),
-                        F.lit(False).alias("is_conn")).unionByName(conn)
-    tl = running_last(tl, ["user_id"], ["ts", "request_id"], "new_sheet", "sheet_id", bucket=hour_bucket())
-    dest = tl.filter(~F.col("is_conn")).select("request_id", "sheet_id")
-    return results.join(dest, "request_id", "left").withColumn(
-        "route", F.when(F.col("sheet_id").isNotNull(), F.lit("write")).otherwise(F.lit("pending")))
+        "user_id", "ts", F.col("event_id").alias("request_id"), F.col("sheet_id").alias("new_sheet"))
+    tl = requests.select("user_id", "ts", "request_id", F.lit(None).cast("string").alias("new_sheet")).unionByName(conn)
+    tl = running(tl, "user_id", ["ts", "request_id"], lasts={"sheet_id": "new_sheet"})
+    return tl.filter(F.col("new_sheet").isNull()).select("request_id", "user_id", "ts", "sheet_id")
+
+
+def with_route(results: DataFrame) -> DataFrame:
+    """J-3: adds ``route``: ``write`` with a destination, else ``pending``."""
+    return results.withColumn("route", F.when(F.col("sheet_id").isNotNull(), F.lit("write")).otherwise(F.lit("pending")))
+
+
+def row_key(*cols: str) -> F.Column:
+    """W-4: an id that follows from a row's content, so that a replayed write
+    makes the same id."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
 
 
 def pending_rows(routed: DataFrame, links: DataFrame) -> DataFrame:
-    """S-5/S-4/J-4: the outbox table with its delivery: (id, user_id, url,
-    result_json, created_at, written, flush_event_id, flushed_to)."""
+    """S-5/S-4/J-4: the outbox table with its delivery: (id, row_key, user_id,
+    url, created_at, written, flush_event_id, flushed_to)."""
     conn = first_connections(links)
     p = routed.filter(F.col("route") == "pending").select(
-        F.col("request_id").alias("id"), "user_id", "url", "result_json", F.col("ts").alias("created_at"))
+        F.col("request_id").alias("id"), "user_id", "url", F.col("ts").alias("created_at"))
     return (p.join(conn, "user_id", "left")
             .withColumn("written", F.col("conn_event_id").isNotNull())
-            .select("id", "user_id", "url", "result_json", "created_at", "written",
+            .select("id", row_key("id", "user_id", "url").alias("row_key"), "user_id", "url", "created_at", "written",
                     F.col("conn_event_id").alias("flush_event_id"), F.col("conn_sheet_id").alias("flushed_to")))
 
 
@@ -88,13 +95,30 @@ def header_check(existing) -> F.Column:
             .when(c == expected, F.lit("ok")).otherwise(F.lit("mismatch")))
 
 
-def write_reports(rows: DataFrame, path: str, fmt: str = "csv", mode: str = "append") -> None:
-    """S-6: append report rows partitioned by destination; display headers
-    are applied only here. ``rows`` needs ``sheet_id`` and the 28 report
-    columns."""
-    out = rows.select("sheet_id", *[F.col(c).alias(h) for c, h in zip(REPORT_COLUMNS, REPORT_HEADERS)])
-    w = out.write.mode(mode).partitionBy("sheet_id")
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.format(fmt).save(path)
+def check_headers(sheets: DataFrame) -> DataFrame:
+    """``sheets`` (sheet_id, first_row) with ``header``: see ``header_check``."""
+    return sheets.withColumn("header", header_check("first_row"))
+
+
+SINK_BUCKETS = 16
+
+
+def write_reports(rows: DataFrame, sheets: DataFrame, path: str) -> None:
+    """S-6/S-7: append report rows to the sink, with the outcome of the header
+    rule for their destination (``create``: the headers are written with the
+    rows; ``mismatch``: the rows go in below the other headers, as in the
+    original). Files are laid out by day and a bucket of the destination, not by
+    destination, so their number does not grow with the users."""
+    out = rows.join(check_headers(sheets).select("sheet_id", "header"), "sheet_id", "left")
+    out = out.withColumn("header", F.coalesce("header", F.lit("create"))) \
+        .withColumn("day", F.to_date("created_at")) \
+        .withColumn("bucket", F.pmod(F.crc32("sheet_id"), F.lit(SINK_BUCKETS)).cast("int"))
+    cells = [F.col(c).alias(h) for c, h in zip(REPORT_COLUMNS, REPORT_HEADERS)]
+    out.select("sheet_id", "header", *cells, "day", "bucket").repartition("day", "bucket") \
+        .write.mode("append").partitionBy("day", "bucket").parquet(path)
+
+
+def read_reports(spark, path: str) -> DataFrame:
+    """The sink's rows under their column names."""
+    df = spark.read.parquet(path)
+    return df.select("sheet_id", "header", *[F.col(f"`{h}`").alias(c) for c, h in zip(REPORT_COLUMNS, REPORT_HEADERS)])

@@ -7,25 +7,26 @@ them statement by statement. Set-wise:
   ``(ts, event_id)``, a partial+final aggregate;
 * initial limit row (``INSERT OR IGNORE``): ``min_by`` over the first event;
 * admission with a fixed limit: a request is admitted iff the user's earlier
-  would-succeed requests number fewer than the limit (exact while the limit
-  does not change), a running count;
-* admission with limit changes: the timeline of each user is cut into
-  segments at every limit change. Per segment only three numbers matter
-  (limit, would-succeed count, the counter at its start), so the sequential
-  part is a fold over a user's few segment summaries (a small array, JVM-side
-  ``aggregate``); everything per request stays a running count.
-
-Running counts use ``running_sum`` with hour buckets, so a user holding a
-large share of the log is spread over many tasks.
+  would-succeed requests number fewer than the limit, a running count;
+* admission with limit changes: every accepted change starts a segment. Per
+  segment only its limit, its would-succeed count and the counter at its start
+  matter; the counters are folded over the (few, narrow) segment rows in order,
+  and a request is admitted iff counter + earlier successes of the segment stay
+  below the limit.
+
+Running counts use range-partitioned timelines (``operators.windows``), so a
+user who holds a large share of the log is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sitelens.operators.windows import hour_bucket, running_last, running_sum
+from sitelens.operators.windows import running
 from sitelens.schemas import DEFAULT_USER_LIMIT
 
 ORDER = ["ts", "request_id"]
@@ -49,18 +50,18 @@ def limits_initial(requests: DataFrame, changes: DataFrame, default: int = DEFAU
 
 def quota_admission(requests: DataFrame, limit: int = DEFAULT_USER_LIMIT) -> DataFrame:
     """W-3/F-1: adds ``prior_ok`` and ``admitted`` for a fixed limit."""
-    df = running_sum(requests, ["user_id"], ORDER, F.col("would_succeed").cast("long"), "prior_ok",
-                     bucket=hour_bucket())
+    df = requests.withColumn("__ws", F.col("would_succeed").cast("long"))
+    df = running(df, "user_id", ORDER, sums={"prior_ok": ("__ws", False)}).drop("__ws")
     return df.withColumn("admitted", F.col("prior_ok") < F.lit(limit))
 
 
-def usage_counts(admission: DataFrame) -> DataFrame:
-    """A-1: (user_id, current) = admitted successful audits per user."""
-    return admission.groupBy("user_id").agg(
-        F.count_if(F.col("admitted") & F.col("would_succeed")).cast("long").alias("current"))
+def usage_counts(limits: DataFrame) -> DataFrame:
+    """A-1: (user_id, current) of the final limits rows."""
+    return limits.select("user_id", "current")
 
 
-def _timeline(requests: DataFrame, changes: DataFrame) -> DataFrame:
+def timeline_of(requests: DataFrame, changes: DataFrame) -> DataFrame:
+    """(user_id, ts, request_id, ws, new_limit) from requests and accepted changes."""
     req = requests.select("user_id", "ts", "request_id", F.col("would_succeed").cast("long").alias("ws"),
                           F.lit(None).cast("long").alias("new_limit"))
     chg = changes.select("user_id", "ts", F.col("event_id").alias("request_id"), F.lit(0).cast("long").alias("ws"),
@@ -68,48 +69,53 @@ def _timeline(requests: DataFrame, changes: DataFrame) -> DataFrame:
     return req.unionByName(chg)
 
 
-def limit_asof(requests: DataFrame, changes: DataFrame, default: int = DEFAULT_USER_LIMIT,
-               timeline: DataFrame | None = None) -> DataFrame:
+def limit_asof(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT) -> DataFrame:
     """J-8/J-5: per request, the limit in force (last accepted change before
     it, else the default): (request_id, user_id, max_limit)."""
-    tl = timeline if timeline is not None else _timeline(requests, changes)
-    tl = running_last(tl, ["user_id"], ORDER, "new_limit", "lim", bucket=hour_bucket())
-    return tl.filter(F.col("new_limit").isNull()).select("request_id", "user_id", F.coalesce("lim", F.lit(default).cast("long")).alias("max_limit"))
-
-
-SEG = T.ArrayType(T.StructType([T.StructField("seg", T.LongType()), T.StructField("c0", T.LongType())]))
-
-
-def quota_replay(requests: DataFrame, changes: DataFrame, default: int = DEFAULT_USER_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """W-3b: exact replay of check-then-increment with limit changes.
+    tl = running(timeline, "user_id", ORDER, lasts={"lim": "new_limit"})
+    return tl.filter(F.col("new_limit").isNull()).select(
+        "request_id", "user_id", F.coalesce("lim", F.lit(default).cast("long")).alias("max_limit"))
+
+
+def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments in order -> the counter at the start and end of each. One
+    number is kept between rows."""
+    user, count = object(), 0
+    for b in it:
+        starts, ends = [], []
+        for u, lim, ws in zip(*(b.column(c).to_pylist() for c in ("user_id", "lim", "ws_total"))):
+            if u != user:
+                user, count = u, 0
+            starts.append(count)
+            count += min(ws, max(0, lim - count))
+            ends.append(count)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+                                         [*b.schema.names, "c0", "c1"])
+
+
+def replay_timeline(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT,
+                    keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """W-3b: exact replay of check-then-increment with limit changes over
+    ``(user_id, ts, request_id, ws, new_limit)``.
 
     Returns ``(per_request, final_state)``: per request ``(request_id,
-    user_id, admitted, max_limit)``; per user the final ``(user_id, current,
-    max_limit)`` row of the limits table.
+    user_id, admitted, max_limit, *keep)``; per user the final ``(user_id,
+    current, max_limit)`` row of the limits table.
     """
-    return replay_timeline(_timeline(requests, changes), default)
+    tl = timeline.withColumn("is_chg", F.col("new_limit").isNotNull().cast("long"))
+    tl = running(tl, "user_id", ORDER, sums={"seg": ("is_chg", True)}, since={"prior": ("ws", "is_chg")})
+    segments = tl.groupBy("user_id", "seg").agg(
+        F.coalesce(F.max("new_limit"), F.lit(default).cast("long")).alias("lim"), F.sum("ws").alias("ws_total"))
+    folded = segments.repartition("user_id").sortWithinPartitions("user_id", "seg") \
+        .select("user_id", "seg", "lim", "ws_total") \
+        .mapInArrow(_fold, "user_id string, seg long, lim long, ws_total long, c0 long, c1 long")
+    final = folded.groupBy("user_id").agg(F.max_by("c1", "seg").alias("current"), F.max_by("lim", "seg").alias("max_limit"))
+    starts = folded.select(F.col("user_id").alias("__u"), F.col("seg").alias("__s"), "lim", "c0")
+    per = tl.filter(F.col("is_chg") == 0).join(
+        starts, F.col("user_id").eqNullSafe(F.col("__u")) & (F.col("seg") == F.col("__s")))
+    return per.select("request_id", "user_id", (F.col("c0") + F.col("prior") < F.col("lim")).alias("admitted"),
+                      F.col("lim").alias("max_limit"), *(keep or [])), final
 
 
-def replay_timeline(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """``quota_replay`` over a prepared timeline ``(user_id, ts, request_id,
-    ws, new_limit)`` (e.g. ``eventlog.quota_timeline``: one scan)."""
-    tl = timeline.withColumn("is_chg", F.col("new_limit").isNotNull().cast("long"))
-    tl = running_sum(tl, ["user_id"], ORDER, "is_chg", "seg", bucket=hour_bucket(), inclusive=True)
-    summ = tl.groupBy("user_id", "seg").agg(
-        F.coalesce(F.max("new_limit"), F.lit(default).cast("long")).alias("lim"),
-        F.sum("ws").alias("ws_total"))
-    step = lambda acc, x: F.struct(
-        (acc["c"] + F.least(x["ws_total"], F.greatest(F.lit(0).cast("long"), x["lim"] - acc["c"]))).alias("c"),
-        F.concat(acc["out"], F.array(F.struct(x["seg"].alias("seg"), acc["c"].alias("c0")))).alias("out"))
-    init = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast(SEG).alias("out"))
-    folded = summ.groupBy("user_id").agg(
-        F.aggregate(F.sort_array(F.collect_list(F.struct("seg", "lim", "ws_total"))), init, step).alias("f"),
-        F.max_by("lim", "seg").alias("final_limit"))
-    starts = folded.select("user_id", F.inline("f.out"))
-    final = folded.select("user_id", F.col("f.c").alias("current"), F.col("final_limit").alias("max_limit"))
-    reqs = tl.filter(F.col("is_chg") == 0)
-    reqs = running_sum(reqs, ["user_id", "seg"], ORDER, "ws", "prior", bucket=hour_bucket())
-    per = (reqs.join(starts, ["user_id", "seg"]).join(summ.select("user_id", "seg", "lim"), ["user_id", "seg"])
-           .select("request_id", "user_id", (F.col("c0") + F.col("prior") < F.col("lim")).alias("admitted"),
-                   F.col("lim").alias("max_limit")))
-    return per, final
+def quota_replay(requests: DataFrame, changes: DataFrame, default: int = DEFAULT_USER_LIMIT) -> tuple[DataFrame, DataFrame]:
+    return replay_timeline(timeline_of(requests, changes), default)

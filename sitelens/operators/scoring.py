@@ -85,9 +85,6 @@ PRICING_URL (если есть): {PRICING_URL}
 
 Верни только JSON.
 """
-# Model call settings of the original.
-TEMPERATURE = 0.3
-MAX_TOKENS = 4000
 # ---------------------------------------------------------------------------
 
 _PLACEHOLDERS = ["{HOME_TEXT}", "{PRICING_TEXT}", "{PRICING_URL}"]
@@ -119,57 +116,60 @@ def user_prompt(home, pricing_text, pricing_url) -> Column:
 
 
 def prompt_requests(bundle: DataFrame, id_col: str = "request_id") -> DataFrame:
-    """(request_id, system, user, n_chars) for every fetched request."""
-    user = user_prompt("home_text", "pricing_text", "pricing_url")
-    return bundle.select(id_col, F.lit(SYSTEM_PROMPT).alias("system"), user.alias("user")) \
-        .withColumn("n_chars", F.length("system") + F.length("user"))
-
-
-SCORED = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("raw_answer", T.StringType()),
-                       T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
+    """(id, user, n_chars): the user prompt of every request. The system prompt
+    is one constant; it is not carried with the rows."""
+    return bundle.select(id_col, user_prompt("home_text", "pricing_text", "pricing_url").alias("user")) \
+        .withColumn("n_chars", F.length("user"))
 
 
 def score(requests: DataFrame, client_factory: Callable[[], Callable[[str, str], str]],
-          attempts: int = 2, id_col: str = "request_id") -> DataFrame:
-    """R-13: ``(request_id, raw_answer, attempts, error)``.
+          attempts: int = 2, id_col: str = "request_id", system: str = SYSTEM_PROMPT) -> DataFrame:
+    """R-13: ``(id, raw_answer, attempts, error)``.
 
     ``client_factory()`` runs once per partition on the executor and returns
-    ``call(system, user) -> raw text``. Only the id and the two prompt
-    columns are shipped to Python.
+    ``call(system, user) -> raw text``. Only the id and the user prompt are
+    shipped to Python.
     """
+    schema = T.StructType([requests.schema[id_col], T.StructField("raw_answer", T.StringType()),
+                           T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = client_factory()
         for b in batches:
             raws, tries, errs = [], [], []
-            for s, u in zip(b["system"], b["user"]):
+            for u in b["user"]:
                 raw, err, n = None, None, 0
                 while n < attempts:
                     n += 1
                     try:
-                        raw, err = call(s, u), None
+                        raw, err = call(system, u), None
                         break
-                    except Exception as e:  # noqa: BLE001 - reported per row
+                    except Exception as e:  # noqa: BLE001 - a failed call is reported in its row
                         err = f"{type(e).__name__}: {e}"
                 raws.append(raw)
                 tries.append(n)
                 errs.append(err)
-            yield pd.DataFrame({"request_id": b[id_col].astype("int64"), "raw_answer": raws,
-                                "attempts": pd.Series(tries, dtype="int32"), "error": errs})
+            yield pd.DataFrame({id_col: b[id_col], "raw_answer": raws, "attempts": pd.Series(tries, dtype="int32"),
+                                "error": errs})
+
+    return requests.select(id_col, "user").mapInPandas(run, schema)
+
 
-    return requests.select(F.col(id_col).cast("long").alias(id_col), "system", "user").mapInPandas(run, SCORED)
+STUB_REFUSES = 7  # the stand-in fails for prompts whose length is a multiple of this
 
 
 def stub_client_factory():
-    """Deterministic stand-in model for tests and benchmarks: answers with
-    the first words of the page text in every field, as strict JSON."""
+    """Deterministic stand-in for the model, for tests and benchmarks: the whole
+    prompt's length and number of line breaks in the first and last field. It
+    refuses some prompts, so that failed calls occur."""
     import json
 
     from sitelens.schemas import FIELD_KEYS
 
     def call(system: str, user: str) -> str:
-        home = user.split("---")[1].strip() if "---" in user else ""
-        words = home.split()
-        data = {k: " ".join(words[i * 3:(i + 1) * 3]) for i, k in enumerate(FIELD_KEYS)}
+        if len(user) % STUB_REFUSES == 0:
+            raise RuntimeError("refused")
+        data = {FIELD_KEYS[0]: f"{len(user)} characters", FIELD_KEYS[-1]: f"{user.count(chr(10))} breaks"}
         return "```json\n" + json.dumps(data, ensure_ascii=False) + "\n```"
 
     return call

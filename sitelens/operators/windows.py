@@ -1,88 +1,135 @@
-"""Running aggregates that survive a hot key.
-
-A plain ``sum(...) over (partition by user order by ts)`` puts all rows of a
-user into one task; if one user holds a third of the log, one task sorts a
-third of the data. ``running_sum`` splits each key's timeline into buckets
-(e.g. hours): the running sum inside a bucket is a window over
-``(key, bucket)``, and the offset of each bucket is a prefix sum over the
-small per-bucket totals table. Results equal the plain window exactly, as
-long as the bucket is monotone in the ordering columns.
+"""Running aggregates over range-partitioned timelines.
+
+A plain window over a user puts all rows of that user into one task. Here rows
+are range-partitioned and sorted by (key, order), so a user with a third of the
+log lies in many ranges. Each task runs over its rows once with vectorised
+prefix sums; what a key has gathered in earlier ranges comes from a table with
+one row per key and range, and is added by a join. The source is scanned once
+and shuffled once: both branches read the same exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+PART, ROW = "__part", "__row"
+
+
+class _Running:
+    """State of the current key at the end of what has been read."""
 
-UNBOUNDED = Window.unboundedPreceding
+    def __init__(self, key: str, sums: dict, lasts: dict, since: dict):
+        self.key, self.sums, self.lasts, self.since = key, sums, lasts, since
+        self.current, self.rows, self.open = object(), 0, False
+        self.sum = dict.fromkeys(sums, 0)
+        self.last = dict.fromkeys(lasts)
+        self.part = dict.fromkeys(since, 0)
+        self.cut = dict.fromkeys(since, False)
 
+    def batch(self, b: pa.RecordBatch, part: int) -> pa.RecordBatch:
+        n = b.num_rows
+        keys = b.column(self.key).dictionary_encode()
+        codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        start = np.concatenate([[True], codes[1:] != codes[:-1]])
+        start[0] = not self.open or b.column(self.key)[0].as_py() != self.current
+        index = np.arange(n)
+        first = np.maximum.accumulate(np.where(start, index, -1))  # -1: the key came with the last batch
+        carried = first < 0
+        cols, names = [], []
 
-def running_multi(df: DataFrame, keys: list[str], order: list[str], sums: dict | None = None,
-                  lasts: dict | None = None, bucket: Column | None = None) -> DataFrame:
-    """Several running aggregates over the same (key, order) in one pass.
+        def value(name: str) -> np.ndarray:
+            return b.column(name).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    ``sums``: ``{out: (value, inclusive)}`` running sums over earlier rows of
-    the key (``inclusive`` also counts the current row; 0 when none).
-    ``lasts``: ``{out: column}`` last non-null value up to and including the
-    current row (as-of lookup).
+        for out, (col, inclusive) in self.sums.items():
+            v = value(col)
+            total = np.cumsum(v)
+            before = total - v
+            run = before - np.where(carried, 0, before[first]) + np.where(carried, self.sum[out], 0)
+            cols.append(pa.array(run + v if inclusive else run, pa.int64()))
+            names.append(out)
+            self.sum[out] = int(run[-1] + v[-1])
+        for out, col in self.lasts.items():
+            v = b.column(col)
+            known = np.where(v.is_valid().to_numpy(zero_copy_only=False), index, -1)
+            at = np.maximum.accumulate(known)
+            here = at >= np.maximum(first, 0)
+            taken = v.take(pa.array(np.where(here, at, 0), mask=~here))
+            if self.last[out] is not None:
+                taken = pc.if_else(pa.array(carried & ~here), pa.scalar(self.last[out], v.type), taken)
+            cols.append(taken)
+            names.append(out)
+            self.last[out] = taken[n - 1].as_py()
+        for out, (col, reset) in self.since.items():
+            v, resets = value(col), value(reset) > 0
+            v = np.where(resets, 0, v)
+            total = np.cumsum(v)
+            before = total - v
+            begin = np.maximum.accumulate(np.where(start | resets, index, -1))
+            run = before - np.where(begin < 0, 0, before[begin]) + np.where(begin < 0, self.part[out], 0)
+            last_cut = np.maximum.accumulate(np.where(resets, index, -1))
+            cut = (last_cut >= np.maximum(first, 0)) | (carried & self.cut[out])
+            cols += [pa.array(run, pa.int64()), pa.array(run + v, pa.int64()), pa.array(cut)]
+            names += [out, f"__n_{out}", f"__c_{out}"]
+            self.part[out], self.cut[out] = int(run[-1] + v[-1]), bool(cut[-1])
+        self.current, self.open = b.column(self.key)[n - 1].as_py(), True
+        cols += [pa.array(np.full(n, part, np.int32)), pa.array(self.rows + index, pa.int64())]
+        self.rows += n
+        return pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names, PART, ROW])
 
-    With ``bucket`` (monotone in ``order``, e.g. the hour of ``ts``) the
-    key's timeline is split: one window over ``(key, bucket)`` for the
-    in-bucket part, one small per-bucket totals table (partial aggregation)
-    with prefix sums / carried lasts over buckets, and one join. Results equal
-    the plain window exactly; a hot key spreads over many tasks.
+
+def running(df: DataFrame, key: str, order: list[str], sums: dict | None = None, lasts: dict | None = None,
+            since: dict | None = None) -> DataFrame:
+    """Running aggregates over (key, order) in one pass.
+
+    ``sums``: ``{out: (column, inclusive)}`` sum over earlier rows of the key,
+    with the current row if ``inclusive``; 0 when there is none.
+    ``lasts``: ``{out: column}`` last non-null value up to the current row.
+    ``since``: ``{out: (column, reset)}`` sum over earlier rows after the last
+    row whose ``reset`` is positive (such a row starts anew and adds nothing).
     """
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    val = lambda v: F.col(v) if isinstance(v, str) else v
-    if bucket is None:
-        out = df
-        for o, (v, inc) in sums.items():
-            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNBOUNDED, Window.currentRow if inc else -1)
-            out = out.withColumn(o, F.coalesce(F.sum(val(v)).over(w), F.lit(0)).cast("long"))
-        for o, v in lasts.items():
-            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNBOUNDED, Window.currentRow)
-            out = out.withColumn(o, F.last(val(v), ignorenulls=True).over(w))
-        return out
-    b = df.withColumns({"__bkt": bucket, **{f"__v_{o}": val(v).cast("long") for o, (v, _) in sums.items()},
-                        **{f"__l_{o}": val(v) for o, v in lasts.items()}})
-    # In-bucket part first: one shuffle of the input by (key, bucket).
-    wi = lambda inc: Window.partitionBy(*keys, "__bkt").orderBy(*order).rowsBetween(
-        UNBOUNDED, Window.currentRow if inc else -1)
-    b = b.withColumns({**{f"__i_{o}": F.coalesce(F.sum(f"__v_{o}").over(wi(inc)), F.lit(0))
-                          for o, (_, inc) in sums.items()},
-                       **{f"__i_{o}": F.last(f"__l_{o}", ignorenulls=True).over(wi(True)) for o in lasts}})
-    # Per-bucket totals from the same, already (key, bucket)-partitioned rows:
-    # no further shuffle of the input; the exchange below is shared.
-    ordkey = F.struct(*[F.col(c) for c in order])
-    aggs = [F.sum(f"__v_{o}").alias(f"__t_{o}") for o in sums]
-    aggs += [F.max_by(F.col(f"__l_{o}"), F.when(F.col(f"__l_{o}").isNotNull(), ordkey)).alias(f"__t_{o}")
-             for o in lasts]
-    totals = b.groupBy(*keys, "__bkt").agg(*aggs)
-    wo = Window.partitionBy(*keys).orderBy("__bkt").rowsBetween(UNBOUNDED, -1)
-    offs = totals.select(*keys, "__bkt",
-                         *[F.coalesce(F.sum(f"__t_{o}").over(wo), F.lit(0)).alias(f"__o_{o}") for o in sums],
-                         *[F.last(f"__t_{o}", ignorenulls=True).over(wo).alias(f"__o_{o}") for o in lasts])
-    b = b.join(offs, [*keys, "__bkt"])
-    b = b.withColumns({**{o: (F.col(f"__o_{o}") + F.col(f"__i_{o}")).cast("long") for o in sums},
-                       **{o: F.coalesce(F.col(f"__i_{o}"), F.col(f"__o_{o}")) for o in lasts}})
-    temps = ["__bkt"] + [f"__{x}_{o}" for o in sums for x in "vio"] + [f"__{x}_{o}" for o in lasts for x in "lio"]
-    return b.drop(*temps)
-
-
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column | str, out: str,
-                bucket: Column | None = None, inclusive: bool = False) -> DataFrame:
-    """Adds ``out`` = sum of ``value`` over earlier rows of the same key
-    (``inclusive`` also counts the current row); 0 when there is none."""
-    return running_multi(df, keys, order, sums={out: (value, inclusive)}, bucket=bucket)
-
-
-def hour_bucket(ts: str = "ts") -> Column:
-    return F.date_trunc("hour", F.col(ts))
-
-
-def running_last(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                 bucket: Column | None = None) -> DataFrame:
-    """Adds ``out`` = last non-null ``value`` up to and including the current
-    row within the key (as-of lookup), split by ``bucket`` like
-    ``running_sum``."""
-    return running_multi(df, keys, order, lasts={out: value}, bucket=bucket)
+    from pyspark import TaskContext
+    sums, lasts, since = dict(sums or {}), dict(lasts or {}), dict(since or {})
+    fields = list(df.schema.fields) + [T.StructField(o, T.LongType()) for o in sums]
+    fields += [T.StructField(o, df.schema[c].dataType) for o, c in lasts.items()]
+    for o in since:
+        fields += [T.StructField(o, T.LongType()), T.StructField(f"__n_{o}", T.LongType()),
+                   T.StructField(f"__c_{o}", T.BooleanType())]
+    fields += [T.StructField(PART, T.IntegerType()), T.StructField(ROW, T.LongType())]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, part = _Running(key, sums, lasts, since), TaskContext.get().partitionId()
+        for b in it:
+            if b.num_rows:
+                yield state.batch(b, part)
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = df.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order).mapInArrow(run, T.StructType(fields))
+
+    # what each key has at the end of each range ...
+    end = [F.sum(c).alias(f"__t_{o}") for o, (c, _) in sums.items()]
+    end += [F.max_by(o, ROW).alias(f"__t_{o}") for o in lasts]
+    end += [x for o in since for x in (F.max_by(f"__n_{o}", ROW).alias(f"__t_{o}"),
+                                       F.bool_or(f"__c_{o}").alias(f"__c_{o}"))]
+    totals = local.groupBy(key, PART).agg(*end)
+    # ... and so what it brings into a range from the earlier ones
+    w = Window.partitionBy(key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    for o in since:
+        totals = totals.withColumn(f"__b_{o}", F.coalesce(F.sum(f"__t_{o}").over(w), F.lit(0)))
+    brought = totals.select(
+        F.col(key).alias("__key"), F.col(PART).alias("__of"),
+        *[F.coalesce(F.sum(f"__t_{o}").over(w), F.lit(0)).alias(f"__o_{o}") for o in sums],
+        *[F.last(f"__t_{o}", ignorenulls=True).over(w).alias(f"__o_{o}") for o in lasts],
+        *[(F.col(f"__b_{o}") - F.coalesce(F.last(F.when(F.col(f"__c_{o}"), F.col(f"__b_{o}")), ignorenulls=True).over(w),
+                                          F.lit(0))).alias(f"__o_{o}") for o in since])
+    out = local.join(brought, F.col(key).eqNullSafe(F.col("__key")) & (F.col(PART) == F.col("__of")))
+    return out.select(
+        *df.columns, *[(F.col(o) + F.col(f"__o_{o}")).cast("long").alias(o) for o in sums],
+        *[F.coalesce(o, f"__o_{o}").alias(o) for o in lasts],
+        *[F.when(F.col(f"__c_{o}"), F.col(o)).otherwise(F.col(o) + F.col(f"__o_{o}")).cast("long").alias(o) for o in since])

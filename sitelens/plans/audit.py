@@ -1,83 +1,117 @@
-"""The end-to-end audit pipeline and the outbox queries.
+"""The end-to-end audit and the outbox queries.
 
-requests (events) -> page (pages) -> content bundle -> model answer
-(synthetic answers of ``documents``, the scorer stand-in) -> outcome chain
-(limit -> invalid_url -> fetch_failed -> internal_error -> ok) -> result
-envelope -> route (write now / park) -> flush on first connection -> report
-rows.
+requests (events) -> address -> content flags -> model answer (synthetic
+answers of ``documents``, the scorer stand-in) -> quota with limit changes ->
+outcome -> result envelope -> route (write now / park) -> flush on first
+connection -> report rows.
+
+Only ids, addresses and flags go through the timelines; the wide answers are
+joined once, at the end, to the requests that need them. ``audit_decisions`` is
+a table built once per input and read by every query here.
 
 Requests are assigned pages and answers by ``request_id`` modulo the table
-sizes (scalar subqueries, computed once); every table is read whole.
+sizes (scalar subqueries); every table is read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import answers as A
-from sitelens.functions import urls as U
 from sitelens.operators import bundle as B
 from sitelens.operators import outbox as O
 from sitelens.operators import quota as Q
-from sitelens.plans.answers import synthetic_answers
-from sitelens.plans.pages import TEST_KEYWORDS
-from sitelens.schemas import DEFAULT_USER_LIMIT, FIELDS, REPORT_COLUMNS
-from sitelens.session import materialize
+from sitelens.plans import standin as Si
+from sitelens.plans.answers import parsed_answers
+from sitelens.plans.pages import crawl_snapshot
+from sitelens.schemas import FIELDS, REPORT_COLUMNS
+from sitelens.session import checkpoint_dir, shared_table
 from sitelens.sources import eventlog as L
 from sitelens.sources.tables import documents, events, pages
 
-
-def audit_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per audit request with its outcome and, when ok, its
-    ``result_json``."""
-    p = pages(spark, sf)
-    docs = documents(spark, sf, "doc_id", "text", "n_chars")
-    n_pages = p.select(F.count("*")).scalar()
-    n_docs = docs.select(F.count("*")).scalar()
-    req = L.audit_requests(events(spark, sf)).withColumn("page_id", F.pmod("request_id", n_pages))
-    # URLs are normalised once per page, not once per request.
-    pnorm = U.with_normalized_url(p.select("page_id", "url"), "url", "norm_url").select("page_id", "url", "norm_url")
-    req = req.join(pnorm, "page_id")
-    bundle = B.content_bundle(req, B.crawl_snapshot(p, TEST_KEYWORDS), normalized_col="norm_url",
-                              columns=["home_ok", "requires_js", "pricing_url"])
-    ans = A.with_answer_fields(synthetic_answers(docs).withColumn("json_text", A.json_unwrap("raw")), "json_text")
-    ans = ans.select("doc_id", "parse_ok", *FIELDS)
-    runs = bundle.withColumn("doc_id", F.pmod("request_id", n_docs)).join(ans, "doc_id", "left")
+# Stand-in: what a stored result may have suffered, by request_id % BROKEN_EVERY.
+BROKEN_EVERY = 23
+BROKEN_RESULTS = {5: "cut", 6: '{"full_result": {"faq": 5}}', 7: '{"full_result": "x"}', 8: "[]",
+                  9: '{"full_result": {}, "pricing_url": 1}', 10: '{"pricing_url": null}'}
+
+
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Per audit request what it would come to if the quota allowed it."""
+    n_pages = pages(spark, sf, "page_id").select(F.count("*")).scalar()
+    n_docs = documents(spark, sf, "doc_id").select(F.count("*")).scalar()
+    req = L.audit_requests(events(spark, sf)).withColumn("page_id", F.pmod("request_id", n_pages)) \
+        .withColumn("doc_id", F.pmod("request_id", n_docs))
+    # a request without a page keeps its row: its fetch fails
+    req = req.join(pages(spark, sf, "page_id", "url").withColumnRenamed("url", "page_url"), "page_id", "left")
+    req = req.withColumn("url", Si.typed_url(F.col("request_id"), F.coalesce("page_url", F.lit("gone.test"))))
+    req = req.join(Si.typed_addresses(spark, sf), "url", "left")
+    runs = B.with_flags(req.withColumn("norm_url", F.coalesce("norm_url", F.lit("https://gone.test"))),
+                        crawl_snapshot(spark, sf))
+    runs = runs.join(parsed_answers(spark, sf).select("doc_id", "parse_ok"), "doc_id", "left")
+    parsed = F.coalesce("parse_ok", F.lit(False))
     pre = (F.when(F.col("norm_url") == "", F.lit("invalid_url"))
            .when(~F.col("fetched"), F.lit("internal_error"))
            .when(~F.col("home_ok"), F.lit("fetch_failed"))
-           .when(~F.col("would_succeed") | ~F.coalesce(F.col("parse_ok"), F.lit(False)), F.lit("internal_error"))
-           .otherwise(F.lit("ok")))
-    runs = runs.withColumn("pre", pre).withColumn("would_succeed", F.col("pre") == "ok")
-    # Admission, envelope and routing all read this table; compute it once.
-    runs = materialize(runs, "audit_runs")
-    runs = Q.quota_admission(runs, DEFAULT_USER_LIMIT)
-    runs = runs.withColumn("reason", F.when(~F.col("admitted"), F.lit("limit")).otherwise(F.col("pre")))
-    ok = F.col("reason") == "ok"
-    runs = runs.withColumn("short_summary", F.when(ok, A.short_summary()))
-    env = A.envelope_json(pricing_url="pricing_url", timestamp=A.iso_timestamp("ts"), summary="short_summary")
-    return runs.withColumn("result_json", F.when(ok, env))
+           .when(~F.col("would_succeed") | ~parsed, F.lit("internal_error")).otherwise(F.lit("ok")))
+    error = (F.when(F.col("pre") != "internal_error", F.lit(None).cast("string"))
+             .when(~F.col("fetched"), F.lit("page not reached"))
+             .when(~F.col("would_succeed"), F.lit("model call failed")).otherwise(F.lit("answer is not a record")))
+    return runs.withColumn("pre", pre).withColumn("fault", error).select(
+        "request_id", "user_id", "ts", "doc_id", "norm_url", "pricing_url", "pre", "fault")
+
+
+def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """(request_id, user_id, ts, doc_id, norm_url, pricing_url, reason, error,
+    sheet_id): every request's outcome under the quota in force, with limit
+    changes, and the destination connected at its time. A table."""
+    def build() -> DataFrame:
+        checked = shared_table(spark, "audit_checked", sf, lambda: _checked(spark, sf))
+        ev = events(spark, sf)
+        timeline = Q.timeline_of(checked.withColumn("would_succeed", F.col("pre") == "ok"), L.limit_changes(ev))
+        admitted, _ = Q.replay_timeline(timeline)
+        routed = O.destinations(checked.select("request_id", "user_id", "ts"), L.sheet_links(ev))
+        df = checked.join(admitted.select("request_id", "admitted"), "request_id") \
+            .join(routed.select("request_id", "sheet_id"), "request_id")
+        return df.select("request_id", "user_id", "ts", "doc_id", "norm_url", "pricing_url",
+                         F.when(F.col("admitted"), F.col("pre")).otherwise(F.lit("limit")).alias("reason"),
+                         F.when(F.col("admitted"), F.col("fault")).alias("error"), "sheet_id")
+    return shared_table(spark, "audit_decisions", sf, build)
 
 
 def audit_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    """F-2: (request_id, user_id, ok, reason, n_points)."""
-    r = audit_runs(spark, sf)
-    return r.select("request_id", "user_id", (F.col("reason") == "ok").alias("ok"), "reason",
-                    F.when(F.col("short_summary").isNotNull(), F.size("short_summary")).cast("long").alias("n_points"))
+    """F-2: (request_id, user_id, ok, reason, short_summary, written_now, error).
+    ``short_summary`` is the JSON text of up to four points (R-12)."""
+    d = decisions(spark, sf)
+    ok = F.col("reason") == "ok"
+    points = parsed_answers(spark, sf).select("doc_id", F.to_json(A.short_summary()).alias("points"))
+    return d.join(points, "doc_id", "left").select(
+        "request_id", "user_id", ok.alias("ok"), F.when(~ok, F.col("reason")).alias("reason"),
+        F.when(ok, F.col("points")).alias("short_summary"), F.when(ok, F.col("sheet_id").isNotNull()).alias("written_now"),
+        "error")
+
+
+def results(spark: SparkSession, sf: str) -> DataFrame:
+    """R-7: (request_id, user_id, ts, url, sheet_id, result_json) of every
+    successful audit; the wide answers meet only these."""
+    d = decisions(spark, sf).filter(F.col("reason") == "ok")
+    df = d.join(parsed_answers(spark, sf).select("doc_id", *FIELDS), "doc_id").withColumn("short_summary", A.short_summary())
+    env = A.envelope_json(pricing_url="pricing_url", timestamp=A.iso_timestamp("ts"), summary="short_summary")
+    return df.select("request_id", "user_id", "ts", F.col("norm_url").alias("url"), "sheet_id", env.alias("result_json"))
 
 
 def result_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    """R-7: the stored JSON text of every successful audit."""
-    r = audit_runs(spark, sf)
-    return r.filter(F.col("reason") == "ok").select("request_id", "result_json")
+    return results(spark, sf).select("request_id", "result_json")
 
 
-def _routed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    r = audit_runs(spark, sf).filter(F.col("reason") == "ok") \
-        .select("request_id", "user_id", "ts", F.col("norm_url").alias("url"), "result_json")
+def _routed(spark: SparkSession, sf: str, user: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Successful requests with their route, narrow; ``user`` is filtered first."""
+    d = decisions(spark, sf).filter(F.col("reason") == "ok")
     links = L.sheet_links(events(spark, sf))
-    return O.route(r, links), links
+    if user is not None:
+        d, links = d.filter(F.col("user_id") == user), links.filter(F.col("user_id") == user)
+    d = d.select("request_id", "user_id", "ts", F.col("norm_url").alias("url"), "sheet_id")
+    return O.with_route(d), links
 
 
 def outbox_route(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,42 +119,82 @@ def outbox_route(spark: SparkSession, sf: str) -> DataFrame:
     return routed.select("request_id", "user_id", "route", "sheet_id")
 
 
+def _pending(spark: SparkSession, sf: str, user: str | None = None) -> DataFrame:
+    routed, links = _routed(spark, sf, user)
+    return O.pending_rows(routed, links)
+
+
 def pending_results(spark: SparkSession, sf: str) -> DataFrame:
-    routed, links = _routed(spark, sf)
-    return O.pending_rows(routed, links).select("id", "user_id", "url", "created_at", "written")
+    return _pending(spark, sf).select("id", "row_key", "user_id", "url", "created_at", "written")
 
 
 def outbox_flush(spark: SparkSession, sf: str) -> DataFrame:
-    routed, links = _routed(spark, sf)
-    p = O.pending_rows(routed, links)
-    return p.filter(F.col("written")).select("id", "user_id", "flush_event_id", "flushed_to")
+    return _pending(spark, sf).filter(F.col("written")).select("id", "user_id", "flush_event_id", "flushed_to")
 
 
 def outbox_unwritten(spark: SparkSession, sf: str) -> DataFrame:
-    routed, links = _routed(spark, sf)
-    return O.unwritten(O.pending_rows(routed, links))
+    return O.unwritten(_pending(spark, sf))
 
 
 def flush_counts(spark: SparkSession, sf: str) -> DataFrame:
-    routed, links = _routed(spark, sf)
-    return O.flush_counts(O.pending_rows(routed, links), links)
+    return O.flush_counts(_pending(spark, sf), L.sheet_links(events(spark, sf)))
+
+
+def _stored(result_json: Column, request_id: Column) -> Column:
+    """The stored text of a result, some of them damaged (see BROKEN_RESULTS)."""
+    out = result_json
+    for at, text in BROKEN_RESULTS.items():
+        broken = F.substr(result_json, F.lit(1), F.length(result_json) - 5) if text == "cut" else F.lit(text)
+        out = F.when(F.pmod(request_id, F.lit(BROKEN_EVERY)) == at, broken).otherwise(out)
+    return out
+
+
+def _deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every result with a destination: at request time, or at its user's first
+    connection (the flush)."""
+    first = O.first_connections(L.sheet_links(events(spark, sf))).select("user_id", "conn_sheet_id")
+    d = results(spark, sf).join(first, "user_id", "left")
+    return d.withColumn("dest", F.coalesce("sheet_id", "conn_sheet_id")).filter(F.col("dest").isNotNull()).select(
+        "request_id", "user_id", "url", _stored(F.col("result_json"), F.col("request_id")).alias("result_json"),
+        F.col("ts").alias("created_at"), F.col("dest").alias("sheet_id"))
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """R-8/R-9: every delivered result (written at once or flushed) as its
-    28 report cells, with its destination."""
-    routed, links = _routed(spark, sf)
-    # One pass: a result goes to its destination at request time, else to
-    # the user's first connection (the flush), else nowhere yet.
-    conn = O.first_connections(links).select("user_id", "conn_sheet_id")
-    d = routed.join(conn, "user_id", "left").withColumn(
-        "dest", F.when(F.col("route") == "write", F.col("sheet_id")).otherwise(F.col("conn_sheet_id")))
-    d = d.filter(F.col("dest").isNotNull()).select(
-        "request_id", "user_id", "url", "result_json", F.col("ts").alias("created_at"), F.col("dest").alias("sheet_id"))
-    rows = A.with_report_row(d)
+    """R-8/R-9: every delivered result as its 28 report cells."""
+    rows = A.with_report_row(_deliveries(spark, sf))
     return rows.select("request_id", "sheet_id", "row_ok", *REPORT_COLUMNS)
 
 
+def report_rows_stamped(spark: SparkSession, sf: str) -> DataFrame:
+    """R-10: the same rows with the time of the audit in the first cell."""
+    rows = A.with_report_row(_deliveries(spark, sf), fill_timestamp=True)
+    return rows.select("request_id", "sheet_id", "row_ok", *REPORT_COLUMNS)
+
+
+def sink_header_check(spark: SparkSession, sf: str) -> DataFrame:
+    """S-7 over the first rows of all destinations: (sheet_id, header)."""
+    return O.check_headers(_sheets(spark, sf)).select("sheet_id", "header")
+
+
+def _sheets(spark: SparkSession, sf: str) -> DataFrame:
+    """Stand-in: destinations with the first row that they hold, by the length
+    and digits of their id: right, empty, missing or of other columns."""
+    from sitelens.schemas import REPORT_HEADERS
+    ids = _deliveries(spark, sf).select("sheet_id").distinct()
+    n = F.pmod(F.crc32("sheet_id"), F.lit(4))
+    right = F.array(*[F.lit(h) for h in REPORT_HEADERS])
+    return ids.select("sheet_id", F.when(n == 0, right).when(n == 1, F.array().cast("array<string>"))
+                      .when(n == 2, F.array(F.lit("Дата"), F.lit("Сайт"))).alias("first_row"))
+
+
+def written_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """S-6: the report rows appended to the sink (headers checked) and read back."""
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    O.write_reports(A.with_report_row(_deliveries(spark, sf)), _sheets(spark, sf), path)
+    return O.read_reports(spark, path).select("sheet_id", "header", *REPORT_COLUMNS)
+
+
 QUERIES = {
     "audit_outcome": audit_outcome,
     "result_envelope": result_envelope,
@@ -130,4 +204,7 @@ QUERIES = {
     "outbox_unwritten": outbox_unwritten,
     "flush_counts": flush_counts,
     "report_rows": report_rows,
+    "report_rows_stamped": report_rows_stamped,
+    "sink_header_check": sink_header_check,
+    "written_reports": written_reports,
 }

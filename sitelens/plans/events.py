@@ -11,8 +11,8 @@ from sitelens.sources.tables import events
 
 # Fallback destination id when a user has none (a deployment setting).
 DEFAULT_SHEET_ID = "default-sheet"
-# User whose pending rows the parameterised scan returns.
-PROBE_USER = "8"
+# User whose pending rows the parameterised scan returns: one who never connects.
+PROBE_USER = "12"
 
 
 def _ev(spark, sf):
@@ -47,11 +47,12 @@ def quota_admission(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def usage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.usage_counts(Q.quota_admission(L.audit_requests(_ev(spark, sf))))
+    _, final = Q.replay_timeline(L.quota_timeline(_ev(spark, sf)))
+    return Q.usage_counts(final)
 
 
 def limit_asof(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.limit_asof(None, None, timeline=L.quota_timeline(_ev(spark, sf)))
+    return Q.limit_asof(L.quota_timeline(_ev(spark, sf)))
 
 
 def quota_replay(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,12 +83,9 @@ def pending_for_user(spark: SparkSession, sf: str) -> DataFrame:
     """S-2/S-4: the scan a flush performs (one user's parked rows, oldest
     first) as Spark SQL with a named parameter (``:user`` is bound, never
     spliced into the text)."""
-    from sitelens.plans.audit import _routed
-    from sitelens.operators.outbox import pending_rows
-    routed, links = _routed(spark, sf)
-    pending = pending_rows(routed, links)
+    from sitelens.plans.audit import _pending
     return spark.sql("SELECT id, user_id, url, created_at FROM {pending} WHERE user_id = :user "
-                     "ORDER BY created_at, id", args={"user": PROBE_USER}, pending=pending)
+                     "ORDER BY created_at, id", args={"user": PROBE_USER}, pending=_pending(spark, sf, PROBE_USER))
 
 
 def quota_stream(spark: SparkSession, sf: str) -> DataFrame:

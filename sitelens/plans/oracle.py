@@ -7,7 +7,7 @@ fragments; the tables are the driver's pre-registered views.
 from __future__ import annotations
 
 from sitelens.plans import sqlgen as S
-from sitelens.plans.pages import TEST_KEYWORDS
+from sitelens.plans import standin as Si
 
 
 def _pages_sql() -> dict[str, str]:
@@ -20,7 +20,7 @@ def _pages_sql() -> dict[str, str]:
     dom = str(S.domain(st, "url", "domain").select("page_id, domain"))
     o["url_domain"] = dom
     o["domain_page_counts"] = f"SELECT domain, count(*) AS n_pages FROM ({dom}) GROUP BY domain"
-    o["html_to_text"] = f"SELECT page_id, {S.html_to_text('html')} AS text FROM pages"
+    o["html_to_text"] = f"SELECT page_id, {S.marked_text(Si.HARD_MARKUP, S.raw_text('html'))} AS text FROM pages"
     st = S.Stages("SELECT page_id, url, html FROM pages")
     dom2 = str(S.domain(st, "url", "domain"))
     n = f"length({S.html_to_text('html')})"
@@ -30,24 +30,23 @@ def _pages_sql() -> dict[str, str]:
     n = f"length({S.strip_ws('text')})"
     o["page_js_flag"] = (f"SELECT page_id, length(text) AS n_chars, NOT ({n} < 50) AS home_ok, "
                          f"(CASE WHEN {n} < 50 THEN true ELSE {n} < 500 END) AS requires_js "
-                         f"FROM ({o['html_to_text']})")
+                         f"FROM (SELECT page_id, {S.html_to_text('html')} AS text FROM ({S.site_pages()}))")
     o["page_excerpt"] = (f"SELECT page_id, substr(html, 1, 10000) AS html_excerpt, "
                          f"substr({S.html_to_text('html')}, 1, 8000) AS text_excerpt FROM pages")
-    o["html_visible_text"] = (f"SELECT page_id, {S.html_to_text('html', ['nav', 'footer'])} AS visible_text "
+    o["html_visible_text"] = (f"SELECT page_id, {S.marked_text(Si.HIDDEN_MARKUP, S.raw_text('html', True))} AS visible_text "
                               f"FROM pages")
     o["page_links"] = S.page_links("SELECT page_id, html FROM pages")
     st = S.Stages("SELECT page_id, url, html FROM pages")
     S.normalize_url(st, "url", "norm_url")
     links = S.Stages(S.page_links(str(st), keep=["norm_url"]))
     o["url_join"] = str(S.url_join(links, "norm_url", "href", "abs_url").select("page_id, pos, href, abs_url"))
-    st = S.Stages("SELECT page_id, url, html FROM pages")
+    st = S.Stages(S.site_pages())
     S.normalize_url(st, "url", "norm_url")
-    S.pricing_link(st, "html", "norm_url", "pricing_link", TEST_KEYWORDS)
+    st = S.pricing_link(st, "html", "norm_url", "pricing_link")
     o["pricing_link"] = str(st.select("page_id, norm_url, pricing_link"))
-    snap = S.crawl_snapshot(TEST_KEYWORDS)
-    b = S.content_bundle("SELECT page_id AS request_id, url FROM pages", snap)
-    o["content_bundle"] = str(b.select(
+    o["content_bundle"] = S.crawl_snapshot() + str(S.content_bundle(S.typed_requests()).select(
         "request_id, norm_url, fetched, home_text, requires_js, pricing_url, pricing_text"))
+    o["bundle_stream"] = o["content_bundle"]
     return o
 
 
@@ -65,29 +64,34 @@ def _texts_sql() -> dict[str, str]:
 
 
 def _answers_sql() -> dict[str, str]:
-    from sitelens.operators.scoring import SYSTEM_PROMPT, template_pieces
-    from sitelens.schemas import ANSWER_FIELDS, FIELDS
+    from sitelens.operators.scoring import STUB_REFUSES, SYSTEM_PROMPT, template_pieces
+    from sitelens.plans.answers import PRICED_URL
+    from sitelens.schemas import FIELDS
     o: dict[str, str] = {}
-    raw = S.synthetic_answers("SELECT doc_id, text, n_chars FROM documents")
-    o["json_unwrap"] = f"SELECT doc_id, {S.json_unwrap('raw')} AS json_text FROM ({raw})"
-    st = S.Stages(f"SELECT doc_id, n_chars, {S.json_unwrap('raw')} AS json_text FROM ({raw})")
-    parsed = str(S.answer_fields(st, "json_text", ANSWER_FIELDS))
+    o["json_unwrap"] = f"SELECT doc_id, {S.json_unwrap('raw')} AS json_text FROM ({S.synthetic_answers()})"
+    parsed = S.parsed_answers()
     o["answer_fields"] = f"SELECT doc_id, parse_ok, {', '.join(FIELDS)} FROM ({parsed})"
     summ = f"(CASE WHEN parse_ok THEN {S.short_summary()} END)"
     o["summary_points"] = (f"SELECT doc_id, len(pts)::BIGINT AS n_points, to_json(pts)::VARCHAR AS points "
                            f"FROM (SELECT doc_id, {summ} AS pts FROM ({parsed}))")
     q = S.Stages(parsed).add("short_summary", S.short_summary()).add("requires_js", "n_chars < 500") \
-        .add("pricing_url", "NULL::VARCHAR")
+        .add("pricing_url", f"CASE WHEN doc_id % 2 = 0 THEN {S.q(PRICED_URL)} END")
     flags = S.quality_flags()
     aggs = ["count(*) AS n_answers", "count_if(parse_ok) AS n_parsed"]
     aggs += [f"count_if(parse_ok AND NOT {f}) AS n_fail_{k[:-3]}" for k, f in flags.items()]
     o["answer_quality"] = f"SELECT {', '.join(aggs)} FROM ({q})"
-    snap = S.crawl_snapshot(TEST_KEYWORDS)
-    b = S.content_bundle("SELECT page_id AS request_id, url FROM pages", snap).where("fetched")
+    b = S.content_bundle(S.typed_requests()).where("fetched AND home_text <> ''")
     user = " || ".join(S.q(lit) + (f" || coalesce({ph[1:-1].lower()}, '')" if ph else "")
                        for lit, ph in template_pieces())
-    o["prompt_requests"] = (f"SELECT request_id, (length({S.q(SYSTEM_PROMPT)}) + length(u))::BIGINT AS n_chars, "
-                            f"sha256(u) AS user_sha FROM (SELECT request_id, {user} AS u FROM ({b}))")
+    prompts = f"SELECT request_id, {user} AS u FROM ({b})"
+    o["prompt_requests"] = (f"{S.crawl_snapshot()} SELECT request_id, (length({S.q(SYSTEM_PROMPT)}) + length(u))::BIGINT "
+                            f"AS n_chars, sha256(u) AS user_sha FROM ({prompts})")
+    failed = f"length(u) % {STUB_REFUSES} = 0"
+    o["batch_score"] = (
+        f"{S.crawl_snapshot()} SELECT request_id, CASE WHEN {failed} THEN 2 ELSE 1 END::BIGINT AS attempts, "
+        f"CASE WHEN {failed} THEN 'RuntimeError: refused' END AS error, NOT ({failed}) AS parse_ok, "
+        f"CASE WHEN NOT ({failed}) THEN length(u) || ' characters' END AS offer_first_screen, "
+        f"CASE WHEN NOT ({failed}) THEN (len(string_split(u, chr(10))) - 1) || ' breaks' END AS notes FROM ({prompts})")
     return o
 
 
@@ -109,29 +113,15 @@ def _events_sql() -> dict[str, str]:
            f"AS prior_ok FROM ({req})")
     adm = f"SELECT *, prior_ok < {D} AS admitted FROM ({adm})"
     o["quota_admission"] = f"SELECT request_id, user_id, prior_ok, admitted FROM ({adm})"
-    o["usage_counts"] = f"SELECT user_id, count_if(admitted AND would_succeed)::BIGINT AS current FROM ({adm}) GROUP BY user_id"
     tl = S.timeline()
     o["limit_asof"] = (f"SELECT request_id, user_id, coalesce(lim, {D})::BIGINT AS max_limit FROM ("
                        f"SELECT *, last(new_limit IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, request_id "
                        f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lim FROM ({tl})) WHERE new_limit IS NULL")
-    seg = (f"SELECT *, sum(CASE WHEN new_limit IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id "
-           f"ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM ({tl})")
-    summ = (f"SELECT user_id, seg, coalesce(max(new_limit), {D})::BIGINT AS lim, sum(ws)::BIGINT AS ws_total "
-            f"FROM ({seg}) GROUP BY user_id, seg")
-    fold = (f"WITH RECURSIVE summ AS ({summ}), firsts AS (SELECT user_id, min(seg) AS seg FROM summ GROUP BY user_id), "
-            f"fold(user_id, seg, c0) AS (SELECT user_id, seg, 0::BIGINT FROM firsts UNION ALL "
-            f"SELECT f.user_id, f.seg + 1, f.c0 + least(s.ws_total, greatest(0, s.lim - f.c0)) FROM fold f "
-            f"JOIN summ s ON s.user_id = f.user_id AND s.seg = f.seg "
-            f"WHERE EXISTS (SELECT 1 FROM summ n WHERE n.user_id = f.user_id AND n.seg = f.seg + 1)) ")
-    per = (f"SELECT r.request_id, r.user_id, f.c0 + r.prior < s.lim AS admitted, s.lim AS max_limit FROM ("
-           f"SELECT *, coalesce(sum(ws) OVER (PARTITION BY user_id, seg ORDER BY ts, request_id ROWS BETWEEN "
-           f"UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM ({seg}) WHERE new_limit IS NULL) r "
-           f"JOIN fold f ON f.user_id = r.user_id AND f.seg = r.seg JOIN summ s ON s.user_id = r.user_id AND s.seg = r.seg")
-    o["quota_replay"] = fold + per
-    last = (f"SELECT f.user_id, (f.c0 + least(s.ws_total, greatest(0, s.lim - f.c0)))::BIGINT AS current, "
-            f"s.lim AS max_limit FROM fold f JOIN summ s ON s.user_id = f.user_id AND s.seg = f.seg "
-            f"WHERE f.seg = (SELECT max(seg) FROM summ m WHERE m.user_id = f.user_id)")
-    o["limits_final"] = fold + last
+    walk = f"WITH RECURSIVE {S.replay(tl)} "
+    o["quota_replay"] = walk + "SELECT request_id, user_id, admitted, lim AS max_limit FROM walk WHERE NOT is_change"
+    o["limits_final"] = walk + ("SELECT user_id, arg_max(used, k) AS current, arg_max(lim, k) AS max_limit FROM walk "
+                                "GROUP BY user_id")
+    o["usage_counts"] = walk + "SELECT user_id, max(used) AS current FROM walk GROUP BY user_id"
     from sitelens.operators import dialog as Dg
     w = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     ws = "OVER (PARTITION BY user_id, session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -159,27 +149,38 @@ def _events_sql() -> dict[str, str]:
 
 
 def _audit_sql() -> dict[str, str]:
+    from sitelens.plans.events import PROBE_USER
+    from sitelens.schemas import REPORT_COLUMNS, REPORT_HEADERS
     o: dict[str, str] = {}
-    runs = S.audit_runs(TEST_KEYWORDS)
-    o["audit_outcome"] = (f"SELECT request_id, user_id, reason = 'ok' AS ok, reason, "
-                          f"len(short_summary)::BIGINT AS n_points FROM ({runs})")
-    o["result_envelope"] = f"SELECT request_id, result_json FROM ({runs}) WHERE reason = 'ok'"
-    routed = S.routed(TEST_KEYWORDS)
-    o["outbox_route"] = f"SELECT request_id, user_id, route, sheet_id FROM ({routed})"
-    pend = S.pending_rows(TEST_KEYWORDS)
-    o["pending_results"] = f"SELECT id, user_id, url, created_at, written FROM ({pend})"
-    o["outbox_flush"] = f"SELECT id, user_id, flush_event_id, flushed_to FROM ({pend}) WHERE written"
-    o["outbox_unwritten"] = f"SELECT id, user_id, url, created_at FROM ({pend}) WHERE NOT written"
-    o["flush_counts"] = (f"SELECT l.event_id, l.user_id, coalesce(n.n, 0)::BIGINT AS n_flushed FROM "
+    audit, pend = S.audit(), S.pending_rows()
+    o["audit_outcome"] = (
+        f"{audit} SELECT request_id, user_id, reason = 'ok' AS ok, CASE WHEN reason <> 'ok' THEN reason END AS reason, "
+        f"CASE WHEN reason = 'ok' THEN to_json({S.short_summary()})::VARCHAR END AS short_summary, "
+        f"CASE WHEN reason = 'ok' THEN sheet_id IS NOT NULL END AS written_now, error "
+        f"FROM decided d LEFT JOIN answers a ON a.doc_id = d.doc_id")
+    o["result_envelope"] = f"{audit} SELECT request_id, result_json FROM results"
+    o["outbox_route"] = (f"{audit} SELECT request_id, user_id, CASE WHEN sheet_id IS NULL THEN 'pending' ELSE 'write' END "
+                         f"AS route, sheet_id FROM decided WHERE reason = 'ok'")
+    o["pending_results"] = f"{audit} SELECT id, row_key, user_id, url, created_at, written FROM ({pend})"
+    o["outbox_flush"] = f"{audit} SELECT id, user_id, flush_event_id, flushed_to FROM ({pend}) WHERE written"
+    o["outbox_unwritten"] = f"{audit} SELECT id, user_id, url, created_at FROM ({pend}) WHERE NOT written"
+    o["flush_counts"] = (f"{audit} SELECT l.event_id, l.user_id, coalesce(n.n, 0)::BIGINT AS n_flushed FROM "
                          f"({S.sheet_links()}) l LEFT JOIN (SELECT flush_event_id, count(*) AS n FROM ({pend}) "
                          f"WHERE written GROUP BY flush_event_id) n ON n.flush_event_id = l.event_id "
                          f"WHERE l.sheet_id <> ''")
-    delivered = (f"SELECT request_id, user_id, url, result_json, ts AS created_at, sheet_id FROM ({routed}) "
-                 f"WHERE route = 'write' UNION ALL SELECT id AS request_id, user_id, url, result_json, created_at, "
-                 f"flushed_to AS sheet_id FROM ({pend}) WHERE written")
-    o["report_rows"] = S.report_row(delivered)
-    from sitelens.plans.events import PROBE_USER
-    o["pending_for_user"] = (f"SELECT id, user_id, url, created_at FROM ({pend}) WHERE user_id = {S.q(PROBE_USER)} "
+    o["report_rows"] = f"{audit} {S.report_row(S.deliveries())}"
+    o["report_rows_stamped"] = f"{audit} {S.report_row(S.deliveries(), stamped=True)}"
+    # the first row of each destination: the 28 headers, none, other ones, or no row at all
+    heads = "[" + ", ".join(S.q(h) for h in REPORT_HEADERS) + "]"
+    sheets = f"SELECT DISTINCT sheet_id, {S.crc32('sheet_id')} % 4 AS c FROM ({S.deliveries()})"
+    header = f"CASE WHEN first_row IS NULL OR len(first_row) = 0 THEN 'create' WHEN first_row = {heads} THEN 'ok' ELSE 'mismatch' END"
+    checked = (f"SELECT sheet_id, {header} AS header FROM (SELECT sheet_id, CASE c WHEN 0 THEN {heads} WHEN 1 THEN []::VARCHAR[] "
+               f"WHEN 2 THEN ['Дата', 'Сайт'] END AS first_row FROM ({sheets}))")
+    o["sink_header_check"] = f"{audit} {checked}"
+    o["written_reports"] = (f"{audit} SELECT r.sheet_id, header, {', '.join('r.' + c for c in REPORT_COLUMNS)} "
+                            f"FROM ({S.report_row(S.deliveries())}) r JOIN ({checked}) c ON c.sheet_id = r.sheet_id")
+    o["delivered_reports"] = f"{audit} SELECT request_id, sheet_id, row_ok FROM ({S.report_row(S.deliveries())})"
+    o["pending_for_user"] = (f"{audit} SELECT id, user_id, url, created_at FROM ({pend}) WHERE user_id = {S.q(PROBE_USER)} "
                              f"ORDER BY created_at, id")
     return o
 

@@ -13,14 +13,10 @@ from sitelens.functions import html as H
 from sitelens.functions import urls as U
 from sitelens.operators import bundle as B
 from sitelens.operators.links import link_targets, page_links, with_pricing_link
-from sitelens.operators.visible import with_tree_text
+from sitelens.plans import standin as Si
+from sitelens.session import shared_table
 from sitelens.sources.tables import pages
 
-# The driver's test pages contain no pricing vocabulary, so the registered
-# queries search for words that do occur in their anchors. The library
-# default stays ``PRICING_KEYWORDS``.
-TEST_KEYWORDS = ["the", "de"]
-
 
 def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
     df = U.with_normalized_url(pages(spark, sf, "page_id", "url"), "url", "norm_url")
@@ -43,7 +39,8 @@ def domain_page_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf, "page_id", "html").select("page_id", H.html_to_text("html").alias("text"))
+    """P-6 over every page, with a piece of hard markup before it."""
+    return Si.marked_pages(spark, sf, Si.HARD_MARKUP).select("page_id", H.html_to_text("html").alias("text"))
 
 
 def html_strip_tags(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +48,7 @@ def html_strip_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_js_flag(spark: SparkSession, sf: str) -> DataFrame:
-    df = html_to_text(spark, sf)
+    df = Si.site_pages(spark, sf).select("page_id", H.html_to_text("html").alias("text"))
     home, js = H.home_gate("text")
     return df.select("page_id", F.length("text").alias("n_chars"), (home != "").alias("home_ok"),
                      js.alias("requires_js"))
@@ -64,7 +61,8 @@ def page_excerpt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_visible_text(spark: SparkSession, sf: str) -> DataFrame:
-    return with_tree_text(pages(spark, sf, "page_id", "html"), "html", "visible_text").drop("html")
+    """P-8 over every page, with hidden elements before it."""
+    return Si.marked_pages(spark, sf, Si.HIDDEN_MARKUP).select("page_id", H.visible_text("html").alias("visible_text"))
 
 
 def page_links_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,18 +75,32 @@ def url_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pricing_link(spark: SparkSession, sf: str) -> DataFrame:
-    df = U.with_normalized_url(pages(spark, sf), "url", "norm_url")
-    df = with_pricing_link(df, "html", "norm_url", "pricing_link", TEST_KEYWORDS)
+    df = U.with_normalized_url(Si.site_pages(spark, sf), "url", "norm_url")
+    df = with_pricing_link(df, "html", "norm_url", "pricing_link")
     return df.select("page_id", "norm_url", "pricing_link")
 
 
+def crawl_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The crawl as a table, built once per input: one row per address, and the
+    stand-ins for pricing pages that were not crawled."""
+    features = shared_table(spark, "page_features", sf, lambda: B.page_features(Si.site_pages(spark, sf)))
+
+    def build() -> DataFrame:
+        crawled = B.snapshot(features)
+        return crawled.unionByName(Si.linked_pages(features, crawled).select("norm_url", *B.SNAP_COLS))
+    return shared_table(spark, "crawl_snapshot", sf, build)
+
+
+def bundle_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """(request_id, url): every page's address as typed, some of them not crawled."""
+    p = pages(spark, sf, "page_id", "url")
+    return p.select(F.col("page_id").alias("request_id"), Si.typed_url(F.col("page_id"), F.col("url")).alias("url"))
+
+
 def content_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: every page URL requested as typed, looked up in the crawl
-    snapshot, its pricing page looked up in the same snapshot."""
-    p = pages(spark, sf)
-    snap = B.crawl_snapshot(p, TEST_KEYWORDS)
-    req = p.select(F.col("page_id").alias("request_id"), "url")
-    return B.content_bundle(req, snap).select(
+    """Flagship: every typed address looked up in the crawl snapshot, its
+    pricing page looked up in the same snapshot."""
+    return B.content_bundle(bundle_requests(spark, sf), crawl_snapshot(spark, sf)).select(
         "request_id", "norm_url", "fetched", "home_text", "requires_js", "pricing_url", "pricing_text")
 
 

@@ -22,16 +22,6 @@ BASE_CONF = {
     # A model answer with a repeated key keeps the last value, like a
     # Python dict built from JSON does.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # The URL and link functions build long chains of derived columns. With
-    # constraint propagation on, inferred not-null filters on derived join
-    # keys are pushed through every projection and the aliases are inlined
-    # repeatedly; turning it off keeps planning linear in plan size.
-    "spark.sql.constraintPropagation.enabled": "false",
-    # Joins here are on derived keys (normalised URLs, user ids), never on a
-    # partition column; lineage tracing for partition pruning and runtime
-    # bloom filters walks the same long derivation chains for nothing.
-    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "false",
 }
 
 
@@ -92,17 +82,23 @@ def apply_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (a shared filesystem path); a local temp
-    folder is only chosen when it is unset, which is the test situation.
+    On a cluster it must be set to a path that the driver and all executors
+    share; a temp folder is only chosen for a local master, as in tests.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sitelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_TABLES: dict[str, list[str]] = {}              # application -> paths written
+_SHARED: dict[tuple[str, str, str], str] = {}   # (application, name, input) -> path
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage at an intermediate read by several consumers.
 
@@ -116,4 +112,27 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+def shared_table(spark: SparkSession, name: str, source: str, build):
+    """The table ``name`` of the input ``source``: built and written on first
+    use in this application, read by every query after that. ``build`` must
+    depend on nothing but ``source``."""
+    key = (spark.sparkContext.applicationId, name, source.rstrip("/"))
+    if key not in _SHARED:
+        materialize(build(), name)
+        _SHARED[key] = _TABLES[key[0]][-1]
+    return spark.read.parquet(_SHARED[key])
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table that this application has materialised."""
+    app = spark.sparkContext.applicationId
+    jvm = spark.sparkContext._jvm
+    for path in _TABLES.pop(app, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for key in [k for k in _SHARED if k[0] == app]:
+        del _SHARED[key]

@@ -7,7 +7,8 @@ statement at a time. Here that state is derived from append-only logs:
   is an audit request of its user; ``error`` means the audit failed, the
   others would succeed if admitted;
 * destination connections: ``signup`` events with ``props.k < 80`` carry a
-  spreadsheet link (every tenth one without an id, which is rejected);
+  spreadsheet link (every tenth one, and all of some users, without an id, which
+  is rejected);
 * limit commands: ``signup`` events with ``props.k >= 80`` are
   ``/set_limit <target> <n>`` commands issued by the event's user, with
   malformed variants (one argument, a word, a negative number) mixed in.
@@ -29,6 +30,8 @@ REQUEST_KINDS = ["click", "view", "purchase", "error"]
 FAILED_KIND = "error"
 SETTING_KIND = "signup"
 COMMAND_MIN_K = 80
+# Users whose id leaves this remainder only ever send links without an id.
+NEVER_CONNECTS = (7, 5)
 # Administrators allowed to change limits (comma-separated, blanks skipped).
 ADMIN_IDS = "0,1, 2,3 ,4,5,6,7,8,9, "
 
@@ -48,23 +51,29 @@ def audit_requests(events: DataFrame) -> DataFrame:
 def sheet_links(events: DataFrame) -> DataFrame:
     """(event_id, ts, user_id, link, sheet_id): destination connections."""
     k = k_of()
-    link = F.when(F.pmod(k, F.lit(10)) == 0, F.lit("https://docs.google.com/spreadsheets/u/0/")) \
+    without_id = (F.pmod(k, F.lit(10)) == 0) | (F.pmod(F.col("user_id"), F.lit(NEVER_CONNECTS[0])) == NEVER_CONNECTS[1])
+    link = F.when(without_id, F.lit("https://docs.google.com/spreadsheets/u/0/")) \
         .otherwise(F.concat(F.lit(SHEET_URL_PREFIX), F.lit("sh"), k.cast("string"), F.lit("/edit#gid=0")))
     return (events.filter((F.col("event_type") == SETTING_KIND) & (k < COMMAND_MIN_K))
             .select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"), link.alias("link"))
             .withColumn("sheet_id", extract_sheet_id("link")))
 
 
-def limit_commands(events: DataFrame) -> DataFrame:
-    """(event_id, ts, actor, args): ``/set_limit`` commands as issued."""
-    k = k_of()
+def command_args(k: Column) -> Column:
+    """The words after ``/set_limit`` of a command event."""
     target = k.cast("string")
     n = (F.floor(F.col("value")).cast("long") % 30).cast("string")
     m = F.pmod(k, F.lit(5))
-    args = (F.when(m == 0, F.array(target))
+    return (F.when(m == 0, F.array(target))
             .when(m == 1, F.array(target, F.lit("ten")))
             .when(m == 2, F.array(target, (-(F.pmod(k, F.lit(3))) - 1).cast("string")))
             .otherwise(F.array(target, n)))
+
+
+def limit_commands(events: DataFrame) -> DataFrame:
+    """(event_id, ts, actor, args): ``/set_limit`` commands as issued."""
+    k = k_of()
+    args = command_args(k)
     return (events.filter((F.col("event_type") == SETTING_KIND) & (k >= COMMAND_MIN_K))
             .select("event_id", "ts", F.col("user_id").alias("actor"), args.alias("args")))
 
@@ -99,14 +108,11 @@ def quota_timeline(events: DataFrame, admin_ids: str = ADMIN_IDS) -> DataFrame:
     limit changes in one projection (works on a stream as well as a table)."""
     k = k_of()
     is_req = F.col("event_type").isin(REQUEST_KINDS)
-    m = F.pmod(k, F.lit(5))
-    target = k.cast("string")
-    n = F.floor(F.col("value")).cast("long") % 30
     is_cmd = (F.col("event_type") == SETTING_KIND) & (k >= COMMAND_MIN_K)
-    # Accepted commands: admin actor, two args, a non-negative number (m >= 3).
-    ok_cmd = is_cmd & is_admin("user_id", admin_ids) & (m >= 3)
-    return (events.filter(is_req | ok_cmd)
-            .select(F.when(is_req, F.col("user_id").cast("string")).otherwise(target).alias("user_id"), "ts",
-                    F.col("event_id").alias("request_id"),
-                    F.when(is_req, (F.col("event_type") != FAILED_KIND).cast("long")).otherwise(F.lit(0)).alias("ws"),
-                    F.when(is_req, F.lit(None).cast("long")).otherwise(n).alias("new_limit")))
+    df = events.filter(is_req | is_cmd).select("event_id", "ts", "user_id", "event_type", is_req.alias("is_req"),
+                                               command_args(k).alias("args"))
+    df = df.filter(F.col("is_req") | (is_admin("user_id", admin_ids) & limit_arg_ok()))
+    return df.select(F.when(F.col("is_req"), F.col("user_id").cast("string")).otherwise(F.get("args", 0)).alias("user_id"), "ts",
+                     F.col("event_id").alias("request_id"),
+                     F.when(F.col("is_req"), (F.col("event_type") != FAILED_KIND).cast("long")).otherwise(F.lit(0)).alias("ws"),
+                     F.when(~F.col("is_req"), F.get("args", 1).try_cast("long")).alias("new_limit"))

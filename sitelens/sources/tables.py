@@ -18,57 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-# Inputs larger than this are never reshuffled just to gain parallelism.
-SPREAD_MAX_BYTES = 8 << 30
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread CPU-heavy per-row work over the cluster.
-
-    A large table arrives in many splits and is left alone (no shuffle). A
-    small scan that yields fewer than half as many splits as the default
-    parallelism (one big row group, one file) is hash-partitioned by ``key``
-    so the row-level work (regexes over html or text) does not run on a
-    single core. Catalyst's size estimate of the scan (file sizes) bounds
-    what may be reshuffled.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size > SPREAD_MAX_BYTES or df._jdf.rdd().getNumPartitions() * 2 > target:
-            return df
-    except Exception:  # noqa: BLE001 - no estimate available: leave as is
-        return df
-    return df.repartition(target, key)
-
-
 def pages(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    cols = cols or ("page_id", "url", "html")
-    df = table(spark, sf_dir, "pages", *cols)
-    return spread(df, "page_id") if "html" in cols and "page_id" in cols else df
+    return table(spark, sf_dir, "pages", *(cols or ("page_id", "url", "html")))
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    cols = cols or ("doc_id", "text")
-    df = table(spark, sf_dir, "documents", *cols)
-    return spread(df, "doc_id") if "text" in cols and "doc_id" in cols else df
+    return table(spark, sf_dir, "documents", *(cols or ("doc_id", "text")))
 
 
 def events(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return table(spark, sf_dir, "events", *(cols or ("event_id", "ts", "user_id", "event_type", "value", "props")))
 
 
+def lay_out(spark: SparkSession, sf_dir: str, target: str, files: int) -> str:
+    """Copy the input with its wide tables in ``files`` files each, as an
+    ingest would lay them out. A table that arrives as one row group can only
+    be read by one task; how many files it has is the layout's business, not
+    the queries'."""
+    for name in TABLES:
+        df = table(spark, sf_dir, name)
+        if name in ("pages", "documents", "events"):
+            df = df.repartition(files, df.columns[0])
+        df.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}.parquet")
+    return target
+
+
 def ensure_state_tables(spark: SparkSession, root: str) -> dict[str, str]:
     """S-9: create the settings, limits and outbox tables (Parquet, empty,
     explicit schemas) under ``root`` when they do not exist yet; returns
-    their paths. Existing tables are left untouched."""
+    their paths. Existing tables are left untouched (``mode=ignore``)."""
     from sitelens.schemas import LIMITS, OUTBOX, SETTINGS
     paths = {}
     for name, schema in (("users_settings", SETTINGS), ("users_limits", LIMITS), ("pending_results", OUTBOX)):
-        path = f"{root.rstrip('/')}/{name}"
-        try:
-            spark.read.schema(schema).parquet(path).limit(0).collect()
-        except Exception:  # noqa: BLE001 - missing: create it
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
-        paths[name] = path
+        paths[name] = f"{root.rstrip('/')}/{name}"
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(paths[name])
     return paths

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from conftest import SF_CHECK
 from sitelens.functions.html import html_to_text
 from sitelens.operators import quota as Q
-from sitelens.operators.visible import extract_text
 from sitelens.sources import eventlog as L
+from tree_walk import extract_text
 
 
 def test_regex_mode_equals_tree_walk_on_test_pages(spark):

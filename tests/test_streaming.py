@@ -56,7 +56,7 @@ def test_dialog_stream_matches_batch(spark):
 def test_quota_timeline_equals_union(spark):
     ev = spark.read.parquet(f"{SF_CHECK}/events.parquet")
     a = L.quota_timeline(ev)
-    b = Q._timeline(L.audit_requests(ev), L.limit_changes(ev))
+    b = Q.timeline_of(L.audit_requests(ev), L.limit_changes(ev))
     cols = ["user_id", "ts", "request_id", "ws", "new_limit"]
     assert _rows(a, cols) == _rows(b, cols)
 
