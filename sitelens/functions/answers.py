@@ -172,11 +172,6 @@ def with_report_row(df: DataFrame, json_col: str = "result_json", user_col: str
                    *[f"__f_{c}" for c in FIELDS])
 
 
-def report_array(df: DataFrame) -> Column:
-    """R-9: the 28 cells as one ordered array."""
-    return F.array(*[F.col(c) for c in REPORT_COLUMNS])
-
-
 def quality_flags(pains="target_audience_pains", faq="faq", summary="short_summary",
                   prices="prices_tariffs", notes="notes", requires_js="requires_js",
                   pricing_url="pricing_url") -> dict[str, Column]:

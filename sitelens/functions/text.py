@@ -92,8 +92,3 @@ def remove_nav_patterns(c) -> Column:
     for p in NAV_NOISE_JAVA:
         x = F.regexp_replace(x, "(?iu)" + p, "")
     return x
-
-
-def excerpt(c, n: int) -> Column:
-    """First ``n`` characters (code points, like a Python slice)."""
-    return F.substring(_col(c), 1, n)

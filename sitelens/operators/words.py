@@ -5,10 +5,8 @@ A document with more than 10 words loses every occurrence of each word
 than 3 times; the kept words are re-joined with single spaces. Shorter
 documents are only stripped.
 
-Removal runs inside each document row (sort + neighbour test, see
-``drop_frequent_words``), so it needs no shuffle at all. The word-count
-report (A-2) is an explode + ``groupBy(doc_id, word)`` with partial
-aggregation before the shuffle.
+Both run inside each document row (sort + neighbour tests), so they need no
+shuffle at all; only the few frequent words of the report are exploded.
 """
 
 from __future__ import annotations
@@ -23,11 +21,6 @@ MIN_WORD_CHARS = 3   # only words longer than this are counted
 MAX_REPEATS = 3      # words counted more often than this are dropped
 
 
-def _words(docs: DataFrame, text_col: str) -> DataFrame:
-    w = docs.select("doc_id", F.posexplode(split_ws(text_col)).alias("pos", "word"))
-    return w.withColumn("lw", F.when(F.length("word") > MIN_WORD_CHARS, F.lower("word")))
-
-
 def frequent_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, word, n): lower-cased long words occurring more than 3 times
     in a document of more than 10 words (A-2).

@@ -88,24 +88,63 @@ def pending_for_user(spark: SparkSession, sf: str) -> DataFrame:
                      "ORDER BY created_at, id", args={"user": PROBE_USER}, pending=_pending(spark, sf, PROBE_USER))
 
 
+def _event_files(sf: str) -> str:
+    """The table as a glob: a stream takes a single file only by a pattern."""
+    return f"{sf.rstrip('/')}/events.parque[t]"
+
+
 def quota_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-1 + ST-4: the quota fold run as Structured Streaming over the
-    event files (availableNow), output identical to ``quota_replay``."""
+    """ST-1 + ST-4: the quota rule run as Structured Streaming over the event
+    files (availableNow), output identical to ``quota_replay``."""
     from sitelens.streaming import streams as ST
-    stream = ST.event_stream(spark, sf, file_glob="events.parquet")
-    return ST.collect_stream(ST.quota_stream(L.quota_timeline(stream)), "quota_stream")
+    stream = ST.event_stream(spark, _event_files(sf))
+    return ST.collect_stream(ST.quota_stream(L.quota_timeline(stream)), "quota_stream").drop("late")
 
 
 def dialog_stream(spark: SparkSession, sf: str) -> DataFrame:
     """ST-1 + ST-5: the dialog state machine as Structured Streaming,
     output identical to ``message_routing``."""
     from sitelens.streaming import streams as ST
-    stream = ST.event_stream(spark, sf, file_glob="events.parquet")
-    return ST.collect_stream(ST.dialog_stream(stream), "dialog_stream")
+    stream = ST.event_stream(spark, _event_files(sf))
+    return ST.collect_stream(ST.dialog_stream(stream), "dialog_stream").drop("late")
+
+
+def bundle_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-2: the requests as a stream against the static crawl snapshot,
+    output identical to ``content_bundle``."""
+    from sitelens.plans import pages as P
+    from sitelens.session import shared_path, shared_table
+    from sitelens.streaming import streams as ST
+    table = shared_table(spark, "bundle_requests", sf, lambda: P.bundle_requests(spark, sf))
+    stream = spark.readStream.schema(table.schema).parquet(shared_path(spark, "bundle_requests", sf))
+    bundle = ST.bundle_stream(stream, P.crawl_snapshot(spark, sf))
+    return ST.collect_stream(bundle.select("request_id", "norm_url", "fetched", "home_text", "requires_js", "pricing_url",
+                                           "pricing_text"), "bundle_stream")
+
+
+def delivered_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-3: the report rows as a stream into the sink, the stream started a
+    second time from its checkpoint, and the sink read back."""
+    import uuid
+
+    from sitelens.plans import audit as Au
+    from sitelens.functions import answers as A
+    from sitelens.session import checkpoint_dir, shared_path, shared_table
+    from sitelens.streaming import streams as ST
+    table = shared_table(spark, "report_stream", sf, lambda: A.with_report_row(Au._deliveries(spark, sf)))
+    name = f"reports_{uuid.uuid4().hex[:10]}"
+    sink = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    for _ in range(2):
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", ST.FILES_PER_BATCH) \
+            .parquet(shared_path(spark, "report_stream", sf))
+        ST.run_available(stream, name, each=ST.deliver_reports(sink))
+    return spark.read.parquet(sink).select("request_id", "sheet_id", "row_ok")
 
 
 QUERIES = {
     "quota_stream": quota_stream,
+    "bundle_stream": bundle_stream,
+    "delivered_reports": delivered_reports,
     "dialog_stream": dialog_stream,
     "message_routing": message_routing,
     "sheet_urls": sheet_urls,

@@ -57,7 +57,7 @@ def page_js_flag(spark: SparkSession, sf: str) -> DataFrame:
 def page_excerpt(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf, "page_id", "html").select(
         "page_id", H.excerpt_html("html").alias("html_excerpt"),
-        F.substring(H.html_to_text("html"), 1, H.TEXT_EXCERPT_CHARS).alias("text_excerpt"))
+        H.excerpt_text(H.html_to_text("html")).alias("text_excerpt"))
 
 
 def html_visible_text(spark: SparkSession, sf: str) -> DataFrame:

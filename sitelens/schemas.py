@@ -55,10 +55,6 @@ REPORT_HEADERS: list[str] = META_HEADERS + FIELD_KEYS
 
 assert len(FIELDS) == 24 and len(REPORT_COLUMNS) == 28
 
-FULL_RESULT = T.StructType([T.StructField(c, T.StringType(), False) for c in FIELDS])
-
-REPORT_ROW = T.StructType([T.StructField(c, T.StringType(), c != "timestamp") for c in REPORT_COLUMNS])
-
 OUTBOX = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("user_id", T.StringType(), False),
@@ -78,18 +74,3 @@ LIMITS = T.StructType([
     T.StructField("current", T.LongType(), False),
     T.StructField("max_limit", T.LongType(), True),
 ])
-
-CONTENT_BUNDLE = T.StructType([
-    T.StructField("home_text", T.StringType(), False),
-    T.StructField("pricing_text", T.StringType(), True),
-    T.StructField("pricing_url", T.StringType(), True),
-    T.StructField("requires_js", T.BooleanType(), False),
-])
-
-OUTCOME = T.StructType([
-    T.StructField("ok", T.BooleanType(), False),
-    T.StructField("reason", T.StringType(), True),
-    T.StructField("short_summary", T.ArrayType(T.StringType()), True),
-    T.StructField("written_now", T.BooleanType(), True),
-    T.StructField("error", T.StringType(), True),
-])

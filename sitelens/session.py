@@ -22,6 +22,11 @@ BASE_CONF = {
     # A model answer with a repeated key keeps the last value, like a
     # Python dict built from JSON does.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Rows of a batch that goes to a Python worker: texts can be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Streaming state on disk, not on the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -72,11 +77,8 @@ def apply_conf(spark: SparkSession) -> None:
     and the package shipped to Python workers."""
     ship_package(spark)
     for k, v in BASE_CONF.items():
-        if k.startswith("spark.sql.") and k != "spark.sql.execution.arrow.pyspark.enabled":
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf on a running session
-                pass
+        if spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -127,6 +129,11 @@ def shared_table(spark: SparkSession, name: str, source: str, build):
     return spark.read.parquet(_SHARED[key])
 
 
+def shared_path(spark: SparkSession, name: str, source: str) -> str:
+    """The folder of a shared table that has been built."""
+    return _SHARED[spark.sparkContext.applicationId, name, source.rstrip("/")]
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete every table that this application has materialised."""
     app = spark.sparkContext.applicationId

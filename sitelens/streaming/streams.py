@@ -1,26 +1,34 @@
 """Structured Streaming versions of the stateful parts (ST-1..ST-5).
 
 * ST-1 ``event_stream``: ``readStream`` over the event files (a Kafka source
-  with ``startingOffsets=latest`` is the drop-the-backlog equivalent).
-* ST-2 ``bundle_stream``: stream-static left join of requests to the page
+  with ``startingOffsets=latest`` is the drop-the-backlog equivalent), a bounded
+  number of files per micro-batch.
+* ST-2 ``bundle_stream``: stream-static left joins of requests to the page
   snapshot, then the content bundle projection.
-* ST-3 ``deliver_reports``: ``foreachBatch`` sink keyed by the request id;
-  rows already in the sink are anti-joined away, so a replayed micro-batch
-  after a failure writes nothing twice.
-* ST-4 ``quota_stream``: per-user quota state ``(exists, current,
-  max_limit)`` in ``applyInPandasWithState``; the same check-then-increment
-  fold as the batch replay, one user's new rows at a time.
-* ST-5 ``dialog_stream``: per-user dialog state machine in
-  ``applyInPandasWithState``.
-
-Watermarks bound the dedupe state on ``event_id``. Checkpoints live under
-the shared ``spark.checkpoint.dir`` (see ``sitelens.session.checkpoint_dir``).
+* ST-3 ``deliver_reports``: ``foreachBatch`` sink; every epoch overwrites its own
+  folder, so a replayed micro-batch writes nothing twice and no epoch reads the
+  history.
+* ST-4 ``quota_stream``: per-user quota state in ``applyInPandasWithState``, the
+  same check-then-increment rule as the batch replay.
+* ST-5 ``dialog_stream``: per-user dialog state machine.
+
+Order: micro-batches count in the order in which they arrive, rows within one by
+(time, id). A row that is older than what its user's state has seen is handled
+when it comes and marked ``late``; no row is dropped. Repeated event ids are
+taken once per micro-batch, and across micro-batches for the last
+``REMEMBERED_IDS`` ids of a user (an at-least-once producer repeats recent rows).
+
+State is one small row per user and lives in RocksDB (``session.BASE_CONF``) with
+its checkpoints under the shared ``spark.checkpoint.dir``. It never expires: a
+quota is never reset. What a task holds is one user's rows of one micro-batch.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,70 +36,79 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sitelens.operators import dialog as Dg
+from sitelens.operators.outbox import SINK_BUCKETS
 from sitelens.schemas import DEFAULT_USER_LIMIT
 from sitelens.session import checkpoint_dir
 
+REMEMBERED_IDS = 64
+FILES_PER_BATCH = 64
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def event_stream(spark: SparkSession, path: str, max_files: int | None = None,
-                 watermark: str = "1 hour", file_glob: str | None = None) -> DataFrame:
-    """ST-1: events as a stream, de-duplicated on ``event_id`` within the
-    watermark (late duplicates from at-least-once producers are dropped).
-    ``path`` is a directory; ``file_glob`` picks the event files in it."""
-    r = spark.readStream.schema(EVENT_SCHEMA)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    if file_glob:
-        r = r.option("pathGlobFilter", file_glob)
-    # The log's ts has no zone (TIMESTAMP_NTZ); the watermark needs an
-    # instant, read in the session zone (UTC).
-    return (r.parquet(path).withColumn("event_time", F.col("ts").cast("timestamp"))
-            .withWatermark("event_time", watermark)
-            .dropDuplicatesWithinWatermark(["event_id"]))
+def event_stream(spark: SparkSession, path: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
+    """ST-1: events as a stream. ``path`` names a folder or files."""
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def checkpoint(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
+def _fresh(pdfs: Iterator[pd.DataFrame], id_col: str, seen_ts, seen_ids: str) -> tuple[pd.DataFrame, np.ndarray, str]:
+    """One user's rows of a micro-batch in (time, id) order without repeated
+    ids, which of them are late, and the ids to remember."""
+    rows = pd.concat(list(pdfs)).drop_duplicates(id_col)
+    known = seen_ids.split(",") if seen_ids else []
+    rows = rows[~rows[id_col].astype(str).isin(known)].sort_values(["ts", id_col])
+    late = (rows["ts"] < seen_ts).to_numpy() if seen_ts is not None else np.zeros(len(rows), bool)
+    return rows, late, ",".join([*known, *rows[id_col].astype(str)][-REMEMBERED_IDS:])
+
+
+def _latest(rows: pd.DataFrame, seen_ts):
+    last = rows["ts"].max() if len(rows) else None
+    return last if seen_ts is None or (last is not None and last > seen_ts) else seen_ts
+
+
 # --------------------------------------------------------------------------- ST-4
 
 QUOTA_OUT = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("user_id", T.StringType()),
-                          T.StructField("admitted", T.BooleanType()), T.StructField("max_limit", T.LongType())])
-QUOTA_STATE = T.StructType([T.StructField("current", T.LongType()), T.StructField("max_limit", T.LongType())])
+                          T.StructField("admitted", T.BooleanType()), T.StructField("max_limit", T.LongType()),
+                          T.StructField("late", T.BooleanType())])
+QUOTA_STATE = T.StructType([T.StructField("used", T.LongType()), T.StructField("lim", T.LongType()),
+                            T.StructField("seen_ts", T.TimestampNTZType()), T.StructField("seen_ids", T.StringType())])
+
+
+def admitted_run(ws: np.ndarray, changes: np.ndarray, used: int, lim: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Decisions over rows in order: ``ws`` is 1 where a request would succeed,
+    ``changes`` holds a new limit or -1. Between two changes a request is
+    admitted while earlier successes and ``used`` stay below the limit."""
+    admitted, limits = np.zeros(len(ws), bool), np.zeros(len(ws), np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(changes >= 0), [len(ws)]])
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b and changes[a] >= 0:
+            lim = int(changes[a])
+        part = ws[a:b]
+        admitted[a:b] = used + np.cumsum(part) - part < lim
+        limits[a:b] = lim
+        used += int(min(part.sum(), max(0, lim - used)))
+    return admitted, limits, used, lim
 
 
 def quota_fold(default: int = DEFAULT_USER_LIMIT):
     """State function: rows are requests (``new_limit`` null) and accepted
     limit changes of one user; state is the user's limits row."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        user = key[0]
-        current, limit = (state.get if state.exists else (None, None))
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "request_id"])
-        out_ids, out_adm, out_lim = [], [], []
-        for rid, ws, new_limit in zip(rows["request_id"], rows["ws"], rows["new_limit"]):
-            if pd.notna(new_limit):
-                if current is None:
-                    current = 0
-                limit = int(new_limit)
-                continue
-            if current is None:
-                current, limit = 0, default
-            ok = current < limit
-            if ok and ws:
-                current += 1
-            out_ids.append(int(rid))
-            out_adm.append(bool(ok))
-            out_lim.append(int(limit))
-        if current is not None:
-            state.update((int(current), int(limit)))
-        yield pd.DataFrame({"request_id": pd.Series(out_ids, dtype="int64"), "user_id": user,
-                            "admitted": pd.Series(out_adm, dtype="bool"),
-                            "max_limit": pd.Series(out_lim, dtype="int64")})
+        used, lim, seen_ts, seen_ids = state.get if state.exists else (0, default, None, "")
+        rows, late, seen_ids = _fresh(pdfs, "request_id", seen_ts, seen_ids)
+        changes = rows["new_limit"].fillna(-1).to_numpy(np.int64)
+        admitted, limits, used, lim = admitted_run(rows["ws"].to_numpy(np.int64), changes, used, lim)
+        state.update((int(used), int(lim), _latest(rows, seen_ts), seen_ids))
+        is_request = changes < 0
+        yield pd.DataFrame({"request_id": rows["request_id"].to_numpy(np.int64)[is_request], "user_id": key[0],
+                            "admitted": admitted[is_request], "max_limit": limits[is_request], "late": late[is_request]})
     return fn
 
 
@@ -104,38 +121,46 @@ def quota_stream(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT) -> Data
 # --------------------------------------------------------------------------- ST-5
 
 DIALOG_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.StringType()),
-                           T.StructField("session", T.LongType()), T.StructField("action", T.StringType())])
-DIALOG_STATE = T.StructType([T.StructField("session", T.LongType()), T.StructField("state", T.StringType()),
-                             T.StructField("done", T.BooleanType())])
+                           T.StructField("session", T.LongType()), T.StructField("action", T.StringType()),
+                           T.StructField("late", T.BooleanType())])
+DIALOG_STATE = T.StructType([T.StructField("session", T.LongType()), T.StructField("button", T.StringType()),
+                             T.StructField("texts", T.LongType()), T.StructField("valid", T.LongType()),
+                             T.StructField("seen_ts", T.TimestampNTZType()), T.StructField("seen_ids", T.StringType())])
+
+
+def _since(flags: np.ndarray, start: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
+    """Earlier flagged rows since the last ``start`` row; ``carried`` before the first one."""
+    total = np.cumsum(flags)
+    before = total - flags
+    at = np.maximum.accumulate(np.where(start, np.arange(len(flags)), -1))
+    run = before - np.where(at < 0, -carried, before[at])
+    return run, int(run[-1] + flags[-1]) if len(flags) else carried
 
 
 def dialog_fold(key, pdfs: Iterator[pd.DataFrame], state):
-    """One user's dialog: ``state`` is the open conversation state (None, a
-    start button, a connect button) and whether it already ended."""
-    user = key[0]
-    session, st, done = state.get if state.exists else (0, None, True)
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    ids, sess, acts = [], [], []
-    for eid, kind in zip(rows["event_id"], rows["kind"]):
-        if kind in (Dg.START_BUTTON, Dg.CONNECT_BUTTON):
-            session, st, done = session + 1, kind, False
-            continue
-        if kind not in (Dg.TEXT_PLAIN, Dg.TEXT_WITH_ID):
-            continue  # commands are state-neutral
-        act = "ignored"
-        if not done and st == Dg.START_BUTTON:
-            act, done = "audit", True
-        elif not done and st == Dg.CONNECT_BUTTON:
-            if kind == Dg.TEXT_WITH_ID:
-                act, done = "sheet_connected", True
-            else:
-                act = "sheet_invalid"
-        ids.append(int(eid))
-        sess.append(int(session))
-        acts.append(act)
-    state.update((int(session), st, bool(done)))
-    yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "user_id": user,
-                        "session": pd.Series(sess, dtype="int64"), "action": acts})
+    """One user's dialog: the state is the running session, the button that
+    opened it, and how many texts and valid texts it has had."""
+    session, button, texts, valid, seen_ts, seen_ids = state.get if state.exists else (0, None, 0, 0, None, "")
+    rows, late, seen_ids = _fresh(pdfs, "event_id", seen_ts, seen_ids)
+    kind = rows["kind"].to_numpy(object)
+    press = np.isin(kind, [Dg.START_BUTTON, Dg.CONNECT_BUTTON])
+    has_id = (kind == Dg.TEXT_WITH_ID).astype(np.int64)
+    is_text = np.isin(kind, [Dg.TEXT_PLAIN, Dg.TEXT_WITH_ID]).astype(np.int64)
+    sessions = session + np.cumsum(press)
+    opened = pd.Series(np.where(press, kind, None), dtype=object).ffill().to_numpy(object)
+    opened = np.where(pd.isna(opened), button, opened)
+    earlier, texts = _since(is_text, press, texts)
+    earlier_valid, valid = _since(has_id, press, valid)
+    action = np.full(len(kind), "ignored", object)
+    action[(opened == Dg.START_BUTTON) & (earlier == 0)] = "audit"
+    open_sheet = (opened == Dg.CONNECT_BUTTON) & (earlier_valid == 0)
+    action[open_sheet] = np.where(has_id[open_sheet] == 1, "sheet_connected", "sheet_invalid")
+    if len(kind):
+        session, button = int(sessions[-1]), opened[-1]
+    state.update((session, button, texts, valid, _latest(rows, seen_ts), seen_ids))
+    told = is_text == 1
+    yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(np.int64)[told], "user_id": key[0],
+                        "session": sessions[told], "action": action[told], "late": late[told]})
 
 
 def dialog_stream(events: DataFrame) -> DataFrame:
@@ -149,35 +174,28 @@ def dialog_stream(events: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- ST-2, ST-3
 
 def bundle_stream(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """ST-2: stream-static join; the snapshot side is a static table."""
+    """ST-2: stream-static joins; the snapshot side is a static table."""
     from sitelens.operators.bundle import content_bundle
     return content_bundle(requests, snapshot)
 
 
-def deliver_reports(rows: DataFrame, sink_path: str, key: str = "request_id"):
-    """ST-3: a ``foreachBatch`` function appending report rows to a Parquet
-    sink partitioned by destination, skipping keys the sink already holds."""
+def deliver_reports(sink_path: str):
+    """ST-3: a ``foreachBatch`` function. Each epoch is written to its own
+    folder with overwrite, laid out by day and a bucket of the destination."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            have = spark.read.parquet(sink_path).select(key)
-            batch = batch.join(have, key, "left_anti")
-        except Exception:  # noqa: BLE001 - empty sink on the first batch
-            pass
-        batch.write.mode("append").partitionBy("sheet_id").parquet(sink_path)
+        batch.withColumn("day", F.to_date("created_at")) \
+            .withColumn("bucket", F.pmod(F.crc32("sheet_id"), F.lit(SINK_BUCKETS)).cast("int")) \
+            .write.mode("overwrite").partitionBy("day", "bucket").parquet(f"{sink_path}/epoch={epoch_id}")
     return write
 
 
-def run_available(df: DataFrame, name: str, sink: str | None = None, fmt: str = "memory"):
+def run_available(df: DataFrame, name: str, sink: str | None = None, each=None):
     """Drive a streaming query over everything available, then stop
-    (``trigger(availableNow=True)``)."""
-    spark = df.sparkSession
-    w = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint(spark, name)) \
+    (``trigger(availableNow=True)``): into a Parquet file sink, or into ``each``
+    (a ``foreachBatch`` function)."""
+    w = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint(df.sparkSession, name)) \
         .trigger(availableNow=True)
-    if fmt == "memory":
-        q = w.format("memory").queryName(name).start()
-    else:
-        q = w.format(fmt).option("path", sink).start()
+    q = w.foreachBatch(each).start() if each else w.format("parquet").option("path", sink).start()
     q.awaitTermination()
     return q
 
@@ -186,9 +204,7 @@ def collect_stream(df: DataFrame, prefix: str) -> DataFrame:
     """Run a streaming query over everything available into a Parquet file
     sink under the shared checkpoint folder (exactly-once file sink; nothing
     is held on the driver) and return the sink as a batch DataFrame."""
-    import uuid
-    spark = df.sparkSession
     name = f"{prefix}_{uuid.uuid4().hex[:10]}"
-    out = f"{checkpoint(spark, name)}/out"
-    run_available(df, name, sink=out, fmt="parquet")
-    return spark.read.schema(df.schema).parquet(out)
+    out = f"{checkpoint(df.sparkSession, name)}/out"
+    run_available(df, name, sink=out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)

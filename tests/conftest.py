@@ -18,6 +18,8 @@ def spark():
                              "spark.checkpoint.dir": tempfile.mkdtemp(prefix="sitelens-ckpt-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from sitelens.session import drop_tables
+    drop_tables(s)
     s.stop()
 
 

@@ -1,6 +1,7 @@
 """Content bundle semantics on a literal snapshot (J-1, J-2, P-14, P-15)."""
 
-from sitelens.operators.bundle import content_bundle
+from pyspark.sql import functions as F
+from sitelens.operators.bundle import content_bundle, snapshot
 
 LONG = "x" * 600
 MID = "y" * 120
@@ -15,7 +16,8 @@ def test_bundle_cases(spark):
         ("https://c.com", 5, "short", "https://c.com/prices", "https://c.com/prices"),  # home under 50 chars
         ("https://c.com/prices", 6, LONG, None, None),
         ("https://d.com", 7, LONG, "https://d.com/gone", "https://d.com/gone"),      # pricing fetch fails
-    ], "norm_url string, page_id long, text string, pricing_link string, pricing_key string")
+    ], "norm_url string, page_id long, text string, pricing_link string, pricing_key string") \
+        .withColumn("n_text", F.length("text"))
     req = spark.createDataFrame([(1, "www.A.com/"), (2, "b.com"), (3, "http://c.com"), (4, "d.com"), (5, "e.com"),
                                  (6, "   ")], "request_id long, url string")
     got = {r.request_id: r for r in content_bundle(req, snap).collect()}
@@ -30,3 +32,10 @@ def test_bundle_cases(spark):
     assert d.fetched and d.pricing_url is None
     assert not got[5].fetched and got[5].home_text is None
     assert got[6].norm_url == "" and not got[6].fetched
+
+
+def test_latest_page_of_an_address_wins(spark):
+    df = spark.createDataFrame([("https://a.com", 1, "old", 3, None, None), ("https://a.com", 9, "new", 3, "l", "k"),
+                                ("https://b.com", 4, "b", 1, None, None)],
+                               "norm_url string, page_id long, text string, n_text int, pricing_link string, pricing_key string")
+    assert {r.norm_url: r.text for r in snapshot(df).collect()} == {"https://a.com": "new", "https://b.com": "b"}

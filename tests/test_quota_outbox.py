@@ -79,9 +79,13 @@ def test_route_flush_and_unwritten(spark):
                                    (11, T0 + dt.timedelta(hours=3), "u1", "l", "S2"),
                                    (12, T0 + dt.timedelta(minutes=5), "u2", "bad", "")],
                                   "event_id long, ts timestamp_ntz, user_id string, link string, sheet_id string")
-    routed = {r.request_id: (r.route, r.sheet_id) for r in O.route(res, links).collect()}
+    known = O.destinations(res, links).select("request_id", "sheet_id")
+    both = O.with_route(res.join(known, "request_id"))
+    routed = {r.request_id: (r.route, r.sheet_id) for r in both.collect()}
     assert routed == {1: ("pending", None), 2: ("write", "S1"), 3: ("pending", None)}
-    pend = O.pending_rows(O.route(res, links), links)
+    pend = O.pending_rows(both, links)
+    keys = [r.row_key for r in pend.orderBy("id").collect()]
+    assert len(set(keys)) == 2 and keys == [r.row_key for r in O.pending_rows(both, links).orderBy("id").collect()]
     rows = {r.id: (r.written, r.flush_event_id, r.flushed_to) for r in pend.collect()}
     assert rows == {1: (True, 10, "S1"), 3: (False, None, None)}
     assert [r.id for r in O.unwritten(pend).collect()] == [3]
@@ -110,7 +114,10 @@ def test_sink_and_state_tables(spark):
         .withColumn("created_at", F.lit("2025-01-01 12:00:00").cast("timestamp_ntz"))
     rows = A.with_report_row(df, fill_timestamp=True)
     assert rows.filter("request_id = 1").first().timestamp == "2025-01-01 12:00:00"
-    O.write_reports(rows, f"{root}/reports")
-    back = spark.read.option("header", True).csv(f"{root}/reports")
-    assert back.count() == 2 and "Оффер (первый экран)" in back.columns
-    assert {r.sheet_id for r in back.select("sheet_id").collect()} == {"S1", "S2"}
+    sheets = spark.createDataFrame([("S1", REPORT_HEADERS)], "sheet_id string, first_row array<string>")
+    O.write_reports(rows, sheets, f"{root}/reports")
+    O.write_reports(rows.filter("request_id = 1"), sheets, f"{root}/reports")  # an append
+    assert "Оффер (первый экран)" in spark.read.parquet(f"{root}/reports").columns
+    back = O.read_reports(spark, f"{root}/reports").collect()
+    assert sorted((r.sheet_id, r.header, r.offer_first_screen) for r in back) == [
+        ("S1", "ok", "T"), ("S1", "ok", "T"), ("S2", "create", "")]

@@ -1,27 +1,28 @@
 """Streaming quota and dialog state against the batch closed forms."""
 
 import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK
+from conftest import SF_CHECK, SF_SMALL
 from sitelens.operators import dialog as Dg
 from sitelens.operators import quota as Q
 from sitelens.sources import eventlog as L
 from sitelens.streaming import streams as ST
 
 
-def _split_events(spark, n_files=4):
+def _slice(n_files):
+    return F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01")) / (31 / n_files))
+
+
+def _split_events(spark, n_files=4, newest_first=False):
     """The event log as several time-ordered files (several micro-batches)."""
     import time
     out = tempfile.mkdtemp(prefix="sitelens-events-")
     ev = spark.read.parquet(f"{SF_CHECK}/events.parquet")
-    day = F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01")) / (31 / n_files))
-    # One file per time slice, written in time order: the file source takes
-    # new files in modification-time order.
-    for i in range(n_files):
-        ev.filter(day == i).coalesce(1).write.mode("append").parquet(out)
+    # One file per time slice: the file source takes new files in modification-time order.
+    for i in sorted(range(n_files), reverse=newest_first):
+        ev.filter(_slice(n_files) == i).coalesce(1).write.mode("append").parquet(out)
         time.sleep(1.1)
     return out, ev
 
@@ -30,27 +31,56 @@ def _rows(df, cols):
     return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
 
 
+QUOTA, DIALOG = ["request_id", "user_id", "admitted", "max_limit"], ["event_id", "user_id", "session", "action"]
+
+
 def test_quota_stream_matches_batch_replay(spark):
     path, ev = _split_events(spark)
-    name = f"quota_{uuid.uuid4().hex[:8]}"
-    stream = ST.event_stream(spark, path, max_files=1)
-    q = ST.run_available(ST.quota_stream(L.quota_timeline(stream)), name)
-    assert q.lastProgress is not None
-    got = spark.table(name)
+    got = ST.collect_stream(ST.quota_stream(L.quota_timeline(ST.event_stream(spark, path, max_files=1))), "quota")
     per, _ = Q.quota_replay(L.audit_requests(ev), L.limit_changes(ev))
-    cols = ["request_id", "user_id", "admitted", "max_limit"]
-    assert _rows(got, cols) == _rows(per, cols)
+    assert _rows(got, QUOTA) == _rows(per, QUOTA)
+    assert got.where("late").count() == 0
 
 
 def test_dialog_stream_matches_batch(spark):
     path, ev = _split_events(spark)
-    name = f"dialog_{uuid.uuid4().hex[:8]}"
-    stream = ST.event_stream(spark, path, max_files=1)
-    ST.run_available(ST.dialog_stream(stream), name)
-    got = spark.table(name)
+    got = ST.collect_stream(ST.dialog_stream(ST.event_stream(spark, path, max_files=1)), "dialog")
     log = ev.select("event_id", "ts", "user_id", F.col("event_type").alias("kind"))
-    cols = ["event_id", "user_id", "session", "action"]
-    assert _rows(got, cols) == _rows(Dg.message_routing(log), cols)
+    assert _rows(got, DIALOG) == _rows(Dg.message_routing(log), DIALOG)
+
+
+def test_out_of_order_batches_lose_no_row(spark):
+    """Four micro-batches, the newest first: every request and every text comes
+    out once; rows behind their user's time are marked, and decided on arrival."""
+    path, ev = _split_events(spark, newest_first=True)
+    got = ST.collect_stream(ST.quota_stream(L.quota_timeline(ST.event_stream(spark, path, max_files=1))), "late_quota")
+    requests = L.audit_requests(ev)
+    assert _rows(got, ["request_id", "user_id"]) == _rows(requests, ["request_id", "user_id"])
+    # the same rule in plain Python, in order of arrival
+    limits, used, want = {}, {}, {}
+    for batch in range(3, -1, -1):
+        for r in L.quota_timeline(ev.filter(_slice(4) == batch)).orderBy("ts", "request_id").collect():
+            lim, n = limits.get(r.user_id, 10), used.get(r.user_id, 0)
+            if r.new_limit is not None:
+                limits[r.user_id] = r.new_limit
+            else:
+                want[r.request_id] = n < lim
+                used[r.user_id] = n + (n < lim) * r.ws
+    assert {r.request_id: r.admitted for r in got.collect()} == want
+    assert got.where("late").count() > 100
+    said = ST.collect_stream(ST.dialog_stream(ST.event_stream(spark, path, max_files=1)), "late_dialog")
+    assert said.count() == said.select("event_id").distinct().count() == ev.filter(
+        F.col("event_type").isin(Dg.TEXT_PLAIN, Dg.TEXT_WITH_ID)).count()
+
+
+def test_repeated_rows_count_once(spark):
+    path = tempfile.mkdtemp(prefix="sitelens-events-")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    for _ in range(2):  # the recent rows of a file come again in the next one
+        ev.filter("event_id < 120").unionAll(ev.filter("event_id < 20")).coalesce(1).write.mode("append").parquet(path)
+    got = ST.collect_stream(ST.quota_stream(L.quota_timeline(ST.event_stream(spark, path, max_files=1))), "again")
+    per, _ = Q.quota_replay(L.audit_requests(ev.filter("event_id < 120")), L.limit_changes(ev.filter("event_id < 120")))
+    assert _rows(got, QUOTA) == _rows(per, QUOTA)
 
 
 def test_quota_timeline_equals_union(spark):
@@ -70,28 +100,9 @@ def test_report_sink_is_idempotent_under_replay(spark):
                                  "request_id long, user_id string, url string, result_json string, sheet_id string") \
         .withColumn("created_at", F.lit("2025-01-01 12:00:00").cast("timestamp_ntz"))
     rows = A.with_report_row(rows)
-    write = ST.deliver_reports(rows, sink)
+    write = ST.deliver_reports(sink)
     write(rows.filter("request_id < 4"), 0)
     write(rows.filter("request_id < 4"), 0)      # replayed epoch
-    write(rows, 1)                               # overlaps the first batch
+    write(rows.filter("request_id >= 4"), 1)
     got = spark.read.parquet(sink)
     assert got.count() == 6 and got.select("request_id").distinct().count() == 6
-
-
-def test_bundle_stream_static_join(spark):
-    """ST-2: requests arriving as a stream joined to the static snapshot give
-    the same bundle as the batch job."""
-    from sitelens.operators import bundle as B
-    from sitelens.plans.pages import TEST_KEYWORDS
-    from sitelens.sources.tables import pages
-    from conftest import SF_SMALL
-    p = pages(spark, SF_SMALL)
-    snap = B.crawl_snapshot(p, TEST_KEYWORDS)
-    req_dir = tempfile.mkdtemp(prefix="sitelens-req-")
-    p.select(F.col("page_id").alias("request_id"), "url").write.mode("overwrite").parquet(req_dir)
-    stream = spark.readStream.schema("request_id long, url string").parquet(req_dir)
-    got = ST.collect_stream(ST.bundle_stream(stream, snap).select("request_id", "fetched", "pricing_url"),
-                            "bundle_stream")
-    batch = B.content_bundle(p.select(F.col("page_id").alias("request_id"), "url"), snap)
-    cols = ["request_id", "fetched", "pricing_url"]
-    assert _rows(got, cols) == _rows(batch, cols)
