@@ -67,7 +67,34 @@ def pending_rows(routed: DataFrame, links: DataFrame) -> DataFrame:
     return (p.join(conn, "user_id", "left")
             .withColumn("written", F.col("conn_event_id").isNotNull())
             .select("id", row_key("id", "user_id", "url").alias("row_key"), "user_id", "url", "created_at", "written",
-                    F.col("conn_event_id").alias("flush_event_id"), F.col("conn_sheet_id").alias("flushed_to")))
+                    F.col("conn_event_id").alias("flush_event_id"), F.col("conn_sheet_id").alias("flushed_to"),
+                    F.col("conn_ts").alias("flushed_at")))
+
+
+def with_row_ids(pending: DataFrame) -> DataFrame:
+    """W-4: ``row_id`` 1, 2, ... in the order of insertion, as an auto-increment
+    column numbers rows: a running count over ranges, not one sorted partition."""
+    numbered = running(pending.withColumn("__all", F.lit(0)).withColumn("__one", F.lit(1)), "__all", ["created_at", "id"],
+                       sums={"row_id": ("__one", True)})
+    return numbered.drop("__all", "__one")
+
+
+DELIVERED = "id long, round int"
+
+
+def undelivered(pending: DataFrame, delivered: DataFrame) -> DataFrame:
+    """J-7: parked rows without a mark in the log of delivered ids."""
+    return pending.join(delivered.select("id"), "id", "left_anti")
+
+
+def deliver(due: DataFrame, log_path: str, round_: int) -> None:
+    """J-4/J-7: one delivery round. Rows whose id the log holds are left out;
+    the ids of the others are the round's own folder of the log, written with
+    overwrite, so a round that is repeated after a failure marks nothing twice."""
+    spark = due.sparkSession
+    log = spark.createDataFrame([], DELIVERED) if round_ == 0 else spark.read.parquet(
+        *[f"{log_path}/{r}" for r in range(round_)])
+    undelivered(due, log).select("id", F.lit(round_).alias("round")).write.mode("overwrite").parquet(f"{log_path}/{round_}")
 
 
 def unwritten(pending: DataFrame) -> DataFrame:

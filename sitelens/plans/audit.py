@@ -125,7 +125,7 @@ def _pending(spark: SparkSession, sf: str, user: str | None = None) -> DataFrame
 
 
 def pending_results(spark: SparkSession, sf: str) -> DataFrame:
-    return _pending(spark, sf).select("id", "row_key", "user_id", "url", "created_at", "written")
+    return O.with_row_ids(_pending(spark, sf)).select("row_id", "id", "row_key", "user_id", "url", "created_at", "written")
 
 
 def outbox_flush(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,6 +136,21 @@ def outbox_unwritten(spark: SparkSession, sf: str) -> DataFrame:
     return O.unwritten(_pending(spark, sf))
 
 
+# Times at which the delivery runs (stand-in): each round delivers what is due and not marked.
+ROUNDS = ["2024-01-03 00:00:00", "2024-01-08 00:00:00", "2024-02-01 00:00:00"]
+
+
+def outbox_delivery(spark: SparkSession, sf: str) -> DataFrame:
+    """J-4/J-7: parked rows delivered in rounds, each marked in the log; the
+    last round runs twice. Returns (id, round) of the log."""
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/delivered-{uuid.uuid4().hex}"
+    pending = _pending(spark, sf)
+    for n, at in [*enumerate(ROUNDS), (len(ROUNDS) - 1, ROUNDS[-1])]:
+        O.deliver(pending.filter(F.col("flushed_at") <= F.lit(at).cast("timestamp_ntz")), path, n)
+    return spark.read.parquet(*[f"{path}/{n}" for n in range(len(ROUNDS))])
+
+
 def flush_counts(spark: SparkSession, sf: str) -> DataFrame:
     return O.flush_counts(_pending(spark, sf), L.sheet_links(events(spark, sf)))
 
@@ -202,6 +217,7 @@ QUERIES = {
     "pending_results": pending_results,
     "outbox_flush": outbox_flush,
     "outbox_unwritten": outbox_unwritten,
+    "outbox_delivery": outbox_delivery,
     "flush_counts": flush_counts,
     "report_rows": report_rows,
     "report_rows_stamped": report_rows_stamped,

@@ -161,9 +161,13 @@ def _audit_sql() -> dict[str, str]:
     o["result_envelope"] = f"{audit} SELECT request_id, result_json FROM results"
     o["outbox_route"] = (f"{audit} SELECT request_id, user_id, CASE WHEN sheet_id IS NULL THEN 'pending' ELSE 'write' END "
                          f"AS route, sheet_id FROM decided WHERE reason = 'ok'")
-    o["pending_results"] = f"{audit} SELECT id, row_key, user_id, url, created_at, written FROM ({pend})"
+    o["pending_results"] = f"{audit} SELECT row_id, id, row_key, user_id, url, created_at, written FROM ({pend})"
     o["outbox_flush"] = f"{audit} SELECT id, user_id, flush_event_id, flushed_to FROM ({pend}) WHERE written"
     o["outbox_unwritten"] = f"{audit} SELECT id, user_id, url, created_at FROM ({pend}) WHERE NOT written"
+    from sitelens.plans.audit import ROUNDS
+    rounds = " ".join(f"WHEN flushed_at <= TIMESTAMP '{t}' THEN {n}" for n, t in enumerate(ROUNDS))
+    o["outbox_delivery"] = (f"{audit} SELECT id, CASE {rounds} END::BIGINT AS round FROM ({pend}) "
+                            f"WHERE flushed_at <= TIMESTAMP '{ROUNDS[-1]}'")
     o["flush_counts"] = (f"{audit} SELECT l.event_id, l.user_id, coalesce(n.n, 0)::BIGINT AS n_flushed FROM "
                          f"({S.sheet_links()}) l LEFT JOIN (SELECT flush_event_id, count(*) AS n FROM ({pend}) "
                          f"WHERE written GROUP BY flush_event_id) n ON n.flush_event_id = l.event_id "

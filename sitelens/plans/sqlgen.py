@@ -589,14 +589,15 @@ def audit() -> str:
 
 
 def first_connections() -> str:
-    return (f"SELECT user_id, arg_min(event_id, (ts, event_id)) AS conn_event_id, "
+    return (f"SELECT user_id, min(ts) AS conn_ts, arg_min(event_id, (ts, event_id)) AS conn_event_id, "
             f"arg_min(sheet_id, (ts, event_id)) AS conn_sheet_id FROM ({sheet_links()}) WHERE sheet_id <> '' "
             f"GROUP BY user_id")
 
 
 def pending_rows() -> str:
     """Needs ``audit()`` before it."""
-    return (f"SELECT r.request_id AS id, sha256(r.request_id || '|' || r.user_id || '|' || r.norm_url) AS row_key, r.user_id, "
+    return (f"SELECT row_number() OVER (ORDER BY r.ts, r.request_id) AS row_id, c.conn_ts AS flushed_at, "
+            f"r.request_id AS id, sha256(r.request_id || '|' || r.user_id || '|' || r.norm_url) AS row_key, r.user_id, "
             f"r.norm_url AS url, r.ts AS created_at, "
             f"c.conn_event_id IS NOT NULL AS written, c.conn_event_id AS flush_event_id, c.conn_sheet_id AS flushed_to "
             f"FROM decided r LEFT JOIN ({first_connections()}) c ON r.user_id = c.user_id "

@@ -65,6 +65,7 @@ def test_all_branches_occur(spark):
     errors = {r.offer_first_screen for r in q["report_rows"](spark, SF_CHECK).where("not row_ok").collect()}
     assert len(errors) == 5
     assert q["outbox_unwritten"](spark, SF_CHECK).count() > 0 and q["pending_for_user"](spark, SF_CHECK).count() > 0
+    assert {r["round"] for r in q["outbox_delivery"](spark, SF_CHECK).collect()} == {0, 1, 2}
     assert {r.header for r in q["sink_header_check"](spark, SF_CHECK).collect()} == {"ok", "create", "mismatch"}
     bundle = q["content_bundle"](spark, SF_CHECK).collect()
     assert {r.fetched for r in bundle} == {True, False} and "" in {r.home_text for r in bundle}
