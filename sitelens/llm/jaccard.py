@@ -3,8 +3,8 @@
 The n-grams of a document are hashed into groups. Two uses of the groups:
 
 * Partition. Linked documents differ in at most t n-grams, so at most t groups
-  differ and, in the order of group size, one of the first t + 1 groups of either
-  document is the same in both. Those groups, hashed with their content, are
+  differ and, in any order that follows from their content, one of the first
+  t + 1 groups of either document is the same in both. Those groups, hashed with their content, are
   equi-join keys; documents connected by keys form a forest's plots, and no link
   crosses plots.
 * Index. In each plot the group counts (16 coordinates) are points. They are
@@ -34,11 +34,12 @@ id and text are read, so other columns cannot clash. N-grams are compared as
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm.common import batches_of
@@ -47,9 +48,13 @@ from sitelens.session import materialize
 
 WORDS, PERCENT = 4, 85
 COORDINATES = 16
-LEAF_DOCS = 512
+LEAF_DOCS = 1024
 LEAF_NGRAMS = 1 << 19
 BATCH_ROWS = 256
+BLOCK_NGRAMS = 1 << 22   # n-grams that are counted together
+CELL_BITS = 24           # one byte each: 16 MB in a task
+COMMON_IN_BLOCK = 4      # times that a common n-gram comes up in a block, at least
+MOST_COMMON = 1 << 17    # common n-grams that reach the driver and the tasks (1 MB)
 BROADCAST_ROWS = 1 << 19  # ids: beyond this many the join is by shuffle
 
 U64 = np.uint64
@@ -119,25 +124,69 @@ def schemes(n: int, percent: int) -> list[tuple[int, int]]:
     return [*low, (i, largest_partner((2 << i) - 1, percent))]
 
 
-def partition_keys(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def partition_keys(grams: np.ndarray, percent: int = PERCENT, common: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the groups, with scheme and content, that a linked document
-    must share one of: the t + 1 largest, ties by group number."""
+    must share one of: the first t + 1 in the order of how many n-grams outside
+    ``common`` they hold, then of their size, then of their number. Any order
+    that follows from a group's content is right; this one puts groups that
+    unrelated documents share, from passages that many of them hold, last."""
     n, out = len(grams), []
     mixed = _mix(grams ^ U64(_BASE))
+    rare = np.ones(n, bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
     for scheme, largest in schemes(n, percent) if n else []:
         t = most_different(n, min(largest, largest_partner(n, percent)), percent)
         groups = (most_different(largest, largest, percent) + 1) * 3 // 2 + 2
         group = ((mixed >> U64(32)) * U64(groups) >> U64(32)).astype(np.int64)
         size = np.bincount(group, minlength=groups)
+        own = np.bincount(group[rare], minlength=groups)
         order = np.argsort(group, kind="stable")
         filled = np.flatnonzero(size)
         content = np.zeros(groups, U64)
         content[filled] = np.add.reduceat(mixed[order], np.concatenate([[0], np.cumsum(size[filled])[:-1]]))
-        first = np.argsort(-size, kind="stable")[:t + 1]
+        first = np.lexsort((-size, -own))[:t + 1]
         out.append(_mix(content[first] + _mix((first + groups * 1_000_003 + scheme).astype(U64) * U64(_BASE))))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
+def _counted(words: int):
+    """N-grams that come up often within a block of documents, with the times
+    seen from then on. One byte per cell counts hashes; only n-grams of cells
+    that are full enough are kept by themselves."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, often, size = np.zeros(1 << CELL_BITS, np.uint8), Counter(), 0
+        for b in batches_of(BATCH_ROWS, it):
+            for text in b.column(0).to_pylist():
+                grams = ngram_set(text, words)
+                at = (grams >> U64(64 - CELL_BITS)).astype(np.int64)
+                cells[at] = np.minimum(cells[at], 254) + 1
+                often.update(grams[cells[at] >= COMMON_IN_BLOCK].view(np.int64).tolist())
+                size += len(grams)
+                if size >= BLOCK_NGRAMS:
+                    cells.fill(0)
+                    size = 0
+            if len(often) >= MOST_COMMON:
+                yield _tally(often)
+                often.clear()
+        yield _tally(often)
+    return run
+
+
+def _tally(often: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(often), pa.int64()), pa.array(list(often.values()), pa.int64())],
+                                      ["gram", "n"])
+
+
+def common_ngrams(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> np.ndarray:
+    """Hashes of the corpus's most frequent n-grams, at most ``MOST_COMMON``,
+    sorted. Every document is counted. They only order the partition keys: the
+    links found do not depend on them."""
+    top = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted(words), "gram long, n long") \
+        .groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).select("gram").toArrow()
+    return np.sort(top["gram"].to_numpy().view(U64))
+
+
 def count_vector(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams & U64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
 
@@ -148,7 +197,7 @@ def _lists(rows: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows), kind))
 
 
-def _described(words: int, percent: int):
+def _described(words: int, percent: int, common: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(BATCH_ROWS, it):
             sets = [ngram_set(t, words) for t in b.column(2).to_pylist()]
@@ -157,7 +206,7 @@ def _described(words: int, percent: int):
                 b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                 pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
                 _lists([count_vector(s) for s in sets], pa.int64()),
-                _lists([partition_keys(s, percent).view(np.int64) for s in sets], pa.int64())],
+                _lists([partition_keys(s, percent, common).view(np.int64) for s in sets], pa.int64())],
                 ["row", "id", "n", "digest", "class", "counts", "keys"])
     return run
 
@@ -212,10 +261,11 @@ def leaf_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         hits = mark[np.concatenate([ids[begin[x]:begin[x + 1]] for x in near])]
         common = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(sizes[near])[:-1]]), dtype=np.int64)
         mark[own] = False
-        for x in near[(100 + percent) * common >= percent * (sizes[a] + sizes[near])].tolist():
-            if forest.join(a, x):
-                out.append((a, x))
-        root = np.array([forest.find(x) for x in range(len(sets))]) if out else root
+        found = [(a, x) for x in near[(100 + percent) * common >= percent * (sizes[a] + sizes[near])].tolist()
+                 if forest.join(a, x)]
+        if found:
+            out += found
+            root = np.array([forest.find(x) for x in range(len(sets))])
     return out
 
 
@@ -250,18 +300,20 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _leaves(members: DataFrame) -> DataFrame:
-    """Adds ``leaf``: plots of one leaf's size are one leaf, larger ones are
-    tiled by set size (steps of a few per cent), then by the first coordinates,
-    and tiles that are still too large are split evenly."""
-    plots = members.groupBy("plot").agg(F.count("*").alias("docs"), F.sum("n").alias("ngrams"))
-    small = (F.col("docs") <= LEAF_DOCS) & (F.col("ngrams") <= LEAF_NGRAMS)
-    tile = F.when(small, F.lit(0)).otherwise(F.hash(
-        F.floor(F.log(F.col("n")) * 12), *[F.floor(F.log1p(F.col("counts")[i]) * 3) for i in range(2)]))
-    tiled = members.join(plots, "plot").withColumn("tile", tile).drop("docs", "ngrams")
-    sizes = tiled.groupBy("plot", "tile").agg(F.greatest(
-        F.ceil(F.count("*") / LEAF_DOCS), F.ceil(F.sum("n") / LEAF_NGRAMS)).alias("parts"))
-    return tiled.join(sizes, ["plot", "tile"]).withColumn(
-        "leaf", F.xxhash64("tile", F.pmod(F.xxhash64("digest"), F.col("parts")))).drop("tile", "parts")
+    """Adds ``leaf``: a plot's sets in the order of their size, cut into runs of
+    a leaf's capacity. Positions come from a small table of sizes per plot, so a
+    large plot is not sorted in one task; a size with more sets than a leaf holds
+    is split evenly."""
+    sizes = members.groupBy("plot", "n").agg(F.count("*").alias("docs"))
+    before = Window.partitionBy("plot").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        "plot", "n", F.coalesce(F.floor(F.sum("docs").over(before) / LEAF_DOCS), F.lit(0)).alias("by_docs"),
+        F.coalesce(F.floor(F.sum(F.col("docs") * F.col("n")).over(before) / LEAF_NGRAMS), F.lit(0)).alias("by_ngrams"),
+        F.greatest(F.ceil(F.col("docs") / LEAF_DOCS), F.ceil(F.col("docs") * F.col("n") / LEAF_NGRAMS)).alias("parts"))
+    run = F.xxhash64(F.lit("run"), "by_docs", "by_ngrams")
+    part = F.xxhash64(F.lit("part"), "n", F.pmod(F.xxhash64("digest"), F.col("parts")))
+    return members.join(sizes, ["plot", "n"]).withColumn("leaf", F.when(F.col("parts") > 1, part).otherwise(run)) \
+        .drop("by_docs", "by_ngrams", "parts")
 
 
 def _units(members: DataFrame, percent: int) -> DataFrame:
@@ -282,10 +334,11 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
 
 def describe(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """One row per document: size, digest, count vector and keys of its set."""
+    common = common_ngrams(docs, text_col, words)
     return materialize(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
                     F.col(text_col).alias("text"))
-        .mapInArrow(_described(words, percent), "row long, id long, n long, digest binary, class long, "
+        .mapInArrow(_described(words, percent, common), "row long, id long, n long, digest binary, class long, "
                     "counts array<bigint>, keys array<bigint>"), "ngram-sets")
 
 
