@@ -3,8 +3,8 @@
 A plain window over a user puts all rows of that user into one task. Here rows
 are range-partitioned and sorted by (key, order), so a user with a third of the
 log lies in many ranges. Each task runs over its rows once with vectorised
-prefix sums; what a key has gathered in earlier ranges comes from a table with
-one row per key and range, and is added by a join. The source is scanned once
+prefix sums; what a key has gathered in earlier ranges is added from a table of
+at most one row per range. The source is scanned once
 and shuffled once: both branches read the same exchange.
 """
 
@@ -118,18 +118,21 @@ def running(df: DataFrame, key: str, order: list[str], sums: dict | None = None,
     end += [x for o in since for x in (F.max_by(f"__n_{o}", ROW).alias(f"__t_{o}"),
                                        F.bool_or(f"__c_{o}").alias(f"__c_{o}"))]
     totals = local.groupBy(key, PART).agg(*end)
-    # ... and so what it brings into a range from the earlier ones
+    # ... and so what it brings into a range from the earlier ones. Rows are sorted
+    # by key, so only the first key of a range can have come from an earlier one:
+    # at most one row per range is left, which is why it may be broadcast.
     w = Window.partitionBy(key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     for o in since:
         totals = totals.withColumn(f"__b_{o}", F.coalesce(F.sum(f"__t_{o}").over(w), F.lit(0)))
-    brought = totals.select(
-        F.col(key).alias("__key"), F.col(PART).alias("__of"),
-        *[F.coalesce(F.sum(f"__t_{o}").over(w), F.lit(0)).alias(f"__o_{o}") for o in sums],
+    brought = totals.withColumn("__earlier", F.count(PART).over(w)).select(
+        F.col(key).alias("__key"), F.col(PART).alias("__of"), "__earlier",
+        *[F.sum(f"__t_{o}").over(w).alias(f"__o_{o}") for o in sums],
         *[F.last(f"__t_{o}", ignorenulls=True).over(w).alias(f"__o_{o}") for o in lasts],
         *[(F.col(f"__b_{o}") - F.coalesce(F.last(F.when(F.col(f"__c_{o}"), F.col(f"__b_{o}")), ignorenulls=True).over(w),
-                                          F.lit(0))).alias(f"__o_{o}") for o in since])
-    out = local.join(brought, F.col(key).eqNullSafe(F.col("__key")) & (F.col(PART) == F.col("__of")))
+                                          F.lit(0))).alias(f"__o_{o}") for o in since]).where("__earlier > 0")
+    out = local.join(F.broadcast(brought), F.col(key).eqNullSafe(F.col("__key")) & (F.col(PART) == F.col("__of")), "left")
+    offset = lambda o: F.coalesce(F.col(f"__o_{o}"), F.lit(0))
     return out.select(
-        *df.columns, *[(F.col(o) + F.col(f"__o_{o}")).cast("long").alias(o) for o in sums],
+        *df.columns, *[(F.col(o) + offset(o)).cast("long").alias(o) for o in sums],
         *[F.coalesce(o, f"__o_{o}").alias(o) for o in lasts],
-        *[F.when(F.col(f"__c_{o}"), F.col(o)).otherwise(F.col(o) + F.col(f"__o_{o}")).cast("long").alias(o) for o in since])
+        *[F.when(F.col(f"__c_{o}"), F.col(o)).otherwise(F.col(o) + offset(o)).cast("long").alias(o) for o in since])

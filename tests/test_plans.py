@@ -44,6 +44,8 @@ def test_timelines_are_scanned_and_shuffled_once(spark):
         plan = _final(spark, key)
         assert len(re.findall(r"FileScan parquet", plan)) == 1, key
         assert re.findall(r"ReusedExchange .*Exchange rangepartitioning", plan), key
+        # the rows themselves are not dealt out again: what earlier ranges bring comes as a broadcast
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, key
         assert "Window" in plan and not re.search(r"Exchange hashpartitioning\(user_id#\d+, __bkt", plan)
 
 
