@@ -13,29 +13,30 @@ from pyspark.sql import functions as F
 from sitelens.llm import decontam, jaccard, langid, pack, secrets
 from sitelens.llm.common import table
 from sitelens.llm.queries import tokenizer_path
-from sitelens.session import materialize, ship_package
+from sitelens.session import apply_conf, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a prevailing language go."""
-    ship_package(spark)
+    apply_conf(spark)
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by five-word shingle sets that are 80 % alike, the least id stays."""
-    ship_package(spark)
+    apply_conf(spark)
     return jaccard.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
-    ship_package(spark)
+    apply_conf(spark)
     return decontam.without_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; n_chars follows the text."""
+    apply_conf(spark)
     cleaned = secrets.redact_secrets(docs.withColumn("__length", F.length("text")))
     changed = F.length("text") != F.col("__length")
     return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))) \
@@ -44,7 +45,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 2048 ids: one row per piece of a document."""
-    ship_package(spark)
+    apply_conf(spark)
     return pack.pack_documents(docs, tokenizer_path(), with_ids=True)
 
 

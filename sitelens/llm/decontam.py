@@ -41,7 +41,7 @@ EDIT_RATE = 0.08     # edits allowed per character of a passage
 BAND = 16            # diagonals per band; two grids of bands, half a band apart
 LEAST_CHARS = 40     # shorter items must match exactly
 BLOCK_CHARS = 1 << 20
-SCAN_CHARS = 1 << 20  # characters of documents that are scanned at a time
+SCAN_CHARS = 1 << 18  # characters of documents that are scanned at a time
 FILTER_BITS = 22
 BATCH_ROWS = 512
 

@@ -37,7 +37,7 @@ ORDERS = (1, 2, 3)      # n-gram lengths, word boundaries included
 SWITCH = 9.0            # penalty for changing the language between two words
 TEMPER = 0.6            # n-grams of a word overlap, so their evidence is weighted down
 SCRIPT_SHARE = 0.002    # share of a language's letters that makes a script its own
-WORD_CACHE = 200_000
+WORD_CACHE = 50_000
 BATCH_ROWS = 256
 BLOCK = 256             # words of a Viterbi block
 
