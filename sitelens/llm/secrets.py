@@ -51,6 +51,7 @@ ADDED_RULES = (
 )
 RULES = BASE_RULES + ADDED_RULES
 MOST_BRANCHES = 64
+RUN = 128  # matches of a text that are added together
 
 
 def literal_branches(regex: str) -> list[list[str]]:
@@ -148,7 +149,13 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
         return F.struct((start + x["size"]).alias("at"),
                         F.when(x["kept"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(step, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), add, lambda a: a["out"])
+    def add_run(acc, part):  # matches in runs: the spans so far are copied once per run, not once per match
+        got = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), add)
+        return F.struct(got["at"].alias("at"), F.concat(acc["out"], got["out"]).alias("out"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")),
+                       lambda i: F.slice(step, i * RUN + 1, F.lit(RUN)))
+    return F.aggregate(runs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), add_run, lambda a: a["out"])
 
 
 SPANS = "array<struct<s:bigint,ord:int,e:bigint,kind:string>>"
