@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PART, ROW = "__part", "__row"
+PART = "__part"
 
 
 class _Running:
@@ -27,14 +27,17 @@ class _Running:
 
     def __init__(self, key: str, sums: dict, lasts: dict, since: dict):
         self.key, self.sums, self.lasts, self.since = key, sums, lasts, since
-        self.current, self.rows, self.open = object(), 0, False
+        self.current, self.open = None, False
         self.sum = dict.fromkeys(sums, 0)
         self.last = dict.fromkeys(lasts)
         self.part = dict.fromkeys(since, 0)
         self.cut = dict.fromkeys(since, False)
 
-    def batch(self, b: pa.RecordBatch, part: int) -> pa.RecordBatch:
+    def batch(self, b: pa.RecordBatch, part: int) -> tuple[pa.RecordBatch, pa.RecordBatch, np.ndarray]:
+        """The rows with their running values; what the key has gathered up to
+        each row; and where a key starts."""
         n = b.num_rows
+        ends, end_names = [b.column(self.key)], [self.key]
         keys = b.column(self.key).dictionary_encode()
         codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         start = np.concatenate([[True], codes[1:] != codes[:-1]])
@@ -54,6 +57,8 @@ class _Running:
             run = before - np.where(carried, 0, before[first]) + np.where(carried, self.sum[out], 0)
             cols.append(pa.array(run + v if inclusive else run, pa.int64()))
             names.append(out)
+            ends.append(pa.array(run + v, pa.int64()))
+            end_names.append(f"__t_{out}")
             self.sum[out] = int(run[-1] + v[-1])
         for out, col in self.lasts.items():
             v = b.column(col)
@@ -65,6 +70,8 @@ class _Running:
                 taken = pc.if_else(pa.array(carried & ~here), pa.scalar(self.last[out], v.type), taken)
             cols.append(taken)
             names.append(out)
+            ends.append(taken)
+            end_names.append(f"__t_{out}")
             self.last[out] = taken[n - 1].as_py()
         for out, (col, reset) in self.since.items():
             v, resets = value(col), value(reset) > 0
@@ -75,13 +82,15 @@ class _Running:
             run = before - np.where(begin < 0, 0, before[begin]) + np.where(begin < 0, self.part[out], 0)
             last_cut = np.maximum.accumulate(np.where(resets, index, -1))
             cut = (last_cut >= np.maximum(first, 0)) | (carried & self.cut[out])
-            cols += [pa.array(run, pa.int64()), pa.array(run + v, pa.int64()), pa.array(cut)]
-            names += [out, f"__n_{out}", f"__c_{out}"]
+            cols += [pa.array(run, pa.int64()), pa.array(cut)]
+            names += [out, f"__c_{out}"]
+            ends += [pa.array(run + v, pa.int64()), pa.array(cut)]
+            end_names += [f"__t_{out}", f"__c_{out}"]
             self.part[out], self.cut[out] = int(run[-1] + v[-1]), bool(cut[-1])
         self.current, self.open = b.column(self.key)[n - 1].as_py(), True
-        cols += [pa.array(np.full(n, part, np.int32)), pa.array(self.rows + index, pa.int64())]
-        self.rows += n
-        return pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names, PART, ROW])
+        parts = pa.array(np.full(n, part, np.int32))
+        return (pa.RecordBatch.from_arrays([*b.columns, *cols, parts], [*b.schema.names, *names, PART]),
+                pa.RecordBatch.from_arrays([*ends, parts], [*end_names, PART]), start)
 
 
 def running(df: DataFrame, key: str, order: list[str], sums: dict | None = None, lasts: dict | None = None,
@@ -96,28 +105,38 @@ def running(df: DataFrame, key: str, order: list[str], sums: dict | None = None,
     """
     from pyspark import TaskContext
     sums, lasts, since = dict(sums or {}), dict(lasts or {}), dict(since or {})
-    fields = list(df.schema.fields) + [T.StructField(o, T.LongType()) for o in sums]
-    fields += [T.StructField(o, df.schema[c].dataType) for o, c in lasts.items()]
-    for o in since:
-        fields += [T.StructField(o, T.LongType()), T.StructField(f"__n_{o}", T.LongType()),
-                   T.StructField(f"__c_{o}", T.BooleanType())]
-    fields += [T.StructField(PART, T.IntegerType()), T.StructField(ROW, T.LongType())]
+    longs = lambda names: [T.StructField(x, T.LongType()) for x in names]
+    flags = {o: T.StructField(f"__c_{o}", T.BooleanType()) for o in since}
+    at = T.StructField(PART, T.IntegerType())
+    rows = list(df.schema.fields) + longs(sums) + [T.StructField(o, df.schema[c].dataType) for o, c in lasts.items()]
+    rows += [f for o in since for f in (*longs([o]), flags[o])]
+    ends = [df.schema[key], *longs(f"__t_{o}" for o in sums)]
+    ends += [T.StructField(f"__t_{o}", df.schema[c].dataType) for o, c in lasts.items()]
+    ends += [f for o in since for f in (*longs([f"__t_{o}"]), flags[o])]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, part = _Running(key, sums, lasts, since), TaskContext.get().partitionId()
         for b in it:
             if b.num_rows:
-                yield state.batch(b, part)
+                yield state.batch(b, part)[0]
+
+    def run_to_ends(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, part, held = _Running(key, sums, lasts, since), TaskContext.get().partitionId(), None
+        for b in it:
+            if b.num_rows:
+                _, end, start = state.batch(b, part)
+                if held is not None and start[0]:
+                    yield held
+                yield end.take(pa.array(np.flatnonzero(start[1:])))
+                held = end.slice(b.num_rows - 1)
+        if held is not None:
+            yield held
 
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = df.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order).mapInArrow(run, T.StructType(fields))
-
-    # what each key has at the end of each range ...
-    end = [F.sum(c).alias(f"__t_{o}") for o, (c, _) in sums.items()]
-    end += [F.max_by(o, ROW).alias(f"__t_{o}") for o in lasts]
-    end += [x for o in since for x in (F.max_by(f"__n_{o}", ROW).alias(f"__t_{o}"),
-                                       F.bool_or(f"__c_{o}").alias(f"__c_{o}"))]
-    totals = local.groupBy(key, PART).agg(*end)
+    ordered = df.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
+    local = ordered.mapInArrow(run, T.StructType([*rows, at]))
+    # what each key has at the end of each range: one row each ...
+    totals = ordered.mapInArrow(run_to_ends, T.StructType([*ends, at]))
     # ... and so what it brings into a range from the earlier ones. Rows are sorted
     # by key, so only the first key of a range can have come from an earlier one:
     # at most one row per range is left, which is why it may be broadcast.
