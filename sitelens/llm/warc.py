@@ -95,10 +95,12 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
                      F.col("first.id"), F.col("first.row")).alias("header"))
      .write.mode("overwrite").parquet(f"{path}/headers"))
 
-    bodies = source.select("id", "payload").mapInArrow(_compressed, "id long, sha256 binary, body binary")
-    winners = first.select(F.col("sha256").alias("address"), F.col("first.id").alias("winner"))
-    (bodies.join(winners, (F.col("sha256") == F.col("address")) & F.col("id").eqNullSafe(F.col("winner")), "left_semi")
-     .groupBy("sha256", "id").agg(F.first("body").alias("body"))
+    # rows of one digest hold the same payload, so any row of the winner's id will do; null ids go under one number
+    at = F.coalesce("id", F.lit(-1 << 63))
+    bodies = source.select("id", "payload").mapInArrow(_compressed, "id long, sha256 binary, body binary") \
+        .select("sha256", at.alias("at"), "body")
+    winners = first.select("sha256", F.coalesce("first.id", F.lit(-1 << 63)).alias("at"))
+    (bodies.join(winners, ["sha256", "at"]).groupBy("sha256", "at").agg(F.first("body").alias("body"))
      .select("sha256", "body").write.mode("overwrite").parquet(f"{path}/payloads"))
 
 
