@@ -30,6 +30,12 @@ def test_queries_match_sql(spark, name):
     assert normalise(df.columns, df.collect()) == normalise([d[0] for d in res.description], res.fetchall())
 
 
+def test_stated_types(spark):
+    import __spark_entry__ as E
+    types = dict(E.queries()["op7_shards"](spark, SF_SMALL).dtypes)
+    assert (types["shard"], types["grown_shard"], types["slot"], types["law"]) == ("int", "int", "bigint", "string")
+
+
 def plain_verdict(url, rules):
     host = path = ""
     if url and "://" in url:
