@@ -13,20 +13,20 @@ MOST_ROUNDS = 60
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b); the label is
     the component's least node. Each round is two aggregations with partial
-    combining and two joins; its result is a table in the shared folder. A node
-    with very many neighbours is a skewed join key, which adaptive execution
-    splits. Nothing but two numbers per round reaches the driver."""
+    combining and two joins, all written to the shared folder. The joins are of
+    two tables, so a node with very many neighbours is a skewed key that adaptive
+    execution splits. Nothing but two numbers per round reaches the driver."""
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .distinct(), name)
     seen = None
     for _ in range(MOST_ROUNDS):
         # large star: every neighbour above a node goes to the node's least neighbour
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                             .distinct(), name)
         # small star: a node and its neighbours below go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name)
         now = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -346,7 +346,9 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", words: int =
           percent: int = PERCENT) -> DataFrame:
     """(a, b): digests of linked sets, enough of them to connect every component."""
     keyed = rows.where("n > 0").select("class", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last")
+    # a table of its own, so that the join may split a key that very many documents share
+    shared = materialize(keyed.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"))
+                         .where("first < last").select("key", "first"), "ngram-shared")
     meets = keyed.join(shared, "key").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
     plots = materialize(components(meets, "ngram-plots").select(F.col("node").alias("class"), F.col("label").alias("plot")),
                         "ngram-plots")
