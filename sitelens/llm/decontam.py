@@ -1,12 +1,19 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
-Benchmark items are cut into overlapping passages. A passage of n characters
-that occurs in a document with at most k edits shares at least
-n + 1 - q - k*q character q-grams with it, all on diagonals (position in the
-document less position in the passage) that lie within a band. Shared q-grams
-are counted per passage and diagonal band; bands overlap, so every range of
-k + 1 diagonals lies in one whole. Bands that meet the count are verified by
-banded alignment.
+Every character of a benchmark item starts a passage, so an excerpt is found at
+any offset: the item's characters from there on, 100 of them (an item of fewer
+characters is one passage). A passage of n characters that occurs in a document
+with at most k edits shares at least n + 1 - q - k*q character q-grams with it,
+all on diagonals (position in the document less position in the item) that lie
+within a band. Shared q-grams are posted once per position of an item and
+counted per item and diagonal band; bands overlap, so every range of k + 1
+diagonals lies in one whole. In a band that meets the count, the starts with so
+many shared q-grams among their positions are verified by banded alignment, all
+starts of a run at once.
+
+The shortest verbatim run that is always found, whatever its offset and what
+surrounds it: n - k characters of an item, 92 of an item of 100 or more (the
+passage's other characters are the edits).
 
 The benchmark is a stated query set: its size is read first, and beyond
 ``BLOCK_CHARS`` it is taken in blocks of items, each a pass over the documents.
@@ -36,7 +43,6 @@ from sitelens.llm.common import batches_of
 
 Q = 9                # characters per gram
 PASSAGE = 100        # characters per passage
-STRIDE = 50
 EDIT_RATE = 0.08     # edits allowed per character of a passage
 BAND = 16            # diagonals per band; two grids of bands, half a band apart
 LEAST_CHARS = 40     # shorter items must match exactly
@@ -44,6 +50,7 @@ BLOCK_CHARS = 1 << 20
 SCAN_CHARS = 1 << 18  # characters of documents that are scanned at a time
 FILTER_BITS = 22
 BATCH_ROWS = 512
+RUN = 4096           # passages of an item that are aligned at a time
 
 OTHER = re.compile(r"[\W_]+")
 U64 = np.uint64
@@ -71,34 +78,50 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
 
 
+class Passages:
+    """(item number, start in the item, text) of every passage, cut when read."""
+
+    def __init__(self, items: list[str], size: np.ndarray):
+        self.items, self.size = items, size
+        starts = np.where(size > 0, np.array([len(t) for t in items], np.int64) - size + 1, 0)
+        self.first = np.append(0, np.cumsum(starts))
+
+    def __len__(self) -> int:
+        return int(self.first[-1])
+
+    def __getitem__(self, i: int) -> tuple[int, int, str]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        item = int(np.searchsorted(self.first, i, side="right")) - 1
+        at = i - int(self.first[item])
+        return item, at, self.items[item][at:at + int(self.size[item])]
+
+
 @dataclass
 class Index:
-    """Postings of all passages: gram -> (passage, position)."""
-    passages: list[tuple[int, int, str]]  # item number, start in the item, text
-    edits: np.ndarray                     # budget of each passage
+    """Postings of all items: gram -> (item, position)."""
+    passages: Passages
+    codes: list[np.ndarray]               # of each item, its characters
+    size: np.ndarray                      # characters of each item's passages, 0: none
+    edits: np.ndarray                     # budget of each item's passages
     least: np.ndarray                     # shared grams that the budget leaves
     grams: np.ndarray                     # sorted distinct grams
     first: np.ndarray                     # of each gram, its postings from .. to
-    passage: np.ndarray
+    item: np.ndarray
     position: np.ndarray
     bits: np.ndarray
     short: dict[str, int]                 # item text -> item number, exact matches
 
     @classmethod
     def of(cls, items: list[str]) -> Index:
-        passages, short = [], {}
+        short = {}
         for n, text in enumerate(items):
-            if not text:
-                continue
-            if len(text) < LEAST_CHARS:
+            if text and len(text) < LEAST_CHARS:
                 short.setdefault(text, n)
-                continue
-            last = max(0, len(text) - PASSAGE)
-            for at in sorted({*range(0, last, STRIDE), last}):
-                passages.append((n, at, text[at:at + PASSAGE]))
-        edits = np.array([int(len(p) * EDIT_RATE) for *_, p in passages], np.int64)
-        size = np.array([len(p) for *_, p in passages], np.int64)
-        rows = [_grams(_codes(p)) for *_, p in passages]
+        size = np.array([min(len(t), PASSAGE) if len(t) >= LEAST_CHARS else 0 for t in items], np.int64)
+        edits = (size * EDIT_RATE).astype(np.int64)
+        codes = [_codes(t) for t in items]
+        rows = [_grams(c if n else c[:0]) for c, n in zip(codes, size)]
         flat = np.concatenate(rows) if rows else np.zeros(0, U64)
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(r)) for r in rows]) if rows else np.zeros(0, np.int64)
@@ -106,8 +129,8 @@ class Index:
         grams, first = np.unique(flat[order], return_index=True)
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[(grams >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return cls(passages, edits, size + 1 - Q - edits * Q, grams, np.append(first, len(flat)), owner[order],
-                   place[order], bits, short)
+        return cls(Passages(items, size), codes, size, edits, size + 1 - Q - edits * Q, grams,
+                   np.append(first, len(flat)), owner[order], place[order], bits, short)
 
 
 def within(passage: str, region: str, budget: int) -> int | None:
@@ -130,6 +153,31 @@ def within(passage: str, region: str, budget: int) -> int | None:
     return int(row.min())
 
 
+def run_edits(item: np.ndarray, doc: np.ndarray, first: int, last: int, size: int, low: int, budget: int) -> np.ndarray:
+    """Least edits of the passages that start at ``first`` .. ``last`` of the
+    item, where they occur in the document on the diagonals of the band at
+    ``low``, give or take the budget; more than the budget is any larger number.
+    One table of cells per passage, all filled step by step together."""
+    rows, starts = BAND + 2 * budget, last - first + 1
+    wide = starts + size - 1
+    at = low - budget + first
+    # characters beyond the document's ends equal none, so they cost what leaving them out costs
+    part = np.zeros(wide + rows - 1, doc.dtype)
+    a, b = max(0, at), min(len(doc), at + len(part))
+    if a < b:
+        part[a - at:b - at] = doc[a:b]
+    other = np.lib.stride_tricks.sliding_window_view(part, wide) != item[first:first + wide]
+    steps = np.arange(rows, dtype=np.int16)[:, None]
+    cells = np.zeros((rows, starts), np.int16)
+    for i in range(size):
+        new = cells + other[:, i:i + starts]
+        np.minimum(new[:-1], cells[1:] + 1, out=new[:-1])  # the passage's character is left out
+        cells = np.minimum.accumulate(new - steps, axis=0) + steps  # insertions along the rows
+        if i % 16 == 15 and cells.min() > budget:
+            break
+    return cells.min(axis=0)
+
+
 def matches_in(texts: list[str], index: Index) -> list[dict[int, tuple[int, int]]]:
     """Per normalised text: item -> (passages found, least edits). Texts are
     laid end to end with a gap that no gram can cross."""
@@ -148,6 +196,8 @@ def matches_in(texts: list[str], index: Index) -> list[dict[int, tuple[int, int]
         for start in range(0, max(1, len(text)), SCAN_CHARS):
             pieces.append((n, text[start:start + SCAN_CHARS + over]))
     batch: list[tuple[int, int, str]] = []
+    half = BAND // 2
+    longest = max(len(c) for c in index.codes)
 
     def scan() -> None:
         codes = _codes("\0".join(p for _, _, p in batch))
@@ -160,37 +210,66 @@ def matches_in(texts: list[str], index: Index) -> list[dict[int, tuple[int, int]
         total = int(counts.sum())
         if not total:
             return
-        # every (place in the batch, posting) pair
+        starts = np.array([s for s, _, _ in batch])
+        # every (place in the batch, posting) pair, by piece, item and half band
         ends = np.cumsum(counts)
         posting = np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(index.first[which], counts)
-        passage = index.passage[posting]
-        diagonal = np.repeat(spots, counts) - index.position[posting] + PASSAGE
-        bands = (len(codes) + 2 * PASSAGE) // (BAND // 2) + 3
-        near: set[tuple[int, int]] = set()
-        for grid in (0, 1):
-            key, n = np.unique(passage * bands + 2 * ((diagonal + grid * (BAND // 2)) // BAND) + grid, return_counts=True)
-            for k in key[n >= np.maximum(1, index.least[key // bands])].tolist():
-                band = (k % bands) // 2
-                near.add((k // bands, band * BAND - grid * (BAND // 2) - PASSAGE))
-        starts = np.array([s for s, _, _ in batch])
-        for p, low in sorted(near):
-            item, _, text = index.passages[p]
-            budget = int(index.edits[p])
-            # a band may reach over a gap: look in each text that it touches
-            a, b = low - budget, low + BAND + len(text) + budget
-            for j in range(max(0, int(np.searchsorted(starts, max(a, 0), side="right")) - 1), len(batch)):
-                start, n, body = batch[j]
-                if start >= b:
-                    break
-                region = body[max(0, a - start):max(0, b - start)]
-                if len(region) + budget < len(text):
+        halves = (len(codes) + longest) // half + 2
+        piece = np.searchsorted(starts, spots, side="right") - 1
+        key = np.repeat(piece * len(index.codes), counts) + index.item[posting]
+        key = key * halves + (np.repeat(spots, counts) - index.position[posting] + longest) // half
+        kinds, n = np.unique(key, return_counts=True)
+        follows = np.append(kinds[1:] == kinds[:-1] + 1, False)  # the band's second half has grams too
+        both = n + np.where(follows, np.append(n[1:], 0), 0)
+        bands = np.flatnonzero(both >= np.maximum(1, index.least[kinds // halves % len(index.codes)]))
+        if not len(bands):
+            return
+        wanted = np.zeros(len(kinds), bool)
+        wanted[bands] = True
+        wanted[bands[follows[bands]] + 1] = True
+        kind = np.searchsorted(kinds, key)
+        chosen = np.flatnonzero(wanted[kind])
+        kind, position = kind[chosen], index.position[posting[chosen]]
+        order = np.lexsort((position, kind))
+        kind, position = kind[order], position[order]
+        froms = np.searchsorted(kind, bands, side="left")
+        tos = np.searchsorted(kind, bands + follows[bands], side="right")
+        for k, a, b in zip(kinds[bands].tolist(), froms.tolist(), tos.tolist()):
+            j, item = divmod(k // halves, len(index.codes))
+            start, n, body = batch[j]
+            low = k % halves * half - longest - start
+            verify(n, item, body, codes[start:start + len(body)], low, np.sort(position[a:b]))
+
+    def verify(n: int, item: int, body: str, doc: np.ndarray, low: int, position: np.ndarray) -> None:
+        """Runs of starts with enough of the shared grams, at ``position``, among their own."""
+        size, budget, least = int(index.size[item]), int(index.edits[item]), max(1, int(index.least[item]))
+        text, last = index.passages.items[item], len(index.codes[item]) - size
+        lowest, highest = position[:len(position) - least + 1], position[least - 1:]
+        enough = highest - lowest <= size - Q
+        froms, tos = np.maximum(0, highest[enough] - (size - Q)), np.minimum(last, lowest[enough])
+        if not len(froms):
+            return
+        apart = np.flatnonzero(froms[1:] > tos[:-1] + 1)
+        for first, end in zip(froms[np.append(0, apart + 1)].tolist(), tos[np.append(apart, len(tos) - 1)].tolist()):
+            for s in range(first, end + 1, RUN):
+                e = min(end, s + RUN - 1)
+                best = seen.get((n, item))
+                if best is not None and not best[s:e + 1].any():
                     continue
-                edits = within(text, region, budget)
-                if edits is not None:
-                    seen.setdefault((n, p), edits)
-                    seen[n, p] = min(seen[n, p], edits)
-
-    seen: dict[tuple[int, int], int] = {}
+                region = body[max(0, low - budget + s):max(0, low + BAND + e + size + budget)]
+                if text[s:e + size] in region:
+                    edits = np.zeros(e - s + 1, np.int16)
+                elif s == e:
+                    got = within(text[s:s + size], region, budget)
+                    edits = np.array([budget + 1 if got is None else got], np.int16)
+                else:
+                    edits = run_edits(index.codes[item], doc, s, e, size, low, budget)
+                if edits.min() <= budget:
+                    if best is None:
+                        best = seen[n, item] = np.full(last + 1, size, np.int16)
+                    np.minimum(best[s:e + 1], edits, out=best[s:e + 1])
+
+    seen: dict[tuple[int, int], np.ndarray] = {}  # least edits of each passage of the item
     for n, piece in pieces:
         if batch and at + len(piece) > SCAN_CHARS:
             scan()
@@ -199,10 +278,8 @@ def matches_in(texts: list[str], index: Index) -> list[dict[int, tuple[int, int]
         at += len(piece) + 1
     if batch:
         scan()
-    for (n, p), edits in seen.items():
-        item = index.passages[p][0]
-        had = found[n].get(item, (0, edits))
-        found[n][item] = (had[0] + 1, min(had[1], edits))
+    for (n, item), edits in seen.items():
+        found[n][item] = (int((edits <= index.edits[item]).sum()), int(edits.min()))
     return found
 
 

@@ -92,6 +92,39 @@ def test_edited_passages_are_found_and_clean_texts_are_not():
         assert not got[0] and not got[1] and got[2] and not got[3]
 
 
+def aligned_passages(item, text):
+    """(passages within their edits, least edits) by plain alignment of every passage, or None."""
+    n = min(len(item), 100)
+    got = [plain_edits(item[s:s + n], text) for s in range(len(item) - n + 1)]
+    got = [e for e in got if e <= int(n * 0.08)]
+    return (len(got), min(got)) if got else None
+
+
+def test_excerpts_at_every_offset_against_plain_alignment(monkeypatch):
+    monkeypatch.setattr(decontam, "SCAN_CHARS", 400)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    items = [" ".join(word() for _ in range(40))[:130], " ".join(word() for _ in range(20))[:70], "ab cd " * 20]
+    index = decontam.Index.of(items)
+    texts, always = [], []
+    for run, step in ((88, 6), (92, 1), (96, 6)):
+        for at in range(0, len(items[0]) - run + 1, step):
+            texts.append("".join(r.choice("qrstuvwxyz ") for _ in range(20)) + items[0][at:at + run]
+                         + "".join(r.choice("qrstuvwxyz ") for _ in range(20)))
+            always.append(run >= 92)
+    for _ in range(12):
+        x = list(r.choice(items))
+        for _ in range(r.randint(0, 9)):
+            j = r.randrange(len(x))
+            x[j:j + r.randint(0, 1)] = r.choice(["", r.choice("abcdef "), r.choice("xyz")])
+        texts.append("".join(x))
+        always.append(False)
+    got = decontam.matches_in(texts, index)
+    for text, found, sure in zip(texts, got, always):
+        want = {i: w for i, w in ((i, aligned_passages(item, text)) for i, item in enumerate(items)) if w}
+        assert found == want and (0 in want or not sure)
+
+
 def test_long_text_is_scanned_whole(monkeypatch):
     monkeypatch.setattr(decontam, "SCAN_CHARS", 1000)
     r = random.Random(4)
