@@ -110,14 +110,14 @@ class Index:
     item: np.ndarray
     position: np.ndarray
     bits: np.ndarray
-    short: dict[str, int]                 # item text -> item number, exact matches
+    short: dict[str, list[int]]           # item text -> item numbers, exact matches
 
     @classmethod
     def of(cls, items: list[str]) -> Index:
-        short = {}
+        short: dict[str, list[int]] = {}
         for n, text in enumerate(items):
             if text and len(text) < LEAST_CHARS:
-                short.setdefault(text, n)
+                short.setdefault(text, []).append(n)
         size = np.array([min(len(t), PASSAGE) if len(t) >= LEAST_CHARS else 0 for t in items], np.int64)
         edits = (size * EDIT_RATE).astype(np.int64)
         codes = [_codes(t) for t in items]
@@ -185,9 +185,9 @@ def matches_in(texts: list[str], index: Index) -> list[dict[int, tuple[int, int]
     for n, text in enumerate(texts):
         if index.short and text:
             padded = f" {text} "
-            for item_text, item in index.short.items():
+            for item_text, numbers in index.short.items():
                 if f" {item_text} " in padded:
-                    found[n][item] = (1, 0)
+                    found[n] |= dict.fromkeys(numbers, (1, 0))
     if not len(index.grams):
         return found
     pieces, at = [], 0

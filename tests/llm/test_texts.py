@@ -155,6 +155,17 @@ def test_contamination_edges(spark):
     assert decontam.without_contamination(df.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_equal_benchmark_items_are_all_reported(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
+    long = "a longer item of the benchmark that holds well over forty characters"
+    texts = ["Short words!", "short words", "short words", long, long.upper()]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    df = spark.createDataFrame([(1, f"so: short words, {long}."), (2, "shorter words")], "doc_id long, text string")
+    got = decontam.find_contamination(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(1, i, 0) for i in range(5)]
+
+
 def plain_fingerprint(text, k, hashes, tuple_size):
     """Order MinHash with plain loops over the k-mers."""
     if not text:
