@@ -17,7 +17,7 @@ from sitelens.session import apply_conf, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a prevailing language go."""
+    """Documents without letters or without a prevailing language go; without labels to learn from, those without letters."""
     apply_conf(spark)
     return langid.keep_identified(docs, langid.train(docs))
 

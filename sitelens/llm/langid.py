@@ -11,7 +11,8 @@ number of hashed n-gram features per language, so what reaches the driver and
 the workers does not grow with the corpus.
 
 Defined results: null text and texts without a letter: ``und``, score 0, no
-spans. No labelled rows: everything is ``und``. Letters of a script that no
+spans. No labelled rows: everything is ``und``, and ``keep_identified`` keeps
+every text with letters. Letters of a script that no
 learned language uses: all languages stay candidates. Ties: the language first
 in alphabetical order. Repeated rows and null ids keep one output row each (a
 null id is not held out and not learned from). Very long texts are labelled
@@ -300,11 +301,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score
     of at least ``least_score``; rows without letters and rows without a
-    prevailing language go."""
+    prevailing language go. If no language was learned, none can be told from
+    another: all rows with letters stay."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for b in batches_of(BATCH_ROWS, it):
-            got = labeller.label(b.column(b.schema.get_field_index(text_col)).to_pylist())
-            yield b.filter(pa.array([g[0] != "und" and g[1] >= least_score for g in got], pa.bool_()))
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            if model.langs:
+                stay = [g[0] != "und" and g[1] >= least_score for g in labeller.label(texts)]
+            else:
+                stay = [bool(words_of(t or "")) for t in texts]
+            yield b.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,6 +45,16 @@ def test_whole_table_round_trip(spark):
     assert filled > 0.98
 
 
+def test_packing_stage_round_trip(spark):
+    import corpus_pipeline as P
+    df = spark.read.parquet(f"{SF_CHECK}/documents.parquet").limit(300).localCheckpoint()
+    texts, encode = {r.doc_id: r.text for r in df.collect()}, reference()
+    rows = P.packing(spark, df, SF_CHECK).collect()
+    check(rows, texts, encode)
+    whole = {i: [*encode(t or ""), 1] for i, t in texts.items()}
+    assert all(r.ids == whole[r.doc_id][r.start:r.start + r.length] for r in rows)
+
+
 def test_hard_texts(spark):
     r = random.Random(7)
     bits = ["<|endoftext|>", " ", "  ", "\n", "a", "the", "'s", "é", "\U0001f600", "123", "_", "\r\n", "中文", "!!", "\x00", "²"]

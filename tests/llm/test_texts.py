@@ -58,6 +58,53 @@ def test_language_spans_scripts_and_edges(spark):
     assert not {r.doc_id for r in kept.collect()} & {0, 1, 2}
 
 
+def plain_path(s, penalty):
+    """Best path of labels, word by word."""
+    value, back = s[0].copy(), []
+    for x in s[1:]:
+        other = value.max() - penalty
+        back.append([j if value[j] >= other else int(value.argmax()) for j in range(len(value))])
+        value = np.maximum(value, other) + x
+    path = [int(value.argmax())]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return np.array(path[::-1])
+
+
+def test_language_stage_keeps_the_rows_of_a_plain_loop(spark, docs):
+    import corpus_pipeline as P
+    rows = [(i, r.text, r.lang) for i, r in docs.items()][:400]
+    texts = [t for _, t, _ in rows]
+    mixed = [" ".join(w for t in texts[i:i + 4] for w in t.split()[:9]) for i in range(0, 80, 4)]
+    rows += [(10 ** 6 + i, t, None) for i, t in enumerate([None, "", "12 34 !!", *mixed])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, want = langid.train(df), set()
+    for i, text, _ in rows:
+        words = langid.words_of(text or "")
+        if words:
+            s = model.score(words)
+            path = plain_path(s, langid.SWITCH)
+            letters = [sum(len(w) for w, x in zip(words, path) if x == j) for j in range(len(model.langs))]
+            top = max(range(len(letters)), key=lambda j: (letters[j], -j))
+            total = s[path == top].sum(axis=0)
+            sure = min(1, 1 / np.exp(np.clip(total - total[top], -700, 50)).sum())
+            if letters[top] / sum(letters) * sure >= 0.5:
+                want.add(i)
+    got = [r.doc_id for r in P.language_id(spark, df, SF_CHECK).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(want) < len(rows) - 3
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    import corpus_pipeline as P
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for ids, lang in (((1, 2, 3, 4), None), ((held,) * 4, "en")):
+        rows = list(zip(ids, ["the house and the garden", "дом и сад", "12 34 !!", None], [lang] * 4))
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        kept = P.language_id(spark, df, SF_CHECK)
+        assert kept.columns == df.columns
+        assert sorted(r.text for r in kept.collect()) == ["the house and the garden", "дом и сад"]
+
+
 def plain_edits(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
