@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from sitelens.session import materialize
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b); the label is
     the component's least node. Each round is two aggregations with partial
     combining and two joins, all written to the shared folder. The joins are of
     two tables, so a node with very many neighbours is a skewed key that adaptive
-    execution splits. Nothing but two numbers per round reaches the driver."""
+    execution splits. Nothing but two numbers per round reaches the driver. The
+    rounds go on until a round leaves the pairs as they were."""
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .distinct(), name)
     seen = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         # large star: every neighbour above a node goes to the node's least neighbour
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)

@@ -89,6 +89,14 @@ def test_linked_sets_share_a_key():
     assert linked > 1000
 
 
+def test_rounds_go_on_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 2, raising=False)  # a bound on the rounds must not decide the labels
+    pairs = [(i, i + 1) for i in range(60)]
+    random.Random(2).shuffle(pairs)
+    got = {x.node: x.label for x in graph.components(spark.createDataFrame(pairs, "a long, b long"), "t").collect()}
+    assert got == dict.fromkeys(range(61), 0)
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(0, 120)]
