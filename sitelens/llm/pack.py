@@ -2,7 +2,9 @@
 
 Each task takes its scan split: documents become token ids plus an end id, full
 windows are cut off, the rest is cut into grains and collected until a group of
-windows can be filled. Differencing then merges partial partitions with
+windows can be filled. Tiny pieces that follow each other are joined into runs
+of at most a grain and placed as one, so a group has a bounded number of sizes
+however short its documents are. Differencing then merges partial partitions with
 opposing imbalances until one partition with near-equal windows is left; while
 its largest window exceeds the capacity, the window count rises and the group
 is differenced anew. Groups are of fixed size and nothing is shuffled, so
@@ -133,7 +135,7 @@ class _Packer:
     """Pieces of one task: (id, start, ids, doc_tokens), grouped and differenced."""
 
     def __init__(self, first_sequence: int, window: int, grain: int, group_windows: int):
-        self.next, self.window, self.grain = first_sequence, window, grain
+        self.next, self.window, self.grain = first_sequence, window, min(grain, window)
         self.room = self.budget = group_windows * (window - min(SLACK, window - 1))
         self.pieces: list[tuple] = []
         self.rows: list[list] = [[] for _ in range(8)]
@@ -160,7 +162,13 @@ class _Packer:
 
     def flush(self) -> None:
         if self.pieces:
-            window = fill([len(p[2]) for p in self.pieces], self.window)
+            runs, run = [0], []  # ids of each run, and the run of each piece
+            for piece in self.pieces:
+                if runs[-1] + len(piece[2]) > self.grain:
+                    runs.append(0)
+                runs[-1] += len(piece[2])
+                run.append(len(runs) - 1)
+            window = fill(runs, self.window)[run]
             offset = dict.fromkeys(window.tolist(), 0)
             name = {w: self.next + i for i, w in enumerate(offset)}
             for piece, w in zip(self.pieces, window.tolist()):

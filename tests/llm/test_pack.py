@@ -71,6 +71,32 @@ def test_ids_column_empty_table_and_nulls(spark):
     assert pack.pack_documents(df.where("false"), queries.tokenizer_path()).count() == 0
 
 
+def test_group_of_tiny_documents_has_few_sizes(monkeypatch):
+    asked, plain = [], pack.differenced
+    monkeypatch.setattr(pack, "differenced", lambda sizes, k: asked.append(len(sizes)) or plain(sizes, k))
+    packer = pack._Packer(0, 64, 16, 32)
+    r = random.Random(4)
+    sizes = [r.choice((1, 1, 1, 1, 2, 15, 16, 40, 200)) if i > 4000 else 1 for i in range(6000)]
+    for doc, n in enumerate(sizes):
+        packer.add(doc, np.full(n, doc, np.uint32))
+    packer.flush()
+    rows = packer.take(True).to_pylist()
+    places, lengths = defaultdict(list), defaultdict(int)
+    for x in rows:
+        assert set(x["ids"]) == {x["doc_id"]} and x["start"] == lengths[x["doc_id"]]
+        lengths[x["doc_id"]] += x["length"]
+        places[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert [lengths[d] for d in range(len(sizes))] == sizes
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert sum(sizes) / (64 * len(places)) > 0.95
+    assert max(asked) <= 2 * 32 * 62 / 16 + 1  # two runs in a row hold more than a grain
+
+
 def test_differencing_balances_and_count_rises():
     r = random.Random(3)
     for _ in range(30):
