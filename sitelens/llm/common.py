@@ -35,3 +35,8 @@ def batches_of(rows_at_most: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     for b in it:
         for i in range(0, b.num_rows, rows_at_most):
             yield b.slice(i, rows_at_most)
+
+
+def text_bytes(column: pa.Array) -> list[bytes]:
+    """A string column as UTF-8 bytes, null as none."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

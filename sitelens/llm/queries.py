@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontam, jaccard, langid, minhash, pack, pii, secrets, shards, urlrules, warc
+from sitelens.llm import decontam, jaccard, langid, minhash, pack, pii, resample, secrets, shards, urlrules, warc
 from sitelens.llm.common import inline_rows, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -77,6 +77,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's words, ranked by a distributed radix sort."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_pack, op2_pii, op3_url_rules, op4_contamination, op5_ngram_jaccard, op6_language, op7_shards, op8_order_minhash, op9_warc, op10_secrets)}
+        op1_pack, op2_pii, op3_url_rules, op4_contamination, op5_ngram_jaccard, op6_language, op7_shards, op8_order_minhash, op9_warc, op10_secrets,
+        op13_resample)}

@@ -73,5 +73,46 @@ FROM docs LEFT JOIN report USING (n)
 """
 
 
+OP13 = r"""
+WITH crc AS (  -- the byte table of CRC-32
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || list_transform(range(8), lambda z: z::BIGINT),
+           lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS bytes),
+docs AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
+words AS (
+  SELECT n, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM docs),
+wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+bucket_of AS (
+  SELECT word, xor(list_reduce([4294967295] || list_transform(range(0, strlen(word)),
+                     lambda i: ('0x' || substr(hex(word), 2 * i::INT + 1, 2))::BIGINT),
+                   lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM words UNION SELECT word FROM wanted), crc),
+s AS (SELECT bucket, count(*) AS s FROM words JOIN bucket_of USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM wanted JOIN bucket_of USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM words) + 10000)::DOUBLE)
+                               / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM s FULL JOIN t USING (bucket)),
+weighed AS (
+  SELECT n, count(*) AS n_features, sum(g)::BIGINT AS total
+  FROM words JOIN bucket_of USING (word) JOIN gain USING (bucket) GROUP BY n),
+scored AS (
+  SELECT n, doc_id, coalesce(n_features, 0) AS n_features,
+         CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM docs LEFT JOIN weighed USING (n)),
+final AS (
+  SELECT n, doc_id, n_features, weight,
+         (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM scored),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n) AS k,
+         count(*) OVER (PARTITION BY n_features >= 20) AS held FROM final)
+SELECT doc_id, n_features, weight::BIGINT AS weight, score,
+       CASE WHEN n_features >= 20 AND k <= 10 * held // 100 THEN k END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3, "op9_warc": OP9, "op10_secrets": _secret_sql()}
+    return {"op3_url_rules": OP3, "op9_warc": OP9, "op10_secrets": _secret_sql(), "op13_resample": OP13}

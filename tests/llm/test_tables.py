@@ -23,7 +23,7 @@ RULES = [(r["host"], r["path"], r["verdict"]) for r in queries.URL_RULES]
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_CHECK}/{t}.parquet')")
     df = queries.queries()[name](spark, SF_CHECK)
     res = con.execute(sql.oracle_sql()[name])
