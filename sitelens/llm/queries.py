@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontam, jaccard, langid, minhash, pack, pii, resample, secrets, shards, urlrules, warc
+from sitelens.llm import decontam, jaccard, langid, minhash, pack, pii, resample, secrets, shards, tokenalign, urlrules, warc
 from sitelens.llm.common import inline_rows, table
 
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 
 # The URL rules of the contract.
 URL_RULES = [{"host": "net", "path": "/", "verdict": "block"},
@@ -18,9 +19,9 @@ URL_RULES = [{"host": "net", "path": "/", "verdict": "block"},
              {"host": "org", "path": "/fr/", "verdict": "allow"}]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked tokens of two tokenizers in every document, scored through inverted pair bitmaps."""
+    return tokenalign.alignment_report(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(OTHER_TOKENIZER))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents drawn towards the benchmark's words, ranked by a distributed radix sort."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -85,4 +91,4 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pack, op2_pii, op3_url_rules, op4_contamination, op5_ngram_jaccard, op6_language, op7_shards, op8_order_minhash, op9_warc, op10_secrets,
-        op13_resample)}
+        op12_token_alignment, op13_resample)}
