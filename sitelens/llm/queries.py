@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontam, jaccard, langid, minhash, pack, pii, resample, secrets, shards, tokenalign, urlrules, warc
+from sitelens.llm import decontam, jaccard, langid, minhash, pack, pii, repeats, resample, secrets, shards, tokenalign, urlrules, warc
 from sitelens.llm.common import inline_rows, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -78,6 +78,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte that a repeated run of 200 bytes covers is taken out, by two-stage suffix sorting."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked tokens of two tokenizers in every document, scored through inverted pair bitmaps."""
     return tokenalign.alignment_report(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(OTHER_TOKENIZER))
@@ -91,4 +96,4 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pack, op2_pii, op3_url_rules, op4_contamination, op5_ngram_jaccard, op6_language, op7_shards, op8_order_minhash, op9_warc, op10_secrets,
-        op12_token_alignment, op13_resample)}
+        op11_repeats, op12_token_alignment, op13_resample)}
