@@ -8,24 +8,19 @@ them statement by statement. Set-wise:
 * initial limit row (``INSERT OR IGNORE``): ``min_by`` over the first event;
 * admission with a fixed limit: a request is admitted iff the user's earlier
   would-succeed requests number fewer than the limit, a running count;
-* admission with limit changes: every accepted change starts a segment. Per
-  segment only its limit, its would-succeed count and the counter at its start
-  matter; the counters are folded over the (few, narrow) segment rows in order,
-  and a request is admitted iff counter + earlier successes of the segment stay
-  below the limit.
-
-Running counts use range-partitioned timelines (``operators.windows``), so a
-user who holds a large share of the log is spread over many tasks.
+* admission with limit changes: a range of a user's rows is one composable map of
+  the counter (``operators.replay``).
+
+Both use range-partitioned timelines (``operators.windows``), so a user who holds
+a large share of the log is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.operators.replay import replayed
 from sitelens.operators.windows import running
 from sitelens.schemas import DEFAULT_USER_LIMIT
 
@@ -77,24 +72,8 @@ def limit_asof(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT) -> DataFr
         "request_id", "user_id", F.coalesce("lim", F.lit(default).cast("long")).alias("max_limit"))
 
 
-def _fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments in order -> the counter at the start and end of each. One
-    number is kept between rows."""
-    user, count = object(), 0
-    for b in it:
-        starts, ends = [], []
-        for u, lim, ws in zip(*(b.column(c).to_pylist() for c in ("user_id", "lim", "ws_total"))):
-            if u != user:
-                user, count = u, 0
-            starts.append(count)
-            count += min(ws, max(0, lim - count))
-            ends.append(count)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-                                         [*b.schema.names, "c0", "c1"])
-
-
-def replay_timeline(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT,
-                    keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def replay_timeline(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT, keep: list[str] | None = None,
+                    order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """W-3b: exact replay of check-then-increment with limit changes over
     ``(user_id, ts, request_id, ws, new_limit)``.
 
@@ -102,19 +81,13 @@ def replay_timeline(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT,
     user_id, admitted, max_limit, *keep)``; per user the final ``(user_id,
     current, max_limit)`` row of the limits table.
     """
-    tl = timeline.withColumn("is_chg", F.col("new_limit").isNotNull().cast("long"))
-    tl = running(tl, "user_id", ORDER, sums={"seg": ("is_chg", True)}, since={"prior": ("ws", "is_chg")})
-    segments = tl.groupBy("user_id", "seg").agg(
-        F.coalesce(F.max("new_limit"), F.lit(default).cast("long")).alias("lim"), F.sum("ws").alias("ws_total"))
-    folded = segments.repartition("user_id").sortWithinPartitions("user_id", "seg") \
-        .select("user_id", "seg", "lim", "ws_total") \
-        .mapInArrow(_fold, "user_id string, seg long, lim long, ws_total long, c0 long, c1 long")
-    final = folded.groupBy("user_id").agg(F.max_by("c1", "seg").alias("current"), F.max_by("lim", "seg").alias("max_limit"))
-    starts = folded.select(F.col("user_id").alias("__u"), F.col("seg").alias("__s"), "lim", "c0")
-    per = tl.filter(F.col("is_chg") == 0).join(
-        starts, F.col("user_id").eqNullSafe(F.col("__u")) & (F.col("seg") == F.col("__s")))
-    return per.select("request_id", "user_id", (F.col("c0") + F.col("prior") < F.col("lim")).alias("admitted"),
-                      F.col("lim").alias("max_limit"), *(keep or [])), final
+    order = order or ORDER
+    rows = replayed(timeline, order, default)
+    per = rows.where(F.col("new_limit").isNull()).select("request_id", "user_id", "admitted", "max_limit", *(keep or []))
+    used = F.sum(F.when(F.col("admitted"), F.coalesce("ws", F.lit(0))).otherwise(F.lit(0)))
+    final = rows.groupBy("user_id").agg(used.cast("long").alias("current"),
+                                        F.max_by("max_limit", F.struct(*order)).alias("max_limit"))
+    return per, final
 
 
 def quota_replay(requests: DataFrame, changes: DataFrame, default: int = DEFAULT_USER_LIMIT) -> tuple[DataFrame, DataFrame]:

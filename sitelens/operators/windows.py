@@ -2,10 +2,11 @@
 
 A plain window over a user puts all rows of that user into one task. Here rows
 are range-partitioned and sorted by (key, order), so a user with a third of the
-log lies in many ranges. Each task runs over its rows once with vectorised
-prefix sums; what a key has gathered in earlier ranges is added from a table of
-at most one row per range. The source is scanned once
-and shuffled once: both branches read the same exchange.
+log lies in many ranges. Each task runs over its range once with vectorised prefix
+sums and *writes* the rows with the number of their range: the ranges are fixed
+there and then. What a key has gathered in earlier ranges is read from the same
+table, from at most two rows per range, and added. No result hangs on two
+exchanges choosing equal bounds, on exchange reuse or on adaptive execution.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.session import materialize
+
 PART = "__part"
+RIM = "__rim"
 
 
 class _Running:
@@ -33,11 +37,9 @@ class _Running:
         self.part = dict.fromkeys(since, 0)
         self.cut = dict.fromkeys(since, False)
 
-    def batch(self, b: pa.RecordBatch, part: int) -> tuple[pa.RecordBatch, pa.RecordBatch, np.ndarray]:
-        """The rows with their running values; what the key has gathered up to
-        each row; and where a key starts."""
+    def batch(self, b: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray]:
+        """The rows' running values within the range, and where a key starts."""
         n = b.num_rows
-        ends, end_names = [b.column(self.key)], [self.key]
         keys = b.column(self.key).dictionary_encode()
         codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         start = np.concatenate([[True], codes[1:] != codes[:-1]])
@@ -45,7 +47,7 @@ class _Running:
         index = np.arange(n)
         first = np.maximum.accumulate(np.where(start, index, -1))  # -1: the key came with the last batch
         carried = first < 0
-        cols, names = [], []
+        cols = []
 
         def value(name: str) -> np.ndarray:
             return b.column(name).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -56,9 +58,6 @@ class _Running:
             before = total - v
             run = before - np.where(carried, 0, before[first]) + np.where(carried, self.sum[out], 0)
             cols.append(pa.array(run + v if inclusive else run, pa.int64()))
-            names.append(out)
-            ends.append(pa.array(run + v, pa.int64()))
-            end_names.append(f"__t_{out}")
             self.sum[out] = int(run[-1] + v[-1])
         for out, col in self.lasts.items():
             v = b.column(col)
@@ -69,9 +68,6 @@ class _Running:
             if self.last[out] is not None:
                 taken = pc.if_else(pa.array(carried & ~here), pa.scalar(self.last[out], v.type), taken)
             cols.append(taken)
-            names.append(out)
-            ends.append(taken)
-            end_names.append(f"__t_{out}")
             self.last[out] = taken[n - 1].as_py()
         for out, (col, reset) in self.since.items():
             v, resets = value(col), value(reset) > 0
@@ -83,14 +79,44 @@ class _Running:
             last_cut = np.maximum.accumulate(np.where(resets, index, -1))
             cut = (last_cut >= np.maximum(first, 0)) | (carried & self.cut[out])
             cols += [pa.array(run, pa.int64()), pa.array(cut)]
-            names += [out, f"__c_{out}"]
-            ends += [pa.array(run + v, pa.int64()), pa.array(cut)]
-            end_names += [f"__t_{out}", f"__c_{out}"]
             self.part[out], self.cut[out] = int(run[-1] + v[-1]), bool(cut[-1])
         self.current, self.open = b.column(self.key)[n - 1].as_py(), True
-        parts = pa.array(np.full(n, part, np.int32))
-        return (pa.RecordBatch.from_arrays([*b.columns, *cols, parts], [*b.schema.names, *names, PART]),
-                pa.RecordBatch.from_arrays([*ends, parts], [*end_names, PART]), start)
+        return cols, start
+
+
+def rims(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
+    """Adds the range's number and, at the last row of the range's first and of
+    its last key, ``__rim``. ``batches`` come with where a key starts; the last row
+    of a batch waits for the next one."""
+    held, keys = None, 0
+
+    def out(b: pa.RecordBatch, rim: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(rim)],
+                                          [*b.schema.names, PART, RIM])
+
+    for b, start in batches:
+        if held is not None:
+            yield out(held, np.array([keys == 1 and bool(start[0])]))
+        count = keys + np.cumsum(start)  # keys so far, with the row's own
+        keys = int(count[-1])
+        if b.num_rows > 1:
+            yield out(b.slice(0, b.num_rows - 1), start[1:] & (count[:-1] == 1))
+        held = b.slice(b.num_rows - 1)
+    if held is not None:
+        yield out(held, np.array([True]))
+
+
+def write_ranges(df: DataFrame, key: str, order: list[str], run, fields: list[T.StructField], name: str = "timeline") -> DataFrame:
+    """The rows of ``df`` in ranges of (key, order), each range passed through
+    ``run(batches, its number)`` and written once with ``fields``."""
+    from pyspark import TaskContext
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run((b for b in it if b.num_rows), TaskContext.get().partitionId())
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
+    return materialize(ordered.mapInArrow(task, T.StructType(fields)), name)
 
 
 def running(df: DataFrame, key: str, order: list[str], sums: dict | None = None, lasts: dict | None = None,
@@ -103,40 +129,32 @@ def running(df: DataFrame, key: str, order: list[str], sums: dict | None = None,
     ``since``: ``{out: (column, reset)}`` sum over earlier rows after the last
     row whose ``reset`` is positive (such a row starts anew and adds nothing).
     """
-    from pyspark import TaskContext
     sums, lasts, since = dict(sums or {}), dict(lasts or {}), dict(since or {})
     longs = lambda names: [T.StructField(x, T.LongType()) for x in names]
-    flags = {o: T.StructField(f"__c_{o}", T.BooleanType()) for o in since}
-    at = T.StructField(PART, T.IntegerType())
-    rows = list(df.schema.fields) + longs(sums) + [T.StructField(o, df.schema[c].dataType) for o, c in lasts.items()]
-    rows += [f for o in since for f in (*longs([o]), flags[o])]
-    ends = [df.schema[key], *longs(f"__t_{o}" for o in sums)]
-    ends += [T.StructField(f"__t_{o}", df.schema[c].dataType) for o, c in lasts.items()]
-    ends += [f for o in since for f in (*longs([f"__t_{o}"]), flags[o])]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, part = _Running(key, sums, lasts, since), TaskContext.get().partitionId()
-        for b in it:
-            if b.num_rows:
-                yield state.batch(b, part)[0]
-
-    def run_to_ends(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, part, held = _Running(key, sums, lasts, since), TaskContext.get().partitionId(), None
-        for b in it:
-            if b.num_rows:
-                _, end, start = state.batch(b, part)
-                if held is not None and start[0]:
-                    yield held
-                yield end.take(pa.array(np.flatnonzero(start[1:])))
-                held = end.slice(b.num_rows - 1)
-        if held is not None:
-            yield held
-
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
-    local = ordered.mapInArrow(run, T.StructType([*rows, at]))
-    # what each key has at the end of each range: one row each ...
-    totals = ordered.mapInArrow(run_to_ends, T.StructType([*ends, at]))
+    fields = list(df.schema.fields) + longs(sums) + [T.StructField(o, df.schema[c].dataType) for o, c in lasts.items()]
+    for o in since:
+        fields += [*longs([o]), T.StructField(f"__c_{o}", T.BooleanType())]
+    names = [f.name for f in fields]
+    fields += [T.StructField(PART, T.IntegerType()), T.StructField(RIM, T.BooleanType())]
+
+    def run(it: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        state = _Running(key, sums, lasts, since)
+
+        def local() -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+            for b in it:
+                cols, start = state.batch(b)
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols], names), start
+
+        yield from rims(local(), part)
+
+    local = write_ranges(df, key, order, run, fields)
+    # What a key has at the end of a range, where it can go on in the next one or
+    # come from the one before: at most two rows per range ...
+    own = lambda c: F.coalesce(F.col(c), F.lit(0))
+    totals = local.where(RIM).select(
+        key, PART, *[(F.col(o) + (F.lit(0) if inclusive else own(c))).alias(f"__t_{o}") for o, (c, inclusive) in sums.items()],
+        *[F.col(o).alias(f"__t_{o}") for o in lasts], *[F.col(f"__c_{o}") for o in since],
+        *[(F.col(o) + F.when(own(r) > 0, F.lit(0)).otherwise(own(c))).alias(f"__t_{o}") for o, (c, r) in since.items()])
     # ... and so what it brings into a range from the earlier ones. Rows are sorted
     # by key, so only the first key of a range can have come from an earlier one:
     # at most one row per range is left, which is why it may be broadcast.
