@@ -1,7 +1,7 @@
 """Model answer handling as column expressions (R-1..R-8, R-12, F-7, F-8).
 
-The answer is parsed once into a VARIANT (``try_parse_json``), not into a
-``map<string,string>``: a map cast would turn ``1`` into ``'1'`` and hide
+The answer is parsed once into a VARIANT (``try_parse_json``, made strict about
+text after the value), not into a ``map<string,string>``: a map cast would turn ``1`` into ``'1'`` and hide
 the type errors the answer record must reject. Each of the 24 fields is then
 read by path and type-checked: absent -> '', string -> value, anything else
 (number, bool, null, list, object) -> the whole record fails.
@@ -43,6 +43,19 @@ def json_unwrap(raw) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit("")), x)
 
 
+def with_json(df: DataFrame, json_col: str, name: str) -> DataFrame:
+    """``df`` with the VARIANT ``name`` of a text that is one JSON value, else null.
+
+    Spark's parser stops at the end of the first value and ignores what follows. So
+    the text is parsed as the first of two list elements, the second being the text's
+    own digest: only a text that is one whole value leaves the digest in its place."""
+    digest = F.sha2(F.col(json_col), 256)
+    both = F.try_parse_json(F.concat(F.lit("["), F.col(json_col), F.lit(',"'), digest, F.lit('"]')))
+    df = df.withColumns({"__both": both, "__digest": digest})
+    alone = F.try_variant_get(F.col("__both"), "$[1]", "string") == F.col("__digest")
+    return df.withColumn(name, F.when(alone, F.try_variant_get(F.col("__both"), "$[0]", "variant"))).drop("__both", "__digest")
+
+
 def field_path(key: str) -> str:
     return "$['" + key + "']"
 
@@ -56,7 +69,7 @@ def with_answer_fields(df: DataFrame, json_col: str, keys: list[tuple[str, str]]
     when ``ok_col`` is true and null otherwise.
     """
     keys = keys or ANSWER_FIELDS
-    df = df.withColumn("__v", F.try_parse_json(F.col(json_col)))
+    df = with_json(df, json_col, "__v")
     v = F.col("__v")
     types = {f"__t_{c}": F.schema_of_variant(F.try_variant_get(v, field_path(k), "variant")) for c, k in keys}
     vals = {f"__s_{c}": F.coalesce(F.try_variant_get(v, field_path(k), "string"), F.lit("")) for c, k in keys}
@@ -138,7 +151,7 @@ def with_report_row(df: DataFrame, json_col: str = "result_json", user_col: str
     ``fill_timestamp=True`` writes the stored row's time into the timestamp
     cell of good rows too (the record-from-result form, R-10).
     """
-    df = df.withColumn("__r_e", F.try_parse_json(F.col(json_col)))
+    df = with_json(df, json_col, "__r_e")
     e = F.col("__r_e")
     fr_t = F.schema_of_variant(F.try_variant_get(e, "$.full_result", "variant"))
     pu_t = F.schema_of_variant(F.try_variant_get(e, "$.pricing_url", "variant"))

@@ -28,19 +28,32 @@ COMMAND = "error"          # a command; state-neutral
 ORDER = ["ts", "event_id"]
 
 
-def message_routing(log: DataFrame) -> DataFrame:
-    """``log``: (event_id, ts, user_id, kind). Returns one row per text
-    event: (event_id, user_id, session, action) with action in ``audit``,
-    ``sheet_connected``, ``sheet_invalid``, ``ignored``."""
-    df = log.select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"), "kind") \
-        .withColumns({
-            "is_button": F.col("kind").isin(START_BUTTON, CONNECT_BUTTON).cast("long"),
-            "is_text": F.col("kind").isin(TEXT_PLAIN, TEXT_WITH_ID).cast("long"),
-            "is_valid": (F.col("kind") == TEXT_WITH_ID).cast("long"),
-            "button": F.when(F.col("kind").isin(START_BUTTON, CONNECT_BUTTON), F.col("kind"))})
-    df = running(df, "user_id", ORDER, sums={"session": ("is_button", True)}, lasts={"state": "button"},
-                 since={"prior_texts": ("is_text", "is_button"), "prior_valid": ("is_valid", "is_button")})
-    texts = df.filter(F.col("is_text") == 1)
+# What a user's earlier rows amount to; it composes, so a log can be taken in parts.
+STATE = ["session", "button", "texts", "valid"]
+
+
+def states_of(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``log`` (event_id, ts, user_id, kind) with the dialog state in which each row
+    is met: ``session``, ``state`` (its button), ``prior_texts``, ``prior_valid``.
+    ``before`` (user_id, session, button, texts, valid): the users' states before
+    the log; each enters as one row ahead of its user's (``first`` 0)."""
+    press, text = F.col("kind").isin(START_BUTTON, CONNECT_BUTTON), F.col("kind").isin(TEXT_PLAIN, TEXT_WITH_ID)
+    df = log.select(F.lit(1).alias("first"), "event_id", "ts", F.col("user_id").cast("string").alias("user_id"), "kind") \
+        .withColumns({"is_button": press.cast("long"), "is_text": text.cast("long"),
+                      "is_valid": (F.col("kind") == TEXT_WITH_ID).cast("long"), "button": F.when(press, F.col("kind")),
+                      "resets": press.cast("long")})
+    if before is not None:
+        df = df.unionByName(before.select(
+            F.lit(0).alias("first"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+            "user_id", F.lit(None).cast("string").alias("kind"), F.col("session").alias("is_button"), F.col("texts").alias("is_text"),
+            F.col("valid").alias("is_valid"), "button", F.lit(0).cast("long").alias("resets")))
+    return running(df, "user_id", ["first", *ORDER], sums={"session": ("is_button", True)}, lasts={"state": "button"},
+                   since={"prior_texts": ("is_text", "resets"), "prior_valid": ("is_valid", "resets")})
+
+
+def actions(states: DataFrame) -> DataFrame:
+    """(event_id, user_id, session, action) of the text events."""
+    texts = states.filter((F.col("first") == 1) & (F.col("is_text") == 1))
     action = (F.when(F.col("session") == 0, F.lit("ignored"))
               .when(F.col("state") == START_BUTTON,
                     F.when(F.col("prior_texts") == 0, F.lit("audit")).otherwise(F.lit("ignored")))
@@ -49,3 +62,19 @@ def message_routing(log: DataFrame) -> DataFrame:
                     .when(F.col("is_valid") == 1, F.lit("sheet_connected")).otherwise(F.lit("sheet_invalid")))
               .otherwise(F.lit("ignored")))
     return texts.select("event_id", "user_id", "session", action.alias("action"))
+
+
+def final_states(states: DataFrame) -> DataFrame:
+    """(user_id, session, button, texts, valid) after each user's last row."""
+    counted = lambda c: F.when(F.col("resets") > 0, F.lit(0)).otherwise(F.col(c))
+    last = F.struct("session", F.col("state").alias("button"), (F.col("prior_texts") + counted("is_text")).alias("texts"),
+                    (F.col("prior_valid") + counted("is_valid")).alias("valid"))
+    return states.groupBy("user_id").agg(F.max_by(last, F.struct("first", *ORDER)).alias("s")).select(
+        "user_id", *[F.col(f"s.{c}").cast("string" if c == "button" else "long").alias(c) for c in STATE])
+
+
+def message_routing(log: DataFrame) -> DataFrame:
+    """``log``: (event_id, ts, user_id, kind). Returns one row per text
+    event: (event_id, user_id, session, action) with action in ``audit``,
+    ``sheet_connected``, ``sheet_invalid``, ``ignored``."""
+    return actions(states_of(log))

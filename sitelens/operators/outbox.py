@@ -13,17 +13,22 @@ Set-wise over the logs:
   per-user loop;
 * the destination of a direct write is the latest connection before the
   request (as-of, ``operators.windows``);
-* row ids are the request ids: deterministic, so a replayed batch writes
-  the same keys and the sink can drop what it already has (effectively once).
+* rows are appended in runs (``sources.runs``): a repeated run adds nothing, and
+  row ids go on from run to run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelens.operators.windows import running
 from sitelens.schemas import REPORT_COLUMNS, REPORT_HEADERS
+from sitelens.session import materialize
+from sitelens.sources.runs import Runs
 
 
 def first_connections(links: DataFrame) -> DataFrame:
@@ -127,25 +132,50 @@ def check_headers(sheets: DataFrame) -> DataFrame:
     return sheets.withColumn("header", header_check("first_row"))
 
 
+PARKED = "row_id long, id long, user_id string, url string, created_at timestamp_ntz"
+
+
+def append_pending(pending: DataFrame, path: str, run: str) -> bool:
+    """S-5/W-4: parked rows (id, user_id, url, created_at) appended as one run. Row
+    ids go on after the largest one of the earlier runs, which their records hold;
+    a run that is repeated adds nothing (False)."""
+    table = Runs(pending.sparkSession, path, PARKED)
+    done = table.committed()
+    if run in done:
+        return False
+    high = max([r["last_row_id"] for r in done.values()], default=0)
+    rows = materialize(with_row_ids(pending).select((F.col("row_id") + high).alias("row_id"), "id", "user_id", "url", "created_at"),
+                       "parked")
+    return table.append(rows, run, last_row_id=high + rows.count())
+
+
+def parked(spark: SparkSession, path: str) -> DataFrame:
+    """S-4: the appended rows of all committed runs."""
+    return Runs(spark, path, PARKED).read()
+
+
 SINK_BUCKETS = 16
+SINK = T.StructType([T.StructField(n, T.StringType()) for n in ["sheet_id", "header", *REPORT_HEADERS]])
 
 
-def write_reports(rows: DataFrame, sheets: DataFrame, path: str) -> None:
-    """S-6/S-7: append report rows to the sink, with the outcome of the header
-    rule for their destination (``create``: the headers are written with the
+def write_reports(rows: DataFrame, sheets: DataFrame, path: str, run: str | None = None) -> bool:
+    """S-6/S-7: append report rows to the sink as one run, with the outcome of the
+    header rule for their destination (``create``: the headers are written with the
     rows; ``mismatch``: the rows go in below the other headers, as in the
-    original). Files are laid out by day and a bucket of the destination, not by
-    destination, so their number does not grow with the users."""
+    original). A run that the sink holds is not written again (False); without a
+    name every call is a run of its own. Files are laid out by day and a bucket of
+    the destination, not by destination, so their number does not grow with the
+    users."""
     out = rows.join(check_headers(sheets).select("sheet_id", "header"), "sheet_id", "left")
     out = out.withColumn("header", F.coalesce("header", F.lit("create"))) \
         .withColumn("day", F.to_date("created_at")) \
         .withColumn("bucket", F.pmod(F.crc32("sheet_id"), F.lit(SINK_BUCKETS)).cast("int"))
     cells = [F.col(c).alias(h) for c, h in zip(REPORT_COLUMNS, REPORT_HEADERS)]
-    out.select("sheet_id", "header", *cells, "day", "bucket").repartition("day", "bucket") \
-        .write.mode("append").partitionBy("day", "bucket").parquet(path)
+    out = out.select("sheet_id", "header", *cells, "day", "bucket").repartition("day", "bucket")
+    return Runs(rows.sparkSession, path, SINK).append(out, run or uuid.uuid4().hex, by=["day", "bucket"])
 
 
-def read_reports(spark, path: str) -> DataFrame:
-    """The sink's rows under their column names."""
-    df = spark.read.parquet(path)
-    return df.select("sheet_id", "header", *[F.col(f"`{h}`").alias(c) for c, h in zip(REPORT_COLUMNS, REPORT_HEADERS)])
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the sink's committed runs under their column names."""
+    return Runs(spark, path, SINK).read().select(
+        "sheet_id", "header", *[F.col(f"`{h}`").alias(c) for c, h in zip(REPORT_COLUMNS, REPORT_HEADERS)])

@@ -22,6 +22,8 @@ from sitelens.session import shared_table
 from sitelens.sources.tables import documents
 
 N_SHAPES = 10
+# Text after the object; one with braces stays behind the object when the answer is unwrapped.
+CLOSING, BRACED = "Готово.", " {конец}"
 # Shapes by doc_id % 10: 1 and 5 fenced, 2 text around, 3 truncated, 4 a number,
 # 6 a list, 7 the first half of the keys only, 8 an extra key, 9 a null.
 FEW_KEYS = 12
@@ -87,7 +89,8 @@ def synthetic_answers(docs: DataFrame) -> DataFrame:
     extra = F.when((shape == 8) | (spare != ""), F.concat(F.lit(f'"{SPARE_KEY}": "'), spare, F.lit('"')))
     obj = F.concat(F.lit("{"), F.concat_ws(", ", *vals, extra), F.lit("}"))
     raw = (F.when(shape == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
-           .when(shape == 2, F.concat(F.lit("Вот ответ:\n"), obj, F.lit("\nГотово.")))
+           .when(shape == 2, F.concat(F.lit("Вот ответ:\n"), obj, F.lit("\n" + CLOSING),
+                                  F.when(F.pmod(d, F.lit(20)) == 2, F.lit(BRACED)).otherwise(F.lit(""))))
            .when(shape == 3, F.substr(obj, F.lit(1), F.length(obj) - 2))
            .when(shape == 5, F.concat(F.lit("```\n"), obj, F.lit("\n```")))
            .otherwise(obj))

@@ -15,6 +15,8 @@ sizes (scalar subqueries); every table is read whole.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,11 @@ from sitelens.plans import standin as Si
 from sitelens.plans.answers import parsed_answers
 from sitelens.plans.pages import crawl_snapshot
 from sitelens.schemas import FIELDS, REPORT_COLUMNS
-from sitelens.session import checkpoint_dir, shared_table
+from sitelens.session import checkpoint_dir, materialize, shared_table
 from sitelens.sources import eventlog as L
 from sitelens.sources.tables import documents, events, pages
 
-# Stand-in: what a stored result may have suffered, by request_id % BROKEN_EVERY.
+# Stand-in: damaged copies of stored results, by request_id % BROKEN_EVERY; they come beside the results.
 BROKEN_EVERY = 23
 BROKEN_RESULTS = {5: "cut", 6: '{"full_result": {"faq": 5}}', 7: '{"full_result": "x"}', 8: "[]",
                   9: '{"full_result": {}, "pricing_url": 1}', 10: '{"pricing_url": null}'}
@@ -143,7 +145,6 @@ ROUNDS = ["2024-01-03 00:00:00", "2024-01-08 00:00:00", "2024-02-01 00:00:00"]
 def outbox_delivery(spark: SparkSession, sf: str) -> DataFrame:
     """J-4/J-7: parked rows delivered in rounds, each marked in the log; the
     last round runs twice. Returns (id, round) of the log."""
-    import uuid
     path = f"{checkpoint_dir(spark).rstrip('/')}/delivered-{uuid.uuid4().hex}"
     pending = _pending(spark, sf)
     for n, at in [*enumerate(ROUNDS), (len(ROUNDS) - 1, ROUNDS[-1])]:
@@ -151,16 +152,37 @@ def outbox_delivery(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(*[f"{path}/{n}" for n in range(len(ROUNDS))])
 
 
+def outbox_append(spark: SparkSession, sf: str) -> DataFrame:
+    """S-5/W-4: the parked rows appended in runs by time, the first of them twice:
+    one copy of every row, with the gapless ids of a single run."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/parked-{uuid.uuid4().hex}"
+    pending = materialize(_pending(spark, sf).select("id", "user_id", "url", "created_at"), "parked-rows")
+    cuts = [None, *ROUNDS, None]
+    for n in [0, 0, *range(1, len(ROUNDS) + 1)]:
+        part = pending
+        if cuts[n]:
+            part = part.where(F.col("created_at") > F.lit(cuts[n]).cast("timestamp_ntz"))
+        if cuts[n + 1]:
+            part = part.where(F.col("created_at") <= F.lit(cuts[n + 1]).cast("timestamp_ntz"))
+        O.append_pending(part, path, f"run-{n}")
+    return O.parked(spark, path)
+
+
 def flush_counts(spark: SparkSession, sf: str) -> DataFrame:
     return O.flush_counts(_pending(spark, sf), L.sheet_links(events(spark, sf)))
 
 
 def _stored(result_json: Column, request_id: Column) -> Column:
-    """The stored text of a result, some of them damaged (see BROKEN_RESULTS)."""
-    out = result_json
+    """array<struct<request_id, result_json>>: the result, and for some a damaged
+    copy under a negative id (see BROKEN_RESULTS)."""
+    def one(i: Column, text: Column) -> Column:
+        return F.struct(i.cast("long").alias("request_id"), text.alias("result_json"))
+
+    out = F.array(one(request_id, result_json))
     for at, text in BROKEN_RESULTS.items():
         broken = F.substr(result_json, F.lit(1), F.length(result_json) - 5) if text == "cut" else F.lit(text)
-        out = F.when(F.pmod(request_id, F.lit(BROKEN_EVERY)) == at, broken).otherwise(out)
+        out = F.when(F.pmod(request_id, F.lit(BROKEN_EVERY)) == at,
+                     F.array(one(request_id, result_json), one(-1 - request_id, broken))).otherwise(out)
     return out
 
 
@@ -169,9 +191,10 @@ def _deliveries(spark: SparkSession, sf: str) -> DataFrame:
     connection (the flush)."""
     first = O.first_connections(L.sheet_links(events(spark, sf))).select("user_id", "conn_sheet_id")
     d = results(spark, sf).join(first, "user_id", "left")
-    return d.withColumn("dest", F.coalesce("sheet_id", "conn_sheet_id")).filter(F.col("dest").isNotNull()).select(
-        "request_id", "user_id", "url", _stored(F.col("result_json"), F.col("request_id")).alias("result_json"),
-        F.col("ts").alias("created_at"), F.col("dest").alias("sheet_id"))
+    sent = d.withColumn("dest", F.coalesce("sheet_id", "conn_sheet_id")).filter(F.col("dest").isNotNull()).select(
+        "user_id", "url", F.col("ts").alias("created_at"), F.col("dest").alias("sheet_id"),
+        F.inline(_stored(F.col("result_json"), F.col("request_id"))))
+    return sent.select("request_id", "user_id", "url", "result_json", "created_at", "sheet_id")
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,10 +226,12 @@ def _sheets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def written_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """S-6: the report rows appended to the sink (headers checked) and read back."""
-    import uuid
+    """S-6: the report rows appended to the sink (headers checked), the run
+    repeated, and the sink read back."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
-    O.write_reports(A.with_report_row(_deliveries(spark, sf)), _sheets(spark, sf), path)
+    rows, sheets = A.with_report_row(_deliveries(spark, sf)), _sheets(spark, sf)
+    for _ in range(2):
+        O.write_reports(rows, sheets, path, "audit")
     return O.read_reports(spark, path).select("sheet_id", "header", *REPORT_COLUMNS)
 
 
@@ -218,6 +243,7 @@ QUERIES = {
     "outbox_flush": outbox_flush,
     "outbox_unwritten": outbox_unwritten,
     "outbox_delivery": outbox_delivery,
+    "outbox_append": outbox_append,
     "flush_counts": flush_counts,
     "report_rows": report_rows,
     "report_rows_stamped": report_rows_stamped,

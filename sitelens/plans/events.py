@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators import quota as Q
 from sitelens.sources import eventlog as L
+from sitelens.sources.runs import Runs
 from sitelens.sources.tables import events
 
 # Fallback destination id when a user has none (a deployment setting).
@@ -97,8 +100,8 @@ def quota_stream(spark: SparkSession, sf: str) -> DataFrame:
     """ST-1 + ST-4: the quota rule run as Structured Streaming over the event
     files (availableNow), output identical to ``quota_replay``."""
     from sitelens.streaming import streams as ST
-    stream = ST.event_stream(spark, _event_files(sf))
-    return ST.collect_stream(ST.quota_stream(L.quota_timeline(stream)), "quota_stream").drop("late")
+    stream = L.quota_timeline(ST.event_stream(spark, _event_files(sf)))
+    return ST.quota_stream(stream, ST.stream_path(spark, f"quota_{uuid.uuid4().hex[:10]}")).drop("late")
 
 
 def dialog_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +109,7 @@ def dialog_stream(spark: SparkSession, sf: str) -> DataFrame:
     output identical to ``message_routing``."""
     from sitelens.streaming import streams as ST
     stream = ST.event_stream(spark, _event_files(sf))
-    return ST.collect_stream(ST.dialog_stream(stream), "dialog_stream").drop("late")
+    return ST.dialog_stream(stream, ST.stream_path(spark, f"dialog_{uuid.uuid4().hex[:10]}")).drop("late")
 
 
 def bundle_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,8 +128,6 @@ def bundle_stream(spark: SparkSession, sf: str) -> DataFrame:
 def delivered_reports(spark: SparkSession, sf: str) -> DataFrame:
     """ST-3: the report rows as a stream into the sink, the stream started a
     second time from its checkpoint, and the sink read back."""
-    import uuid
-
     from sitelens.plans import audit as Au
     from sitelens.functions import answers as A
     from sitelens.session import checkpoint_dir, shared_path, shared_table
@@ -137,8 +138,8 @@ def delivered_reports(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):
         stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", ST.FILES_PER_BATCH) \
             .parquet(shared_path(spark, "report_stream", sf))
-        ST.run_available(stream, name, each=ST.deliver_reports(sink))
-    return spark.read.parquet(sink).select("request_id", "sheet_id", "row_ok")
+        ST.run_available(stream, ST.stream_path(spark, name), each=ST.deliver_reports(sink, table.schema))
+    return Runs(spark, sink, table.schema).read().select("request_id", "sheet_id", "row_ok")
 
 
 QUERIES = {

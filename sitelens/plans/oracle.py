@@ -162,6 +162,8 @@ def _audit_sql() -> dict[str, str]:
     o["outbox_route"] = (f"{audit} SELECT request_id, user_id, CASE WHEN sheet_id IS NULL THEN 'pending' ELSE 'write' END "
                          f"AS route, sheet_id FROM decided WHERE reason = 'ok'")
     o["pending_results"] = f"{audit} SELECT row_id, id, row_key, user_id, url, created_at, written FROM ({pend})"
+    o["outbox_append"] = (f"{audit} SELECT row_number() OVER (ORDER BY created_at, id) AS row_id, id, user_id, url, created_at "
+                          f"FROM ({pend})")
     o["outbox_flush"] = f"{audit} SELECT id, user_id, flush_event_id, flushed_to FROM ({pend}) WHERE written"
     o["outbox_unwritten"] = f"{audit} SELECT id, user_id, url, created_at FROM ({pend}) WHERE NOT written"
     from sitelens.plans.audit import ROUNDS

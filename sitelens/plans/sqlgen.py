@@ -245,8 +245,9 @@ def strip_tags(x: str) -> str:
 def site_pages() -> str:
     from sitelens.plans import standin as Si
     anchors = "[" + ", ".join(q(x) for x in Si.PRICING_ANCHORS) + "]"
-    return (f"SELECT page_id, url, CASE WHEN page_id % {Si.BLANK_EVERY} = {Si.BLANK_AT} THEN {q(Si.BLANK_HTML)} "
-            f"ELSE {anchors}[(page_id % {len(Si.PRICING_ANCHORS)}) + 1] || html END AS html FROM pages")
+    return (f"SELECT page_id, url, {anchors}[(page_id % {len(Si.PRICING_ANCHORS)}) + 1] || html AS html FROM pages UNION ALL "
+            f"SELECT -1 - page_id, 'https://blank-' || page_id || '.test/', {q(Si.BLANK_HTML)} FROM pages "
+            f"WHERE page_id % {Si.BLANK_EVERY} = {Si.BLANK_AT}")
 
 
 def typed_url(request_id: str, page_url: str) -> str:
@@ -414,7 +415,7 @@ def synthetic_answers() -> str:
     st.add("p", pieces("s", f"(CASE WHEN {shape} = 7 THEN 12 ELSE 24 END)"))
     st.add("obj", f"('{{' || concat_ws(', ', {', '.join(pairs)}, {extra}) || '}}')")
     st.add("raw", f"(CASE {shape} WHEN 1 THEN '```json' || chr(10) || obj || chr(10) || '```' "
-                  f"WHEN 2 THEN 'Вот ответ:' || chr(10) || obj || chr(10) || 'Готово.' "
+                  f"WHEN 2 THEN 'Вот ответ:' || chr(10) || obj || chr(10) || {q(AP.CLOSING)} || (CASE WHEN doc_id % 20 = 2 THEN {q(AP.BRACED)} ELSE '' END) "
                   f"WHEN 3 THEN substr(obj, 1, length(obj) - 2) "
                   f"WHEN 5 THEN '```' || chr(10) || obj || chr(10) || '```' ELSE obj END)")
     return str(st.select("doc_id, n_chars, raw"))
@@ -610,9 +611,12 @@ def deliveries() -> str:
         f"WHEN request_id % {Au.BROKEN_EVERY} = {at} THEN "
         + ("substr(result_json, 1, length(result_json) - 5)" if text == "cut" else q(text))
         for at, text in Au.BROKEN_RESULTS.items())
-    return (f"SELECT request_id, r.user_id, url, CASE {stored} ELSE result_json END AS result_json, ts AS created_at, "
+    sent = (f"SELECT request_id, r.user_id, url, result_json, ts AS created_at, "
             f"coalesce(sheet_id, conn_sheet_id) AS sheet_id FROM results r LEFT JOIN ({first_connections()}) c "
             f"ON c.user_id = r.user_id WHERE coalesce(sheet_id, conn_sheet_id) IS NOT NULL")
+    broken = ", ".join(str(at) for at in Au.BROKEN_RESULTS)
+    return (f"SELECT * FROM ({sent}) UNION ALL SELECT -1 - request_id, user_id, url, CASE {stored} END, created_at, sheet_id "
+            f"FROM ({sent}) WHERE request_id % {Au.BROKEN_EVERY} IN ({broken})")
 
 
 def report_row(src_sql: str, stamped: bool = False) -> str:

@@ -41,11 +41,11 @@ HIDDEN_MARKUP = [
     ('<p title="display:none" data-class="hidden">all seen</p>', "all seen"),
     ("", ""),
 ]
-# Pages whose id leaves the remainder have next to no text.
+# Beside every page whose id leaves the remainder lies a further one with next to no text.
 BLANK_EVERY, BLANK_AT, BLANK_HTML = 29, 3, "<html><body><p>soon</p></body></html>"
 # What users type instead of a page's address, by request_id % TYPED_EVERY.
 TYPED_EVERY = 37
-TYPED = ["  ", "https://[bad", "www.Missing-1.test/", "missing-2.test?x"]
+TYPED = ["  ", "https://[bad", "www.Missing-1.test/", "missing-2.test?x", f"blank-{BLANK_AT}.test"]
 
 
 def pick(values: list[str], by: Column) -> Column:
@@ -53,10 +53,14 @@ def pick(values: list[str], by: Column) -> Column:
 
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """(page_id, url, html): the crawl with pricing anchors and blank pages."""
-    html = F.when(F.pmod("page_id", F.lit(BLANK_EVERY)) == BLANK_AT, F.lit(BLANK_HTML)) \
-        .otherwise(F.concat(pick(PRICING_ANCHORS, F.col("page_id")), F.col("html")))
-    return pages(spark, sf).select("page_id", "url", html.alias("html"))
+    """(page_id, url, html): every page with pricing anchors, and blank pages as
+    further rows (negative ids, addresses of their own)."""
+    all_pages = pages(spark, sf)
+    blank = all_pages.where(F.pmod("page_id", F.lit(BLANK_EVERY)) == BLANK_AT).select(
+        (-1 - F.col("page_id")).alias("page_id"), F.concat(F.lit("https://blank-"), F.col("page_id"), F.lit(".test/")).alias("url"),
+        F.lit(BLANK_HTML).alias("html"))
+    return all_pages.select("page_id", "url", F.concat(pick(PRICING_ANCHORS, F.col("page_id")), F.col("html")).alias("html")) \
+        .unionByName(blank)
 
 
 def marked_pages(spark: SparkSession, sf: str, markup: list[tuple[str, str]]) -> DataFrame:

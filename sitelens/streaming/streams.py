@@ -2,45 +2,50 @@
 
 * ST-1 ``event_stream``: ``readStream`` over the event files (a Kafka source
   with ``startingOffsets=latest`` is the drop-the-backlog equivalent), a bounded
-  number of files per micro-batch.
+  number of files per micro-batch; ``unseen`` takes out rows whose id has come
+  before, however long ago.
 * ST-2 ``bundle_stream``: stream-static left joins of requests to the page
   snapshot, then the content bundle projection.
-* ST-3 ``deliver_reports``: ``foreachBatch`` sink; every epoch overwrites its own
-  folder, so a replayed micro-batch writes nothing twice and no epoch reads the
-  history.
-* ST-4 ``quota_stream``: per-user quota state in ``applyInPandasWithState``, the
-  same check-then-increment rule as the batch replay.
-* ST-5 ``dialog_stream``: per-user dialog state machine.
+* ST-3 ``deliver_reports``: ``foreachBatch`` sink; every epoch is one run of the
+  sink (``sources.runs``), so a replayed micro-batch writes nothing twice and no
+  epoch reads the history.
+* ST-4 ``QuotaEpochs``: per epoch the check-then-increment rule of the batch replay
+  over the micro-batch, started from a table of one row per user.
+* ST-5 ``DialogEpochs``: the same for the dialog, whose state is a mergeable summary
+  (session, the button that opened it, texts and valid texts since).
+
+A micro-batch is worked through by the operators of the batch jobs, in ranges
+(``operators.windows``): a user with a third of its rows lies in many tasks, and no
+user's rows are held in one frame. A user's state enters as rows that come before
+the batch's and leave the operator in that state.
 
 Order: micro-batches count in the order in which they arrive, rows within one by
 (time, id). A row that is older than what its user's state has seen is handled
-when it comes and marked ``late``; no row is dropped. Repeated event ids are
-taken once per micro-batch, and across micro-batches for the last
-``REMEMBERED_IDS`` ids of a user (an at-least-once producer repeats recent rows).
+when it comes and marked ``late``; no row is dropped.
 
-State is one small row per user and lives in RocksDB (``session.BASE_CONF``) with
-its checkpoints under the shared ``spark.checkpoint.dir``. It never expires: a
-quota is never reset. What a task holds is one user's rows of one micro-batch.
+Every epoch commits three runs under its number: decisions, ids, changed state.
+An epoch that is repeated computes the same from the runs before it, and adds only
+what is not yet there. Changed state is written for the users of the epoch; every
+``COMPACT_EVERY`` epochs the state of all users is written as one run, and readers
+start from the last of these.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sitelens.operators import dialog as Dg
 from sitelens.operators.outbox import SINK_BUCKETS
+from sitelens.operators.replay import replayed
 from sitelens.schemas import DEFAULT_USER_LIMIT
-from sitelens.session import checkpoint_dir
+from sitelens.session import checkpoint_dir, materialize
+from sitelens.sources.runs import Runs
 
-REMEMBERED_IDS = 64
+COMPACT_EVERY = 16
 FILES_PER_BATCH = 64
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -53,122 +58,139 @@ def event_stream(spark: SparkSession, path: str, max_files: int = FILES_PER_BATC
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def checkpoint(spark: SparkSession, name: str) -> str:
+def stream_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
-def _fresh(pdfs: Iterator[pd.DataFrame], id_col: str, seen_ts, seen_ids: str) -> tuple[pd.DataFrame, np.ndarray, str]:
-    """One user's rows of a micro-batch in (time, id) order without repeated
-    ids, which of them are late, and the ids to remember."""
-    rows = pd.concat(list(pdfs)).drop_duplicates(id_col)
-    known = seen_ids.split(",") if seen_ids else []
-    rows = rows[~rows[id_col].astype(str).isin(known)].sort_values(["ts", id_col])
-    late = (rows["ts"] < seen_ts).to_numpy() if seen_ts is not None else np.zeros(len(rows), bool)
-    return rows, late, ",".join([*known, *rows[id_col].astype(str)][-REMEMBERED_IDS:])
-
-
-def _latest(rows: pd.DataFrame, seen_ts):
-    last = rows["ts"].max() if len(rows) else None
-    return last if seen_ts is None or (last is not None and last > seen_ts) else seen_ts
+def epoch_name(epoch: int) -> str:
+    return f"{epoch:012d}"
+
+
+def unseen(batch: DataFrame, id_col: str, ids: Runs, epoch: int) -> DataFrame:
+    """ST-1: the rows of a micro-batch whose id no earlier epoch has had, one per
+    id. The log of ids is a table; files whose range of ids lies outside the batch's
+    are skipped by their statistics."""
+    ends = batch.agg(F.min(id_col), F.max(id_col)).first()
+    if ends[0] is None:
+        return batch.where("false")
+    known = ids.read(before=epoch_name(epoch)).where(F.col("id").between(*ends)).select(F.col("id").alias(id_col))
+    return batch.dropDuplicates([id_col]).join(known, id_col, "left_anti")
+
+
+class Epochs:
+    """A stateful ``foreachBatch`` job. Subclasses say what the state of a user is
+    and how a micro-batch is decided, starting from it."""
+
+    id_col: str
+    out: str
+    state: str     # columns after user_id
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.ids = Runs(spark, f"{path}/ids", "id long")
+        self.decisions = Runs(spark, f"{path}/decisions", self.out)
+        self.states = Runs(spark, f"{path}/state", f"user_id string, {self.state}, epoch long")
+        self.whole = Runs(spark, f"{path}/whole-state", f"user_id string, {self.state}, epoch long")
+
+    def state_before(self, epoch: int) -> DataFrame:
+        """One row per user: the state that the epochs before this one left."""
+        last = [*self.whole.committed(before=epoch_name(epoch))][-1:]
+        since = [r for r in self.states.committed(before=epoch_name(epoch)) if not last or r > last[0]]
+        rows = self.whole.read(runs=last).unionByName(self.states.read(runs=since))
+        names = [n for n in rows.columns if n != "user_id"]
+        return rows.groupBy("user_id").agg(F.max_by(F.struct(*names), "epoch").alias("s")).select("user_id", "s.*")
+
+    def decide(self, batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(decisions without ``late``, new state of the batch's users without ``seen_ts``)."""
+        raise NotImplementedError
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        name = epoch_name(epoch)
+        if name in self.states.committed():
+            return  # the last of an epoch's commits: it has been through
+        rows = materialize(unseen(batch, self.id_col, self.ids, epoch), "epoch-rows")
+        state = self.state_before(epoch)
+        users = rows.select("user_id").distinct()
+        state = materialize(state.join(users, state.user_id.eqNullSafe(users.user_id), "left_semi"), "epoch-state")
+        decided, new = self.decide(rows, state)
+        seen = state.select(F.col("user_id").alias("__user"), F.col("seen_ts").alias("__seen"))
+        times = rows.select(F.col(self.id_col).alias("__id"), "ts")
+        late = decided.join(times, F.col(self.id_col) == F.col("__id")) \
+            .join(seen, F.col("user_id").eqNullSafe(F.col("__user")), "left") \
+            .withColumn("late", F.coalesce(F.col("ts") < F.col("__seen"), F.lit(False)))
+        self.decisions.append(late.select(*self.decisions.columns), name)
+        self.ids.append(rows.select(F.col(self.id_col).alias("id")).orderBy("id"), name)
+        newest = rows.groupBy(F.col("user_id").alias("__of")).agg(F.max("ts").alias("__ts"))
+        after = new.join(newest, F.col("user_id").eqNullSafe(F.col("__of"))) \
+            .join(seen, F.col("user_id").eqNullSafe(F.col("__user")), "left") \
+            .withColumn("seen_ts", F.greatest("__ts", "__seen")).withColumn("epoch", F.lit(epoch).cast("long"))
+        if (epoch + 1) % COMPACT_EVERY == 0:
+            after = materialize(after.select(*self.states.columns), "epoch-after")
+            rest = self.state_before(epoch).join(after.select("user_id"), "user_id", "left_anti")
+            self.whole.append(rest.unionByName(after), name)
+        self.states.append(after.select(*self.states.columns), name)
 
 
 # --------------------------------------------------------------------------- ST-4
 
-QUOTA_OUT = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("user_id", T.StringType()),
-                          T.StructField("admitted", T.BooleanType()), T.StructField("max_limit", T.LongType()),
-                          T.StructField("late", T.BooleanType())])
-QUOTA_STATE = T.StructType([T.StructField("used", T.LongType()), T.StructField("lim", T.LongType()),
-                            T.StructField("seen_ts", T.TimestampNTZType()), T.StructField("seen_ids", T.StringType())])
-
-
-def admitted_run(ws: np.ndarray, changes: np.ndarray, used: int, lim: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Decisions over rows in order: ``ws`` is 1 where a request would succeed,
-    ``changes`` holds a new limit or -1. Between two changes a request is
-    admitted while earlier successes and ``used`` stay below the limit."""
-    admitted, limits = np.zeros(len(ws), bool), np.zeros(len(ws), np.int64)
-    cuts = np.concatenate([[0], np.flatnonzero(changes >= 0), [len(ws)]])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if a < b and changes[a] >= 0:
-            lim = int(changes[a])
-        part = ws[a:b]
-        admitted[a:b] = used + np.cumsum(part) - part < lim
-        limits[a:b] = lim
-        used += int(min(part.sum(), max(0, lim - used)))
-    return admitted, limits, used, lim
-
-
-def quota_fold(default: int = DEFAULT_USER_LIMIT):
-    """State function: rows are requests (``new_limit`` null) and accepted
-    limit changes of one user; state is the user's limits row."""
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        used, lim, seen_ts, seen_ids = state.get if state.exists else (0, default, None, "")
-        rows, late, seen_ids = _fresh(pdfs, "request_id", seen_ts, seen_ids)
-        changes = rows["new_limit"].fillna(-1).to_numpy(np.int64)
-        admitted, limits, used, lim = admitted_run(rows["ws"].to_numpy(np.int64), changes, used, lim)
-        state.update((int(used), int(lim), _latest(rows, seen_ts), seen_ids))
-        is_request = changes < 0
-        yield pd.DataFrame({"request_id": rows["request_id"].to_numpy(np.int64)[is_request], "user_id": key[0],
-                            "admitted": admitted[is_request], "max_limit": limits[is_request], "late": late[is_request]})
-    return fn
-
-
-def quota_stream(timeline: DataFrame, default: int = DEFAULT_USER_LIMIT) -> DataFrame:
-    """ST-4: ``timeline`` (user_id, ts, request_id, ws, new_limit) as a stream."""
-    return timeline.groupBy("user_id").applyInPandasWithState(
-        quota_fold(default), QUOTA_OUT, QUOTA_STATE, "append", GroupStateTimeout.NoTimeout)
+class QuotaEpochs(Epochs):
+    """ST-4: micro-batches of (user_id, ts, request_id, ws, new_limit). The state
+    is a user's limits row."""
+
+    id_col = "request_id"
+    out = "request_id long, user_id string, admitted boolean, max_limit long, late boolean"
+    state = "current long, max_limit long, seen_ts timestamp_ntz"
+
+    def __init__(self, spark: SparkSession, path: str, default: int = DEFAULT_USER_LIMIT):
+        super().__init__(spark, path)
+        self.default = default
+
+    def decide(self, batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # a limit of ``current``, as many successes, then the limit in force: after these rows the user is in its state
+        steps = F.array(F.struct(F.lit(0).alias("step"), F.lit(0).cast("long").alias("ws"), F.col("current").alias("new_limit")),
+                        F.struct(F.lit(1).alias("step"), F.col("current").alias("ws"), F.lit(None).cast("long").alias("new_limit")),
+                        F.struct(F.lit(2).alias("step"), F.lit(0).cast("long").alias("ws"), F.col("max_limit").alias("new_limit")))
+        before = state.select("user_id", F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("request_id"),
+                              F.inline(steps))
+        rows = before.unionByName(batch.select("user_id", "ts", "request_id", F.lit(3).alias("step"), "ws", "new_limit"))
+        done = replayed(rows, ["step", "ts", "request_id"], self.default)
+        # whole rows of the state are counted, so the step's successes are those the state holds
+        used = F.sum(F.when(F.col("step") == 1, F.col("ws")).when(F.col("admitted"), F.coalesce("ws", F.lit(0))).otherwise(F.lit(0)))
+        after = done.groupBy("user_id").agg(used.cast("long").alias("current"),
+                                            F.max_by("max_limit", F.struct("step", "ts", "request_id")).alias("max_limit"))
+        return done.where((F.col("step") == 3) & F.col("new_limit").isNull()).select(
+            "request_id", "user_id", "admitted", "max_limit"), after
 
 
 # --------------------------------------------------------------------------- ST-5
 
-DIALOG_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.StringType()),
-                           T.StructField("session", T.LongType()), T.StructField("action", T.StringType()),
-                           T.StructField("late", T.BooleanType())])
-DIALOG_STATE = T.StructType([T.StructField("session", T.LongType()), T.StructField("button", T.StringType()),
-                             T.StructField("texts", T.LongType()), T.StructField("valid", T.LongType()),
-                             T.StructField("seen_ts", T.TimestampNTZType()), T.StructField("seen_ids", T.StringType())])
-
-
-def _since(flags: np.ndarray, start: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
-    """Earlier flagged rows since the last ``start`` row; ``carried`` before the first one."""
-    total = np.cumsum(flags)
-    before = total - flags
-    at = np.maximum.accumulate(np.where(start, np.arange(len(flags)), -1))
-    run = before - np.where(at < 0, -carried, before[at])
-    return run, int(run[-1] + flags[-1]) if len(flags) else carried
-
-
-def dialog_fold(key, pdfs: Iterator[pd.DataFrame], state):
-    """One user's dialog: the state is the running session, the button that
-    opened it, and how many texts and valid texts it has had."""
-    session, button, texts, valid, seen_ts, seen_ids = state.get if state.exists else (0, None, 0, 0, None, "")
-    rows, late, seen_ids = _fresh(pdfs, "event_id", seen_ts, seen_ids)
-    kind = rows["kind"].to_numpy(object)
-    press = np.isin(kind, [Dg.START_BUTTON, Dg.CONNECT_BUTTON])
-    has_id = (kind == Dg.TEXT_WITH_ID).astype(np.int64)
-    is_text = np.isin(kind, [Dg.TEXT_PLAIN, Dg.TEXT_WITH_ID]).astype(np.int64)
-    sessions = session + np.cumsum(press)
-    opened = pd.Series(np.where(press, kind, None), dtype=object).ffill().to_numpy(object)
-    opened = np.where(pd.isna(opened), button, opened)
-    earlier, texts = _since(is_text, press, texts)
-    earlier_valid, valid = _since(has_id, press, valid)
-    action = np.full(len(kind), "ignored", object)
-    action[(opened == Dg.START_BUTTON) & (earlier == 0)] = "audit"
-    open_sheet = (opened == Dg.CONNECT_BUTTON) & (earlier_valid == 0)
-    action[open_sheet] = np.where(has_id[open_sheet] == 1, "sheet_connected", "sheet_invalid")
-    if len(kind):
-        session, button = int(sessions[-1]), opened[-1]
-    state.update((session, button, texts, valid, _latest(rows, seen_ts), seen_ids))
-    told = is_text == 1
-    yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(np.int64)[told], "user_id": key[0],
-                        "session": sessions[told], "action": action[told], "late": late[told]})
-
-
-def dialog_stream(events: DataFrame) -> DataFrame:
-    """ST-5 over an event stream (kinds as in ``sitelens.operators.dialog``)."""
-    log = events.select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"),
-                        F.col("event_type").alias("kind"))
-    return log.groupBy("user_id").applyInPandasWithState(
-        dialog_fold, DIALOG_OUT, DIALOG_STATE, "append", GroupStateTimeout.NoTimeout)
+class DialogEpochs(Epochs):
+    """ST-5: micro-batches of (event_id, ts, user_id, kind), kinds as in
+    ``operators.dialog``."""
+
+    id_col = "event_id"
+    out = "event_id long, user_id string, session long, action string, late boolean"
+    state = "session long, button string, texts long, valid long, seen_ts timestamp_ntz"
+
+    def decide(self, batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        states = Dg.states_of(batch, state)
+        return Dg.actions(states), Dg.final_states(states)
+
+
+def quota_stream(timeline: DataFrame, path: str, default: int = DEFAULT_USER_LIMIT) -> DataFrame:
+    """ST-4: ``timeline`` (user_id, ts, request_id, ws, new_limit) as a stream, run
+    over everything available; decisions and state are under ``path``."""
+    job = QuotaEpochs(timeline.sparkSession, path, default)
+    run_available(timeline, f"{path}/checkpoint", each=job)
+    return job.decisions.read()
+
+
+def dialog_stream(events: DataFrame, path: str) -> DataFrame:
+    """ST-5 over an event stream."""
+    log = events.select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("kind"))
+    job = DialogEpochs(events.sparkSession, path)
+    run_available(log, f"{path}/checkpoint", each=job)
+    return job.decisions.read()
 
 
 # --------------------------------------------------------------------------- ST-2, ST-3
@@ -179,21 +201,21 @@ def bundle_stream(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
     return content_bundle(requests, snapshot)
 
 
-def deliver_reports(sink_path: str):
-    """ST-3: a ``foreachBatch`` function. Each epoch is written to its own
-    folder with overwrite, laid out by day and a bucket of the destination."""
+def deliver_reports(sink_path: str, schema: T.StructType):
+    """ST-3: a ``foreachBatch`` function. Each epoch is one run of the sink, laid
+    out by day and a bucket of the destination."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("day", F.to_date("created_at")) \
-            .withColumn("bucket", F.pmod(F.crc32("sheet_id"), F.lit(SINK_BUCKETS)).cast("int")) \
-            .write.mode("overwrite").partitionBy("day", "bucket").parquet(f"{sink_path}/epoch={epoch_id}")
+        rows = batch.withColumn("day", F.to_date("created_at")) \
+            .withColumn("bucket", F.pmod(F.crc32("sheet_id"), F.lit(SINK_BUCKETS)).cast("int"))
+        Runs(batch.sparkSession, sink_path, schema).append(rows, epoch_name(epoch_id), by=["day", "bucket"])
     return write
 
 
-def run_available(df: DataFrame, name: str, sink: str | None = None, each=None):
+def run_available(df: DataFrame, at: str, sink: str | None = None, each=None):
     """Drive a streaming query over everything available, then stop
     (``trigger(availableNow=True)``): into a Parquet file sink, or into ``each``
-    (a ``foreachBatch`` function)."""
-    w = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint(df.sparkSession, name)) \
+    (a ``foreachBatch`` function). ``at``: the query's checkpoint."""
+    w = df.writeStream.outputMode("append").option("checkpointLocation", at) \
         .trigger(availableNow=True)
     q = w.foreachBatch(each).start() if each else w.format("parquet").option("path", sink).start()
     q.awaitTermination()
@@ -205,6 +227,7 @@ def collect_stream(df: DataFrame, prefix: str) -> DataFrame:
     sink under the shared checkpoint folder (exactly-once file sink; nothing
     is held on the driver) and return the sink as a batch DataFrame."""
     name = f"{prefix}_{uuid.uuid4().hex[:10]}"
-    out = f"{checkpoint(df.sparkSession, name)}/out"
-    run_available(df, name, sink=out)
+    at = stream_path(df.sparkSession, name)
+    out = f"{at}/out"
+    run_available(df, at, sink=out)
     return df.sparkSession.read.schema(df.schema).parquet(out)

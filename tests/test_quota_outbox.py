@@ -117,7 +117,23 @@ def test_sink_and_state_tables(spark):
     sheets = spark.createDataFrame([("S1", REPORT_HEADERS)], "sheet_id string, first_row array<string>")
     O.write_reports(rows, sheets, f"{root}/reports")
     O.write_reports(rows.filter("request_id = 1"), sheets, f"{root}/reports")  # an append
-    assert "Оффер (первый экран)" in spark.read.parquet(f"{root}/reports").columns
+    assert O.write_reports(rows.filter("request_id = 2"), sheets, f"{root}/again", "night")
+    assert not O.write_reports(rows, sheets, f"{root}/again", "night")  # the run is there
+    assert O.read_reports(spark, f"{root}/again").count() == 1
     back = O.read_reports(spark, f"{root}/reports").collect()
     assert sorted((r.sheet_id, r.header, r.offer_first_screen) for r in back) == [
         ("S1", "ok", "T"), ("S1", "ok", "T"), ("S2", "create", "")]
+
+
+def test_appended_rows_keep_gapless_ids(spark):
+    """S-5/W-4: three runs, one repeated and one empty, have the ids of a single run."""
+    import tempfile
+    rows = [(i, f"u{i % 3}", "https://a.com", T0 + dt.timedelta(minutes=i * 7 % 60 + 60 * (i // 20))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, user_id string, url string, created_at timestamp_ntz").repartition(4)
+    many, one = (tempfile.mkdtemp(prefix="sitelens-parked-") for _ in range(2))
+    parts = [df.where(F.floor(F.col("id") / 20) == n) for n in range(3)]
+    assert [O.append_pending(p, many, r) for p, r in ((parts[0], "0"), (parts[1], "1"), (parts[1], "1"), (df.where("false"), "1b"),
+                                                      (parts[2], "2"), (parts[0], "0"))] == [True, True, False, True, True, False]
+    assert O.append_pending(df, one, "all")
+    got, want = ({(r.row_id, r.id) for r in O.parked(spark, p).collect()} for p in (many, one))
+    assert got == want and sorted(i for i, _ in got) == list(range(1, 61))
