@@ -16,8 +16,11 @@ else too. Equal runs must meet in one sort, and no sort may grow with the corpus
   shares is dropped.
 * An anchor with more than ``most`` distinct stretches (the rim of a passage that
   very many documents quote, each in its own surroundings) is not sorted in one
-  task: its stretches are cut into single starts, whose run digests are counted
-  with partial aggregation, like equal stretches.
+  task: its stretches are cut into blocks of starts by their distance from the
+  anchor, and the bytes that all runs of a block have in common (nearly the whole
+  run) are its anchor. What lies in the passage becomes equal, what lies in the
+  surroundings becomes single. Blocks that are still too many are cut to single
+  starts, of which equal ones are one.
 * The marked stretches go back to their documents, which are rewritten whole. A
   text digest of 64 bits only routes; each marked stretch is compared by digest with
   the text that it reaches.
@@ -47,6 +50,7 @@ from sitelens.session import materialize
 LENGTH = 200
 GRAM = 32
 MOST = 2048               # distinct stretches of an anchor that are sorted in one task
+BLOCKS = (13, 1)          # starts of a block, where there are more
 SLICE_BYTES = 1 << 20     # bytes that are listed, or sorted, at a time
 BATCH_ROWS = 256
 U64 = np.uint64
@@ -67,15 +71,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def anchored(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of the texts: (text number, first start, starts, anchor)."""
+def anchored(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Stretches of the texts: (text number, first start, starts, anchor, its distance from the first start)."""
     sizes = np.array([len(r) for r in raws], np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     buf = np.frombuffer(b"".join(raws), np.uint8)
     wide, n = length - gram + 1, len(buf)
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64), np.zeros(0, np.int64))
     power, inverse = _powers(n + 1)
     mixed = (buf.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> U64(32)
@@ -100,7 +104,12 @@ def anchored(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
     kept = inside[heads]
     heads, count = heads[kept], count[kept]
     of = text[heads]
-    return of, heads - starts[of], count, grams[at[heads]]
+    return of, heads - starts[of], count, grams[at[heads]], at[heads] - heads
+
+
+def _place(place: int) -> tuple[int, int, int]:
+    """First start, distance of the anchor, number of starts."""
+    return place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
 
 
 def _signed(x) -> pa.Array:
@@ -117,16 +126,16 @@ STRETCH = "anchor long, digest long, text long, place long"
 
 def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(anchor, digest, text, place) of every stretch; ``place`` holds the first
-    start and, in its low 16 bits, the number of starts."""
+    start, the anchor's distance from it and the number of starts."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def listed() -> pa.RecordBatch:
-            of, first, count, anchor = anchored([raw for _, _, raw in held], length, gram)
+            of, first, count, anchor, lead = anchored([raw for _, _, raw in held], length, gram)
             digest = [_digest(held[n][2][a:a + k + length - 1]) for n, a, k in zip(of.tolist(), first.tolist(), count.tolist())]
             key, offset = (np.array([h[i] for h in held], t) for i, t in ((0, U64), (1, np.int64)))
             return pa.RecordBatch.from_arrays(
-                [_signed(anchor), _signed(digest), _signed(key[of]), pa.array(first + offset[of] << 16 | count)],
+                [_signed(anchor), _signed(digest), _signed(key[of]), pa.array((first + offset[of]) << 32 | lead << 16 | count)],
                 ["anchor", "digest", "text", "place"])
 
         for b in batches_of(BATCH_ROWS, it):
@@ -166,35 +175,45 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [unpack.decompress(x) for x in column.to_pylist()]
 
 
+PIECE = "anchor long, digest long, n long, starts long, lead long, body binary"
+_PIECE = [pa.int64()] * 5 + [pa.binary()]
+MARKED = "anchor long, digest long, marks binary"
+_MARKED = [pa.int64(), pa.int64(), pa.binary()]
+
+
+def _rows(rows: list[tuple], names: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in names.split(", ")])
+
+
+def _marks(flags: np.ndarray) -> bytes | None:
+    """Flags of the starts; none if it is all of them."""
+    return None if flags.all() else np.packbits(flags, bitorder="little").tobytes()
+
+
+def _flags(marks: bytes | None, count: int) -> np.ndarray:
+    return np.ones(count, bool) if marks is None else \
+        np.unpackbits(np.frombuffer(marks, np.uint8), bitorder="little")[:count].astype(bool)
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, n, hot, starts, body) for distinct stretches (anchor,
-    digest, n, hot, text, place): the stretch's bytes, read from one of its documents."""
+    """Distinct stretches (anchor, digest, n, text, place) with their bytes, read
+    from one of their documents."""
     one = _packed(docs.where(F.octet_length("text") >= length)).groupBy("key").agg(F.first("body").alias("body"))
-    of = wanted.groupBy(F.col("text").alias("__text")).agg(F.collect_list(F.struct("anchor", "digest", "n", "hot", "place")).alias("held"))
+    of = wanted.groupBy(F.col("text").alias("__text")).agg(F.collect_list(F.struct("anchor", "digest", "n", "place")).alias("held"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(BATCH_ROWS, it):
             rows = []
             for raw, held in zip(_unpacked(b.column(0)), b.column(1).to_pylist()):
                 for h in held:
-                    first, count = h["place"] >> 16, h["place"] & 0xFFFF
+                    first, lead, count = _place(h["place"])
                     body = raw[first:first + count + length - 1]
                     if np.int64(U64(_digest(body))) == h["digest"]:  # otherwise another text with this key
-                        rows.append((h["anchor"], h["digest"], h["n"], h["hot"], count, body))
-            cols = list(zip(*rows)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             ["anchor", "digest", "n", "hot", "starts", "body"])
-
-    return one.join(of, F.col("key") == F.col("__text")).select("body", "held") \
-        .mapInArrow(run, "anchor long, digest long, n long, hot boolean, starts long, body binary")
+                        rows.append((h["anchor"], h["digest"], h["n"], count, lead, body))
+            yield _rows(rows, PIECE, _PIECE)
 
-
-MARKED = "anchor long, digest long, marks binary"
-
-
-def _marks(flags: np.ndarray) -> bytes:
-    return np.packbits(flags, bitorder="little").tobytes()
+    return one.join(of, F.col("key") == F.col("__text")).select("body", "held").mapInArrow(run, PIECE)
 
 
 def _sorted_marks(pieces: DataFrame, length: int) -> DataFrame:
@@ -204,10 +223,8 @@ def _sorted_marks(pieces: DataFrame, length: int) -> DataFrame:
 
         def found() -> pa.RecordBatch:
             flags = repeated_starts([h[4] for h in held], [h[3] for h in held], length)
-            rows = [(h[0], h[1], _marks(f if h[2] == 1 else np.ones(h[3], bool))) for h, f in zip(held, flags) if h[2] > 1 or f.any()]
-            cols = list(zip(*rows)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))],
-                                              ["anchor", "digest", "marks"])
+            return _rows([(h[0], h[1], _marks(f) if h[2] == 1 else None) for h, f in zip(held, flags) if h[2] > 1 or f.any()],
+                         MARKED, _MARKED)
 
         for b in batches_of(BATCH_ROWS, it):
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -223,38 +240,57 @@ def _sorted_marks(pieces: DataFrame, length: int) -> DataFrame:
         .sortWithinPartitions("anchor", "digest").mapInArrow(run, MARKED)
 
 
-def _counted_marks(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many stretches: the digests of single runs are counted."""
+def _cut_marks(pieces: DataFrame, length: int, most: int, blocks: tuple[int, ...]) -> DataFrame:
+    """The same for anchors with more stretches than one task sorts."""
+    import xxhash
+    block = blocks[0]
+    cut_schema = "of_anchor long, of_digest long, at long, " + PIECE
+
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         for b in batches_of(BATCH_ROWS, it):
             rows = []
-            for anchor, digest, n, count, body in zip(*(c.to_pylist() for c in b.columns)):
-                for i in range(count):
-                    both = xxhash.xxh3_128_intdigest(body[i:i + length])
-                    rows.append((anchor, digest, n, i, both >> 64, both & (1 << 64) - 1))
-            cols = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c, pa.int64()) for c in cols[:4]], _signed(np.array(cols[4], U64)), _signed(np.array(cols[5], U64))],
-                ["anchor", "digest", "n", "start", "high", "low"])
-
-    runs = materialize(pieces.select("anchor", "digest", "n", "starts", "body")
-                       .mapInArrow(cut, "anchor long, digest long, n long, start long, high long, low long"), "single-runs")
-    again = runs.groupBy("high", "low").agg(F.sum("n").alias("__n")).where("__n > 1").select(
-        F.col("high").alias("__high"), F.col("low").alias("__low"))
-    found = runs.join(again, (F.col("high") == F.col("__high")) & (F.col("low") == F.col("__low")), "left_semi")
+            for anchor, digest, n, count, lead, body in zip(*(c.to_pylist() for c in b.columns)):
+                i = 0
+                while i < count:  # starts by their distance from the anchor
+                    number = (lead - i) // block
+                    end = min(count, lead - number * block + 1)
+                    part = body[i:end - 1 + length]
+                    core = body[lead - number * block:lead - (number + 1) * block + 1 + length]
+                    rows.append((anchor, digest, i, np.int64(U64(xxhash.xxh3_64_intdigest(core, seed=number + 1))),
+                                 np.int64(U64(_digest(part))), n, end - i, lead - i, part))
+                    i = end
+            yield _rows(rows, cut_schema, [pa.int64()] * 3 + _PIECE)
+
+    names = [f.split()[0] for f in PIECE.split(", ")]
+    parts = materialize(pieces.select(names).mapInArrow(cut, cut_schema), f"blocks-{block}")
+    distinct = materialize(parts.groupBy("anchor", "digest").agg(
+        F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names[3:]]), f"distinct-blocks-{block}")
+    kinds = distinct.groupBy(F.col("anchor").alias("__anchor")).agg(F.sum("n").alias("__n"), F.count("*").alias("__kinds")) \
+        .where("__n > 1")
+    shared = materialize(distinct.join(kinds, F.col("anchor") == F.col("__anchor")), f"shared-blocks-{block}")
+    marks = shared.where("__kinds = 1").select("anchor", "digest", F.lit(None).cast("binary").alias("marks")) \
+        .unionByName(_sorted_marks(shared.where((F.col("__kinds") > 1) & ((F.col("__kinds") <= most) | (block == 1))), length))
+    if block > 1:
+        marks = marks.unionByName(_cut_marks(shared.where(F.col("__kinds") > most), length, most, blocks[1:]))
+    marks = marks.select(F.col("anchor").alias("__anchor"), F.col("digest").alias("__digest"), "marks")
+    found = parts.select("of_anchor", "of_digest", "at", "starts", "anchor", "digest") \
+        .join(marks, (F.col("anchor") == F.col("__anchor")) & (F.col("digest") == F.col("__digest")))
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            marks = []
-            for starts in b.column(2).to_pylist():
-                flags = np.zeros(max(starts) + 1, bool)
-                flags[starts] = True
-                marks.append(_marks(flags))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.binary())], ["anchor", "digest", "marks"])
+        for b in batches_of(BATCH_ROWS, it):
+            rows = []
+            for anchor, digest, count, held in zip(*(c.to_pylist() for c in b.columns)):
+                flags = np.zeros(count, bool)
+                for h in held:
+                    flags[h["at"]:h["at"] + h["starts"]] = _flags(h["marks"], h["starts"])
+                rows.append((anchor, digest, _marks(flags)))
+            yield _rows(rows, MARKED, _MARKED)
 
     # a stretch has at most length - gram + 1 starts
-    return found.groupBy("anchor", "digest").agg(F.collect_list("start").alias("starts")).mapInArrow(gather, MARKED)
+    whole = pieces.select(F.col("anchor").alias("__a"), F.col("digest").alias("__d"), F.col("starts").alias("count"))
+    held = found.groupBy("of_anchor", "of_digest").agg(F.collect_list(F.struct("at", "starts", "marks")).alias("held"))
+    return held.join(whole, (F.col("of_anchor") == F.col("__a")) & (F.col("of_digest") == F.col("__d"))) \
+        .select("of_anchor", "of_digest", "count", "held").mapInArrow(gather, MARKED)
 
 
 def marked(docs: DataFrame, listed: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
@@ -267,29 +303,37 @@ def marked(docs: DataFrame, listed: DataFrame, length: int = LENGTH, most: int =
         "anchor", "digest", "n", "__kinds", F.col("at.text").alias("text"), F.col("at.place").alias("place"))
     rows = materialize(rows, "shared-stretches")
     alone = rows.where("__kinds = 1").select("anchor", "digest", F.lit(None).cast("binary").alias("marks"))
-    wanted = rows.where("__kinds > 1").select("anchor", "digest", "n", (F.col("__kinds") > most).alias("hot"), "text", "place")
-    pieces = materialize(_texts_of(docs, wanted, length), "stretch-texts")
-    parts = alone.unionByName(_sorted_marks(pieces.where("not hot"), length))
-    return materialize(parts.unionByName(_counted_marks(pieces.where("hot"), length)), "marked-stretches")
+    pieces = materialize(_texts_of(docs, rows.where("__kinds > 1"), length), "stretch-texts")
+    kinds = rows.where(F.col("__kinds") > most).select(F.col("anchor").alias("__hot")).distinct()
+    few = pieces.join(kinds, F.col("anchor") == F.col("__hot"), "left_anti")
+    many = materialize(pieces.join(kinds, F.col("anchor") == F.col("__hot"), "left_semi"), "stretches-to-cut")
+    parts = alone.unionByName(_sorted_marks(few, length))
+    return materialize(parts.unionByName(_cut_marks(many, length, most, BLOCKS)), "marked-stretches")
 
 
 def _covered(raw: bytes, held: list[dict], length: int) -> tuple[int, int, bytes]:
     """(bytes removed, runs removed, what is left)."""
-    cover = np.zeros(len(raw) + 1, np.int64)
+    froms, tos = [], []
     for h in held:
-        first, count = h["place"] >> 16, h["place"] & 0xFFFF
+        first, _, count = _place(h["place"])
         if np.int64(U64(_digest(raw[first:first + count + length - 1]))) != h["digest"]:
             continue  # another text with this key
         if h["marks"] is None:
-            cover[first] += 1
-            cover[first + count - 1 + length] -= 1
+            froms.append(first)
+            tos.append(first + count - 1 + length)
         else:
-            starts = first + np.flatnonzero(np.unpackbits(np.frombuffer(h["marks"], np.uint8), bitorder="little")[:count])
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + length, -1)
-    gone = np.cumsum(cover[:-1]) > 0
-    runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) and gone[0]))
-    return int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            turns = np.flatnonzero(np.diff(np.concatenate([[0], _flags(h["marks"], count).astype(np.int8), [0]])))
+            froms += (first + turns[::2]).tolist()
+            tos += (first + turns[1::2] - 1 + length).tolist()
+    removed, runs, at, kept = 0, 0, 0, []
+    for a, e in sorted(zip(froms, tos)):
+        if a > at or not runs:
+            kept.append(raw[at:a])
+            runs += 1
+            at = a
+        removed += max(0, e - at)
+        at = max(at, e)
+    return removed, runs, b"".join(kept) + raw[at:]
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, id_col: str = "doc_id",

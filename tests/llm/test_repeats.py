@@ -47,6 +47,7 @@ def hard():
 @pytest.mark.parametrize("most", [1, 10, 2048])
 def test_hard_texts(spark, most, monkeypatch):
     """Rims of a common passage, sorted or counted; texts in slices."""
+    monkeypatch.setattr(repeats, "BLOCKS", (5, 1))
     docs = hard()
     df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, digest int, key string").repartition(4)
     got = repeats.without_repeats(df, length=30, gram=8, most=most, with_bytes=True).collect()
@@ -56,13 +57,13 @@ def test_hard_texts(spark, most, monkeypatch):
 
 
 def test_stretches_of_sliced_texts(monkeypatch):
-    """Every start lies in one stretch, and equal runs have equal anchors."""
+    """Every start lies in one stretch, and equal runs have equal anchors at equal places."""
     raws = [(t or "").encode() for _, t in hard()]
     anchor = {}
-    of, first, count, found = repeats.anchored(raws, 30, 8)
+    of, first, count, found, lead = repeats.anchored(raws, 30, 8)
     held = Counter()
-    for n, a, k, x in zip(of.tolist(), first.tolist(), count.tolist(), found.tolist()):
+    for n, a, k, x, p in zip(of.tolist(), first.tolist(), count.tolist(), found.tolist(), lead.tolist()):
         for s in range(a, a + k):
             held[n, s] += 1
-            assert anchor.setdefault(raws[n][s:s + 30], x) == x
+            assert anchor.setdefault(raws[n][s:s + 30], (x, a + p - s)) == (x, a + p - s)
     assert held == Counter((n, s) for n, t in enumerate(raws) for s in range(len(t) - 29))
