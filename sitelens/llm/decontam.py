@@ -7,9 +7,15 @@ with at most k edits shares at least n + 1 - q - k*q character q-grams with it,
 all on diagonals (position in the document less position in the item) that lie
 within a band. Shared q-grams are posted once per position of an item and
 counted per item and diagonal band; bands overlap, so every range of k + 1
-diagonals lies in one whole. In a band that meets the count, the starts with so
-many shared q-grams among their positions are verified by banded alignment, all
-starts of a run at once.
+diagonals lies in one whole. In a band that meets the count, the q-grams of item
+and document are held against each other along the band's diagonals, and the
+starts with so many shared q-grams among their positions are verified by banded
+alignment, all starts of a run at once.
+
+Memory: (place, posting) pairs are counted in slices of a bounded number. A q-gram
+that an item holds very often (repetitive text) is not laid out: each of its places
+counts, as often as it could, for all bands between its first and last posting.
+That can only add bands, which the diagonals then decide.
 
 The shortest verbatim run that is always found, whatever its offset and what
 surrounds it: n - k characters of an item, 92 of an item of 100 or more (the
@@ -51,6 +57,8 @@ SCAN_CHARS = 1 << 18  # characters of documents that are scanned at a time
 FILTER_BITS = 22
 BATCH_ROWS = 512
 RUN = 4096           # passages of an item that are aligned at a time
+DENSE = 32           # positions of one q-gram in one item that are laid out
+PAIRS = 1 << 21      # (place, posting) pairs that are counted at a time
 
 OTHER = re.compile(r"[\W_]+")
 U64 = np.uint64
@@ -109,8 +117,11 @@ class Index:
     first: np.ndarray                     # of each gram, its postings from .. to
     item: np.ndarray
     position: np.ndarray
+    dense_first: np.ndarray               # of each gram, its entries below from .. to:
+    dense: np.ndarray                     # rows of item, first and last position, where an item holds it often
+    item_grams: list[np.ndarray]          # of each item, its grams by position
     bits: np.ndarray
-    short: dict[str, list[int]]           # item text -> item numbers, exact matches
+    short: object                         # automaton of the short items, exact matches; None without them
 
     @classmethod
     def of(cls, items: list[str]) -> Index:
@@ -126,11 +137,28 @@ class Index:
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(r)) for r in rows]) if rows else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        grams, first = np.unique(flat[order], return_index=True)
+        grams, gram = np.unique(flat[order], return_inverse=True)
+        owner, place = owner[order], place[order]
+        # postings lie by gram, item and position
+        heads = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]))) if len(gram) else gram
+        count = np.diff(np.append(heads, len(gram)))
+        often = count > DENSE
+        dense = np.stack([owner[heads[often]], place[heads[often]], place[heads[often] + count[often] - 1]])
+        every = np.arange(len(grams) + 1)
+        dense_first = np.searchsorted(gram[heads[often]], every)
+        laid = ~np.repeat(often, count)
+        first = np.searchsorted(gram[laid], every)
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[(grams >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
+        automaton = None
+        if short:
+            import ahocorasick
+            automaton = ahocorasick.Automaton()
+            for text, numbers in short.items():
+                automaton.add_word(f" {text} ", numbers)
+            automaton.make_automaton()
         return cls(Passages(items, size), codes, size, edits, size + 1 - Q - edits * Q, grams,
-                   np.append(first, len(flat)), owner[order], place[order], bits, short)
+                   first, owner[laid], place[laid], dense_first, dense, rows, bits, automaton)
 
 
 def within(passage: str, region: str, budget: int) -> int | None:
@@ -178,16 +206,27 @@ def run_edits(item: np.ndarray, doc: np.ndarray, first: int, last: int, size: in
     return cells.min(axis=0)
 
 
+def along(item: np.ndarray, doc: np.ndarray, low: int) -> np.ndarray:
+    """Positions of the item's grams that the document holds on the diagonals of
+    the band at ``low``, in order, once for each."""
+    wide = len(item)
+    part = np.zeros(wide + BAND - 1, U64)
+    held = np.zeros(len(part), bool)
+    a, b = max(0, low), min(len(doc), low + len(part))
+    if a < b:
+        part[a - low:b - low], held[a - low:b - low] = doc[a:b], True
+    equal = (np.lib.stride_tricks.sliding_window_view(part, wide) == item) & np.lib.stride_tricks.sliding_window_view(held, wide)
+    return np.repeat(np.arange(wide), equal.sum(axis=0))
+
+
 def matches_in(texts: list[str], index: Index) -> list[dict[int, tuple[int, int]]]:
     """Per normalised text: item -> (passages found, least edits). Texts are
     laid end to end with a gap that no gram can cross."""
     found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
     for n, text in enumerate(texts):
-        if index.short and text:
-            padded = f" {text} "
-            for item_text, numbers in index.short.items():
-                if f" {item_text} " in padded:
-                    found[n] |= dict.fromkeys(numbers, (1, 0))
+        if index.short is not None and text:
+            for _, numbers in index.short.iter(f" {text} "):
+                found[n] |= dict.fromkeys(numbers, (1, 0))
     if not len(index.grams):
         return found
     pieces, at = [], 0
@@ -206,44 +245,69 @@ def matches_in(texts: list[str], index: Index) -> list[dict[int, tuple[int, int]
         which = np.searchsorted(index.grams, grams[spots])
         hit = index.grams[np.minimum(which, len(index.grams) - 1)] == grams[spots]
         spots, which = spots[hit], which[hit]
-        counts = index.first[which + 1] - index.first[which]
-        total = int(counts.sum())
-        if not total:
+        if not len(spots):
             return
         starts = np.array([s for s, _, _ in batch])
-        # every (place in the batch, posting) pair, by piece, item and half band
-        ends = np.cumsum(counts)
-        posting = np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(index.first[which], counts)
-        halves = (len(codes) + longest) // half + 2
         piece = np.searchsorted(starts, spots, side="right") - 1
-        key = np.repeat(piece * len(index.codes), counts) + index.item[posting]
-        key = key * halves + (np.repeat(spots, counts) - index.position[posting] + longest) // half
-        kinds, n = np.unique(key, return_counts=True)
+        halves = (len(codes) + longest) // half + 2
+        kinds, n = counted(spots, which, piece, halves)
         follows = np.append(kinds[1:] == kinds[:-1] + 1, False)  # the band's second half has grams too
         both = n + np.where(follows, np.append(n[1:], 0), 0)
         bands = np.flatnonzero(both >= np.maximum(1, index.least[kinds // halves % len(index.codes)]))
-        if not len(bands):
-            return
-        wanted = np.zeros(len(kinds), bool)
-        wanted[bands] = True
-        wanted[bands[follows[bands]] + 1] = True
-        kind = np.searchsorted(kinds, key)
-        chosen = np.flatnonzero(wanted[kind])
-        kind, position = kind[chosen], index.position[posting[chosen]]
-        order = np.lexsort((position, kind))
-        kind, position = kind[order], position[order]
-        froms = np.searchsorted(kind, bands, side="left")
-        tos = np.searchsorted(kind, bands + follows[bands], side="right")
-        for k, a, b in zip(kinds[bands].tolist(), froms.tolist(), tos.tolist()):
+        for k in kinds[bands].tolist():
             j, item = divmod(k // halves, len(index.codes))
             start, n, body = batch[j]
-            low = k % halves * half - longest - start
-            verify(n, item, body, codes[start:start + len(body)], low, np.sort(position[a:b]))
+            best = seen.get((n, item))
+            if best is None or best.any():
+                low = k % halves * half - longest - start
+                shared = along(index.item_grams[item], grams[start:start + max(0, len(body) - Q + 1)], low)
+                verify(n, item, body, codes[start:start + len(body)], low, shared)
+
+    def counted(spots: np.ndarray, which: np.ndarray, piece: np.ndarray, halves: int) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, item, half band) numbers in order, and at least as many as the grams shared in each."""
+        items = len(index.codes)
+        counts = index.first[which + 1] - index.first[which]
+        ends = np.cumsum(counts)
+        kinds, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) + PAIRS, PAIRS), side="right")
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            c = counts[a:b]
+            posting = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(index.first[which[a:b]], c)
+            key = np.repeat(piece[a:b] * items, c) + index.item[posting]
+            key = key * halves + (np.repeat(spots[a:b], c) - index.position[posting] + longest) // half
+            k, m = np.unique(key, return_counts=True)
+            kinds.append(k)
+            sums.append(m)
+        # grams that an item holds often: all half bands between the first and the last position
+        often = index.dense_first[which + 1] - index.dense_first[which]
+        hot = np.flatnonzero(often)
+        if len(hot):
+            c = often[hot]
+            entry = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(index.dense_first[which[hot]], c)
+            item, first, last = index.dense[:, entry]
+            spot = np.repeat(spots[hot], c)
+            group = np.repeat(piece[hot] * items, c) + item
+            low, high = (spot - last + longest) // half, (spot - first + longest) // half
+            by = np.argsort(group, kind="stable")
+            names, froms = np.unique(group[by], return_index=True)
+            for g, rows in zip(names.tolist(), np.split(by, froms[1:])):
+                steps = np.bincount(low[rows], minlength=halves + 1) - np.bincount(high[rows] + 1, minlength=halves + 1)
+                level = np.cumsum(steps) * half
+                at = np.flatnonzero(level)
+                kinds.append(g * halves + at)
+                sums.append(level[at])
+        kinds, sums = np.concatenate(kinds), np.concatenate(sums)
+        names, to = np.unique(kinds, return_inverse=True)
+        total = np.zeros(len(names), np.int64)
+        np.add.at(total, to, sums)
+        return names, total
 
     def verify(n: int, item: int, body: str, doc: np.ndarray, low: int, position: np.ndarray) -> None:
         """Runs of starts with enough of the shared grams, at ``position``, among their own."""
         size, budget, least = int(index.size[item]), int(index.edits[item]), max(1, int(index.least[item]))
         text, last = index.passages.items[item], len(index.codes[item]) - size
+        if len(position) < least:
+            return
         lowest, highest = position[:len(position) - least + 1], position[least - 1:]
         enough = highest - lowest <= size - Q
         froms, tos = np.maximum(0, highest[enough] - (size - Q)), np.minimum(last, lowest[enough])
@@ -254,8 +318,11 @@ def matches_in(texts: list[str], index: Index) -> list[dict[int, tuple[int, int]
             for s in range(first, end + 1, RUN):
                 e = min(end, s + RUN - 1)
                 best = seen.get((n, item))
-                if best is not None and not best[s:e + 1].any():
-                    continue
+                if best is not None:  # passages that have been found whole cannot be found better
+                    left = np.flatnonzero(best[s:e + 1])
+                    if not len(left):
+                        continue
+                    s, e = s + int(left[0]), s + int(left[-1])
                 region = body[max(0, low - budget + s):max(0, low + BAND + e + size + budget)]
                 if text[s:e + size] in region:
                     edits = np.zeros(e - s + 1, np.int16)

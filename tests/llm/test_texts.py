@@ -147,8 +147,11 @@ def aligned_passages(item, text):
     return (len(got), min(got)) if got else None
 
 
-def test_excerpts_at_every_offset_against_plain_alignment(monkeypatch):
+@pytest.mark.parametrize("dense, pairs", [(32, 1 << 21), (1, 40)])
+def test_excerpts_at_every_offset_against_plain_alignment(monkeypatch, dense, pairs):
     monkeypatch.setattr(decontam, "SCAN_CHARS", 400)
+    monkeypatch.setattr(decontam, "DENSE", dense)
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
     items = [" ".join(word() for _ in range(40))[:130], " ".join(word() for _ in range(20))[:70], "ab cd " * 20]
@@ -183,6 +186,19 @@ def test_long_text_is_scanned_whole(monkeypatch):
         assert decontam.matches_in([filler[:at] + " " + item + " " + filler[at:]], index)[0][0] == (len(index.passages), 0)
 
 
+def test_repetitive_text_takes_bounded_memory():
+    """Every place of such a text meets every posting of such an item: 480 million pairs."""
+    import tracemalloc
+    index = decontam.Index.of([decontam.normalised("0 " * 3000), decontam.normalised("0 1 " * 40)])
+    text = decontam.normalised("0 " * 80000)
+    tracemalloc.start()
+    try:
+        assert decontam.matches_in([text, "0 1 " * 60], index) == [{0: (5900, 0)}, {1: (60, 0)}]
+        assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_contamination_of_the_table(spark, docs):
     items = {r.item_id: decontam.normalised(r.text) for r in spark.read.parquet(f"{SF_CHECK}/benchmark.parquet").collect()}
     want = {(i, k) for i, d in docs.items() for k, t in items.items() if t in decontam.normalised(d.text)}
