@@ -30,6 +30,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def batches_of(rows_at_most: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches, so that memory does not follow the batch size."""
     for b in it:

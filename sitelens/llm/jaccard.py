@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import batches_of
+from sitelens.llm.common import batches_of, unused
 from sitelens.llm.graph import components
 from sitelens.session import materialize
 
@@ -332,19 +332,25 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
                                       F.xxhash64("a.plot", "a.leaf", "b.leaf").alias("unit"))
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def numbered(docs: DataFrame, row_col: str) -> DataFrame:
+    """``docs`` written once with a number for each row. Later passes read the numbers
+    from the table: a scan that is split in another way changes none of them."""
+    return materialize(docs.withColumn(row_col, F.monotonically_increasing_id()), "ngram-rows")
+
+
+def describe(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """One row per document: size, digest, count vector and keys of its set."""
     common = common_ngrams(docs, text_col, words)
     return materialize(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
-                    F.col(text_col).alias("text"))
+        docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .mapInArrow(_described(words, percent, common), "row long, id long, n long, digest binary, class long, "
                     "counts array<bigint>, keys array<bigint>"), "ngram-sets")
 
 
-def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", words: int = WORDS,
+def links(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str = "text", words: int = WORDS,
           percent: int = PERCENT) -> DataFrame:
-    """(a, b): digests of linked sets, enough of them to connect every component."""
+    """(a, b): digests of linked sets, enough of them to connect every component.
+    ``docs`` and ``rows`` (see ``describe``) name a row by the same number."""
     keyed = rows.where("n > 0").select("class", F.explode("keys").alias("key"))
     # a table of its own, so that the join may split a key that very many documents share
     shared = materialize(keyed.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"))
@@ -357,7 +363,7 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", words: int =
         rows.join(plots, "class").groupBy("digest", "plot")
         .agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"))), "ngram-leaves")
     wanted = members.select("row")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     sets = texts.join(_bounded(wanted, wanted.count()), "row", "left_semi").select("text") \
         .mapInArrow(_sets(words), "digest binary, grams binary")
     units = materialize(_units(members, percent), "ngram-units")
@@ -372,11 +378,15 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str = "text", words: int =
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                   percent: int = PERCENT) -> DataFrame:
-    """One row per document row: row (its number in the scan), id, n_shingles,
-    component_id (least id of its component) and first_row (least (id, row) of
-    it). ``docs`` must be a plain table scan: its row numbers are used again."""
-    rows = describe(docs, id_col, text_col, words, percent)
-    found = components(links(docs, rows, text_col, words, percent), "ngram-components")
+    """One row per document row: row (its number), id, n_shingles, component_id
+    (least id of its component) and first_row (least (id, row) of it)."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _components_of(numbered(narrow, "row"), "row", "id", "text", words, percent).withColumnRenamed("id", id_col)
+
+
+def _components_of(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    rows = describe(docs, row_col, id_col, text_col, words, percent)
+    found = components(links(docs, rows, row_col, text_col, words, percent), "ngram-components")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = rows.where("n > 0").groupBy("digest").agg(least.alias("least"))
     labelled = classes.join(found.withColumnRenamed("node", "digest"), "digest", "left") \
@@ -385,7 +395,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = materialize(labelled.select("digest", "label").join(tops, "label").select(
         "digest", F.col("least.id").alias("top_id"), F.col("least.row").alias("top_row")), "ngram-named")
     return rows.select("row", "id", "n", "digest").join(named, "digest", "left").select(
-        "row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        "row", "id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("top_id")).alias("component_id"),
         F.coalesce("top_row", "row").alias("first_row"))
 
@@ -394,8 +404,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, less every row of a component but the
     one with the least id. Documents without words are no copies of each other."""
-    gone = materialize(components_of(docs, id_col, text_col, words, percent).where("row <> first_row")
-                       .select(F.col("row").alias("_gone")), "ngram-gone")
-    numbered = docs.withColumn("_row_number", F.monotonically_increasing_id())
-    return numbered.join(_bounded(gone, gone.count()), F.col("_row_number") == F.col("_gone"), "left_anti") \
-        .drop("_row_number")
+    row = unused(docs, "row_number")
+    rows = numbered(docs, row)
+    gone = materialize(_components_of(rows, row, id_col, text_col, words, percent).where("row <> first_row")
+                       .select(F.col("row").alias(row)), "ngram-gone")
+    return rows.join(_bounded(gone, gone.count()), row, "left_anti").select(*docs.columns)

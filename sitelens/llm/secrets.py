@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import inline_rows, text_or_empty
+from sitelens.llm.common import inline_rows, text_or_empty, unused
 from sitelens.session import materialize
 
 
@@ -159,25 +159,28 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 SPANS = "array<struct<s:bigint,ord:int,e:bigint,kind:string>>"
+PARTS = "array<struct<from:bigint,to:bigint>>"
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
-               found: str = "__secrets") -> DataFrame:
-    """``docs`` with all its columns and ``found``: the spans of all rules by
+               found: str = "secrets") -> DataFrame:
+    """``docs`` with all its columns and ``found`` (a name that ``docs`` must not
+    have; the others that the join needs are chosen not to clash): the spans of all rules by
     start, then rule order. Candidates are written to the shared folder first:
     verification then joins two plain tables, where a text with a third of all
     rows is split."""
+    own, theirs, fits = (unused(docs, n) for n in ("own_hash", "text_hash", "fitting_rules"))
     hits = materialize(candidates(docs.select(text_or_empty(text_col).alias("text")), rules), "secret-candidates") \
-        .select(F.col("text_hash").alias("__text_hash"), F.col("rules").alias("__rules"))
+        .select(F.col("text_hash").alias(theirs), F.col("rules").alias(fits))
     text = text_or_empty(text_col)
-    joined = docs.withColumn("__own_hash", F.xxhash64(text)).join(hits, F.col("__own_hash") == F.col("__text_hash"), "left")
+    joined = docs.withColumn(own, F.xxhash64(text)).join(hits, F.col(own) == F.col(theirs), "left")
     spans = []
     for i, r in enumerate(rules):
         may = text.rlike(r.regex)
         if trigram_query(r.regex) is not None:
-            may = (F.expr(f"coalesce(__rules, 0L) & {1 << i}L") != 0) & may
+            may = (F.coalesce(F.col(fits), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << i).cast("long")) != 0) & may
         spans.append(F.when(may, rule_spans(text, r, i)).otherwise(F.array().cast(SPANS)))
-    return joined.withColumn(found, F.array_sort(F.concat(*spans))).drop("__own_hash", "__text_hash", "__rules")
+    return joined.withColumn(found, F.array_sort(F.concat(*spans))).drop(own, theirs, fits)
 
 
 def span_text(spans: Column) -> Column:
@@ -205,16 +208,38 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
     """``docs`` with all its columns, every span of the text replaced by
     ``mark``; overlapping spans of different rules are replaced as one. Texts
     without spans, and null, come back as they are."""
-    found = with_spans(docs, rules, text_col)
+    spans = unused(docs, "secrets")
+    found = with_spans(docs, rules, text_col, spans)
     text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    last = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(PARTS).alias("parts"))
 
-    def cut(acc, x):
-        gap = text.substr((acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
+    def outer(acc, x):  # spans that begin inside an earlier one are part of it
         fresh = x["s"] >= acc["at"]
+        part = F.array(F.struct(acc["at"].alias("from"), x["s"].alias("to")))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    cleaned = F.aggregate("__secrets", start, cut, lambda a: F.concat(
-        a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__secrets") == 0, text).otherwise(cleaned)).drop("__secrets")
+                        F.when(fresh, F.concat(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"))
+
+    def outer_run(acc, run):  # in runs: the parts so far are copied once per run, not once per span
+        got = F.aggregate(run, F.struct(acc["at"].alias("at"), F.array().cast(PARTS).alias("parts")), outer)
+        return F.struct(got["at"].alias("at"), F.concat(acc["parts"], got["parts"]).alias("parts"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int")),
+                       lambda i: F.slice(spans, i * RUN + 1, F.lit(RUN)))
+    kept = F.aggregate(runs, last, outer_run)
+    # the text between the spans, joined once; a run's stretch of text is cut out first, because a
+    # substring is found by counting characters from the start
+    part_runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(kept["parts"]) - 1) / RUN).cast("int")),
+                            lambda i: F.slice(kept["parts"], i * RUN + 1, F.lit(RUN)))
+
+    def stretch(run):
+        first, end = F.element_at(run, 1)["from"], F.element_at(run, -1)["to"]
+        return F.struct(run.alias("run"), first.alias("first"),
+                        text.substr((first + 1).cast("int"), (end - first).cast("int")).alias("text"))
+
+    def cut(x):
+        piece = lambda p: x["text"].substr((p["from"] - x["first"] + 1).cast("int"), (p["to"] - p["from"]).cast("int"))
+        return F.array_join(F.transform(x["run"], lambda p: F.concat(piece(p), F.lit(mark))), "")
+
+    cleaned = F.concat(F.array_join(F.transform(F.transform(part_runs, stretch), cut), ""),
+                       text.substr((kept["at"] + 1).cast("int"), F.length(text)))
+    return found.withColumn(text_col, F.when(F.size(spans) == 0, text).otherwise(cleaned)).select(*docs.columns)

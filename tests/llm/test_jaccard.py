@@ -4,7 +4,7 @@ import random
 
 import brute_jaccard as brute
 import numpy as np
-from conftest import SF_CHECK
+from conftest import SF_CHECK, SF_SMALL
 from sitelens.llm import graph, jaccard, queries
 
 
@@ -75,6 +75,29 @@ def test_nulls_repeats_and_empty(spark, tmp_path):
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 7, 9]
 
 
+def test_kept_rows_do_not_depend_on_the_splits_of_the_scan(spark, tmp_path, monkeypatch):
+    """The scan is split in another way before the last pass, as when an executor is lost or added."""
+    spark.read.parquet(f"{SF_SMALL}/documents.parquet").repartition(8).write.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def kept():
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        return sorted(r.doc_id for r in jaccard.keep_one_of_each(docs).collect())
+
+    want, plain = kept(), jaccard._components_of
+
+    def other_splits(*args):
+        out = plain(*args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        return out
+
+    monkeypatch.setattr(jaccard, "_components_of", other_splits)
+    try:
+        assert kept() == want and len(want) < 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_linked_sets_share_a_key():
     r = random.Random(5)
     linked = 0

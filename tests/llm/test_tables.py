@@ -182,3 +182,20 @@ def test_pipeline_stages(spark, tmp_path):
                     at = max(at, e)
                 assert r.text == text + was[i].text[at:] and r.n_chars == (len(r.text) if spans else was[i].n_chars)
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(kept["secret_scan"])
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    """Extra columns with the names that the stages use inside come through."""
+    import corpus_pipeline as P
+    names = ["row", "row_number", "_row_number", "gone", "_gone", "own_hash", "text_hash", "fitting_rules", "secrets", "__secrets",
+             "__rules", "__text_hash", "__own_hash", "length_before", "__length", "n", "digest", "id", "plot", "lang_pred", "score"]
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    for i, name in enumerate(names):
+        docs = docs.selectExpr("*", f"concat('{i}-', doc_id) AS `{name}`")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for name, stage in P.STAGES[:4]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{i}-{r.doc_id}" for r in rows for i, c in enumerate(names)), name
