@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import decontam, jaccard, langid, pack, secrets
-from sitelens.llm.common import table
+from sitelens.llm.common import table, unused
 from sitelens.llm.queries import tokenizer_path
 from sitelens.session import apply_conf, materialize
 
@@ -37,10 +37,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; n_chars follows the text."""
     apply_conf(spark)
-    cleaned = secrets.redact_secrets(docs.withColumn("__length", F.length("text")))
-    changed = F.length("text") != F.col("__length")
+    length = unused(docs, "length_before")
+    cleaned = secrets.redact_secrets(docs.withColumn(length, F.length("text")))
+    changed = F.length("text") != F.col(length)
     return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))) \
-        .drop("__length")
+        .select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
