@@ -30,6 +30,7 @@ from sitelens.plans.pages import crawl_snapshot
 from sitelens.schemas import FIELDS, REPORT_COLUMNS
 from sitelens.session import checkpoint_dir, materialize, shared_table
 from sitelens.sources import eventlog as L
+from sitelens.sources.lookup import BUCKET, clustered
 from sitelens.sources.tables import documents, events, pages
 
 # Stand-in: damaged copies of stored results, by request_id % BROKEN_EVERY; they come beside the results.
@@ -106,12 +107,10 @@ def result_envelope(spark: SparkSession, sf: str) -> DataFrame:
     return results(spark, sf).select("request_id", "result_json")
 
 
-def _routed(spark: SparkSession, sf: str, user: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Successful requests with their route, narrow; ``user`` is filtered first."""
+def _routed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Successful requests with their route, narrow."""
     d = decisions(spark, sf).filter(F.col("reason") == "ok")
     links = L.sheet_links(events(spark, sf))
-    if user is not None:
-        d, links = d.filter(F.col("user_id") == user), links.filter(F.col("user_id") == user)
     d = d.select("request_id", "user_id", "ts", F.col("norm_url").alias("url"), "sheet_id")
     return O.with_route(d), links
 
@@ -121,11 +120,17 @@ def outbox_route(spark: SparkSession, sf: str) -> DataFrame:
     return routed.select("request_id", "user_id", "route", "sheet_id")
 
 
-def _pending(spark: SparkSession, sf: str, user: str | None = None) -> DataFrame:
-    routed, links = _routed(spark, sf, user)
+def _pending(spark: SparkSession, sf: str) -> DataFrame:
+    routed, links = _routed(spark, sf)
     return O.pending_rows(routed, links)
 
 
+def pending_by_user(spark: SparkSession, sf: str) -> DataFrame:
+    """The parked rows, laid out for lookups of one user."""
+    return shared_table(spark, "pending_by_user", sf, lambda: clustered(
+        _pending(spark, sf).select("id", "user_id", "url", "created_at"), "user_id", ["created_at", "id"]), by=[BUCKET])
+
+
 def pending_results(spark: SparkSession, sf: str) -> DataFrame:
     return O.with_row_ids(_pending(spark, sf)).select("row_id", "id", "row_key", "user_id", "url", "created_at", "written")
 

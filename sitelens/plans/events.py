@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators import quota as Q
+from sitelens.session import shared_table
 from sitelens.sources import eventlog as L
+from sitelens.sources.lookup import BUCKET, clustered, rows_of
 from sitelens.sources.runs import Runs
 from sitelens.sources.tables import events
 
@@ -16,6 +18,8 @@ from sitelens.sources.tables import events
 DEFAULT_SHEET_ID = "default-sheet"
 # User whose pending rows the parameterised scan returns: one who never connects.
 PROBE_USER = "12"
+# User whose destination is looked up: one who connects.
+CONNECTED_USER = "3"
 
 
 def _ev(spark, sf):
@@ -85,10 +89,18 @@ def sheet_urls(spark: SparkSession, sf: str) -> DataFrame:
 def pending_for_user(spark: SparkSession, sf: str) -> DataFrame:
     """S-2/S-4: the scan a flush performs (one user's parked rows, oldest
     first) as Spark SQL with a named parameter (``:user`` is bound, never
-    spliced into the text)."""
-    from sitelens.plans.audit import _pending
+    spliced into the text), from the folder of that user's bucket."""
+    from sitelens.plans.audit import pending_by_user
     return spark.sql("SELECT id, user_id, url, created_at FROM {pending} WHERE user_id = :user "
-                     "ORDER BY created_at, id", args={"user": PROBE_USER}, pending=_pending(spark, sf, PROBE_USER))
+                     "ORDER BY created_at, id", args={"user": PROBE_USER},
+                     pending=rows_of(pending_by_user(spark, sf), "user_id", PROBE_USER))
+
+
+def destination_for_user(spark: SparkSession, sf: str) -> DataFrame:
+    """S-3: the destination of one user, from a settings table laid out for lookups."""
+    settings = shared_table(spark, "settings_by_user", sf, lambda: clustered(
+        Q.settings_latest(L.sheet_links(_ev(spark, sf))), "user_id", []), by=[BUCKET])
+    return rows_of(settings, "user_id", CONNECTED_USER).select("user_id", "sheet_id")
 
 
 def _event_files(sf: str) -> str:
@@ -116,7 +128,7 @@ def bundle_stream(spark: SparkSession, sf: str) -> DataFrame:
     """ST-2: the requests as a stream against the static crawl snapshot,
     output identical to ``content_bundle``."""
     from sitelens.plans import pages as P
-    from sitelens.session import shared_path, shared_table
+    from sitelens.session import shared_path
     from sitelens.streaming import streams as ST
     table = shared_table(spark, "bundle_requests", sf, lambda: P.bundle_requests(spark, sf))
     stream = spark.readStream.schema(table.schema).parquet(shared_path(spark, "bundle_requests", sf))
@@ -130,7 +142,7 @@ def delivered_reports(spark: SparkSession, sf: str) -> DataFrame:
     second time from its checkpoint, and the sink read back."""
     from sitelens.plans import audit as Au
     from sitelens.functions import answers as A
-    from sitelens.session import checkpoint_dir, shared_path, shared_table
+    from sitelens.session import checkpoint_dir, shared_path
     from sitelens.streaming import streams as ST
     table = shared_table(spark, "report_stream", sf, lambda: A.with_report_row(Au._deliveries(spark, sf)))
     name = f"reports_{uuid.uuid4().hex[:10]}"
@@ -150,6 +162,7 @@ QUERIES = {
     "message_routing": message_routing,
     "sheet_urls": sheet_urls,
     "pending_for_user": pending_for_user,
+    "destination_for_user": destination_for_user,
     "settings_latest": settings_latest,
     "sheet_id_extract": sheet_id_extract,
     "admin_changes": admin_changes,

@@ -102,6 +102,8 @@ def _events_sql() -> dict[str, str]:
     o["sheet_id_extract"] = f"SELECT event_id, link, sheet_id FROM ({links})"
     o["settings_latest"] = (f"SELECT user_id, arg_max(sheet_id, (ts, event_id)) AS sheet_id FROM ({links}) "
                             f"WHERE sheet_id <> '' GROUP BY user_id")
+    from sitelens.plans.events import CONNECTED_USER
+    o["destination_for_user"] = f"SELECT * FROM ({o['settings_latest']}) WHERE user_id = {S.q(CONNECTED_USER)}"
     o["admin_changes"] = f"SELECT event_id, actor, {S.is_admin('actor')} AS is_admin FROM ({S.limit_commands()})"
     o["limit_changes_valid"] = S.limit_changes()
     req = S.audit_requests()

@@ -101,7 +101,7 @@ _TABLES: dict[str, list[str]] = {}              # application -> paths written
 _SHARED: dict[tuple[str, str, str], str] = {}   # (application, name, input) -> path
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", by: list[str] | None = None):
     """Cut lineage at an intermediate read by several consumers.
 
     The rows are written once as a Parquet table under the shared
@@ -109,22 +109,23 @@ def materialize(df, name: str = "table"):
     checkpoint) and read back: consumers get a columnar scan with column
     pruning and filter pushdown, and the producing plan runs exactly once
     (``Dataset.checkpoint`` would run it for its eager count and again to
-    write the files).
+    write the files). ``by``: columns that the files are laid out by.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.mode("overwrite").parquet(path)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
-def shared_table(spark: SparkSession, name: str, source: str, build):
+def shared_table(spark: SparkSession, name: str, source: str, build, by: list[str] | None = None):
     """The table ``name`` of the input ``source``: built and written on first
     use in this application, read by every query after that. ``build`` must
     depend on nothing but ``source``."""
     key = (spark.sparkContext.applicationId, name, source.rstrip("/"))
     if key not in _SHARED:
-        materialize(build(), name)
+        materialize(build(), name, by)
         _SHARED[key] = _TABLES[key[0]][-1]
     return spark.read.parquet(_SHARED[key])
 
