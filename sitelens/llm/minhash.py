@@ -6,17 +6,19 @@ selected, kept in text order, and the tuple is hashed: two texts agree in an
 entry if the same k-mers are minimal and stand in the same order, which is
 sensitive to edit distance and not only to the set of k-mers.
 
-The neighbour report deals documents out by ranges of descending id. The bounds
-are approximate quantiles (one number per range on the driver), the first
-document of each range also goes to the range before it, and every range is
-then read in order on its own: texts move once, compressed.
+The neighbour report deals documents out by ranges of (descending id, hash of the
+text). The bounds are approximate quantiles of the ids (one number per range on the
+driver); an id that fills more than a range, or null, is cut further by the hash. The
+first document of each range also goes to the range before it, and every range
+is then read in order on its own: texts move once, compressed.
 
 Defined results: null text: empty. The empty text has a fingerprint of its own;
 two empty texts have likeness 1. Texts shorter than k have one k-mer. Equal
 texts have equal fingerprints. Order is by id descending, nulls last, then by a
 hash of the text, so repeated ids have a defined order. A table of one row is
 its own neighbour. Empty tables: no rows. Only id and text are read, so other
-columns cannot clash.
+columns cannot clash. Occurrences are told apart by the high bits of the k-mers'
+hashes: of a text of n k-mers, 64 - log2(n) of them.
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import batches_of
+from sitelens.llm.common import batches_of, text_bytes
 
 K = 6            # characters per k-mer
 HASHES = 64      # entries of a fingerprint
 TUPLE = 2        # k-mers per entry
 BLOCK = 1 << 13  # k-mers hashed at a time
 BATCH_ROWS = 256
-RANGES_PER_PARTITION = 4
+RANGES_PER_PARTITION = 12
 
 U64 = np.uint64
 U32 = np.uint32
@@ -117,15 +119,25 @@ def printed(f: np.ndarray) -> str:
     return f.astype(">u4").tobytes().hex()
 
 
-def _bounds(ids: DataFrame, ranges: int) -> list[int]:
-    """Upper ids of the ranges, descending: at most ``ranges`` numbers."""
-    cuts = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 10000)).first()[0]
-    return sorted({int(x) for x in cuts or []})
+class Ranges:
+    """Ranges of (id descending, nulls last, then hash of the text ascending), numbered in that order."""
 
+    def __init__(self, ids: DataFrame, ranges: int):
+        rows, nulls, cuts = ids.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.percentile_approx(
+            "id", [i / ranges for i in range(1, ranges)] or [0.5], 10000)).first()
+        cuts = sorted(int(x) for x in cuts or [])
+        often = {c: cuts.count(c) for c in set(cuts) if cuts.count(c) > 1}  # ids that fill more than a range
+        self.cuts = np.array(sorted(set(cuts) | {c - 1 for c in often if c > -(1 << 63)}), np.int64)
+        # parts of each base range: 0 for the largest ids, rising as ids fall; null ids come last
+        parts = np.ones(len(self.cuts) + 2, np.int64)
+        for c, n in often.items():
+            parts[len(self.cuts) - np.searchsorted(self.cuts, c, side="left")] = n + 1
+        parts[-1] = max(1, -(-nulls * ranges // rows)) if rows else 1
+        self.parts, self.first = parts, np.cumsum(parts) - parts
 
-def _range_of(ids: np.ndarray, missing: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """0 for the largest ids, rising as ids fall; null ids come last."""
-    return np.where(missing, len(cuts) + 1, len(cuts) - np.searchsorted(cuts, ids, side="left"))
+    def of(self, ids: np.ndarray, missing: np.ndarray, order: np.ndarray) -> np.ndarray:
+        base = np.where(missing, len(self.cuts) + 1, len(self.cuts) - np.searchsorted(self.cuts, ids, side="left"))
+        return self.first[base] + ((order >> U64(32)).astype(np.int64) * self.parts[base] >> 32)
 
 
 def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -140,32 +152,36 @@ def neighbour_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.array(_bounds(source.select("id"), partitions * RANGES_PER_PARTITION), np.int64)
+    ranges = Ranges(source.select("id"), partitions * RANGES_PER_PARTITION)
 
-    def ranges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids, missing = _columns(b)
-            yield pa.RecordBatch.from_arrays([pa.array(_range_of(ids, missing, cuts), pa.int64()), b.column(0)],
-                                             ["range", "id"])
+    def hashed(raws: list[bytes]) -> list[bytes]:
+        return [hashlib.blake2b(raw, digest_size=8).digest() for raw in raws]
 
-    # one row per range that has documents: its largest id
-    heads = sorted((r["range"], r["id"]) for r in source.select("id").mapInArrow(ranges, "range long, id long")
-                   .groupBy("range").agg(F.max("id").alias("id")).collect())
-    before = {(r, i): heads[n - 1][0] for n, (r, i) in enumerate(heads)}  # the first range goes behind the last one
+    def numbers(b: pa.RecordBatch, orders: list[bytes]) -> np.ndarray:
+        return ranges.of(*_columns(b), np.frombuffer(b"".join(orders), ">u8").astype(U64))
+
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(BATCH_ROWS, it):
+            orders = hashed(text_bytes(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers(b, orders), pa.int64()), b.column(0), pa.array(orders, pa.binary())],
+                                             ["range", "id", "order"])
+
+    # one row per range that has documents: its first document
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.bitwise_not("id").alias("turned"), "id", "order"))
+    heads = sorted((r["range"], r["head"]["id"], bytes(r["head"]["order"])) for r in source.mapInArrow(
+        places, "range long, id long, order binary").groupBy("range").agg(first.alias("head")).collect())
+    before = {h: heads[n - 1][0] for n, h in enumerate(heads)}  # the first range goes behind the last one
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches_of(BATCH_ROWS, it):
-            ids, missing = _columns(b)
-            rows = []
-            for r, i, none, text in zip(_range_of(ids, missing, cuts).tolist(), ids.tolist(), missing.tolist(),
-                                        b.column(1).to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                key = None if none else i
-                order, body = hashlib.blake2b(raw, digest_size=8).digest(), press.compress(raw)
+            rows, raws = [], text_bytes(b.column(1))
+            orders = hashed(raws)
+            for r, key, order, raw in zip(numbers(b, orders).tolist(), b.column(0).to_pylist(), orders, raws):
+                body = press.compress(raw)
                 rows.append((r, 0, key, order, body))
-                if (r, key) in before:
-                    rows.append((before[r, key], 1, key, order, body))
+                if (r, key, order) in before:
+                    rows.append((before[r, key, order], 1, key, order, body))
             names = ["range", "tail", "id", "order", "body"]
             types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -179,7 +195,7 @@ def neighbour_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = []
             for r, tail, i, body in zip(*(b.column(c).to_pylist() for c in ("range", "tail", "id", "body"))):
                 if held is not None and tail and held[1]:
-                    continue  # further rows with the id of the neighbour's first row
+                    continue  # further rows like the neighbour's first
                 text = unpress.decompress(body).decode("utf-8", "surrogatepass")
                 mark = fingerprint(text, k, hashes, tuple_size)
                 if held is not None and held[0] == r and not held[1]:

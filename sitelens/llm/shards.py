@@ -15,8 +15,9 @@ are empty. Empty table: no rows. Only id and text are read, so other columns
 cannot clash.
 
 A text with a third of all rows has one cell per starting shard; ranks and slots
-are counted per bucket and shifted by the bucket's offset, so no shard or text
-is sorted in one task.
+are counted per bucket and shifted by the bucket's offset. Buckets hold a bounded
+number of rows: a cell that is larger is dealt over as many as it needs, by a hash
+of the row's number, so rows that are equal in id and text spread as well.
 """
 
 from __future__ import annotations
@@ -30,14 +31,13 @@ from sitelens.session import materialize
 SHARDS = 24
 ROUNDS = 8
 ROWS_PER_BUCKET = 20_000
-SALTS = 8
 
 
 def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """id, size, text_crc32, link (a hash of the text) and the starting shard;
-    texts themselves are not shuffled."""
+    """id, row (its number, for a table that is written), size, text_crc32, link (a
+    hash of the text) and the starting shard; texts themselves are not shuffled."""
     raw = F.encode(text_or_empty(text_col), "UTF-8")
-    return (docs.select(F.col(id_col).alias("id"), (F.octet_length(text_or_empty(text_col)) + 8).cast("long").alias("size"),
+    return (docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), (F.octet_length(text_or_empty(text_col)) + 8).cast("long").alias("size"),
                         F.crc32(raw).alias("text_crc32"), F.xxhash64(text_or_empty(text_col)).alias("link"))
             .withColumn("start", F.pmod(F.xxhash64("id", "link"), F.lit(shards)).cast("int")))
 
@@ -58,7 +58,7 @@ def _quotas(wished: DataFrame, loads: dict[int, int], capacity: int) -> dict[int
 
 
 def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(link, start, shard): the label of every cell that propagation has moved
+    """(link, start, n, shard): the label of every cell of n rows that propagation has moved
     or kept, for links of two documents or more. Only linked documents count
     against a shard's capacity: those without links make way at no cost."""
     groups = rows.groupBy("link", "start").agg(F.count("*").alias("n"))
@@ -89,7 +89,7 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
             loads[r["shard"]] -= r["n"]
             loads[r["next"]] += r["n"]
         cells = moved.select("link", "start", "n", F.col("next").alias("shard"))
-    return materialize(cells.select("link", "start", "shard"), "shard-labels")
+    return materialize(cells.select("link", "start", "n", "shard"), "shard-labels")
 
 
 def _ranked(df: DataFrame, key: str, bucket: Column, order: list, name: str) -> DataFrame:
@@ -115,18 +115,18 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = propagate(rows, shards, rounds)
     labelled = materialize(
         rows.join(labels, ["link", "start"], "left")
-        .select("id", "size", "text_crc32", "link", F.col("shard").isNotNull().alias("is_linked"),
+        .select("id", "row", "size", "text_crc32", "link", F.col("shard").isNotNull().alias("is_linked"),
+                F.ceil(F.coalesce("n", F.lit(1)) / ROWS_PER_BUCKET).alias("parts"),
                 F.coalesce("shard", "start").alias("label")), "shard-labelled")
 
     loads = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(loads.values())
     by_load = sorted(range(shards), key=lambda s: (-loads.get(s, 0), s))
     even = {s: total // shards + (place < total % shards) for place, s in enumerate(by_load)}
-    buckets = max(16, total // (shards * ROWS_PER_BUCKET * SALTS) + 1)
+    buckets = total // (shards * ROWS_PER_BUCKET) + 16
     # linked documents first, texts side by side: the rows beyond a shard's even count leave it
-    first = F.when(F.col("is_linked"), 0).otherwise(1) * F.lit(buckets) + F.pmod(F.col("link"), F.lit(buckets))
-    bucket = first * F.lit(SALTS) + F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    placed = _ranked(labelled, "label", bucket, ["link", F.col("id").asc_nulls_last()], "place")
+    bucket = F.struct(~F.col("is_linked"), F.pmod(F.col("link"), F.lit(buckets)), F.pmod(F.xxhash64("row"), F.col("parts")))
+    placed = _ranked(labelled, "label", bucket, ["link", F.col("id").asc_nulls_last(), "row"], "place")
     placed = placed.withColumn("beyond", F.col("place") - _literal_map(even)[F.col("label")])
 
     # surplus rows are numbered through and dealt to the shards that lack rows
@@ -143,7 +143,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         target = F.when((F.col("beyond") >= 0) & (number < upto), F.lit(s)).otherwise(target)
     final = placed.withColumn("shard", target.cast("int"))
     slots = max(1, total // (shards * ROWS_PER_BUCKET) + 1)
-    out = _ranked(final.select("id", "size", "text_crc32", "link", "shard"), "shard",
-                  F.pmod(F.xxhash64("id", "link"), F.lit(slots)), [F.col("id").asc_nulls_last(), "link"], "slot")
+    out = _ranked(final.select("id", "row", "size", "text_crc32", "link", "shard"), "shard",
+                  F.pmod(F.xxhash64("id", "row"), F.lit(slots)), [F.col("id").asc_nulls_last(), "row"], "slot")
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "link")

@@ -133,7 +133,9 @@ def test_shards_of_the_table(spark):
     assert apart <= 0.1 * sum(sum(c.values()) for c in homes.values() if sum(c.values()) > 1)
 
 
-def test_shards_hot_text_nulls_and_small_tables(spark):
+@pytest.mark.parametrize("bucket", [20_000, 7])
+def test_shards_hot_text_nulls_and_small_tables(spark, monkeypatch, bucket):
+    monkeypatch.setattr(shards, "ROWS_PER_BUCKET", bucket)
     texts = {i: "hot" if i % 3 == 0 else f"text {i}" if i % 7 else None for i in range(400)}
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, shard int").repartition(4)
     rows = shards.shard_documents(df).collect()

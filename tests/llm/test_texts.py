@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -296,3 +297,19 @@ def test_neighbour_edges(spark):
     assert minhash.neighbour_report(df.where("false")).count() == 0
     twice = df.select("text").selectExpr("cast(null as long) as doc_id", "text").unionAll(df.selectExpr("7L", "text"))
     assert minhash.neighbour_report(twice).count() == 10
+
+
+def test_neighbours_under_hot_ids(spark):
+    """A third of the rows under null, a third under one id: cut by the hash of the text, in order all the same."""
+    r = random.Random(8)
+    rows = [(None if n % 3 == 0 else 7 if n % 3 == 1 else n, "".join(r.choice("abc ") for _ in range(r.randint(0, 30)))) for n in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranges = minhash.Ranges(df.selectExpr("doc_id AS id"), 24)
+    assert ranges.parts[-1] > 4 and sorted(ranges.parts)[-2] > 4
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashlib.blake2b(x[1].encode(), digest_size=8).digest()))
+    want = Counter()
+    for (i, own), (_, other) in zip(order, order[1:] + order[:1]):
+        cut = len(own) // 2
+        want[i, hashlib.sha256((own[:len(own) - cut] + other[:cut]).encode()).hexdigest()] += 1
+    got = minhash.neighbour_report(df).collect()
+    assert Counter((x.doc_id, x.edited_sha256) for x in got) == want
