@@ -1,10 +1,9 @@
 """Tables that grow by runs: a repeated run adds nothing, readers see whole runs only.
 
-A run's rows are written to a folder of their own; a small record, created under the
+A run's rows are written to a folder of their own; a small record, moved whole to the
 run's name and never replaced, then names the folder and holds what later runs need
-to know (row count, largest id). The file system lets one writer create a name, so of
-two attempts at one run the first to finish counts, and the other's folder is
-never read. A run that fails before its record exists has added nothing. All goes
+to know (largest id). Of two attempts at one run the first to finish counts, and the
+other's folder is never read. A run that fails before its record exists has added nothing. All goes
 through Hadoop's file system interface, like Spark's own reads and writes.
 """
 
@@ -24,6 +23,7 @@ class Runs:
         self.spark, self.path = spark, path.rstrip("/")
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.columns = self.schema.names
+        self._records: dict[str, dict] = {}  # read so far: a record never changes
 
     def _fs(self, path: str):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,7 +37,9 @@ class Runs:
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if not s.getPath().getName().startswith("."))
         out = {}
         for name in names:
-            if before is None or name < before:
+            if before is not None and name >= before:
+                continue
+            if name not in self._records:
                 fs, record = self._fs(f"{self.path}/runs/{name}")
                 size = fs.getFileStatus(record).getLen()
                 stream = fs.open(record)
@@ -45,29 +47,29 @@ class Runs:
                     text = bytes(stream.readNBytes(size)).decode()
                 finally:
                     stream.close()
-                if text.endswith("\n"):  # otherwise its writer is still at it
-                    out[name] = json.loads(text)
+                self._records[name] = json.loads(text)
+            out[name] = self._records[name]
         return out
 
+    def holds(self, run: str) -> bool:
+        fs, record = self._fs(f"{self.path}/runs/{run}")
+        return fs.exists(record)
+
     def append(self, df: DataFrame, run: str, by: list[str] | None = None, **notes) -> bool:
         """Adds ``df`` as ``run``; False, and nothing added, if that run is there already.
         ``by``: columns that the folder is partitioned by. ``notes`` go into the record."""
-        if run in self.committed():
+        if self.holds(run):
             return False
         folder = f"data/{run}-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*by) if by else df.write
         writer.parquet(f"{self.path}/{folder}")
         fs, record = self._fs(f"{self.path}/runs/{run}")
-        fs.mkdirs(record.getParent())
-        try:
-            stream = fs.create(record, False)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e):
-                return False  # another attempt was faster
-            raise
+        _, draft = self._fs(f"{self.path}/runs/.{run}-{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
         stream.write((json.dumps({"folder": folder, **notes}) + "\n").encode())
         stream.close()
-        return True
+        # whole records only: a name that is there stays (the other attempt was faster)
+        return not fs.exists(record) and bool(fs.rename(draft, record))
 
     def read(self, before: str | None = None, runs: list[str] | None = None) -> DataFrame:
         """All rows of committed runs: those below ``before``, or those of ``runs``."""

@@ -106,7 +106,7 @@ class Epochs:
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         name = epoch_name(epoch)
-        if name in self.states.committed():
+        if self.states.holds(name):
             return  # the last of an epoch's commits: it has been through
         rows = materialize(unseen(batch, self.id_col, self.ids, epoch), "epoch-rows")
         state = self.state_before(epoch)

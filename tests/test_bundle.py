@@ -39,3 +39,13 @@ def test_latest_page_of_an_address_wins(spark):
                                 ("https://b.com", 4, "b", 1, None, None)],
                                "norm_url string, page_id long, text string, n_text int, pricing_link string, pricing_key string")
     assert {r.norm_url: r.text for r in snapshot(df).collect()} == {"https://a.com": "new", "https://b.com": "b"}
+
+
+def test_repeated_page_rows_are_one_page(spark):
+    """J-1: a page that is in the table twice answers a request once."""
+    rows = [("https://a.com", 1, LONG, "https://a.com/p", "https://a.com/p")] * 3 + [("https://a.com/p", 2, MID, None, None)] * 2
+    features = spark.createDataFrame(rows, "norm_url string, page_id long, text string, pricing_link string, pricing_key string") \
+        .withColumn("n_text", F.length("text"))
+    req = spark.createDataFrame([(1, "a.com")], "request_id long, url string")
+    got = content_bundle(req, snapshot(features)).collect()
+    assert len(got) == 1 and got[0].pricing_text == MID
