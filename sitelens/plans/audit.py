@@ -15,8 +15,6 @@ sizes (scalar subqueries); every table is read whole.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +26,7 @@ from sitelens.plans import standin as Si
 from sitelens.plans.answers import parsed_answers
 from sitelens.plans.pages import crawl_snapshot
 from sitelens.schemas import FIELDS, REPORT_COLUMNS
-from sitelens.session import checkpoint_dir, materialize, shared_table
+from sitelens.session import materialize, scratch_path, shared_table
 from sitelens.sources import eventlog as L
 from sitelens.sources.lookup import BUCKET, clustered
 from sitelens.sources.tables import documents, events, pages
@@ -150,7 +148,7 @@ ROUNDS = ["2024-01-03 00:00:00", "2024-01-08 00:00:00", "2024-02-01 00:00:00"]
 def outbox_delivery(spark: SparkSession, sf: str) -> DataFrame:
     """J-4/J-7: parked rows delivered in rounds, each marked in the log; the
     last round runs twice. Returns (id, round) of the log."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/delivered-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "delivered")
     pending = _pending(spark, sf)
     for n, at in [*enumerate(ROUNDS), (len(ROUNDS) - 1, ROUNDS[-1])]:
         O.deliver(pending.filter(F.col("flushed_at") <= F.lit(at).cast("timestamp_ntz")), path, n)
@@ -160,7 +158,7 @@ def outbox_delivery(spark: SparkSession, sf: str) -> DataFrame:
 def outbox_append(spark: SparkSession, sf: str) -> DataFrame:
     """S-5/W-4: the parked rows appended in runs by time, the first of them twice:
     one copy of every row, with the gapless ids of a single run."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/parked-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "parked")
     pending = materialize(_pending(spark, sf).select("id", "user_id", "url", "created_at"), "parked-rows")
     cuts = [None, *ROUNDS, None]
     for n in [0, 0, *range(1, len(ROUNDS) + 1)]:
@@ -233,7 +231,7 @@ def _sheets(spark: SparkSession, sf: str) -> DataFrame:
 def written_reports(spark: SparkSession, sf: str) -> DataFrame:
     """S-6: the report rows appended to the sink (headers checked), the run
     repeated, and the sink read back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "reports")
     rows, sheets = A.with_report_row(_deliveries(spark, sf)), _sheets(spark, sf)
     for _ in range(2):
         O.write_reports(rows, sheets, path, "audit")

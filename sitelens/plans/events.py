@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators import quota as Q
-from sitelens.session import shared_table
+from sitelens.session import scratch_path, shared_table
 from sitelens.sources import eventlog as L
 from sitelens.sources.lookup import BUCKET, clustered, rows_of
 from sitelens.sources.runs import Runs
@@ -113,7 +111,7 @@ def quota_stream(spark: SparkSession, sf: str) -> DataFrame:
     files (availableNow), output identical to ``quota_replay``."""
     from sitelens.streaming import streams as ST
     stream = L.quota_timeline(ST.event_stream(spark, _event_files(sf)))
-    return ST.quota_stream(stream, ST.stream_path(spark, f"quota_{uuid.uuid4().hex[:10]}")).drop("late")
+    return ST.quota_stream(stream, scratch_path(spark, "quota-stream")).drop("late")
 
 
 def dialog_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +119,7 @@ def dialog_stream(spark: SparkSession, sf: str) -> DataFrame:
     output identical to ``message_routing``."""
     from sitelens.streaming import streams as ST
     stream = ST.event_stream(spark, _event_files(sf))
-    return ST.dialog_stream(stream, ST.stream_path(spark, f"dialog_{uuid.uuid4().hex[:10]}")).drop("late")
+    return ST.dialog_stream(stream, scratch_path(spark, "dialog-stream")).drop("late")
 
 
 def bundle_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,15 +140,14 @@ def delivered_reports(spark: SparkSession, sf: str) -> DataFrame:
     second time from its checkpoint, and the sink read back."""
     from sitelens.plans import audit as Au
     from sitelens.functions import answers as A
-    from sitelens.session import checkpoint_dir, shared_path
+    from sitelens.session import shared_path
     from sitelens.streaming import streams as ST
     table = shared_table(spark, "report_stream", sf, lambda: A.with_report_row(Au._deliveries(spark, sf)))
-    name = f"reports_{uuid.uuid4().hex[:10]}"
-    sink = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    at, sink = scratch_path(spark, "reports-stream"), scratch_path(spark, "reports")
     for _ in range(2):
         stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", ST.FILES_PER_BATCH) \
             .parquet(shared_path(spark, "report_stream", sf))
-        ST.run_available(stream, ST.stream_path(spark, name), each=ST.deliver_reports(sink, table.schema))
+        ST.run_available(stream, at, each=ST.deliver_reports(sink, table.schema))
     return Runs(spark, sink, table.schema).read().select("request_id", "sheet_id", "row_ok")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -119,6 +120,34 @@ def materialize(df, name: str = "table", by: list[str] | None = None):
     return spark.read.parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what a query writes itself; ``drop_tables`` knows it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Deletes the tables that are materialised inside, shared ones excepted: a
+    stream's epochs leave nothing behind but what they commit."""
+    paths = _TABLES.setdefault(spark.sparkContext.applicationId, [])
+    before = len(paths)
+    try:
+        yield
+    finally:
+        shared = set(_SHARED.values())
+        gone = [p for p in paths[before:] if p not in shared]
+        paths[before:] = [p for p in paths[before:] if p in shared]
+        for path in gone:
+            _delete(spark, path)
+
+
 def shared_table(spark: SparkSession, name: str, source: str, build, by: list[str] | None = None):
     """The table ``name`` of the input ``source``: built and written on first
     use in this application, read by every query after that. ``build`` must
@@ -138,9 +167,7 @@ def shared_path(spark: SparkSession, name: str, source: str) -> str:
 def drop_tables(spark: SparkSession) -> None:
     """Delete every table that this application has materialised."""
     app = spark.sparkContext.applicationId
-    jvm = spark.sparkContext._jvm
     for path in _TABLES.pop(app, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
     for key in [k for k in _SHARED if k[0] == app]:
         del _SHARED[key]

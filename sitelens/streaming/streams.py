@@ -32,8 +32,6 @@ start from the last of these.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +40,7 @@ from sitelens.operators import dialog as Dg
 from sitelens.operators.outbox import SINK_BUCKETS
 from sitelens.operators.replay import replayed
 from sitelens.schemas import DEFAULT_USER_LIMIT
-from sitelens.session import checkpoint_dir, materialize
+from sitelens.session import materialize, scratch_path, temporary_tables
 from sitelens.sources.runs import Runs
 
 COMPACT_EVERY = 16
@@ -58,10 +56,6 @@ def event_stream(spark: SparkSession, path: str, max_files: int = FILES_PER_BATC
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def stream_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-
-
 def epoch_name(epoch: int) -> str:
     return f"{epoch:012d}"
 
@@ -106,8 +100,11 @@ class Epochs:
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         name = epoch_name(epoch)
-        if self.states.holds(name):
-            return  # the last of an epoch's commits: it has been through
+        if not self.states.holds(name):  # the last of an epoch's commits: otherwise it has been through
+            with temporary_tables(self.spark):
+                self._run(batch, epoch, name)
+
+    def _run(self, batch: DataFrame, epoch: int, name: str) -> None:
         rows = materialize(unseen(batch, self.id_col, self.ids, epoch), "epoch-rows")
         state = self.state_before(epoch)
         users = rows.select("user_id").distinct()
@@ -226,8 +223,7 @@ def collect_stream(df: DataFrame, prefix: str) -> DataFrame:
     """Run a streaming query over everything available into a Parquet file
     sink under the shared checkpoint folder (exactly-once file sink; nothing
     is held on the driver) and return the sink as a batch DataFrame."""
-    name = f"{prefix}_{uuid.uuid4().hex[:10]}"
-    at = stream_path(df.sparkSession, name)
+    at = scratch_path(df.sparkSession, prefix)
     out = f"{at}/out"
     run_available(df, at, sink=out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
