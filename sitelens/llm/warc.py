@@ -18,15 +18,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm.common import batches_of
-from sitelens.session import checkpoint_dir, materialize
+from sitelens.session import materialize, scratch_path
 
 CRLF = "\r\n"
 BATCH_ROWS = 256
@@ -51,13 +51,14 @@ def _addresses(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["row", "id", "url", "n_bytes", "sha1", "sha256"])
 
 
-def _header(kind, row, record_id, url, sha1, n_bytes, refers_to, refers_row):
+def _header(kind, row, record_id, url, sha1, n_bytes, refers_to, refers_row, date):
     """The header block of one record as a Column, ending with the empty line."""
     name = lambda i, r: F.concat(F.lit("<urn:record:"), F.coalesce(i.cast("string"), F.lit("")),
                                  F.lit(":"), r.cast("string"), F.lit(">"))
     safe = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind),
              F.concat(F.lit("WARC-Record-ID: "), name(record_id, row)),
+             F.lit(f"WARC-Date: {date}"),
              F.concat(F.lit("WARC-Target-URI: "), safe),
              F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
              F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: "), name(refers_to, refers_row))),
@@ -70,8 +71,9 @@ def _header(kind, row, record_id, url, sha1, n_bytes, refers_to, refers_row):
 
 
 def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
-                  payload_col: str = "html", min_revisit_bytes: int = 0) -> None:
-    """Writes ``path/headers`` and ``path/payloads``.
+                  payload_col: str = "html", min_revisit_bytes: int = 0, date: str | None = None) -> None:
+    """Writes ``path/headers`` and ``path/payloads``. ``date`` (``YYYY-MM-DDThh:mm:ssZ``)
+    is when the pages were captured; the table does not say, so it defaults to now.
 
     The digests of all records are written first as a narrow table; the
     responses are a partial-then-final maximum per digest over it. Payload
@@ -92,7 +94,8 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     (rows.join(first, "sha256").withColumn("kind", kind)
      .select("id", "row", "sha256",
              _header(F.col("kind"), F.col("row"), F.col("id"), F.col("url"), F.col("sha1"), F.col("n_bytes"),
-                     F.col("first.id"), F.col("first.row")).alias("header"))
+                     F.col("first.id"), F.col("first.row"),
+                     date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")).alias("header"))
      .write.mode("overwrite").parquet(f"{path}/headers"))
 
     # rows of one digest hold the same payload, so any row of the winner's id will do; null ids go under one number
@@ -142,4 +145,4 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_path(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return scratch_path(spark, "warc")

@@ -46,6 +46,8 @@ def test_pii_hard_and_random_texts(spark):
 def test_pii_added_kinds():
     assert ("login", 3, 25) in pii.find_spans("go https://me:pw@host.org/x")
     assert [s for s in pii.find_spans("pay DE89 3704 0044 0532 0130 00 now") if s[0] == "iban"] == [("iban", 4, 31)]
+    for text in ("NO93 8601 1117 947", "PL61109010140000071219812874", "SE45 5000 0000 0583 9825 7466", "MT84MALT011000012345MTLCAST001S"):
+        assert [s for s in pii.find_spans(f"x {text}.") if s[0] == "iban"] == [("iban", 2, 2 + len(text))]
     assert not [s for s in pii.find_spans("pay DE88 3704 0044 0532 0130 00 now") if s[0] == "iban"]
 
 

@@ -74,7 +74,7 @@ def test_archive_round_trip(spark, tmp_path):
             (8, "v", "W" * 300000), (9, "w", "once"), (9, "w", "once"), (None, "n", "nullid"), (None, "n", "nullid")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, payload string").repartition(3)
     path = str(tmp_path / "archive")
-    warc.write_archive(df, path)
+    warc.write_archive(df, path, date="2024-05-01T00:00:00Z")
     got = warc.read_archive(spark, path).collect()
     assert Counter((r.record, r.payload.decode()) for r in got) == Counter((i, h or "") for i, _, h in rows)
     assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for *_, h in rows})
@@ -85,6 +85,7 @@ def test_archive_round_trip(spark, tmp_path):
     for r in got:
         text = r.payload.decode()
         assert r.payload_digest == base64.b32encode(hashlib.sha1(r.payload).digest()).decode()
+        assert b"\r\nWARC-Date: 2024-05-01T00:00:00Z\r\n" in r.header
         assert r.header.startswith(b"WARC/1.1\r\nWARC-Type: ") and r.header.endswith(b"\r\n\r\n") and r.header.count(b"\r\n\r\n") == 1
         kinds[text].append(r.record_type)
         if r.record_type == "revisit" and text != "nullid":
