@@ -176,6 +176,7 @@ def _unpacked(column: pa.Array) -> list[bytes]:
 
 
 PIECE = "anchor long, digest long, n long, starts long, lead long, body binary"
+_TEXT = PIECE + ", kinds long"
 _PIECE = [pa.int64()] * 5 + [pa.binary()]
 MARKED = "anchor long, digest long, marks binary"
 _MARKED = [pa.int64(), pa.int64(), pa.binary()]
@@ -197,10 +198,10 @@ def _flags(marks: bytes | None, count: int) -> np.ndarray:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Distinct stretches (anchor, digest, n, text, place) with their bytes, read
+    """Distinct stretches (anchor, digest, n, kinds, text, place) with their bytes, read
     from one of their documents."""
     one = _packed(docs.where(F.octet_length("text") >= length)).groupBy("key").agg(F.first("body").alias("body"))
-    of = wanted.groupBy(F.col("text").alias("__text")).agg(F.collect_list(F.struct("anchor", "digest", "n", "place")).alias("held"))
+    of = wanted.groupBy(F.col("text").alias("__text")).agg(F.collect_list(F.struct("anchor", "digest", "n", "kinds", "place")).alias("held"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(BATCH_ROWS, it):
@@ -210,14 +211,18 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     first, lead, count = _place(h["place"])
                     body = raw[first:first + count + length - 1]
                     if np.int64(U64(_digest(body))) == h["digest"]:  # otherwise another text with this key
-                        rows.append((h["anchor"], h["digest"], h["n"], count, lead, body))
-            yield _rows(rows, PIECE, _PIECE)
+                        rows.append((h["anchor"], h["digest"], h["n"], count, lead, body, h["kinds"]))
+            yield _rows(rows, _TEXT, [*_PIECE, pa.int64()])
 
-    return one.join(of, F.col("key") == F.col("__text")).select("body", "held").mapInArrow(run, PIECE)
+    return one.join(of, F.col("key") == F.col("__text")).select("body", "held").mapInArrow(run, _TEXT)
 
 
 def _sorted_marks(pieces: DataFrame, length: int) -> DataFrame:
-    """Stretches with a repeated start, by suffix sorting all stretches of an anchor."""
+    """Stretches with a repeated start, by suffix sorting all stretches of an anchor.
+
+    ``pieces`` must be read from a table, not come out of a join by anchor: Spark leaves
+    out a repartition that a join below it seems to do already, and where the join then
+    runs as a broadcast the stretches of an anchor lie in many tasks."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -300,15 +305,12 @@ def marked(docs: DataFrame, listed: DataFrame, length: int = LENGTH, most: int =
     shared = distinct.groupBy(F.col("anchor").alias("__anchor")).agg(F.sum("n").alias("__n"), F.count("*").alias("__kinds")) \
         .where("__n > 1")
     rows = distinct.join(shared, F.col("anchor") == F.col("__anchor")).select(
-        "anchor", "digest", "n", "__kinds", F.col("at.text").alias("text"), F.col("at.place").alias("place"))
+        "anchor", "digest", "n", F.col("__kinds").alias("kinds"), F.col("at.text").alias("text"), F.col("at.place").alias("place"))
     rows = materialize(rows, "shared-stretches")
-    alone = rows.where("__kinds = 1").select("anchor", "digest", F.lit(None).cast("binary").alias("marks"))
-    pieces = materialize(_texts_of(docs, rows.where("__kinds > 1"), length), "stretch-texts")
-    kinds = rows.where(F.col("__kinds") > most).select(F.col("anchor").alias("__hot")).distinct()
-    few = pieces.join(kinds, F.col("anchor") == F.col("__hot"), "left_anti")
-    many = materialize(pieces.join(kinds, F.col("anchor") == F.col("__hot"), "left_semi"), "stretches-to-cut")
-    parts = alone.unionByName(_sorted_marks(few, length))
-    return materialize(parts.unionByName(_cut_marks(many, length, most, BLOCKS)), "marked-stretches")
+    alone = rows.where("kinds = 1").select("anchor", "digest", F.lit(None).cast("binary").alias("marks"))
+    pieces = materialize(_texts_of(docs, rows.where("kinds > 1"), length), "stretch-texts")
+    parts = alone.unionByName(_sorted_marks(pieces.where(F.col("kinds") <= most), length))
+    return materialize(parts.unionByName(_cut_marks(pieces.where(F.col("kinds") > most), length, most, BLOCKS)), "marked-stretches")
 
 
 def _covered(raw: bytes, held: list[dict], length: int) -> tuple[int, int, bytes]:

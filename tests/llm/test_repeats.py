@@ -56,6 +56,23 @@ def test_hard_texts(spark, most, monkeypatch):
     assert repeats.without_repeats(df.where("false"), length=30, gram=8).count() == 0
 
 
+def test_pieces_are_dealt_from_tables(spark, monkeypatch):
+    """No join may lie below the dealing by anchor: Spark would take the join's shuffle for
+    it, and read that shuffle in other parts once the join runs as a broadcast."""
+    plans, deal = [], repeats._sorted_marks
+
+    def seen(pieces, length):
+        plans.append(pieces._jdf.queryExecution().optimizedPlan().toString())
+        return deal(pieces, length)
+
+    monkeypatch.setattr(repeats, "_sorted_marks", seen)
+    docs = [(i, t) for i, t in hard() if t and len(t) > 60][:40]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = repeats.without_repeats(df, length=30, gram=8, most=10).collect()
+    assert Counter(tuple(r) for r in got) == plain(docs, 30)
+    assert len(plans) > 1 and not [p for p in plans if "Join" in p]
+
+
 def test_stretches_of_sliced_texts(monkeypatch):
     """Every start lies in one stretch, and equal runs have equal anchors at equal places."""
     raws = [(t or "").encode() for _, t in hard()]
