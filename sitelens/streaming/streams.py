@@ -200,10 +200,12 @@ def bundle_stream(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def deliver_reports(sink_path: str, schema: T.StructType):
     """ST-3: a ``foreachBatch`` function. Each epoch is one run of the sink, laid
-    out by day and a bucket of the destination."""
+    out by day and a bucket of the destination; a folder's rows come from one task, so
+    the files do not grow with the tasks."""
     def write(batch: DataFrame, epoch_id: int) -> None:
         rows = batch.withColumn("day", F.to_date("created_at")) \
-            .withColumn("bucket", F.pmod(F.crc32("sheet_id"), F.lit(SINK_BUCKETS)).cast("int"))
+            .withColumn("bucket", F.pmod(F.crc32("sheet_id"), F.lit(SINK_BUCKETS)).cast("int")) \
+            .repartition("day", "bucket")
         Runs(batch.sparkSession, sink_path, schema).append(rows, epoch_name(epoch_id), by=["day", "bucket"])
     return write
 
