@@ -41,10 +41,10 @@ def page_features(pages: DataFrame, keywords: list[str] | None = None) -> DataFr
 def snapshot(features: DataFrame) -> DataFrame:
     """One row per normalised URL; the largest ``page_id`` wins, and rows repeated
     under one id are one page. ``features`` should be a table: it is read twice, once
-    without its texts."""
+    without its texts. Features without ``text`` give a snapshot without it."""
     winners = features.groupBy("norm_url").agg(F.max("page_id").alias("page_id"))
     newest = features.join(winners, ["norm_url", "page_id"], "left_semi")
-    return newest.dropDuplicates(["norm_url", "page_id"]).select("norm_url", *SNAP_COLS)
+    return newest.dropDuplicates(["norm_url", "page_id"]).select("norm_url", *[c for c in SNAP_COLS if c in features.columns])
 
 
 def bundle_flags(snap: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from sitelens.operators import scoring as Sc
 from sitelens.plans import pages as P
 from sitelens.schemas import FIELDS, FIELD_KEYS
 from sitelens.operators import bundle as B
-from sitelens.session import shared_table
+from sitelens.session import has_shared, shared_table
 from sitelens.sources.tables import documents
 
 N_SHAPES = 10
@@ -109,6 +109,18 @@ def parsed_answers(spark: SparkSession, sf: str) -> DataFrame:
     return shared_table(spark, "parsed_answers", sf, build)
 
 
+def checked_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, parse_ok) of ``parsed_answers``, for queries that need no field: from that
+    table if it is there, else parsed alike and written without the fields."""
+    if has_shared(spark, "parsed_answers", sf):
+        return parsed_answers(spark, sf).select("doc_id", "parse_ok")
+
+    def build() -> DataFrame:
+        df = raw_answers(spark, sf).withColumn("json_text", A.json_unwrap("raw"))
+        return A.with_answer_fields(df, "json_text").select("doc_id", "parse_ok")
+    return shared_table(spark, "checked_answers", sf, build)
+
+
 def json_unwrap(spark: SparkSession, sf: str) -> DataFrame:
     return raw_answers(spark, sf).select("doc_id", A.json_unwrap("raw").alias("json_text"))
 

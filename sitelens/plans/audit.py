@@ -23,8 +23,8 @@ from sitelens.operators import bundle as B
 from sitelens.operators import outbox as O
 from sitelens.operators import quota as Q
 from sitelens.plans import standin as Si
-from sitelens.plans.answers import parsed_answers
-from sitelens.plans.pages import crawl_snapshot
+from sitelens.plans.answers import checked_answers, parsed_answers
+from sitelens.plans.pages import crawl_index
 from sitelens.schemas import FIELDS, REPORT_COLUMNS
 from sitelens.session import materialize, scratch_path, shared_table
 from sitelens.sources import eventlog as L
@@ -48,8 +48,8 @@ def _checked(spark: SparkSession, sf: str) -> DataFrame:
     req = req.withColumn("url", Si.typed_url(F.col("request_id"), F.coalesce("page_url", F.lit("gone.test"))))
     req = req.join(Si.typed_addresses(spark, sf), "url", "left")
     runs = B.with_flags(req.withColumn("norm_url", F.coalesce("norm_url", F.lit("https://gone.test"))),
-                        crawl_snapshot(spark, sf))
-    runs = runs.join(parsed_answers(spark, sf).select("doc_id", "parse_ok"), "doc_id", "left")
+                        crawl_index(spark, sf))
+    runs = runs.join(checked_answers(spark, sf), "doc_id", "left")
     parsed = F.coalesce("parse_ok", F.lit(False))
     pre = (F.when(F.col("norm_url") == "", F.lit("invalid_url"))
            .when(~F.col("fetched"), F.lit("internal_error"))
@@ -83,9 +83,10 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
 def audit_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """F-2: (request_id, user_id, ok, reason, short_summary, written_now, error).
     ``short_summary`` is the JSON text of up to four points (R-12)."""
+    answers = parsed_answers(spark, sf)  # before the decisions, which then need no parse of their own
     d = decisions(spark, sf)
     ok = F.col("reason") == "ok"
-    points = parsed_answers(spark, sf).select("doc_id", F.to_json(A.short_summary()).alias("points"))
+    points = answers.select("doc_id", F.to_json(A.short_summary()).alias("points"))
     return d.join(points, "doc_id", "left").select(
         "request_id", "user_id", ok.alias("ok"), F.when(~ok, F.col("reason")).alias("reason"),
         F.when(ok, F.col("points")).alias("short_summary"), F.when(ok, F.col("sheet_id").isNotNull()).alias("written_now"),
@@ -95,7 +96,12 @@ def audit_outcome(spark: SparkSession, sf: str) -> DataFrame:
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """R-7: (request_id, user_id, ts, url, sheet_id, result_json) of every
     successful audit; the wide answers meet only these."""
-    d = decisions(spark, sf).filter(F.col("reason") == "ok")
+    parsed_answers(spark, sf)  # before the decisions, which then need no parse of their own
+    return _enveloped(spark, sf, decisions(spark, sf).filter(F.col("reason") == "ok"))
+
+
+def _enveloped(spark: SparkSession, sf: str, d: DataFrame) -> DataFrame:
+    """R-7 for the successful audits of ``d``."""
     df = d.join(parsed_answers(spark, sf).select("doc_id", *FIELDS), "doc_id").withColumn("short_summary", A.short_summary())
     env = A.envelope_json(pricing_url="pricing_url", timestamp=A.iso_timestamp("ts"), summary="short_summary")
     return df.select("request_id", "user_id", "ts", F.col("norm_url").alias("url"), "sheet_id", env.alias("result_json"))
@@ -189,14 +195,21 @@ def _stored(result_json: Column, request_id: Column) -> Column:
     return out
 
 
+def _sent(spark: SparkSession, sf: str) -> DataFrame:
+    """The successful audits that have a destination, with it as ``sheet_id``; still narrow,
+    so that no answer is shuffled by user."""
+    first = O.first_connections(L.sheet_links(events(spark, sf))).select("user_id", "conn_sheet_id")
+    d = decisions(spark, sf).filter(F.col("reason") == "ok").join(first, "user_id", "left")
+    return d.withColumn("sheet_id", F.coalesce("sheet_id", "conn_sheet_id")).filter(F.col("sheet_id").isNotNull()) \
+        .drop("conn_sheet_id")
+
+
 def _deliveries(spark: SparkSession, sf: str) -> DataFrame:
     """Every result with a destination: at request time, or at its user's first
     connection (the flush)."""
-    first = O.first_connections(L.sheet_links(events(spark, sf))).select("user_id", "conn_sheet_id")
-    d = results(spark, sf).join(first, "user_id", "left")
-    sent = d.withColumn("dest", F.coalesce("sheet_id", "conn_sheet_id")).filter(F.col("dest").isNotNull()).select(
-        "user_id", "url", F.col("ts").alias("created_at"), F.col("dest").alias("sheet_id"),
-        F.inline(_stored(F.col("result_json"), F.col("request_id"))))
+    parsed_answers(spark, sf)  # before the decisions, which then need no parse of their own
+    sent = _enveloped(spark, sf, _sent(spark, sf)).select(
+        "user_id", "url", F.col("ts").alias("created_at"), "sheet_id", F.inline(_stored(F.col("result_json"), F.col("request_id"))))
     return sent.select("request_id", "user_id", "url", "result_json", "created_at", "sheet_id")
 
 
@@ -221,7 +234,7 @@ def _sheets(spark: SparkSession, sf: str) -> DataFrame:
     """Stand-in: destinations with the first row that they hold, by the length
     and digits of their id: right, empty, missing or of other columns."""
     from sitelens.schemas import REPORT_HEADERS
-    ids = _deliveries(spark, sf).select("sheet_id").distinct()
+    ids = _sent(spark, sf).select("sheet_id").distinct()
     n = F.pmod(F.crc32("sheet_id"), F.lit(4))
     right = F.array(*[F.lit(h) for h in REPORT_HEADERS])
     return ids.select("sheet_id", F.when(n == 0, right).when(n == 1, F.array().cast("array<string>"))

@@ -14,7 +14,7 @@ from sitelens.functions import urls as U
 from sitelens.operators import bundle as B
 from sitelens.operators.links import link_targets, page_links, with_pricing_link
 from sitelens.plans import standin as Si
-from sitelens.session import shared_table
+from sitelens.session import has_shared, shared_table
 from sitelens.sources.tables import pages
 
 
@@ -91,6 +91,21 @@ def crawl_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return shared_table(spark, "crawl_snapshot", sf, build)
 
 
+def crawl_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``crawl_snapshot`` without their texts, for queries that need a page's
+    flags alone: texts are turned into lengths where they are read, none is written or
+    shuffled. Features that lie there with texts are used as they are."""
+    if has_shared(spark, "page_features", sf):
+        features = shared_table(spark, "page_features", sf, None).drop("text")
+    else:
+        features = shared_table(spark, "page_index", sf, lambda: B.page_features(Si.site_pages(spark, sf)).drop("text"))
+
+    def build() -> DataFrame:
+        crawled = B.snapshot(features)
+        return crawled.unionByName(Si.linked_pages(features, crawled))
+    return shared_table(spark, "crawl_index", sf, build)
+
+
 def bundle_requests(spark: SparkSession, sf: str) -> DataFrame:
     """(request_id, url): every page's address as typed, some of them not crawled."""
     p = pages(spark, sf, "page_id", "url")

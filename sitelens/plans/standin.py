@@ -75,9 +75,10 @@ def linked_pages(features: DataFrame, crawled: DataFrame) -> DataFrame:
     addresses that some page names as its pricing page are looked up."""
     firsts = features.where(F.col("pricing_key").isNotNull()).groupBy(F.col("pricing_key").alias("target")) \
         .agg(F.min("page_id").alias("src")).join(crawled.select(F.col("norm_url").alias("target")), "target", "left_anti")
-    content = features.select(F.col("page_id").alias("cid"), "text", "n_text")
+    kept = [c for c in ("text", "n_text") if c in features.columns]
+    content = features.select(F.col("page_id").alias("cid"), *kept)
     return firsts.join(content, F.col("cid") == F.col("src") + 1).select(
-        F.col("target").alias("norm_url"), F.col("cid").alias("page_id"), "text", "n_text",
+        F.col("target").alias("norm_url"), F.col("cid").alias("page_id"), *kept,
         F.lit(None).cast("string").alias("pricing_link"), F.lit(None).cast("string").alias("pricing_key"))
 
 

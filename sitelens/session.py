@@ -159,6 +159,11 @@ def shared_table(spark: SparkSession, name: str, source: str, build, by: list[st
     return spark.read.parquet(_SHARED[key])
 
 
+def has_shared(spark: SparkSession, name: str, source: str) -> bool:
+    """Whether a shared table has been built."""
+    return (spark.sparkContext.applicationId, name, source.rstrip("/")) in _SHARED
+
+
 def shared_path(spark: SparkSession, name: str, source: str) -> str:
     """The folder of a shared table that has been built."""
     return _SHARED[spark.sparkContext.applicationId, name, source.rstrip("/")]
