@@ -155,7 +155,7 @@ def outbox_delivery(spark: SparkSession, sf: str) -> DataFrame:
     """J-4/J-7: parked rows delivered in rounds, each marked in the log; the
     last round runs twice. Returns (id, round) of the log."""
     path = scratch_path(spark, "delivered")
-    pending = _pending(spark, sf)
+    pending = materialize(_pending(spark, sf).select("id", "flushed_at"), "pending-times")
     for n, at in [*enumerate(ROUNDS), (len(ROUNDS) - 1, ROUNDS[-1])]:
         O.deliver(pending.filter(F.col("flushed_at") <= F.lit(at).cast("timestamp_ntz")), path, n)
     return spark.read.parquet(*[f"{path}/{n}" for n in range(len(ROUNDS))])
