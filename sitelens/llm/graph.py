@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.session import materialize
+from sitelens.session import discard, materialize
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     combining and two joins, all written to the shared folder. The joins are of
     two tables, so a node with very many neighbours is a skewed key that adaptive
     execution splits. Nothing but two numbers per round reaches the driver. The
-    rounds go on until a round leaves the pairs as they were."""
+    rounds go on until a round leaves the pairs as they were. A round's tables go
+    when the next one is written; only the last pairs stay."""
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .distinct(), name)
     seen = None
@@ -24,10 +25,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                             .distinct(), name)
+        discard(pairs, least)
         # small star: a node and its neighbours below go to the least of them
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name)
+        discard(large, least)
         now = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen or not now["n"]:
             break

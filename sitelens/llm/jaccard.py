@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import batches_of, unused
 from sitelens.llm.graph import components
-from sitelens.session import materialize
+from sitelens.session import discard, materialize
 
 WORDS, PERCENT = 4, 85
 COORDINATES = 16
@@ -335,7 +335,7 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
 def numbered(docs: DataFrame, row_col: str) -> DataFrame:
     """``docs`` written once with a number for each row. Later passes read the numbers
     from the table: a scan that is split in another way changes none of them."""
-    return materialize(docs.withColumn(row_col, F.monotonically_increasing_id()), "ngram-rows")
+    return materialize(docs.withColumn(row_col, F.monotonically_increasing_id()), "ngram-rows", compression="zstd")
 
 
 def describe(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -347,10 +347,9 @@ def describe(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: i
                     "counts array<bigint>, keys array<bigint>"), "ngram-sets")
 
 
-def links(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str = "text", words: int = WORDS,
-          percent: int = PERCENT) -> DataFrame:
-    """(a, b): digests of linked sets, enough of them to connect every component.
-    ``docs`` and ``rows`` (see ``describe``) name a row by the same number."""
+def placed(rows: DataFrame) -> DataFrame:
+    """One row per distinct set that shares a key with another one: digest, row (of
+    a document that holds it), size, counts, plot and leaf. ``rows``: see ``describe``."""
     keyed = rows.where("n > 0").select("class", F.explode("keys").alias("key"))
     # a table of its own, so that the join may split a key that very many documents share
     shared = materialize(keyed.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"))
@@ -362,6 +361,14 @@ def links(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str = "text"
     members = materialize(_leaves(
         rows.join(plots, "class").groupBy("digest", "plot")
         .agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"))), "ngram-leaves")
+    discard(shared, plots)
+    return members
+
+
+def links(docs: DataFrame, members: DataFrame, row_col: str, text_col: str = "text", words: int = WORDS,
+          percent: int = PERCENT) -> DataFrame:
+    """(a, b): digests of linked sets, enough of them to connect every component.
+    ``docs`` and ``members`` (see ``placed``) name a row by the same number."""
     wanted = members.select("row")
     texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     sets = texts.join(_bounded(wanted, wanted.count()), "row", "left_semi").select("text") \
@@ -370,10 +377,12 @@ def links(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str = "text"
     places = units.select("plot", F.col("left").alias("leaf"), "unit", F.lit(0).alias("side")).unionAll(
         units.where("left <> right").select("plot", F.col("right").alias("leaf"), "unit", F.lit(1).alias("side")))
     seats = members.select("digest", "plot", "leaf").join(places, ["plot", "leaf"]).select("digest", "unit", "side")
-    return materialize(
+    found = materialize(
         sets.join(seats, "digest").repartition("unit").sortWithinPartitions("unit", "side", "digest")
         .select("unit", "side", "digest", "grams").mapInArrow(_joined_leaves(percent), "a binary, b binary"),
         "ngram-links")
+    discard(units)
+    return found
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -381,12 +390,20 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document row: row (its number), id, n_shingles, component_id
     (least id of its component) and first_row (least (id, row) of it)."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return _components_of(numbered(narrow, "row"), "row", "id", "text", words, percent).withColumnRenamed("id", id_col)
+    rows = numbered(narrow, "row")
+    found = _components_of(rows, "row", "id", "text", words, percent).withColumnRenamed("id", id_col)
+    discard(rows)
+    return found
 
 
 def _components_of(docs: DataFrame, row_col: str, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    rows = describe(docs, row_col, id_col, text_col, words, percent)
-    found = components(links(docs, rows, row_col, text_col, words, percent), "ngram-components")
+    described = describe(docs, row_col, id_col, text_col, words, percent)
+    members = placed(described)
+    rows = materialize(described.select("row", "id", "n", "digest"), "ngram-sizes")
+    discard(described)  # the keys are most of what the step holds on disk
+    linked = links(docs, members, row_col, text_col, words, percent)
+    found = components(linked, "ngram-components")
+    discard(members, linked)
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = rows.where("n > 0").groupBy("digest").agg(least.alias("least"))
     labelled = classes.join(found.withColumnRenamed("node", "digest"), "digest", "left") \

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -100,9 +101,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 _TABLES: dict[str, list[str]] = {}              # application -> paths written
 _SHARED: dict[tuple[str, str, str], str] = {}   # (application, name, input) -> path
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()  # frame returned by materialize -> path
 
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def materialize(df, name: str = "table", by: list[str] | None = None):
+
+@contextmanager
+def _shuffles_released(spark: SparkSession):
+    """Shuffle files of the executions inside go as soon as each is over, not
+    when the driver's JVM happens to collect its garbage."""
+    before = spark.conf.get(RELEASE_SHUFFLES, None)
+    spark.conf.set(RELEASE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE_SHUFFLES)
+        else:
+            spark.conf.set(RELEASE_SHUFFLES, before)
+
+
+def materialize(df, name: str = "table", by: list[str] | None = None, compression: str | None = None):
     """Cut lineage at an intermediate read by several consumers.
 
     The rows are written once as a Parquet table under the shared
@@ -110,14 +129,20 @@ def materialize(df, name: str = "table", by: list[str] | None = None):
     checkpoint) and read back: consumers get a columnar scan with column
     pruning and filter pushdown, and the producing plan runs exactly once
     (``Dataset.checkpoint`` would run it for its eager count and again to
-    write the files). ``by``: columns that the files are laid out by.
+    write the files). The shuffle files behind the table go once it is written:
+    nothing reads them again. ``by``: columns that the files are laid out by.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*by) if by else df.write
-    writer.mode("overwrite").parquet(path)
+    if compression:
+        writer = writer.option("compression", compression)
+    with _shuffles_released(spark):
+        writer.mode("overwrite").parquet(path)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    _PATHS[table] = path
+    return table
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -132,6 +157,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(*tables) -> None:
+    """Delete tables, as ``materialize`` returned them, that nothing reads any
+    more: a step of many passes holds no more on disk than what comes after needs."""
+    for table in tables:
+        _delete(table.sparkSession, _PATHS.pop(table))
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession):
     """Deletes the tables that are materialised inside, shared ones excepted: a

@@ -1,11 +1,15 @@
 """The n-gram join against plain sets, and its two filters."""
 
+import os
 import random
+import time
+from pathlib import Path
 
 import brute_jaccard as brute
 import numpy as np
 from conftest import SF_CHECK, SF_SMALL
 from sitelens.llm import graph, jaccard, queries
+from sitelens.session import checkpoint_dir, materialize
 
 
 def family(r, base, n, rate):
@@ -128,3 +132,40 @@ def test_components_of_chains_and_stars(spark):
     r.shuffle(pairs)
     got = {x.node: x.label for x in graph.components(spark.createDataFrame(pairs, "a long, b long"), "t").collect()}
     assert got == {i: 0 for i in range(121)} | {i: 500 for i in range(500, 600)} | {900: 900, 901: 900}
+
+
+def shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+
+def tables_written(spark):
+    return {p.name for p in (Path(checkpoint_dir(spark).removeprefix("file:")) / "tables").glob("*")}
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    """They went only when the driver's JVM collected its garbage, so disk followed from luck."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(setting), shuffle_files(spark)
+    counts = spark.range(1000).groupBy((jaccard.F.col("id") % 7).alias("k")).count()
+    assert sorted(r.k for r in materialize(counts).collect()) == list(range(7))
+    until = time.time() + 10  # files go in the background
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(setting) == was
+
+
+def test_step_keeps_only_the_tables_that_its_result_reads(spark, tmp_path):
+    docs = corpus(3)
+    df = written(spark, frame(spark, docs), tmp_path, "d")
+    want = brute.components(docs, 5, 80)
+    before = tables_written(spark)
+    kept = jaccard.keep_one_of_each(df)
+    left = [n.rsplit("-", 1)[0] for n in tables_written(spark) - before]
+    assert {"ngram-rows", "ngram-gone"} <= set(left) and len(left) == len(set(left))
+    assert not {"ngram-sets", "ngram-shared", "ngram-leaves", "ngram-units", "ngram-links"} & set(left)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (n, c) in want.items() if not n or c == i)
+    before = tables_written(spark)
+    found = jaccard.components_of(df)
+    assert not any(n.startswith("ngram-rows") for n in tables_written(spark) - before)
+    assert rows_of(found) == brute.components(docs)
